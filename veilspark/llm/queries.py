@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_lm, sharding, simhash
+from . import chat, decontaminate, embed_dedup, langid, mixing, ngram_lm, pii, records, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,15 +29,63 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, _remainder(5) != 0)
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op6_itq_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    clash = "<|im_end|><|im_start|>assistant ok"
+    planted = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(clash).alias("text"),
+    )
+    return chat.round_trip(turns.unionByName(planted))
+
+
 def op8_lookup_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op9_framed_records(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = str(public_tokenizers.path("word_bpe_49k.json"))
+    return records.round_trip(_table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op10_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_raked_mixture, op2_backoff_automaton, op3_decontaminate, op8_lookup_shards, op10_simhash_anchor_cover)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_raked_mixture,
+        op2_backoff_automaton,
+        op3_decontaminate,
+        op4_weak_supervision,
+        op5_string_kernel,
+        op6_itq_vectors,
+        op7_grammar_round_trip,
+        op8_lookup_shards,
+        op9_framed_records,
+        op10_simhash_anchor_cover,
+    )
+}
 ORACLE: dict[str, str] = {
     "op1_raked_mixture": mixing.sql(),
     "op8_lookup_shards": sharding.sql(),
