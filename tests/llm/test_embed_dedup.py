@@ -27,10 +27,15 @@ def plain(rows):
     return out
 
 
-def test_recall_on_the_table(spark):
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = [(r.vec_id, list(r.embedding), r.label) for r in table.collect()]
+def test_recall_on_the_table(spark, sf):
+    rng = np.random.default_rng(3)
+    rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    for i, (_, v, label) in enumerate(rows[:200]):
+        noise = rng.normal(size=(3, len(v)))
+        for j, n in enumerate(noise):  # cosine to the first is 0.98 to 0.995
+            rows.append((10_000 + 10 * i + j, list(map(float, v + n / np.linalg.norm(n) * np.linalg.norm(v) * rng.uniform(0.1, 0.2))), label))
     want = plain(rows)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_duplicates(table).collect()}
     assert set(got) == set(want)
     assert all(got[i][0] <= want[i][0] for i in want)  # no link below the threshold
