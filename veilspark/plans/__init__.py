@@ -1,0 +1,6 @@
+"""Registered queries over the given tables."""
+
+from . import detection, redaction
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "detection", "redaction"]
