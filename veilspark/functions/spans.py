@@ -113,12 +113,6 @@ def suppressed(spans: Column) -> Column:
     return F.array_sort(F.aggregate(ordered, no_spans(), keep))
 
 
-def sensitive(text: Column) -> Column:
-    """All labelled spans of a text that count."""
-    spans = labelled(text)
-    return suppressed(F.concat(spans, nearby_otp(text, spans)))
-
-
 def kinds_of(spans: Column) -> Column:
     return F.array_distinct(F.transform(spans, lambda s: s["kind"]))
 

@@ -18,6 +18,14 @@ def document_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("candidates", S.candidates(F.col(text))).withColumn("spans", S.claimed(F.col("candidates"))).drop("candidates")
 
 
+def sensitive_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
+    """``docs`` plus the labelled spans that count. Each step is a column of its own, so none is computed twice."""
+    t = F.col(text)
+    with_rules = docs.withColumn("_rules", S.labelled(t))
+    with_codes = with_rules.withColumn("_all", F.concat("_rules", S.nearby_otp(t, F.col("_rules")))).drop("_rules")
+    return with_codes.withColumn(out, S.suppressed(F.col("_all"))).drop("_all")
+
+
 def secret_scan(docs: DataFrame, allowed: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
     """One row per text and pattern found in it; paths that match a pattern of ``allowed`` (small) and huge texts are skipped."""
     scanned = docs.where(F.octet_length(text) <= P.SECRET_TEXT_LIMIT)

@@ -187,19 +187,20 @@ def b6_labelled_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def b7_nearby_otp(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return probed(spark, sf_dir).select("doc_id", F.size(S.nearby_otp(text, S.no_spans())).alias("n_open"), F.size(S.nearby_otp(text, S.labelled(text))).alias("n_new"))
+    docs = probed(spark, sf_dir).withColumn("rules", S.labelled(text))
+    return docs.select("doc_id", F.size(S.nearby_otp(text, S.no_spans())).alias("n_open"), F.size(S.nearby_otp(text, F.col("rules"))).alias("n_new"))
 
 
 @query()
 def b8_suppress_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = probed(spark, sf_dir).select("lang", F.inline(S.sensitive(F.col("text"))))
+    rows = D.sensitive_spans(probed(spark, sf_dir)).select("lang", F.inline("spans"))
     return rows.groupBy("lang", "kind", "rule").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
 @query()
 def b9_sensitive_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = S.kinds_of(S.sensitive(F.col("text")))
-    return probed(spark, sf_dir).select(F.array_join(kinds, ",").alias("kinds")).groupBy("kinds").count()
+    kinds = S.kinds_of(F.col("spans"))
+    return D.sensitive_spans(probed(spark, sf_dir)).select(F.array_join(kinds, ",").alias("kinds")).groupBy("kinds").count()
 
 
 _HAS = {p.name: f"regexp_matches(text, $re${p.regex}$re$)" for p in P.SECRETS}
