@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from . import detection, gates, redaction
+from . import detection, gates, geometry, redaction
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "detection", "gates", "redaction"]
+__all__ = ["ORACLE", "QUERIES", "detection", "gates", "geometry", "redaction"]
