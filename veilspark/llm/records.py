@@ -11,7 +11,10 @@ speculative tasks leave no trace in it. Files go through the file system of the
 
 from __future__ import annotations
 
+import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -32,7 +35,8 @@ MAGIC = b"VEILREC1"
 END_ID = 1
 FILE_BYTES = 64 << 20
 _INDEX = np.dtype([("null", "u1"), ("id", "<i8"), ("at", "<u8"), ("n", "<u8")])
-_CACHE = 300_000
+_CACHE = 600_000
+_MARKS = re.compile(r"[^a-z0-9\u00df-\u00f6\u00f8-\u00ff \t\n\r][,.][ \n]")  # after which a mark may not be parted
 
 
 def masked(data: bytes) -> int:
@@ -59,10 +63,11 @@ def unframe(read: Callable[[int], bytes]) -> bytes:
 
 
 class WordEncoder:
-    """Ids of a text as little-endian bytes, from the ids of its space-separated parts.
+    """Ids of a text as little-endian bytes, from the ids of its words.
 
-    The tokenizer's own splitting never joins characters across white space, so a text's ids are its parts' ids in
-    order; parts repeat, so each is encoded once for as long as a bounded table holds it.
+    The tokenizer's own splitting never joins characters across white space, nor letters with the comma or full stop
+    after them, and it lower-cases; so a text's ids are those of its lower-cased words and marks in order. Words
+    repeat, so each is encoded once for as long as a bounded table holds it.
     """
 
     def __init__(self, path: str, width: int):
@@ -72,29 +77,52 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.known = Tokenizer.from_file(path), f"<u{width}", {"": b""}
+        self.model, self.width = self.tokenizer.model, width
+
+    @staticmethod
+    def parts(text: str | None) -> list[str]:
+        """Pieces that the tokenizer would part too; marks stay with anything but plain letters and digits.
+
+        Texts with the two letters that Python lower-cases by their place or into two are only cut at spaces.
+        """
+        text = text or ""
+        if "\u0130" in text or "\u03a3" in text:
+            return text.replace("\n", " ").split(" ")
+        text = text.lower()
+        if not _MARKS.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+        return text.replace("\n", " ").split(" ")
 
     def learn(self, parts: set[str]) -> None:
         if len(self.known) > _CACHE:
             self.known = {"": b""}
-        fresh = list(parts - self.known.keys())
-        known, kind = self.known, self.kind
-        stems = {p: (p[:-1].lower(), p[-1]) for p in fresh if p[-1] in ",." and p.isascii() and p[:-1].isalpha()}
-        stems |= {p: (p.lower(), "") for p in fresh if p.isascii() and p.isalpha() and not p.islower()}
-        plain = {x for p in fresh if p not in stems for x in (p,)} | {x for pair in stems.values() for x in pair}
-        plain = list(plain - known.keys())
-        for part, got in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+        known, kind, model = self.known, self.kind, self.model
+        odd = []
+        for part in parts.difference(known):
+            if part.isascii() and part.isalpha() and part.islower():  # nothing to normalise or to split
+                known[part] = b"".join(t.id.to_bytes(self.width, "little") for t in model.tokenize(part))
+            else:
+                odd.append(part)
+        for part, got in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             known[part] = np.array(got.ids, dtype=kind).tobytes()
-        for part, (stem, mark) in stems.items():
-            known[part] = known[stem] + known[mark]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [self.parts(t) for t in texts]
         self.learn(set().union(*split))
         get = self.known.__getitem__
         for parts in split:
             yield b"".join(map(get, parts))
 
 
+def _encoder(path: str, width: int) -> WordEncoder:
+    """This worker process's encoder: tasks that follow one another in a process share its table of words."""
+    kept = sys.modules.setdefault("veil_worker_tables", types.ModuleType("veil_worker_tables")).__dict__
+    key = f"{path}:{width}"
+    if key not in kept:
+        kept[key] = WordEncoder(path, width)
+    return kept[key]
+
+
 def _width(path: str) -> int:
     from tokenizers import Tokenizer
 
@@ -110,7 +138,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
-        encoder, end = WordEncoder(tokenizer, width), end_id.to_bytes(width, "little")
+        encoder, end = _encoder(tokenizer, width), end_id.to_bytes(width, "little")
         part, seq, out, index = TaskContext.get().partitionId(), 0, None, []
 
         def close() -> pa.RecordBatch:
