@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from . import detection, gates, geometry, metrics, redaction
+from . import datasets, detection, gates, geometry, metrics, redaction
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "detection", "gates", "geometry", "metrics", "redaction"]
+__all__ = ["ORACLE", "QUERIES", "datasets", "detection", "gates", "geometry", "metrics", "redaction"]
