@@ -60,6 +60,10 @@ LABELLED = (
     ("phone-like", "number", r"\+?[0-9][0-9\s().-]{7,}[0-9]"),
     ("sensitive-label", "sensitive-label", _I + _NW + r"(?:password|secret|token|account|address|passport|aadhaar|आधार|pan|पैन|ifsc|voter|otp|cvv|cvc|pin|one[\s-]?time)" + _WN),
 )
+#: What a text must hold before a labelled rule is worth its pattern.
+LABEL_NEEDS = {
+    "email": "@", "upi-vpa": "@", "aadhaar": "[0-9]{4}", "pan": "[0-9]{4}", "ifsc": "0", "voter-id": "[0-9]{7}", "gstin": "[0-9]{4}", "card-like": "[0-9]", "otp-labelled": "[0-9]{4}", "otp-n-digit": "[0-9]{4}", "cvv-labelled": "[0-9]{3}", "phone-like": "[0-9]",
+}
 OTP_WORDS = _I + _NW + r"(?:otp|code|pin|password)" + _WN
 OTP_REACH = 28
 # How specific each kind is when spans cover one another.

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import AADHAAR_BARE, AADHAAR_WORDS, LABELLED, OTP_REACH, OTP_WORDS, PASSES, SPECIFICITY, Pattern
+from .patterns import AADHAAR_BARE, AADHAAR_WORDS, LABEL_NEEDS, LABELLED, OTP_REACH, OTP_WORDS, PASSES, SPECIFICITY, Pattern
 
 EMPTY_SPANS = "array<struct<start:int,end:int,kind:string,rule:string,value:string,pass:int>>"
 
@@ -23,16 +23,16 @@ def no_spans() -> Column:
 def hits(text: Column, regex: str, kind: str = "", rule: str = "", order: int = 0) -> Column:
     """Every hit as ``(start, end, kind, rule, value, pass)``, in order; offsets are half-open."""
     gaps, found = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    pairs = F.arrays_zip(found.alias("hit"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
+    pairs = F.arrays_zip(found.alias("hit"), gaps.alias("gap"))  # the last gap has no hit after it
 
     def step(acc: Column, x: Column) -> Column:
         start = (acc["at"] + F.length(x["gap"])).cast("int")
         end = (start + F.length(x["hit"])).cast("int")
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(rule).alias("rule"), x["hit"].alias("value"), F.lit(order).alias("pass"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
     zero = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
-    return F.aggregate(F.transform(pairs, lambda p: F.struct(p["hit"].alias("hit"), p["gap"].alias("gap"))), zero, step, lambda acc: acc["out"])
+    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
 
 
 def luhn(value: Column) -> Column:
@@ -81,7 +81,7 @@ def claimed(spans: Column) -> Column:
 
 def labelled(text: Column) -> Column:
     """The labelled rules' hits, overlaps kept."""
-    return F.concat(*(hits(text, regex, kind, rule, i) for i, (rule, kind, regex) in enumerate(LABELLED)))
+    return F.concat(*(guarded(text, LABEL_NEEDS.get(rule), hits(text, regex, kind, rule, i)) for i, (rule, kind, regex) in enumerate(LABELLED)))
 
 
 def nearby_otp(text: Column, spans: Column) -> Column:

@@ -32,16 +32,17 @@ def dedupe_rows(df: DataFrame, parts: Sequence[str], order: str) -> DataFrame:
 def pair_positive_negative(tasks: DataFrame, controls: DataFrame, task: str, goal: str, label: str, goals: str, seed: str, factor: float = 1.5) -> DataFrame:
     """Each task with all controls that serve its goal, and with max(2, ``factor`` x as many) others by a digest's order.
 
-    ``tasks(task, goal)``; ``controls(label, goals)`` is a table of labels, short beside the tasks.
+    ``tasks(task, goal)``; ``controls(label, goals)`` is a table of labels, short beside the tasks. Both lists are made
+    once for each goal; a task ranks its goal's others within its own row, so no pair is made that isn't kept.
     """
-    flat = controls.select(label, F.explode(goals).alias(goal))
-    pos = tasks.join(flat, goal).select(task, goal, label).withColumn("gold", F.lit("A"))
-    per_goal = controls.join(flat.select(label, F.col(goal).alias("g")), label).groupBy("g").agg(F.count_distinct(label).alias("n_pos")).withColumnRenamed("g", goal)
-    want = tasks.join(per_goal, goal, "left").withColumn("want", F.greatest(F.lit(2), F.floor(F.coalesce("n_pos", F.lit(0)) * factor))).drop("n_pos")
-    other = want.join(controls, ~F.array_contains(F.col(goals), F.col(goal)))
-    rank = F.row_number().over(Window.partitionBy(task).orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(task).cast("string"), F.col(label).cast("string")), 256), label))
-    neg = other.withColumn("_r", rank).where("_r <= want").select(task, goal, label).withColumn("gold", F.lit("B"))
-    return pos.unionByName(neg)
+    served = tasks.select(goal).distinct().join(controls, F.array_contains(F.col(goals), F.col(goal)), "left").groupBy(goal).agg(F.array_sort(F.collect_set(label)).alias("pos"))
+    every = controls.agg(F.array_sort(F.collect_set(label)).alias("every"))
+    lists = served.join(F.broadcast(every)).select(goal, "pos", F.array_except("every", "pos").alias("neg"))
+    rank = F.transform("neg", lambda x: F.struct(F.sha2(F.concat_ws(":", F.lit(seed), F.col(task).cast("string"), x.cast("string")), 256).alias("d"), x.alias("label")))
+    want = F.greatest(F.lit(2), F.floor(F.size("pos") * factor)).cast("int")
+    picked = tasks.join(lists, goal).withColumn("neg", F.transform(F.slice(F.array_sort(rank), F.lit(1), want), lambda x: x["label"]))
+    both = F.concat(F.transform("pos", lambda x: F.struct(x.alias("label"), F.lit("A").alias("gold"))), F.transform("neg", lambda x: F.struct(x.alias("label"), F.lit("B").alias("gold"))))
+    return picked.select(task, goal, F.inline(both)).withColumnRenamed("label", label)
 
 
 def calib_carve(df: DataFrame, key: str, bucket: str, part: int = 8) -> DataFrame:

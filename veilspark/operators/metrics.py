@@ -279,8 +279,8 @@ def evidence_freshness(rules: DataFrame, commits: DataFrame, most: int) -> DataF
     """
     touched = rules.select("id", F.explode("required").alias("path")).join(commits.groupBy("path").agg(F.max(F.struct("ord", "commit")).alias("c")), "path")
     last = touched.groupBy("id").agg(F.max("c").alias("c"))
-    head = commits.agg(F.max("ord").alias("head"))
-    out = rules.join(last, "id", "left").crossJoin(F.broadcast(head)).withColumn("behind", F.col("head") - F.col("c.ord"))
+    head = commits.agg(F.max("ord")).first()[0]
+    out = rules.join(last, "id", "left").withColumn("behind", F.lit(head) - F.col("c.ord"))
     stale = (F.col("status") == "pass") & F.coalesce(F.col("behind") > most, F.lit(True))
     return out.select("id", F.col("c.commit").alias("commit"), "behind", F.when(stale, "unknown").otherwise(F.col("status")).alias("status"))
 

@@ -206,7 +206,7 @@ def b9_sensitive_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HAS = {p.name: f"regexp_matches(text, $re${p.regex}$re$)" for p in P.SECRETS}
 
 
-@query("SELECT doc_id, pattern, severity FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{p.name}' AS pattern, '{p.severity}' AS severity FROM documents WHERE {_HAS[p.name]} AND octet_length(text::BLOB) <= {P.SECRET_TEXT_LIMIT} AND source <> 'src19'" for p in P.SECRETS) + ")")
+@query("SELECT doc_id, pattern, severity FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{p.name}' AS pattern, '{p.severity}' AS severity FROM documents WHERE {_HAS[p.name]} AND strlen(text) <= {P.SECRET_TEXT_LIMIT} AND source <> 'src19'" for p in P.SECRETS) + ")")
 def b13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings without values; texts of one source stand for the allowlist."""
     docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "doc_id"))
@@ -320,6 +320,6 @@ def b26_best_label_per_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.best_label_per_word(tokens, labels, 0.14).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("SELECT conv_id, CAST(sum(octet_length(('{\"role\":\"' || role || '\",\"turn\":' || turn || '}')::BLOB)) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, CAST(sum(strlen('{\"role\":\"' || role || '\",\"turn\":' || turn || '}')) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id")
 def b27_json_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(D.json_bytes(F.struct("role", "turn"))).cast("long").alias("bytes"))
