@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .patterns import AADHAAR_BARE, AADHAAR_WORDS, LABEL_NEEDS, LABELLED, OTP_REACH, OTP_WORDS, PASSES, SPECIFICITY, Pattern
@@ -16,6 +16,15 @@ from .patterns import AADHAAR_BARE, AADHAAR_WORDS, LABEL_NEEDS, LABELLED, OTP_RE
 EMPTY_SPANS = "array<struct<start:int,end:int,kind:string,rule:string,value:string,pass:int>>"
 
 
+def spread(df: DataFrame, *keep: str | Column, items: Column | str, test: str = "start") -> DataFrame:
+    """A row for each item of an array of structs.
+
+    A plain explosion has Spark test the array's size first, which computes a costly array once more; here rows
+    without items are made and dropped.
+    """
+    return df.select(*keep, F.inline_outer(items)).where(F.col(test).isNotNull())
+
+
 def no_spans() -> Column:
     return F.array().cast(EMPTY_SPANS)
 

@@ -31,7 +31,7 @@ def secret_scan(docs: DataFrame, allowed: DataFrame, text: str = "text", path: s
     scanned = docs.where(F.octet_length(text) <= P.SECRET_TEXT_LIMIT)
     scanned = scanned.join(F.broadcast(allowed), F.expr(f"{path} rlike allowed"), "left_anti")
     found = F.array_compact(F.array(*(F.when(F.col(text).rlike(p.regex), F.struct(F.lit(p.name).alias("pattern"), F.lit(p.severity).alias("severity"))) for p in P.SECRETS)))
-    return scanned.select(*(c for c in docs.columns if c != text), F.inline(found))
+    return S.spread(scanned, *(c for c in docs.columns if c != text), items=found, test="pattern")
 
 
 def forbidden_lines(docs: DataFrame, needles: Sequence[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -103,7 +103,7 @@ def chunk_lines(docs: DataFrame, most: int = 128, id_col: str = "doc_id", text:
 
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length("t").alias("end"), weigh(F.col("t")).alias("n")))
     chunks = F.when(weigh(F.col("t")) <= most, whole).otherwise(F.aggregate(pieces, F.array().cast(chunk), lambda a, p: F.when(F.size(a) == 0, F.array(p)).otherwise(pack(a, p)).cast(chunk)))
-    out = rows.select(id_col, "line", "base", F.inline(chunks))
+    out = S.spread(rows, id_col, "line", "base", items=chunks)
     return out.select(id_col, "line", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"), F.col("n").alias("words"))
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import spread
+
 BOX = ("x", "y", "w", "h")
 MERGE_LIMIT = 2000
 
@@ -81,7 +83,7 @@ def nms(boxes: DataFrame, key: str = "image", least: float = 0.7, overlap: float
     item = F.struct((-F.col("confidence")).alias("o"), "box_id", *BOX)
     packed = boxes.where(F.col("confidence") >= least).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("b"))
     kept = F.aggregate("b", F.slice("b", 1, 0), lambda acc, s: F.when((F.size(acc) >= most) | F.exists(acc, lambda k: iou(_at(s), _at(k)) >= overlap), acc).otherwise(F.concat(acc, F.array(s))))
-    return packed.select(key, F.inline(kept)).select(key, "box_id", (-F.col("o")).alias("confidence"), *BOX)
+    return spread(packed, key, items=kept, test="x").select(key, "box_id", (-F.col("o")).alias("confidence"), *BOX)
 
 
 def greedy_match(pred: DataFrame, truth: DataFrame, key: str = "image", least: float = 0.5, by: str = "confidence") -> DataFrame:
@@ -153,7 +155,7 @@ def merge_gap(boxes: DataFrame, key: str = "image", gap: float = 4.0, most: int
         joined = F.transform(acc, lambda k, i: F.when(i + 1 == at, around(s, k)).otherwise(k))
         return F.when(at > 0, joined).when(F.size(acc) >= most, acc).otherwise(F.concat(acc, F.array(s)))
 
-    return packed.select(key, F.inline(F.aggregate("b", F.slice("b", 1, 0), step)))
+    return spread(packed, key, items=F.aggregate("b", F.slice("b", 1, 0), step), test="x")
 
 
 def word_in_boxes(words: DataFrame, boxes: DataFrame, key: str = "image", word: str = "word_id", least: float = 0.5) -> DataFrame:

@@ -48,7 +48,7 @@ def merge_layers(regex: DataFrame, model: DataFrame, key: str = "doc_id") -> Dat
     both = pack(regex, "regex").unionByName(pack(model, "model")).groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("spans"))
     clash = lambda s, k: (s["start"] < k["end"]) & (k["start"] < s["end"])
     kept = F.aggregate("spans", F.filter("spans", lambda s: s["o"] == 0), lambda acc, s: F.when((s["o"] == 0) | F.exists(acc, lambda k: clash(s, k)), acc).otherwise(F.concat(acc, F.array(s))))
-    return both.select(key, F.inline(kept)).drop("o")
+    return S.spread(both, key, items=kept).drop("o")
 
 
 def band(score: Column, label: Column, layer: Column) -> Column:

@@ -166,7 +166,7 @@ def b4_aadhaar_bare(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b5_claim_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claimed spans of whole documents, without their values."""
     spans = D.document_spans(probed(spark, sf_dir))
-    return spans.select("doc_id", F.inline(F.transform("spans", lambda s: F.struct(s["kind"], s["start"], s["end"]))))
+    return S.spread(spans, "doc_id", items=F.transform("spans", lambda s: F.struct(s["kind"], s["start"], s["end"])))
 
 
 
@@ -180,7 +180,7 @@ def b6_phone_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def b6_labelled_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = probed(spark, sf_dir).select("lang", F.inline(S.labelled(F.col("text"))))
+    rows = S.spread(probed(spark, sf_dir), "lang", items=S.labelled(F.col("text")))
     return rows.groupBy("lang", "kind", "rule").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
@@ -193,7 +193,7 @@ def b7_nearby_otp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def b8_suppress_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.sensitive_spans(probed(spark, sf_dir)).select("lang", F.inline("spans"))
+    rows = S.spread(D.sensitive_spans(probed(spark, sf_dir)), "lang", items="spans")
     return rows.groupBy("lang", "kind", "rule").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import rules as R
+from ..functions import spans as S
 from ..operators import detection as D
 from ..operators import gates as G
 from ..sources import tables as A
@@ -199,7 +200,7 @@ def d15_make_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d16_risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of a document's spans as regions."""
     docs = probed(spark, sf_dir)
-    regions = D.sensitive_spans(docs).select("doc_id", F.inline("spans")).select("doc_id", "kind")
+    regions = S.spread(D.sensitive_spans(docs), "doc_id", items="spans").select("doc_id", "kind")
     scored = G.risk_score(regions, docs.select("doc_id", (F.col("doc_id") % 3).alias("n_controls")))
     return scored.select("doc_id", "high", "regions", "points", "band")
 

@@ -256,7 +256,7 @@ def f25_set_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = D.sensitive_spans(D.document_spans(probed(spark, sf_dir)).withColumnRenamed("spans", "truth"), out="pred")
-    regions = docs.select("doc_id", F.inline("pred")).select("doc_id", "kind")
+    regions = S.spread(docs, "doc_id", items="pred").select("doc_id", "kind")
     truth = docs.select("doc_id", F.size(S.kinds_of(F.col("truth"))).alias("kinds"), (F.col("doc_id") % 3).alias("n_controls"))
     return G.risk_score(regions, truth.select("doc_id", "n_controls")).join(truth.select("doc_id", F.col("kinds").alias("gt_kinds")), "doc_id")
 

@@ -15,14 +15,14 @@ from .registry import query
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claimed spans of probed documents; a source of documents is a scope, its documents the scope's sources."""
-    rows = D.document_spans(probed(spark, sf_dir)).select(F.col("source").alias("scope"), F.col("doc_id").alias("source_ord"), F.inline("spans"))
+    rows = S.spread(D.document_spans(probed(spark, sf_dir)), F.col("source").alias("scope"), F.col("doc_id").alias("source_ord"), items="spans")
     return rows.select("scope", "source_ord", "start", "end", F.upper("kind").alias("type"), "value", F.col("kind").alias("label"), F.lit(1.0).alias("score"), F.lit("regex").alias("layer"))
 
 
 def _model_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's spans as a table: capitalised words of texts, their score from place and id."""
     hit = S.hits(F.col("text"), r"[A-Z][a-z]{4,7}(?![A-Za-z])")
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("scope"), F.col("doc_id").alias("source_ord"), F.inline(F.filter(hit, lambda s: (s["start"] % 11) == 0)))
+    rows = S.spread(table(spark, sf_dir, "documents"), F.col("source").alias("scope"), F.col("doc_id").alias("source_ord"), items=F.filter(hit, lambda s: (s["start"] % 11) == 0))
     label = F.when(F.col("start") % 2 == 0, "person name").otherwise("city")
     return rows.select("scope", "source_ord", "start", "end", F.when(label == "city", "CITY").otherwise("PERSONNAME").alias("type"), "value", label.alias("label"), ((F.col("start") * 7 + F.col("source_ord")) % 100 / 100.0).alias("score"), F.lit("model").alias("layer"))
 

@@ -52,7 +52,7 @@ def u6_pattern_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     passes = U.patterns_from(U.pattern_table(spark))
     spans = S.claimed(F.col("c"))
     docs = probed(spark, sf_dir).withColumn("c", S.candidates(F.col("text"), passes))
-    return docs.withColumn("spans", spans).select("lang", F.inline("spans")).groupBy("lang", "kind").agg(F.count("*").alias("n"))
+    return S.spread(docs.withColumn("spans", spans), "lang", items="spans").groupBy("lang", "kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_custkey, count(*) AS orders, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY o_custkey")
