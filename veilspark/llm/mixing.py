@@ -124,11 +124,14 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", **options: float) -> DataFr
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options: float) -> DataFrame:
-    """The documents that ``sampled`` keeps, with their columns."""
-    feats = docs.withColumns(features())
-    table, _, p = rake(feats.select(*features()), **options)
+    """The documents that ``sampled`` keeps, with their columns, whatever those are called."""
+    names = docs.columns
+    safe = {name: f"__veil_{i}" for i, name in enumerate(names)}
+    feats = docs.toDF(*safe.values()).withColumns(features(safe["text"], safe["lang"], safe["source"]))
+    table, _, p = rake(feats.select("m_source", "m_lang", "m_topic", "m_tokens"), **options)
     out = feats.join(table, "m_source", "left")
-    return out.where(uniform(F.col(id_col), "mix:") < F.coalesce(p, F.lit(1.0))).select(*docs.columns)
+    kept = out.where(uniform(F.col(safe[id_col]), "mix:") < F.coalesce(p, F.lit(1.0)))
+    return kept.select(*safe.values()).toDF(*names)
 
 
 def sql(sweeps: int = SWEEPS) -> str:
