@@ -76,3 +76,22 @@ def test_empty_and_odd_tables(spark):
     assert L.score_documents(spark.createDataFrame([], schema), train()).collect() == []
     rows = [(None, "a", "w", 1), (5, "word " * 50000, None, None), (5, "word", "x", 2)]
     assert len(L.score_documents(spark.createDataFrame(rows, schema), train()).collect()) == 3
+
+
+def test_rare_ngrams_stay_in_a_large_corpus(spark):
+    texts = ["filler " * 500_000, "once in a blue moon", "once in a blue moon", "a blue moon once in a while"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    *_, score = plain(texts, 2)
+    got = {r.doc_id: r.score for r in L.score_documents(docs, F.lit(True)).collect()}
+    for i in (1, 2, 3):
+        assert got[i] == pytest.approx(score(texts[i]), abs=1e-9)
+
+
+def test_many_blocks_and_orders(spark, monkeypatch):
+    monkeypatch.setattr(L, "_BLOCK_TOKENS", 9)
+    docs = spark.createDataFrame([*enumerate(TEXTS)], "doc_id long, text string")
+    for order in (1, 2, 4):
+        *_, score = plain(TEXTS, 2, order)
+        got = {r.doc_id: r.score for r in L.score_documents(docs, F.lit(True), order=order).collect()}
+        assert [got[i] for i in range(len(TEXTS))] == pytest.approx([score(t) for t in TEXTS], abs=1e-9)

@@ -1,22 +1,23 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Unigrams are add-one smoothed over all training tokens. Longer n-grams that make up ``share`` of the training tokens
-or more (at least two occurrences) become arcs with absolutely discounted probabilities, and each of their histories
-becomes a state with a failure arc to its longest shorter history; the failure weight makes every state's
-probabilities sum to one. A text is scored in one left-to-right traversal that carries the state.
-
-There are at most 1 / ``share`` such n-grams of each length whatever the corpus, so the automaton has a proven size
-bound and is sent to the workers; an n-gram can only be that frequent if its parts are, so each length is counted
-among the extensions of the last one. The counts of all other words stay a table: the words a document holds beyond
-the automaton's are joined to it.
+Unigrams are add-one smoothed over all training tokens. Every longer n-gram that occurs ``least`` times (two) in the
+training texts is an arc with an absolutely discounted probability, at any corpus size, and each of their histories is
+a state with a failure arc to its longest shorter history; the failure weight makes every state's probabilities sum to
+one. A text is scored in one left-to-right traversal that carries the state.
+
+The automaton grows with the corpus and is never in one place. Texts are dealt into blocks of about a million tokens.
+A block asks for the totals of its distinct n-grams, which are added up in buckets of the key space: keys are hashes,
+so buckets are even however common an n-gram is, and a block names a key once. An n-gram is asked for only when both
+its parts were found often enough, which an n-gram that is frequent enough needs. The answers hold one block as the
+owner of each n-gram; owners add up what an arc takes from its history, the same way. In the end a block has the arcs
+and failure weights that its own texts can meet, and traverses them.
+
+Words and n-grams are known by 64-bit hashes; of n different ones about n * n / 2^65 pairs share one.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,181 +29,225 @@ from .common import materialize, ship
 ship(__name__)
 
 ORDER = 3
-SHARE = 5e-6
+LEAST = 2
 DISCOUNT = 0.75
 END = b"\n"  # no word holds white space
-_FLUSH_WORDS, _FLUSH_IDS = 200_000, 1_000_000
-
-
-@dataclass
-class Grams:
-    """Frequent n-grams: words by id, and for each length above one the sorted keys prefix_id * n_words + word_id."""
-
-    words: list[bytes]
-    counts: list[np.ndarray]
-    keys: list[np.ndarray]
-
-    def locate(self, ids: np.ndarray, n: int) -> np.ndarray:
-        """At each token the index of the frequent n-gram that ends there, or -1."""
-        if n == 1:
-            return ids
-        before = self.locate(ids, n - 1)
-        key = self.extend(before, ids)
-        return self.find(key, n)
-
-    def extend(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        key = np.full(len(ids), -1, dtype=np.int64)
-        both = (before[:-1] >= 0) & (ids[1:] >= 0)
-        key[1:][both] = before[:-1][both] * len(self.words) + ids[1:][both]
-        return key
-
-    def find(self, key: np.ndarray, n: int) -> np.ndarray:
-        have = self.keys[n - 1]
-        if not len(have):
-            return np.full(len(key), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(have, key), len(have) - 1)
-        return np.where(have[at] == key, at, -1)
+_BLOCK_TOKENS, _BUCKET_KEYS, _MIN_BITS = 1_000_000, 1_000_000, 7
+_ASKS = "block long, kind string, bucket long, keys binary, a binary, b binary"
+_ANSWERS = "block long, kind string, bucket long, a binary, b binary, tokens long, words long"
 
 
 def tokens(raw: bytes | None) -> list[bytes]:
     return [*(raw or b"").lower().split(), END]
 
 
-def _texts(batch: pa.RecordBatch, at: int = 0) -> Iterator[bytes | None]:
-    return (x.as_py() for x in batch.column(at).cast(pa.binary()))
+def _pack(x: np.ndarray) -> bytes:
+    """Compressed by planes: all numbers' first bytes, then all second ones."""
+    raw = x.view("u1").reshape(-1, x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``(word, n)`` over all tokens, counted in each task first."""
+def _unpack(raw: bytes, kind: str) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True), "u1")
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-            seen.clear()
-            return out
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the pairs of hashes ``(a, b)``."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
-        for batch in batches:
-            for raw in _texts(batch):
-                seen.update(tokens(raw))
-                if len(seen) >= _FLUSH_WORDS:
-                    yield flush()
-        yield flush()
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
 
-def _longer(texts: DataFrame, grams: Grams, n: int) -> DataFrame:
-    """``(key, n)``: counts of n-grams whose two parts of length n - 1 are frequent."""
-    sent = texts.sparkSession.sparkContext.broadcast(grams)
+def blocks(docs: DataFrame) -> DataFrame:
+    """Texts (id, text, train) as blocks: tokens by place in the block's list of hashes of words."""
+    id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = sent.value
-        ids_of = {w: i for i, w in enumerate(have.words)}.get
-        held: list[int] = []
-
-        def flush() -> pa.RecordBatch:
-            ids = np.array(held, dtype=np.int64)
-            held.clear()
-            parts = have.locate(ids, n - 1)
-            key = have.extend(parts, ids)
-            key, count = np.unique(key[(key >= 0) & (parts >= 0)], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(count, pa.int64())], ["key", "n"])
+        from pyspark import TaskContext
+        from xxhash import xxh64_intdigest
 
+        block = TaskContext.get().partitionId() << 32
+        ids: list = []
+        train: list[bool] = []
+        lengths: list[int] = []
+        held: list[int] = []
+        seen: dict[bytes, int] = {}
+
+        def flush(kind: pa.DataType) -> pa.RecordBatch:
+            nonlocal block
+            hashes = np.fromiter(map(xxh64_intdigest, seen), "<u8", len(seen))
+            blobs = (np.array(train, "?"), np.array(lengths, "<i8"), np.array(held, "<u4"), hashes)
+            columns = [pa.array([block]), pa.array([len(held)]), pa.array([ids], pa.list_(kind)), *(pa.array([_pack(x)], pa.binary()) for x in blobs)]
+            for x in (ids, train, lengths, held, seen):
+                x.clear()
+            block += 1
+            return pa.RecordBatch.from_arrays(columns, ["block", "n", "ids", "train", "lengths", "held", "hashes"])
+
+        kind = None
         for batch in batches:
-            for raw in _texts(batch):
-                held.extend(ids_of(w, -1) for w in tokens(raw))
-                held.append(-1)
-                if len(held) >= _FLUSH_IDS:
-                    yield flush()
-        if held:
-            yield flush()
-
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def fit(texts: DataFrame, order: int = ORDER, share: float = SHARE) -> tuple[DataFrame, int, int, Grams]:
-    """From one column of texts: the table of all words' counts, all tokens, all words, the frequent n-grams."""
-    words = materialize(word_counts(texts), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(2, math.ceil(share * total))
-    top = words.where(F.col("n") >= least).orderBy("word").collect()  # 1 / share rows at most
-    grams = Grams([bytes(r.word) for r in top], [np.array([r.n for r in top], dtype=np.int64)], [np.arange(len(top))])
-    for n in range(2, order + 1):
-        rows = _longer(texts, grams, n).where(F.col("n") >= least).orderBy("key").collect()  # 1 / share rows at most
-        grams.keys.append(np.array([r.key for r in rows], dtype=np.int64))
-        grams.counts.append(np.array([r.n for r in rows], dtype=np.int64))
-    return words, total, distinct, grams
-
-
-class Automaton:
-    """States are the root and the frequent n-grams shorter than the order; arcs are keyed state * n_words + word."""
-
-    def __init__(self, grams: Grams, total: int, distinct: int, discount: float = DISCOUNT):
-        k, orders = len(grams.words), len(grams.keys)
-        self.k, self.ids = k, {w: i for i, w in enumerate(grams.words)}
-        root = np.log10((grams.counts[0] + 1) / (total + distinct + 1))
-        first = np.cumsum([1, *(len(x) for x in grams.keys)])  # of each length's states
-        states = int(first[orders - 1]) if orders > 1 else 1
-        fail, weight = np.zeros(states, dtype=np.int64), np.zeros(states)
-        keys, logs, nexts = [], [], []
-        lower, suffix = root, np.full(k, -1)  # of the n-grams one shorter: log probability, index of their suffix
-        for n in range(2, orders + 1):
-            before, word = np.divmod(grams.keys[n - 1], max(k, 1))
-            if n == 2:
-                tail = word
-            else:
-                tail = grams.find(suffix[before] * k + word, n - 1)
-            p = (grams.counts[n - 1] - discount) / grams.counts[n - 2][before]
-            size = len(grams.keys[n - 2])
-            left = 1 - np.bincount(before, p, size)
-            rest = 1 - np.bincount(before, 10 ** lower[tail], size)
-            at = first[n - 2]
-            weight[at : at + size] = np.log10(np.maximum(left, 1e-12) / np.maximum(rest, 1e-12))
-            fail[at : at + size] = 0 if n == 2 else first[n - 3] + suffix
-            keys.append((at + before) * k + word)
-            logs.append(np.log10(p))
-            nexts.append(first[n - 1] + np.arange(len(p)) if n < orders else first[n - 2] + tail)
-            lower, suffix = logs[-1], tail
-        flat = np.concatenate(keys).tolist() if keys else []
-        self.arcs = {key: i for i, key in enumerate(flat)}
-        self.logs = np.concatenate(logs).tolist() if logs else []
-        self.nexts = np.concatenate(nexts).tolist() if nexts else []
-        self.root, self.fail, self.weight = root.tolist(), fail.tolist(), weight.tolist()
-        self.follow = orders > 1
-
-    def traverse(self, words: list[bytes]) -> tuple[float, float, int, Counter]:
-        """Log probabilities by the automaton and by unigrams alone, tokens counted so, and the words left to the table."""
-        ids, arcs, logs, nexts = self.ids, self.arcs, self.logs, self.nexts
-        root, fail, weight, k = self.root, self.fail, self.weight, self.k
-        score, base, known, state, rest = 0.0, 0.0, 0, 0, Counter()
-        for w in words:
-            i = ids.get(w)
-            if i is None:
-                while state:
-                    score += weight[state]
-                    state = fail[state]
-                rest[w] += 1
-                continue
-            known += 1
-            base += root[i]
-            while state:
-                arc = arcs.get(state * k + i)
-                if arc is not None:
-                    score += logs[arc]
-                    state = nexts[arc]
-                    break
-                score += weight[state]
-                state = fail[state]
-            else:
-                score += root[i]
-                state = 1 + i if self.follow else 0
-        return score, base, known, rest
+            kind = batch.column(0).type
+            for key, raw, learn in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+                words = tokens(raw.as_py())
+                ids.append(key)
+                train.append(learn)
+                lengths.append(len(words))
+                held.extend([seen.setdefault(w, len(seen)) for w in words])
+                if len(held) >= _BLOCK_TOKENS:
+                    yield flush(kind)
+        if ids:
+            yield flush(kind)
+
+    return docs.select("id", "text", "train").mapInArrow(run, f"block long, n long, ids array<{id_type}>, train binary, lengths binary, held binary, hashes binary")
+
+
+class Level:
+    """A block's distinct n-grams of one length, sorted by key.
+
+    ``at`` has the n-gram that ends at each token or -1, ``before`` and ``tail`` the places of an n-gram's two parts in
+    the level below, ``n`` its training occurrences in the block; ``total`` and ``owned`` are the buckets' answers and
+    ``kept`` is ``at`` without n-grams that are too rare.
+    """
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray, train: np.ndarray, before: np.ndarray | None = None, tail: np.ndarray | None = None):
+        self.keys, self.at, self.before, self.tail = keys, at, before, tail
+        self.n = np.bincount(at[train & (at >= 0)], minlength=len(keys))
+
+    def answer(self, total: np.ndarray, owned: np.ndarray, least: int) -> None:
+        self.total, self.owned, self.often = total, owned, total >= least
+        self.kept = np.where((self.at >= 0) & self.often[self.at], self.at, -1) if len(total) else self.at
+
+
+class Block:
+    """A block's texts and what has been answered about their n-grams in so many turns."""
+
+    def __init__(self, row: pa.Table, answers: pa.Table | None, turns: int, order: int, least: int, size: tuple[int, int] | None):
+        self.number, self.order, self.size = row["block"][0].as_py(), order, size
+        get = lambda name, kind: _unpack(row[name][0].as_py(), kind)
+        self.ids, self.train, self.lengths = row["ids"].combine_chunks().flatten(), get("train", "?"), get("lengths", "<i8")
+        train = np.repeat(self.train, self.lengths)
+        starts = np.zeros(len(train), dtype=bool)
+        starts[np.cumsum(self.lengths)[:-1]] = True
+        words, place = np.unique(get("hashes", "<u8"), return_inverse=True)
+        self.levels = [Level(words, place[get("held", "<u4")], train)]
+        got: dict[str, list] = {}
+        for x in sorted(answers.to_pylist(), key=lambda x: x["bucket"]) if answers is not None else []:
+            got.setdefault(x["kind"], []).append((x["a"], x["b"]))
+        self.weights = {int(kind[1:]): np.concatenate([_unpack(a, "<f8") for a, _ in parts]) for kind, parts in got.items() if kind[0] == "s"}
+        for n in range(1, min(order, turns) + 1):
+            low, parts = self.levels[-1], got.get(f"c{n}", [])  # no parts where the block has no such n-grams
+            low.answer(np.concatenate([np.zeros(0, "<i8"), *(_unpack(a, "<i8") for a, _ in parts)]), np.concatenate([np.zeros(0, "?"), *(_unpack(b, "?") for _, b in parts)]), least)
+            if n < order:
+                ends = np.flatnonzero((low.kept[:-1] >= 0) & (low.kept[1:] >= 0) & ~starts[1:]) + 1
+                prefix, word = low.kept[ends - 1], self.levels[0].at[ends]
+                keys, first, place = np.unique(_mixed(low.keys[prefix], words[word]), return_index=True, return_inverse=True)
+                at = np.full(len(train), -1)
+                at[ends] = place
+                self.levels.append(Level(keys, at, train, prefix[first], low.kept[ends][first]))
+
+    def chances(self, n: int) -> np.ndarray:
+        """Probabilities of the n-grams of a length after their histories; of rare ones too, where n is one."""
+        level = self.levels[n - 1]
+        if n == 1:
+            return (level.total + 1) / (sum(self.size) + 1)
+        return np.where(level.often, level.total - DISCOUNT, 1) / self.levels[n - 2].total[level.before]
+
+    def asks(self, turn: int, bits: int) -> Iterator[tuple]:
+        """For n-grams of length ``turn`` their totals; for histories two shorter the sums over their arcs."""
+        if turn <= self.order:
+            level = self.levels[turn - 1]
+            yield from self._dealt(f"c{turn}", bits, level.keys, level.n.astype("<i8"), np.zeros(0))
+        if turn >= 3:
+            own, low = self.levels[turn - 2], self.levels[turn - 3]
+            mine = own.owned & own.often
+            sums = (np.bincount(own.before[mine], p[mine], len(low.keys)) for p in (self.chances(turn - 1), self.chances(turn - 2)[own.tail]))
+            yield from self._dealt(f"s{turn - 2}", bits, low.keys[low.often], *(x[low.often] for x in sums))
+
+    def _dealt(self, kind: str, bits: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple]:
+        cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64)).tolist()
+        for bucket, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if i < j:
+                yield self.number, kind, bucket, _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(a[i:j]), _pack(b[i:j])
+
+    def scored(self) -> Iterator[tuple[int, int, float, float]]:
+        """For each text its tokens, those known, and its log probabilities by unigrams alone and by the automaton."""
+        first = self.levels[0]
+        logs, known = [np.log10(self.chances(1))[first.at]], first.total[first.at] > 0
+        weights = []
+        for n in range(2, self.order + 1):
+            level, low = self.levels[n - 1], self.levels[n - 2]
+            arcs = np.full(len(level.at), 1.0)  # no arc; logs of probabilities are negative
+            has = level.kept >= 0
+            arcs[has] = np.log10(self.chances(n))[level.kept[has]]
+            logs.append(arcs)
+            weight = np.zeros(len(low.keys))
+            if n - 1 in self.weights:
+                weight[low.often] = self.weights[n - 1]
+            falls, has = np.zeros(len(low.at)), low.kept >= 0
+            falls[has] = weight[low.kept[has]]
+            weights.append(falls)
+        start = 0
+        for size in self.lengths.tolist():
+            end = start + size
+            part = slice(start, end)
+            score = traverse([x[part].tolist() for x in logs], [x[part].tolist() for x in weights], (first.kept[part] >= 0).tolist())
+            yield size, int(known[part].sum()), float(logs[0][part].sum()), score
+            start = end
+
+
+def traverse(logs: list[list[float]], falls: list[list[float]], often: list[bool]) -> float:
+    """The log probability of a text. The state is the length of the history carried, of which the failure arcs drop
+    the first word; ``logs[n]`` has each token's arc from a history of n words, or 1 for none."""
+    score, state, most = 0.0, 0, len(falls)
+    for i, some in enumerate(often):
+        while state:
+            arc = logs[state][i]
+            if arc <= 0:
+                break
+            score += falls[state - 1][i - 1]
+            state -= 1
+        score += logs[state][i]
+        state = min(state + 1, most) if some else 0
+    return score
+
+
+def _added(key: tuple, asks: pa.Table) -> pa.Table:
+    """A bucket's totals or failure weights, returned to each block for its own keys; a key's owner is the first block that asks.
+
+    Words' totals come with a row of block -1 that counts the bucket's training tokens and words.
+    """
+    kind, bucket = key[0].as_py(), key[1].as_py()
+    rows = sorted(asks.select(["block", "keys", "a", "b"]).to_pylist(), key=lambda x: x["block"])
+    parts = [np.cumsum(_unpack(x["keys"], "<u8"), dtype="<u8") for x in rows]  # sorted, so sent as steps
+    keys, first, place = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+    number = "<i8" if kind[0] == "c" else "<f8"
+    a = np.bincount(place, np.concatenate([_unpack(x["a"], number) for x in rows]), len(keys)).astype(number)
+    if kind[0] == "c":
+        b = np.zeros(len(place), dtype=bool)
+        b[first] = True
+    else:
+        rest = np.bincount(place, np.concatenate([_unpack(x["b"], number) for x in rows]), len(keys))
+        a, b = np.log10(np.maximum(1 - a, 1e-12) / np.maximum(1 - rest, 1e-12)), np.zeros(0)
+    out, at = [], 0
+    for x, part in zip(rows, parts, strict=True):
+        mine = slice(at, at + len(part))
+        out.append((x["block"], kind, bucket, _pack(a[place[mine]]), _pack(b[mine]), None, None))
+        at += len(part)
+    if kind == "c1":
+        out.append((-1, kind, bucket, None, None, int(a.sum()), int((a > 0).sum())))
+    return _table(_ANSWERS, out)
 
 
 def score_documents(
-    docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, share: float = SHARE
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST
 ) -> DataFrame:
     """One row per input row: id, ``held_out``, token counts, unigram and automaton log10 probabilities.
 
@@ -210,38 +255,39 @@ def score_documents(
     gives every word the unknown word's probability. An empty table gives an empty table.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    words, total, distinct, grams = fit(docs.where("train").select("text"), order, share)
-    sent = docs.sparkSession.sparkContext.broadcast((grams, total, distinct))
-    names = ["n_tokens", "known", "base", "score", "rest"]
-    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    dealt = materialize(blocks(docs), "blocks")
+    held = dealt.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = max(_MIN_BITS, (held // _BUCKET_KEYS).bit_length())
+    size, answers, turns = None, None, order + 1 if order > 1 else 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Automaton(*sent.value)
+    def asker(turn: int):  # noqa: ANN202
+        known_size = size
+        return lambda row, known: _table(_ASKS, [*Block(row, known, turn - 1, order, least, known_size).asks(turn, bits)])
+
+    def first_asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for raw in _texts(batch, 1):
-                words = tokens(raw)
-                score, base, known, rest = machine.traverse(words)
-                for to, x in zip(out, (len(words), known, base, score, [{"word": w, "n": n} for w, n in rest.items()]), strict=True):
-                    to.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), rest_type)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, out, kinds)], ["id", "train", *names])
+            for i in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(i, 1)])
+                yield from _table(_ASKS, [*Block(row, None, 0, order, least, None).asks(1, bits)]).to_batches()
+
+    for turn in range(1, turns + 1):
+        if turn == 1:
+            asks = dealt.mapInArrow(first_asks, _ASKS)
+        else:
+            asks = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(asker(turn), _ASKS)
+        got = materialize(asks.groupBy("kind", "bucket").applyInArrow(_added, _ANSWERS), f"answers{turn}")
+        if turn == 1:
+            size = tuple(got.where("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first())
+        got = got.where("block >= 0").select("block", "kind", "bucket", "a", "b")
+        answers = got if answers is None else answers.union(got)
+
+    def score(row: pa.Table, known: pa.Table) -> pa.Table:
+        block = Block(row, known, turns, order, least, size)
+        columns = [*zip(*block.scored(), strict=True)]
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        out = [block.ids, pa.array(~block.train), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))]
+        return pa.table(out, ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    walked = docs.mapInArrow(run, f"id {id_type}, train boolean, n_tokens long, known long, base double, score double, rest array<struct<word:binary,n:long>>")
-    walked = materialize(walked.withColumn("row", F.monotonically_increasing_id()), "walked")
-    unknown = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
-    tail = walked.select("row", F.inline("rest")).join(words.withColumnRenamed("n", "c"), "word", "left")
-    tail = tail.groupBy("row").agg(
-        F.sum(unknown * F.col("n")).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known")
-    )
-    out = walked.drop("rest").join(tail, "row", "left").na.fill({"tail": 0.0, "tail_known": 0})
-    return out.select(
-        F.col("id").alias(id_col),
-        (~F.col("train")).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.col("tail_known")).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("tail")).alias("base_score"),
-        (F.col("score") + F.col("tail")).alias("score"),
-    )
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(size[0]).cast("long").alias("train_tokens"), "base_score", "score")
