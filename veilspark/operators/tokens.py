@@ -90,14 +90,15 @@ def render(sources: DataFrame, spans: DataFrame, scope: str = "scope", source: s
     return out.withColumn("rendered", F.coalesce(put, F.col(text))).drop("planned", text)
 
 
-def vault_map(vault: DataFrame, scope: str = "scope") -> DataFrame:
-    """A scope's tokens and values as one map: the form that rendering back wants."""
-    return vault.groupBy(scope).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("vault"))
-
-
 def rehydrate(texts: DataFrame, vault: DataFrame, scope: str = "scope", text: str = "rendered") -> DataFrame:
-    """Tokens back to values; a text with a token that its scope doesn't know is rejected (``rejected``, null text)."""
-    out = texts.join(vault_map(vault, scope), scope, "left")
+    """Tokens back to values; a text with a token that its scope doesn't know is rejected (``rejected``, null text).
+
+    Each different text of a scope looks up its own tokens, so that no row holds more of the vault than a text names.
+    """
+    digest = F.sha2(F.col(text), 256)
+    named = texts.select(scope, digest.alias("_digest"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(P.VAULT_TOKEN), F.lit(0)))).alias("token")).distinct()
+    own = named.join(vault.select(scope, "token", "value"), [scope, "token"]).groupBy(scope, "_digest").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("vault"))
+    out = texts.withColumn("_digest", digest).join(own, [scope, "_digest"], "left").drop("_digest")
     known = F.coalesce(F.col("vault"), F.create_map().cast("map<string,string>"))
     found = F.regexp_extract_all(text, F.lit(P.VAULT_TOKEN), F.lit(0))
     bad = F.exists(found, lambda t: F.try_element_at(known, t).isNull())
