@@ -168,13 +168,45 @@ def release_counts(released: Column, confirmed: Column, gold: str = "gold", key:
     ]
 
 
-def percentiles(value: str, p: float) -> list[Column]:
+def ranked(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``(g, v, first, end, n)`` by group and distinct value: the places from ``first`` to before ``end`` of ``n`` hold it.
+
+    Groups are structs, which are equal where their nulls are. Counts are summed over 1024 ranges between a group's
+    least and most first, so that no task sees more than a range's distinct values in order.
+    """
+    v = F.col("v").cast("double")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.struct(*by).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    finite = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    edges = counts.groupBy("g").agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+    inner = F.coalesce(F.floor(F.when(F.col("hi") > F.col("lo"), (v / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)) * 1024), F.lit(0))
+    at = F.when(F.isnan(v) | (v == float("inf")), 2000).when(v == float("-inf"), -1).otherwise(inner)
+    counts = counts.join(edges, "g").select("g", "v", "c", at.alias("range"))
+    order = Window.partitionBy("g").orderBy("range")
+    ranges = counts.groupBy("g", "range").agg(F.sum("c").alias("rc"))
+    ranges = ranges.select("g", "range", (F.sum("rc").over(order) - F.col("rc")).alias("before"), F.sum("rc").over(Window.partitionBy("g")).alias("n"))
+    within = F.sum("c").over(Window.partitionBy("g", "range").orderBy("v"))
+    out = counts.withColumn("within", within).join(ranges, ["g", "range"])
+    end = F.col("before") + F.col("within")
+    return out.select("g", "v", (end - F.col("c")).alias("first"), end.alias("end"), "n")
+
+
+def _at(place: Column) -> Column:
+    """Aggregate: the value at a place, counted from zero, among ``ranked`` rows."""
+    return F.max(F.when((F.col("first") <= place) & (place < F.col("end")), F.col("v")))
+
+
+def percentiles(rows: DataFrame, by: Sequence[str], value: str, p: float) -> DataFrame:
     """One percentile by four rules: nearest rank, linear, rounded index (half to even), floor index."""
-    sorted_ = F.array_sort(F.collect_list(value))
-    n = F.count(value)
-    at = lambda i: F.element_at(sorted_, (F.greatest(F.lit(0), F.least(n - 1, i)) + 1).cast("int"))
-    exact = F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    return [exact.alias("nearest_rank"), F.percentile(value, F.lit(p)).alias("linear"), at(F.bround(F.lit(p) * (n - 1))).alias("rounded_index"), at(F.floor(F.lit(p) * n)).alias("floor_index")]
+    n = F.col("n")
+    held = lambda i: F.greatest(F.lit(0), F.least(n - 1, i))
+    place = F.lit(p) * (n - 1)
+    low, high = F.floor(place), F.ceil(place)
+    got = ranked(rows, by, value).groupBy("g").agg(
+        _at(held(F.ceil(F.lit(p) * n) - 1)).alias("nearest_rank"), _at(low).alias("lo"), _at(high).alias("hi"), F.max(place - low).alias("part"), _at(held(F.bround(place))).alias("rounded_index"), _at(held(F.floor(F.lit(p) * n))).alias("floor_index")
+    )
+    linear = F.when(F.col("part") == 0, F.col("lo").cast("double")).otherwise(F.col("lo") * (1 - F.col("part")) + F.col("hi") * F.col("part"))
+    groups = rows.groupBy(F.struct(*by).alias("g")).agg(F.count("*").alias("_rows"))
+    return groups.join(got, "g", "left").select("g.*", "nearest_rank", linear.alias("linear"), "rounded_index", "floor_index")
 
 
 def latency_summary(rows: DataFrame, lane: str, ms: str = "ms") -> DataFrame:
@@ -251,12 +283,15 @@ def accepted(key: Column, accept: Column) -> Column:
 
 def bench_summary(calls: DataFrame, *by: str) -> DataFrame:
     """Calls, errors, valid and right answers, latency by rounded index, and three samples of errors."""
-    n, sorted_ = F.count("ms"), F.array_sort(F.collect_list("ms"))
-    at = lambda q: F.round(F.element_at(sorted_, (F.bround(q * (n - 1)) + 1).cast("int")), 1)
-    return calls.groupBy(*by).agg(
-        F.count("*").alias("calls"), F.count("error").alias("errors"), n_if(F.col("valid")).alias("valid"), n_if(F.col("correct")).alias("correct"), F.when(n > 0, at(0.5)).alias("p50_ms"), F.when(n > 0, at(0.95)).alias("p95_ms"),
-        F.array_join(F.slice(F.array_sort(F.collect_set(F.substring("error", 1, 90))), 1, 3), "|").alias("error_samples"),
-    )
+    g = F.struct(*by).alias("g")
+    at = lambda q: F.round(_at(F.bround(F.lit(q) * (F.col("n") - 1))), 1)
+    times = ranked(calls, by, "ms").groupBy("g").agg(at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"))
+    errors = calls.where(F.col("error").isNotNull()).select(g, F.substring("error", 1, 90).alias("e")).distinct()
+    errors = errors.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("e"))).where("place <= 3")
+    errors = errors.groupBy("g").agg(F.array_join(F.array_sort(F.collect_list("e")), "|").alias("error_samples"))
+    out = calls.groupBy(g).agg(F.count("*").alias("calls"), F.count("error").alias("errors"), n_if(F.col("valid")).alias("valid"), n_if(F.col("correct")).alias("correct"))
+    out = out.join(times, "g", "left").join(errors, "g", "left")
+    return out.select("g.*", "calls", "errors", "valid", "correct", "p50_ms", "p95_ms", F.coalesce("error_samples", F.lit("")).alias("error_samples"))
 
 
 def ledger_status(rules: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -183,7 +183,7 @@ def f17_blind_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, quantile_disc(value, 0.95) AS nearest_rank, round(quantile_cont(value, 0.95), 6) AS linear, list_sort(list(value))[CAST(round_even(0.95 * (count(*) - 1), 0) AS INTEGER) + 1] AS rounded_index,
  list_sort(list(value))[least(count(*) - 1, CAST(floor(0.95 * count(*)) AS BIGINT)) + 1] AS floor_index FROM events GROUP BY event_type""")
 def f18_latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*M.percentiles("value", 0.95)).withColumn("linear", F.round("linear", 6))
+    return M.percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", 0.95).withColumn("linear", F.round("linear", 6))
 
 
 @query()
