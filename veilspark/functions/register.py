@@ -47,15 +47,40 @@ def register_sql(spark: SparkSession) -> list[str]:
 
 
 class PiiSpans:
-    """One row per span of a text that the first passes find on their own; a convenience for lateral joins."""
+    """One row per span of a text that the passes claim, as ``document_spans`` has them; for lateral joins."""
 
-    def eval(self, text: str) -> Iterator[tuple[int, int, str]]:
+    def __init__(self) -> None:
         import re
 
-        for p in P.PASSES:
-            if p.veto is None:
-                for m in re.finditer(p.regex, text or ""):
-                    yield m.start(), m.end(), p.name
+        self.passes = [(p, re.compile(p.regex, re.ASCII)) for p in P.PASSES]
+        self.needs = {p.needs: (p.needs in ("@",) or p.needs.isalnum()) or re.compile(p.needs, re.ASCII) for p in P.PASSES if p.needs}
+        self.bare, self.bare_words = re.compile(P.AADHAAR_BARE, re.ASCII), re.compile(P.AADHAAR_WORDS, re.ASCII)
+
+    @staticmethod
+    def passes_veto(veto: str | None, value: str) -> bool:
+        if veto == "seven":
+            return len(value.replace(" ", "").replace("-", "")) >= 7
+        if veto == "luhn":
+            digits = value.replace(" ", "").replace("-", "")
+            twice = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))] if digits.isascii() and digits.isdigit() else []
+            return 13 <= len(twice) <= 19 and sum(x - 9 if x > 9 else x for x in twice) % 10 == 0
+        return True
+
+    def eval(self, text: str) -> Iterator[tuple[int, int, str]]:
+        text = text or ""
+        found = []
+        for p, regex in self.passes:
+            test = self.needs.get(p.needs, True)
+            if p.needs and not (p.needs in text if test is True else test.search(text)):
+                continue
+            found += [(m.start(), m.end(), p.name) for m in regex.finditer(text) if self.passes_veto(p.veto, m[0])]
+        if self.bare_words.search(text):
+            found += [(m.start(), m.end(), "aadhaar") for m in self.bare.finditer(text)]
+        kept: list[tuple[int, int, str]] = []
+        for s in found:
+            if all(s[1] <= k[0] or k[1] <= s[0] for k in kept):
+                kept.append(s)
+        yield from sorted(kept)
 
 
 def register_udtf(spark: SparkSession) -> None:
