@@ -56,3 +56,9 @@ def test_shuffled_read_and_damage(spark):
         R.unframe(io.BytesIO(bytes(framed)).read)
     with pytest.raises(ValueError):
         R.unframe(io.BytesIO(R.frame(b"payload")[:-1]).read)
+
+
+def test_special_tokens_in_other_spellings(spark):
+    texts = ["<|ENDOFTEXT|>", "A <|EndOfText|>, b. C<|endoftext|>D", "<|STARTOFTEXT|> <|startoftext|>.\nx"]
+    rows = [*enumerate(texts)]
+    assert sorted(map(tuple, R.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect())) == plain(rows)

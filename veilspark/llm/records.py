@@ -83,10 +83,11 @@ class WordEncoder:
     def parts(text: str | None) -> list[str]:
         """Pieces that the tokenizer would part too; marks stay with anything but plain letters and digits.
 
-        Texts with the two letters that Python lower-cases by their place or into two are only cut at spaces.
+        Texts with the two letters that Python lower-cases by their place or into two are only cut at spaces, as are
+        those that may hold a special token, which the tokenizer knows in one spelling only.
         """
         text = text or ""
-        if "\u0130" in text or "\u03a3" in text:
+        if "\u0130" in text or "\u03a3" in text or "<|" in text:
             return text.replace("\n", " ").split(" ")
         text = text.lower()
         if not _MARKS.search(text):
