@@ -13,27 +13,17 @@ def train():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
 
 
-def plain(texts, least, order=3, d=L.DISCOUNT):
-    """log10 p(word | history) by recursion over the same kept n-grams."""
+def plain(texts, order=3, prior=L.PRIOR):
+    """log10 p(word | history) by recursion over all n-grams of the training texts."""
     docs = [L.tokens((t or "").encode()) for t in texts]
     counts = [Counter(tuple(x[i : i + n]) for x in docs for i in range(len(x) - n + 1)) for n in range(1, order + 1)]
     total, distinct = sum(counts[0].values()), len(counts[0])
-    kept = [{g for g, c in counts[0].items() if c >= least}]
-    for n in range(2, order + 1):
-        kept.append({g for g, c in counts[n - 1].items() if c >= least and g[:-1] in kept[-1] and g[1:] in kept[-1]})
 
     def p(word, history):
         if not history:
             return (counts[0][(word,)] + 1) / (total + distinct + 1)
-        n = len(history) + 1
-        if history not in kept[n - 2]:
-            return p(word, history[1:])
-        if history + (word,) in kept[n - 1]:
-            return (counts[n - 1][history + (word,)] - d) / counts[n - 2][history]
-        arcs = [g for g in kept[n - 1] if g[:-1] == history]
-        left = 1 - sum((counts[n - 1][g] - d) / counts[n - 2][history] for g in arcs)
-        rest = 1 - sum(p(g[-1], history[1:]) for g in arcs)
-        return max(left, 1e-12) / max(rest, 1e-12) * p(word, history[1:])
+        n, rest = len(history), p(word, history[1:])
+        return (counts[n][history + (word,)] + prior * rest) / (counts[n - 1][history] + prior)
 
     def score(text):
         words = L.tokens((text or "").encode())
@@ -49,7 +39,7 @@ def test_scores_match_plain_backoff(spark):
     rows = list(enumerate(TEXTS))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     learned = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    counts, total, distinct, p, score = plain(learned, 2)
+    counts, total, distinct, p, score = plain(learned)
     got = {r.doc_id: r for r in L.score_documents(docs, train()).collect()}
     assert len(got) == len(rows)
     for i, t in rows:
@@ -71,6 +61,13 @@ def test_beats_unigrams_on_held_out_text(spark, sf):
     assert held[0] > held[1]
 
 
+def test_whole_table_matches_the_plain_model(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    *_, score = plain([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+    got = {r.doc_id: r.score for r in L.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), train()).collect()}
+    assert got == pytest.approx({i: score(t) for i, t in rows}, rel=1e-9)
+
+
 def test_empty_and_odd_tables(spark):
     schema = "doc_id long, text string, word string, n int"
     assert L.score_documents(spark.createDataFrame([], schema), train()).collect() == []
@@ -82,7 +79,7 @@ def test_rare_ngrams_stay_in_a_large_corpus(spark):
     texts = ["filler " * 500_000, "once in a blue moon", "once in a blue moon", "a blue moon once in a while"]
     rows = [(i, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    *_, score = plain(texts, 2)
+    *_, score = plain(texts)
     got = {r.doc_id: r.score for r in L.score_documents(docs, F.lit(True)).collect()}
     for i in (1, 2, 3):
         assert got[i] == pytest.approx(score(texts[i]), abs=1e-9)
@@ -92,6 +89,6 @@ def test_many_blocks_and_orders(spark, monkeypatch):
     monkeypatch.setattr(L, "_BLOCK_TOKENS", 9)
     docs = spark.createDataFrame([*enumerate(TEXTS)], "doc_id long, text string")
     for order in (1, 2, 4):
-        *_, score = plain(TEXTS, 2, order)
+        *_, score = plain(TEXTS, order)
         got = {r.doc_id: r.score for r in L.score_documents(docs, F.lit(True), order=order).collect()}
         assert [got[i] for i in range(len(TEXTS))] == pytest.approx([score(t) for t in TEXTS], abs=1e-9)

@@ -1,16 +1,15 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Unigrams are add-one smoothed over all training tokens. Every longer n-gram that occurs ``least`` times (two) in the
-training texts is an arc with an absolutely discounted probability, at any corpus size, and each of their histories is
-a state with a failure arc to its longest shorter history; the failure weight makes every state's probabilities sum to
-one. A text is scored in one left-to-right traversal that carries the state.
+Every n-gram of the training texts, seen once or more, is an arc; every one that words follow is a state. Unigrams are
+add-one smoothed over all training tokens; a longer n-gram's probability mixes its count with the shorter one's
+probability as if that had been seen ``PRIOR`` times (a Dirichlet prior), so the failure arc of a state seen c times
+weighs PRIOR / (c + PRIOR) and every state's probabilities sum to one. A text is scored in one left-to-right traversal
+that carries the state: it takes the state's arc, or falls to the next shorter state for the failure arc's weight.
 
 The automaton grows with the corpus and is never in one place. Texts are dealt into blocks of about a million tokens.
-A block asks for the totals of its distinct n-grams, which are added up in buckets of the key space: keys are hashes,
-so buckets are even however common an n-gram is, and a block names a key once. An n-gram is asked for only when both
-its parts were found often enough, which an n-gram that is frequent enough needs. The answers hold one block as the
-owner of each n-gram; owners add up what an arc takes from its history, the same way. In the end a block has the arcs
-and failure weights that its own texts can meet, and traverses them.
+A block asks for the training totals of its distinct n-grams, which are added up in buckets of the key space: keys are
+hashes, so buckets are even however common an n-gram is, and a block names a key once. The answers hold every arc and
+state that the block's own texts can meet, for the totals give both their probabilities and the failure weights.
 
 Words and n-grams are known by 64-bit hashes; of n different ones about n * n / 2^65 pairs share one.
 """
@@ -29,12 +28,11 @@ from .common import materialize, ship
 ship(__name__)
 
 ORDER = 3
-LEAST = 2
-DISCOUNT = 0.75
+PRIOR = 12.0
 END = b"\n"  # no word holds white space
-_BLOCK_TOKENS, _BUCKET_KEYS, _MIN_BITS = 1_000_000, 1_000_000, 7
-_ASKS = "block long, kind string, bucket long, keys binary, a binary, b binary"
-_ANSWERS = "block long, kind string, bucket long, a binary, b binary, tokens long, words long"
+_BLOCK_TOKENS, _BUCKET_KEYS, _MIN_BITS = 1_000_000, 1_000_000, 9
+_ASKS = "block long, bucket long, keys binary, counts binary"
+_ANSWERS = "block long, words boolean, bucket long, totals binary, tokens long, distinct long"
 
 
 def tokens(raw: bytes | None) -> list[bytes]:
@@ -61,7 +59,7 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
     fields = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
     columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
@@ -109,105 +107,70 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text", "train").mapInArrow(run, f"block long, n long, ids array<{id_type}>, train binary, lengths binary, held binary, hashes binary")
 
 
-class Level:
-    """A block's distinct n-grams of one length, sorted by key.
-
-    ``at`` has the n-gram that ends at each token or -1, ``before`` and ``tail`` the places of an n-gram's two parts in
-    the level below, ``n`` its training occurrences in the block; ``total`` and ``owned`` are the buckets' answers and
-    ``kept`` is ``at`` without n-grams that are too rare.
-    """
-
-    def __init__(self, keys: np.ndarray, at: np.ndarray, train: np.ndarray, before: np.ndarray | None = None, tail: np.ndarray | None = None):
-        self.keys, self.at, self.before, self.tail = keys, at, before, tail
-        self.n = np.bincount(at[train & (at >= 0)], minlength=len(keys))
-
-    def answer(self, total: np.ndarray, owned: np.ndarray, least: int) -> None:
-        self.total, self.owned, self.often = total, owned, total >= least
-        self.kept = np.where((self.at >= 0) & self.often[self.at], self.at, -1) if len(total) else self.at
-
-
 class Block:
-    """A block's texts and what has been answered about their n-grams in so many turns."""
+    """A block's texts: ``at[n - 1]`` has the place among the block's distinct keys of the n-gram that ends at each token,
+    or -1 where the text has fewer words so far. Words have keys of their own, all longer n-grams share ``grams``."""
 
-    def __init__(self, row: pa.Table, answers: pa.Table | None, turns: int, order: int, least: int, size: tuple[int, int] | None):
-        self.number, self.order, self.size = row["block"][0].as_py(), order, size
+    def __init__(self, row: pa.Table, order: int):
+        self.number, self.order = row["block"][0].as_py(), order
         get = lambda name, kind: _unpack(row[name][0].as_py(), kind)
         self.ids, self.train, self.lengths = row["ids"].combine_chunks().flatten(), get("train", "?"), get("lengths", "<i8")
-        train = np.repeat(self.train, self.lengths)
-        starts = np.zeros(len(train), dtype=bool)
-        starts[np.cumsum(self.lengths)[:-1]] = True
-        words, place = np.unique(get("hashes", "<u8"), return_inverse=True)
-        self.levels = [Level(words, place[get("held", "<u4")], train)]
-        got: dict[str, list] = {}
-        for x in sorted(answers.to_pylist(), key=lambda x: x["bucket"]) if answers is not None else []:
-            got.setdefault(x["kind"], []).append((x["a"], x["b"]))
-        self.weights = {int(kind[1:]): np.concatenate([_unpack(a, "<f8") for a, _ in parts]) for kind, parts in got.items() if kind[0] == "s"}
-        for n in range(1, min(order, turns) + 1):
-            low, parts = self.levels[-1], got.get(f"c{n}", [])  # no parts where the block has no such n-grams
-            low.answer(np.concatenate([np.zeros(0, "<i8"), *(_unpack(a, "<i8") for a, _ in parts)]), np.concatenate([np.zeros(0, "?"), *(_unpack(b, "?") for _, b in parts)]), least)
-            if n < order:
-                ends = np.flatnonzero((low.kept[:-1] >= 0) & (low.kept[1:] >= 0) & ~starts[1:]) + 1
-                prefix, word = low.kept[ends - 1], self.levels[0].at[ends]
-                keys, first, place = np.unique(_mixed(low.keys[prefix], words[word]), return_index=True, return_inverse=True)
-                at = np.full(len(train), -1)
-                at[ends] = place
-                self.levels.append(Level(keys, at, train, prefix[first], low.kept[ends][first]))
-
-    def chances(self, n: int) -> np.ndarray:
-        """Probabilities of the n-grams of a length after their histories; of rare ones too, where n is one."""
-        level = self.levels[n - 1]
-        if n == 1:
-            return (level.total + 1) / (sum(self.size) + 1)
-        return np.where(level.often, level.total - DISCOUNT, 1) / self.levels[n - 2].total[level.before]
-
-    def asks(self, turn: int, bits: int) -> Iterator[tuple]:
-        """For n-grams of length ``turn`` their totals; for histories two shorter the sums over their arcs."""
-        if turn <= self.order:
-            level = self.levels[turn - 1]
-            yield from self._dealt(f"c{turn}", bits, level.keys, level.n.astype("<i8"), np.zeros(0))
-        if turn >= 3:
-            own, low = self.levels[turn - 2], self.levels[turn - 3]
-            mine = own.owned & own.often
-            sums = (np.bincount(own.before[mine], p[mine], len(low.keys)) for p in (self.chances(turn - 1), self.chances(turn - 2)[own.tail]))
-            yield from self._dealt(f"s{turn - 2}", bits, low.keys[low.often], *(x[low.often] for x in sums))
-
-    def _dealt(self, kind: str, bits: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple]:
+        self.learned = np.repeat(self.train, self.lengths)
+        hashes = get("hashes", "<u8")
+        self.words, place = np.unique(hashes, return_inverse=True)
+        held = get("held", "<u4")
+        self.at = [place[held]]
+        if order > 1:
+            word = key = hashes[held]
+            so_far = np.arange(len(word)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+            keys, ends = [], []
+            for n in range(2, order + 1):
+                key = np.concatenate([key[:1], _mixed(key[:-1], word[1:])])
+                ends.append(np.flatnonzero(so_far >= n - 1))
+                keys.append(key[ends[-1]])
+            self.grams, place = np.unique(np.concatenate(keys), return_inverse=True)
+            for part, end in zip(np.split(place, np.cumsum([len(e) for e in ends])[:-1]), ends, strict=True):
+                at = np.full(len(word), -1)
+                at[end] = part
+                self.at.append(at)
+
+    def asks(self, words: bool, bits: int) -> Iterator[tuple]:
+        """The block's keys with their training occurrences in it, by bucket."""
+        keys, places = (self.words, self.at[:1]) if words else (self.grams, self.at[1:])
+        counts = sum(np.bincount(at[self.learned & (at >= 0)], minlength=len(keys)) for at in places)
         cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64)).tolist()
         for bucket, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if i < j:
-                yield self.number, kind, bucket, _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(a[i:j]), _pack(b[i:j])
+                yield self.number, bucket, _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(counts[i:j].astype("<i8"))
 
-    def scored(self) -> Iterator[tuple[int, int, float, float]]:
+    def scored(self, answers: pa.Table, size: tuple[int, int]) -> Iterator[tuple[int, int, float, float]]:
         """For each text its tokens, those known, and its log probabilities by unigrams alone and by the automaton."""
-        first = self.levels[0]
-        logs, known = [np.log10(self.chances(1))[first.at]], first.total[first.at] > 0
-        weights = []
-        for n in range(2, self.order + 1):
-            level, low = self.levels[n - 1], self.levels[n - 2]
-            arcs = np.full(len(level.at), 1.0)  # no arc; logs of probabilities are negative
-            has = level.kept >= 0
-            arcs[has] = np.log10(self.chances(n))[level.kept[has]]
-            logs.append(arcs)
-            weight = np.zeros(len(low.keys))
-            if n - 1 in self.weights:
-                weight[low.often] = self.weights[n - 1]
-            falls, has = np.zeros(len(low.at)), low.kept >= 0
-            falls[has] = weight[low.kept[has]]
-            weights.append(falls)
+        got: dict[bool, list] = {True: [], False: []}
+        for x in sorted(answers.to_pylist(), key=lambda x: x["bucket"]):
+            got[x["words"]].append(_unpack(x["totals"], "<i8"))
+        words, grams = (np.concatenate([*got[kind], np.zeros(1, "<i8")]) for kind in (True, False))  # the last: no n-gram
+        seen = words[self.at[0]]
+        known = seen > 0
+        p = (seen + 1) / (sum(size) + 1)
+        logs, falls = [np.log10(p)], []
+        for at in self.at[1:]:
+            falls.append(np.log10(PRIOR / (seen + PRIOR)))
+            history, seen = np.concatenate([[0], seen[:-1]]), grams[at]
+            p = (seen + PRIOR * p) / (np.where(at >= 0, history, 0) + PRIOR)
+            logs.append(np.where(seen > 0, np.log10(p), 1.0))  # no arc; logs of probabilities are negative
         start = 0
-        for size in self.lengths.tolist():
-            end = start + size
-            part = slice(start, end)
-            score = traverse([x[part].tolist() for x in logs], [x[part].tolist() for x in weights], (first.kept[part] >= 0).tolist())
-            yield size, int(known[part].sum()), float(logs[0][part].sum()), score
-            start = end
+        for n in self.lengths.tolist():
+            part = slice(start, start + n)
+            score = traverse([x[part].tolist() for x in logs], [x[part].tolist() for x in falls], known[part].tolist())
+            yield n, int(known[part].sum()), float(logs[0][part].sum()), score
+            start += n
 
 
-def traverse(logs: list[list[float]], falls: list[list[float]], often: list[bool]) -> float:
+def traverse(logs: list[list[float]], falls: list[list[float]], known: list[bool]) -> float:
     """The log probability of a text. The state is the length of the history carried, of which the failure arcs drop
     the first word; ``logs[n]`` has each token's arc from a history of n words, or 1 for none."""
     score, state, most = 0.0, 0, len(falls)
-    for i, some in enumerate(often):
+    for i, some in enumerate(known):
         while state:
             arc = logs[state][i]
             if arc <= 0:
@@ -219,36 +182,28 @@ def traverse(logs: list[list[float]], falls: list[list[float]], often: list[bool
     return score
 
 
-def _added(key: tuple, asks: pa.Table) -> pa.Table:
-    """A bucket's totals or failure weights, returned to each block for its own keys; a key's owner is the first block that asks.
+def _added(words: bool):  # noqa: ANN202
+    """A bucket's totals, returned to each block for its own keys in their order.
 
-    Words' totals come with a row of block -1 that counts the bucket's training tokens and words.
+    Words' totals come with a row of block -1 that counts the bucket's training tokens and its distinct words.
     """
-    kind, bucket = key[0].as_py(), key[1].as_py()
-    rows = sorted(asks.select(["block", "keys", "a", "b"]).to_pylist(), key=lambda x: x["block"])
-    parts = [np.cumsum(_unpack(x["keys"], "<u8"), dtype="<u8") for x in rows]  # sorted, so sent as steps
-    keys, first, place = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-    number = "<i8" if kind[0] == "c" else "<f8"
-    a = np.bincount(place, np.concatenate([_unpack(x["a"], number) for x in rows]), len(keys)).astype(number)
-    if kind[0] == "c":
-        b = np.zeros(len(place), dtype=bool)
-        b[first] = True
-    else:
-        rest = np.bincount(place, np.concatenate([_unpack(x["b"], number) for x in rows]), len(keys))
-        a, b = np.log10(np.maximum(1 - a, 1e-12) / np.maximum(1 - rest, 1e-12)), np.zeros(0)
-    out, at = [], 0
-    for x, part in zip(rows, parts, strict=True):
-        mine = slice(at, at + len(part))
-        out.append((x["block"], kind, bucket, _pack(a[place[mine]]), _pack(b[mine]), None, None))
-        at += len(part)
-    if kind == "c1":
-        out.append((-1, kind, bucket, None, None, int(a.sum()), int((a > 0).sum())))
-    return _table(_ANSWERS, out)
-
-
-def score_documents(
-    docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST
-) -> DataFrame:
+
+    def add(key: tuple, asks: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        rows = asks.select(["block", "keys", "counts"]).to_pylist()
+        parts = [np.cumsum(_unpack(x["keys"], "<u8"), dtype="<u8") for x in rows]  # sorted, so sent as steps
+        keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+        totals = np.bincount(place, np.concatenate([_unpack(x["counts"], "<i8") for x in rows]), len(keys)).astype("<i8")
+        mine = np.split(place, np.cumsum([len(p) for p in parts])[:-1])
+        out = [(x["block"], words, bucket, _pack(totals[at]), None, None) for x, at in zip(rows, mine, strict=True)]
+        if words:
+            out.append((-1, True, bucket, None, int(totals.sum()), int((totals > 0).sum())))
+        return _table(_ANSWERS, out)
+
+    return add
+
+
+def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """One row per input row: id, ``held_out``, token counts, unigram and automaton log10 probabilities.
 
     A null text is empty and scores its end token; repeated rows are scored each; a model without training tokens
@@ -257,37 +212,30 @@ def score_documents(
     docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     dealt = materialize(blocks(docs), "blocks")
     held = dealt.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = max(_MIN_BITS, (held // _BUCKET_KEYS).bit_length())
-    size, answers, turns = None, None, order + 1 if order > 1 else 1
-
-    def asker(turn: int):  # noqa: ANN202
-        known_size = size
-        return lambda row, known: _table(_ASKS, [*Block(row, known, turn - 1, order, least, known_size).asks(turn, bits)])
-
-    def first_asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = pa.Table.from_batches([batch.slice(i, 1)])
-                yield from _table(_ASKS, [*Block(row, None, 0, order, least, None).asks(1, bits)]).to_batches()
-
-    for turn in range(1, turns + 1):
-        if turn == 1:
-            asks = dealt.mapInArrow(first_asks, _ASKS)
-        else:
-            asks = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(asker(turn), _ASKS)
-        got = materialize(asks.groupBy("kind", "bucket").applyInArrow(_added, _ANSWERS), f"answers{turn}")
-        if turn == 1:
-            size = tuple(got.where("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first())
-        got = got.where("block >= 0").select("block", "kind", "bucket", "a", "b")
-        answers = got if answers is None else answers.union(got)
-
-    def score(row: pa.Table, known: pa.Table) -> pa.Table:
-        block = Block(row, known, turns, order, least, size)
-        columns = [*zip(*block.scored(), strict=True)]
+    bits = max(_MIN_BITS, (held * order // _BUCKET_KEYS).bit_length())
+
+    def answers(words: bool) -> DataFrame:
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = pa.Table.from_batches([batch.slice(i, 1)])
+                    yield from _table(_ASKS, [*Block(row, 1 if words else order).asks(words, bits)]).to_batches()
+
+        return dealt.mapInArrow(ask, _ASKS).groupBy("bucket").applyInArrow(_added(words), _ANSWERS)
+
+    known = materialize(answers(True), "words")
+    size = tuple(known.where("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first())
+    known = known.where("block >= 0")
+    if order > 1:
+        known = known.union(answers(False))
+
+    def score(row: pa.Table, told: pa.Table) -> pa.Table:
+        block = Block(row, order)
+        columns = [*zip(*block.scored(told.select(["words", "bucket", "totals"]), size), strict=True)]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         out = [block.ids, pa.array(~block.train), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))]
         return pa.table(out, ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(size[0]).cast("long").alias("train_tokens"), "base_score", "score")
