@@ -1,5 +1,6 @@
 """Record files read back, against encoding whole texts at once."""
 
+import random
 import zlib
 
 import numpy as np
@@ -62,3 +63,24 @@ def test_special_tokens_in_other_spellings(spark):
     texts = ["<|ENDOFTEXT|>", "A <|EndOfText|>, b. C<|endoftext|>D", "<|STARTOFTEXT|> <|startoftext|>.\nx"]
     rows = [*enumerate(texts)]
     assert sorted(map(tuple, R.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect())) == plain(rows)
+
+
+def test_marks_that_compose_only_with_small_letters(spark):
+    texts = ["T\u0308", "H\u0331amza, x", "J\u030covan. Y\u030a W\u030a", "\u0389\u0345 a\u0301 A\u0301", "\u1e9e \u0130\u0307 \ufb01\u0301", "\u0308x \u0308,\u0301 .\u0308"]
+    rows = [*enumerate(texts)]
+    assert sorted(map(tuple, R.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect())) == plain(rows)
+
+
+def test_random_unicode_is_encoded_as_whole_texts_are():
+    tok, encoder, draw = Tokenizer.from_file(PATH), R.WordEncoder(PATH, 2), random.Random(7)
+    letters = [chr(c) for a, b in ((0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x530), (0x5D0, 0x600), (0x900, 0x980), (0x1100, 0x1200), (0x1E00, 0x2000), (0x2000, 0x2070), (0x3040, 0x3100), (0xAC00, 0xAC80), (0xF900, 0xF940), (0xFB00, 0xFB50), (0x1D400, 0x1D420)) for c in range(a, b)]
+    letters += list(" ., \n") * 60 + [chr(c) for c in range(0x300, 0x346)] * 4
+    texts = ["".join(draw.choices(letters, k=draw.randint(1, 30))) for _ in range(20_000)]
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_reading_back_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(R, "FILE_BYTES", 200)
+    docs = spark.createDataFrame([(i, f"some words {i} and more of them") for i in range(300)], "doc_id long, text string")
+    assert R.round_trip(docs, PATH).rdd.getNumPartitions() > 4

@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Any
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ ship(__name__)
 MAGIC = b"VEILREC1"
 END_ID = 1
 FILE_BYTES = 64 << 20
+READ_TASKS = 20_000
 _INDEX = np.dtype([("null", "u1"), ("id", "<i8"), ("at", "<u8"), ("n", "<u8")])
 _CACHE = 600_000
 _MARKS = re.compile(r"[^a-z0-9\u00df-\u00f6\u00f8-\u00ff \t\n\r][,.][ \n]")  # after which a mark may not be parted
@@ -83,13 +85,15 @@ class WordEncoder:
     def parts(text: str | None) -> list[str]:
         """Pieces that the tokenizer would part too; marks stay with anything but plain letters and digits.
 
-        Texts with the two letters that Python lower-cases by their place or into two are only cut at spaces, as are
-        those that may hold a special token, which the tokenizer knows in one spelling only.
+        The tokenizer composes letters and marks before it lower-cases, so texts that aren't composed before and after
+        are only cut at spaces. So are those with the two letters that Python lower-cases by their place or into two,
+        and those that may hold a special token, which the tokenizer knows in one spelling only.
         """
-        text = text or ""
-        if "\u0130" in text or "\u03a3" in text or "<|" in text:
-            return text.replace("\n", " ").split(" ")
-        text = text.lower()
+        whole = text or ""
+        text = whole.lower()
+        odd = "\u0130" in whole or "\u03a3" in whole or "<|" in whole
+        if odd or not (whole.isascii() or is_normalized("NFC", whole) and is_normalized("NFC", text)):
+            return whole.replace("\n", " ").split(" ")
         if not _MARKS.search(text):
             text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
         return text.replace("\n", " ").split(" ")
@@ -172,7 +176,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     fs_, base_ = fs.FileSystem.from_uri(folder)
     fs_.create_dir(base_, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    dealt = rows.repartitionByRange("id", F.substring("text", 1, 32)).sortWithinPartitions("id", "text")  # an id's rows may be many
     return materialize(dealt.mapInArrow(run, "part int, seq int, file string, records long, ids long"), "files")
 
 
@@ -191,6 +195,7 @@ def read_record(folder: str, file: str, nth: int) -> np.ndarray:
 def read(files: DataFrame, folder: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every record of ``files``, read back and verified."""
     order = Window.orderBy("part", "seq")  # a row for each file
+    tasks = min(max(1, files.count()), READ_TASKS)
     bases = files.withColumn("base", F.sum("ids").over(order) - F.col("ids")).select("file", "records", "base")
     columns = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()}
 
@@ -223,7 +228,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                 if held:
                     yield _batch(held, columns)
 
-    return bases.repartition("file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return bases.repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
