@@ -8,10 +8,13 @@ that carries the state: it takes the state's arc, or falls to the next shorter s
 
 The automaton grows with the corpus and is never in one place. Texts are dealt into blocks of about a million tokens.
 A block asks for the training totals of its distinct n-grams, which are added up in buckets of the key space: keys are
-hashes, so buckets are even however common an n-gram is, and a block names a key once. The answers hold every arc and
-state that the block's own texts can meet, for the totals give both their probabilities and the failure weights.
+hashes, so buckets are even however common an n-gram is, and a block names a key once. It asks by length, and for a
+longer n-gram only if both its parts are in other blocks too: else it isn't there either, and the block's own count is
+the total. In the end a block knows every arc and state that its own texts can meet, for the
+totals give their probabilities and the failure weights, and traverses them. Blocks and what they are told are one
+table bucketed by block, so that a block is shuffled never and an answer once.
 
-Words and n-grams are known by 64-bit hashes; of n different ones about n * n / 2^65 pairs share one.
+N-grams are known by so many bits of a hash that one shares its key with another in 2^28 cases at most.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import fresh_path, ship
 
 ship(__name__)
 
@@ -32,7 +35,6 @@ PRIOR = 12.0
 END = b"\n"  # no word holds white space
 _BLOCK_TOKENS, _BUCKET_KEYS, _MIN_BITS = 1_000_000, 1_000_000, 9
 _ASKS = "block long, bucket long, keys binary, counts binary"
-_ANSWERS = "block long, words boolean, bucket long, totals binary, tokens long, distinct long"
 
 
 def tokens(raw: bytes | None) -> list[bytes]:
@@ -58,15 +60,16 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _table(schema: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
-    fields = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
+def _table(names: str, rows: list[tuple]) -> pa.Table:
+    """Rows of a block's number, a bucket's number and binary columns."""
+    fields = pa.schema([(name, pa.int64() if i < 2 else pa.binary()) for i, name in enumerate(names.split())])
     columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Texts (id, text, train) as blocks: tokens by place in the block's list of hashes of words."""
+    """Texts (id, text, train) as blocks: whether they train, their lengths, their tokens as places in a list, and that
+    list of hashes of words."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,12 +86,12 @@ def blocks(docs: DataFrame) -> DataFrame:
         def flush(kind: pa.DataType) -> pa.RecordBatch:
             nonlocal block
             hashes = np.fromiter(map(xxh64_intdigest, seen), "<u8", len(seen))
-            blobs = (np.array(train, "?"), np.array(lengths, "<i8"), np.array(held, "<u4"), hashes)
-            columns = [pa.array([block]), pa.array([len(held)]), pa.array([ids], pa.list_(kind)), *(pa.array([_pack(x)], pa.binary()) for x in blobs)]
+            a, *rest = (pa.array([_pack(x)], pa.binary()) for x in (np.array(train, "?"), np.array(lengths, "<i8"), np.array(held, "<u4"), hashes))
+            columns = [pa.array([block]), pa.array([0], pa.int32()), pa.array([0]), a, pa.array([len(held)]), pa.array([ids], pa.list_(kind)), *rest]
             for x in (ids, train, lengths, held, seen):
                 x.clear()
             block += 1
-            return pa.RecordBatch.from_arrays(columns, ["block", "n", "ids", "train", "lengths", "held", "hashes"])
+            return pa.RecordBatch.from_arrays(columns, ["block", "length", "bucket", "a", "n", "ids", "b", "c", "d"])
 
         kind = None
         for batch in batches:
@@ -104,59 +107,73 @@ def blocks(docs: DataFrame) -> DataFrame:
         if ids:
             yield flush(kind)
 
-    return docs.select("id", "text", "train").mapInArrow(run, f"block long, n long, ids array<{id_type}>, train binary, lengths binary, held binary, hashes binary")
+    return docs.select("id", "text", "train").mapInArrow(run, f"block long, length int, bucket long, a binary, n long, ids array<{id_type}>, b binary, c binary, d binary")
+
+
+class Level:
+    """A block's distinct n-grams of one length, by key: ``at`` has the place of the one that ends at each token, or -1
+    where the text has fewer words so far; ``own`` counts it in the block's training texts, ``total`` in all."""
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray, learned: np.ndarray, asked: np.ndarray):
+        self.keys, self.at, self.asked = keys, at, asked
+        self.own = np.bincount(at[learned & (at >= 0)], minlength=len(keys))
+
+    def hear(self, totals: list[np.ndarray]) -> None:
+        told = np.concatenate([*totals, np.zeros(0, "<i8")])
+        self.total, self.elsewhere = self.own.copy(), np.zeros(len(self.keys), dtype=bool)
+        self.total[self.asked], self.elsewhere[self.asked] = told >> 1, told & 1
+
+    def counts(self) -> np.ndarray:
+        """Totals by token, zero where there is no such n-gram."""
+        return np.append(self.total, 0)[self.at]
 
 
 class Block:
-    """A block's texts: ``at[n - 1]`` has the place among the block's distinct keys of the n-gram that ends at each token,
-    or -1 where the text has fewer words so far. Words have keys of their own, all longer n-grams share ``grams``."""
-
-    def __init__(self, row: pa.Table, order: int):
-        self.number, self.order = row["block"][0].as_py(), order
-        get = lambda name, kind: _unpack(row[name][0].as_py(), kind)
-        self.ids, self.train, self.lengths = row["ids"].combine_chunks().flatten(), get("train", "?"), get("lengths", "<i8")
-        self.learned = np.repeat(self.train, self.lengths)
-        hashes = get("hashes", "<u8")
-        self.words, place = np.unique(hashes, return_inverse=True)
-        held = get("held", "<u4")
-        self.at = [place[held]]
-        if order > 1:
-            word = key = hashes[held]
-            so_far = np.arange(len(word)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-            keys, ends = [], []
-            for n in range(2, order + 1):
-                key = np.concatenate([key[:1], _mixed(key[:-1], word[1:])])
-                ends.append(np.flatnonzero(so_far >= n - 1))
-                keys.append(key[ends[-1]])
-            self.grams, place = np.unique(np.concatenate(keys), return_inverse=True)
-            for part, end in zip(np.split(place, np.cumsum([len(e) for e in ends])[:-1]), ends, strict=True):
-                at = np.full(len(word), -1)
-                at[end] = part
-                self.at.append(at)
-
-    def asks(self, words: bool, bits: int) -> Iterator[tuple]:
-        """The block's keys with their training occurrences in it, by bucket."""
-        keys, places = (self.words, self.at[:1]) if words else (self.grams, self.at[1:])
-        counts = sum(np.bincount(at[self.learned & (at >= 0)], minlength=len(keys)) for at in places)
-        cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64)).tolist()
-        for bucket, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if i < j:
-                yield self.number, bucket, _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(counts[i:j].astype("<i8"))
-
-    def scored(self, answers: pa.Table, size: tuple[int, int]) -> Iterator[tuple[int, int, float, float]]:
+    """A block's texts and what it has been told of n-grams up to ``told`` words."""
+
+    def __init__(self, rows: pa.Table, told: int, order: int, width: int):
+        parts: dict[int, list] = {}
+        for x in rows.to_pylist():
+            parts.setdefault(x["length"], []).append(x)
+        text = parts[0][0]
+        self.number, self.ids, self.train, self.lengths = text["block"], text["ids"], _unpack(text["a"], "?"), _unpack(text["b"], "<i8")
+        held, hashes = _unpack(text["c"], "<u4"), _unpack(text["d"], "<u8")
+        shift, learned = np.uint64(64 - width), np.repeat(self.train, self.lengths)
+        so_far = np.arange(len(held)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        keys, place = np.unique(hashes >> shift, return_inverse=True)
+        self.levels = [Level(keys, place[held], learned, np.ones(len(keys), dtype=bool))]
+        word = gram = hashes[held]
+        for n in range(1, order + 1):
+            low = self.levels[-1]
+            if n > told:
+                break
+            low.hear([_unpack(x["a"], "<i8") for x in sorted(parts.get(n, []), key=lambda x: x["bucket"])])
+            if n < order:
+                gram = np.concatenate([gram[:1], _mixed(gram[:-1], word[1:])])
+                ends = np.flatnonzero(so_far >= n)
+                keys, first, place = np.unique(gram[ends] >> shift, return_index=True, return_inverse=True)
+                at, last = np.full(len(word), -1), ends[first]
+                at[ends] = place
+                self.levels.append(Level(keys, at, learned, low.elsewhere[low.at[last - 1]] & low.elsewhere[low.at[last]]))
+
+    def asks(self, bits: int, width: int) -> pa.Table:
+        """The keys to ask for next with their training occurrences in the block, by bucket."""
+        level = self.levels[-1]
+        keys, own = level.keys[level.asked], level.own[level.asked].astype("<i8")
+        cuts = np.searchsorted(keys >> np.uint64(width - bits), np.arange(2**bits + 1, dtype=np.uint64)).tolist()
+        spans = [(bucket, i, j) for bucket, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+        return _table("block bucket keys counts", [(self.number, bucket, _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(own[i:j])) for bucket, i, j in spans])
+
+    def scored(self, size: tuple[int, int]) -> Iterator[tuple[int, int, float, float]]:
         """For each text its tokens, those known, and its log probabilities by unigrams alone and by the automaton."""
-        got: dict[bool, list] = {True: [], False: []}
-        for x in sorted(answers.to_pylist(), key=lambda x: x["bucket"]):
-            got[x["words"]].append(_unpack(x["totals"], "<i8"))
-        words, grams = (np.concatenate([*got[kind], np.zeros(1, "<i8")]) for kind in (True, False))  # the last: no n-gram
-        seen = words[self.at[0]]
+        seen = self.levels[0].counts()
         known = seen > 0
         p = (seen + 1) / (sum(size) + 1)
         logs, falls = [np.log10(p)], []
-        for at in self.at[1:]:
+        for level in self.levels[1:]:
             falls.append(np.log10(PRIOR / (seen + PRIOR)))
-            history, seen = np.concatenate([[0], seen[:-1]]), grams[at]
-            p = (seen + PRIOR * p) / (np.where(at >= 0, history, 0) + PRIOR)
+            history, seen = np.concatenate([[0], seen[:-1]]), level.counts()
+            p = (seen + PRIOR * p) / (np.where(level.at >= 0, history, 0) + PRIOR)
             logs.append(np.where(seen > 0, np.log10(p), 1.0))  # no arc; logs of probabilities are negative
         start = 0
         for n in self.lengths.tolist():
@@ -182,25 +199,20 @@ def traverse(logs: list[list[float]], falls: list[list[float]], known: list[bool
     return score
 
 
-def _added(words: bool):  # noqa: ANN202
-    """A bucket's totals, returned to each block for its own keys in their order.
+def _added(key: tuple, asks: pa.Table) -> pa.Table:
+    """A bucket's totals, returned to each block for its own keys in their order: twice the total, plus one if another
+    block has the key.
 
-    Words' totals come with a row of block -1 that counts the bucket's training tokens and its distinct words.
+    A row of block -1 counts the bucket's training tokens and its distinct n-grams.
     """
-
-    def add(key: tuple, asks: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        rows = asks.select(["block", "keys", "counts"]).to_pylist()
-        parts = [np.cumsum(_unpack(x["keys"], "<u8"), dtype="<u8") for x in rows]  # sorted, so sent as steps
-        keys, place = np.unique(np.concatenate(parts), return_inverse=True)
-        totals = np.bincount(place, np.concatenate([_unpack(x["counts"], "<i8") for x in rows]), len(keys)).astype("<i8")
-        mine = np.split(place, np.cumsum([len(p) for p in parts])[:-1])
-        out = [(x["block"], words, bucket, _pack(totals[at]), None, None) for x, at in zip(rows, mine, strict=True)]
-        if words:
-            out.append((-1, True, bucket, None, int(totals.sum()), int((totals > 0).sum())))
-        return _table(_ANSWERS, out)
-
-    return add
+    rows = asks.select(["block", "keys", "counts"]).to_pylist()
+    parts = [np.cumsum(_unpack(x["keys"], "<u8"), dtype="<u8") for x in rows]  # sorted, so sent as steps
+    keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+    totals = np.bincount(place, np.concatenate([_unpack(x["counts"], "<i8") for x in rows]), len(keys)).astype("<i8")
+    told = totals << 1 | (np.bincount(place) > 1)
+    mine = np.split(place, np.cumsum([len(p) for p in parts])[:-1])
+    out = [(x["block"], key[0].as_py(), _pack(told[at])) for x, at in zip(rows, mine, strict=True)]
+    return _table("block bucket a", [*out, (-1, key[0].as_py(), _pack(np.array([totals.sum(), (totals > 0).sum()], "<i8")))])
 
 
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
@@ -209,33 +221,40 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     A null text is empty and scores its end token; repeated rows are scored each; a model without training tokens
     gives every word the unknown word's probability. An empty table gives an empty table.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    dealt = materialize(blocks(docs), "blocks")
-    held = dealt.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = max(_MIN_BITS, (held * order // _BUCKET_KEYS).bit_length())
-
-    def answers(words: bool) -> DataFrame:
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    row = pa.Table.from_batches([batch.slice(i, 1)])
-                    yield from _table(_ASKS, [*Block(row, 1 if words else order).asks(words, bits)]).to_batches()
-
-        return dealt.mapInArrow(ask, _ASKS).groupBy("bucket").applyInArrow(_added(words), _ANSWERS)
-
-    known = materialize(answers(True), "words")
-    size = tuple(known.where("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first())
-    known = known.where("block >= 0")
-    if order > 1:
-        known = known.union(answers(False))
-
-    def score(row: pa.Table, told: pa.Table) -> pa.Table:
-        block = Block(row, order)
-        columns = [*zip(*block.scored(told.select(["words", "bucket", "totals"]), size), strict=True)]
+    id_type = docs.schema["id"].dataType.simpleString()
+    buckets, path = int(spark.conf.get("spark.sql.shuffle.partitions")), fresh_path(spark, "blocks")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+
+    def keep(rows: DataFrame) -> None:
+        rows.write.bucketBy(buckets, "block").option("path", path).option("compression", "none").mode("append").saveAsTable(name)
+
+    def asker(told: int):  # noqa: ANN202
+        return lambda rows: Block(rows, told, order, width).asks(bits, width)
+
+    keep(blocks(docs))
+    held = spark.table(name).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits, width = max(_MIN_BITS, (held // _BUCKET_KEYS).bit_length()), min(64, max(48, 28 + held.bit_length()))
+    size = (0, 0)
+    for n in range(1, order + 1):
+
+        asks = spark.table(name).where("block >= 0").groupBy("block").applyInArrow(asker(n - 1), _ASKS)
+        told = asks.groupBy("bucket").applyInArrow(_added, "block long, bucket long, a binary")
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("ids", f"array<{id_type}>"), *((c, "binary") for c in "bcd"))]
+        keep(told.select("block", F.lit(n).alias("length"), "bucket", "a", *nothing).repartition(buckets, "block"))
+        if n == 1:
+            sums = spark.table(name).where("block = -1").select("a").toLocalIterator()  # a row of two numbers for each bucket
+            size = tuple(int(x) for x in sum((_unpack(bytes(r.a), "<i8") for r in sums), np.zeros(2, "<i8")))
+
+    def score(rows: pa.Table) -> pa.Table:
+        block = Block(rows, order, order, width)
+        columns = [*zip(*block.scored(size), strict=True)]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        out = [block.ids, pa.array(~block.train), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))]
+        ids = pa.array(block.ids, rows.schema.field("ids").type.value_type)
+        out = [ids, pa.array(~block.train), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))]
         return pa.table(out, ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    id_type = docs.schema["id"].dataType.simpleString()
-    scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    told = spark.table(name).where("block >= 0").groupBy("block")
+    scored = told.applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(size[0]).cast("long").alias("train_tokens"), "base_score", "score")
