@@ -64,6 +64,7 @@ LABELLED = (
 LABEL_NEEDS = {
     "email": "@", "upi-vpa": "@", "aadhaar": "[0-9]{4}", "pan": "[0-9]{4}", "ifsc": "0", "voter-id": "[0-9]{7}", "gstin": "[0-9]{4}", "card-like": "[0-9]", "otp-labelled": "[0-9]{4}", "otp-n-digit": "[0-9]{4}", "cvv-labelled": "[0-9]{3}", "phone-like": "[0-9]",
 }
+# Words that speak of a code, and how far behind them it may be.
 OTP_WORDS = _I + _NW + r"(?:otp|code|pin|password)" + _WN
 OTP_REACH = 28
 # How specific each kind is when spans cover one another.
@@ -95,6 +96,7 @@ FORBIDDEN_FIELDS = (
     r'(?i)"password"\s*:\s*"',
     r'(?i)"email"\s*:\s*"',
 )
+# Forms of tokens, of serialized controls and of word pieces.
 VAULT_TOKEN = r"[A-Z][A-Z0-9]*#[0-9]+"
 SCAFFOLDING = r"(?m)(?<![A-Za-z0-9_])(?:type|selector|position)=\S+|^[0-9]+\.(?= )"
 WORD_PIECE = r"[\p{L}\p{N}_]+(?:[-_][\p{L}\p{N}_]+)*|\S"
@@ -113,6 +115,7 @@ FIELD_LABELS = {
     "password": "PASSWORD", "passwd": "PASSWORD", "otp": "OTP", "code": "OTP", "pin": "OTP", "cvv": "CVV", "cvc": "CVV",
     "account": "ACCOUNT", "address": "LOCATION", "city": "LOCATION", "postcode": "LOCATION",
 }
+# Labels and types of fields that hold personal data, and characters that show nothing.
 PII_LABEL = r"(?i)email|phone|mobile|password|aadhaar|aadhar|pan\b|passport|address|\bname\b|date of birth|\bdob\b|birth|account|card number|ssn"
 PII_FIELD_TYPES = ("password", "email", "tel")
 ZERO_WIDTH = r"[\x{200b}-\x{200d}\x{2060}\x{feff}]"
@@ -140,6 +143,12 @@ DESTRUCTIVE_INTENT = (
 )
 SUBMIT_LABEL = r"(?i)submit|save|confirm|pay|checkout|place order|purchase|send"
 NAVIGATION_LABEL = r"(?i)^(?:go to|view|open|back|next|home|menu)\b|\blink\b"
+# What a scene may hold.
+SAFE_LABELS = ("Pending", "Completed", "Review", "Details", "Next", "Previous", "Back", "Close", "Search", "Help", "Cancel")
+SCENE_ROLES = ("button", "link")
+REGION_KINDS = ("private", "media", "face", "field", "password")
+CONTROL_ID = "^c[0-9]{1,4}$"
+SCENE_SIDE, SCENE_CONTROLS, SCENE_REGIONS = 8192, 200, 2000
 ACTIONS = ("click", "type", "scroll", "wait", "finish")
 ACTION_KEYS = ("action", "target_selector", "coordinates", "value", "reasoning_token")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .spans import any_of
+from .text import nfc
 
 
 def tier_rank(tier: Column) -> Column:
@@ -26,8 +26,8 @@ def permits_unattended(tier: Column) -> Column:
 
 
 def _shown(text: Column) -> Column:
-    """Zero-width characters removed; composition is done by the caller where a text may need it."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), P.ZERO_WIDTH, "")
+    """Canonical composition, then zero-width characters removed: what every rule reads. Labels and tasks are short."""
+    return F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), P.ZERO_WIDTH, "")
 
 
 def slugs_as_words(text: Column) -> Column:
@@ -54,7 +54,8 @@ def click_tier(fields: dict[str, Column]) -> Column:
     ``fields``: visible, aria, title, value, placeholder, form_action, formaction, href, type, submits (boolean).
     """
     get = lambda k: fields.get(k, F.lit(None).cast("string"))
-    reads = lambda names, regex: any_of([slugs_as_words(get(n)).rlike(regex) for n in names])
+    # fields are read at once, parted by a character that no rule's pattern holds
+    reads = lambda names, regex: slugs_as_words(F.concat_ws("\x01", *map(get, names))).rlike(regex)
     every = ("visible", "aria", "title", "value", "placeholder", "form_action", "formaction", "href", "type")
     filled = lambda *names: F.coalesce(*(F.nullif(get(n), F.lit("")) for n in names), F.lit(""))
     is_ = lambda tier, basis: F.struct(F.lit(tier).alias("tier"), F.lit(basis).alias("basis"))

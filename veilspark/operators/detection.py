@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import spans as S
+from ..functions.text import composed, folded
 
 
 def document_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -140,28 +139,6 @@ def line_policy(words: DataFrame, doc: str = "doc_id", line: str = "line", x: st
     return out.withColumn("kind", F.coalesce("_field", "_own")).withColumn("rule", rule).drop("_field", "_own")
 
 
-@F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition."""
-    import unicodedata
-
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
-@F.pandas_udf(T.StringType())
-def nfkc_casefold(text: pd.Series) -> pd.Series:
-    """Compatibility composition and case folding."""
-    import unicodedata
-
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
-
-
-def composed(text: Column) -> Column:
-    """NFC; Python sees only texts that aren't pure ASCII."""
-    plain = F.octet_length(text) == F.length(text)
-    return F.when(plain, text).otherwise(nfc(F.when(~plain, text)))
-
-
 def canonical(text: Column) -> Column:
     """NFC without zero-width characters, separators as one space, lower case: what the rules read."""
     clean = F.regexp_replace(composed(F.coalesce(text, F.lit(""))), P.ZERO_WIDTH, "")
@@ -169,7 +146,8 @@ def canonical(text: Column) -> Column:
 
 
 def norm_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits of the text in compatibility form, case folded."""
+    return F.regexp_extract_all(folded(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def mask_value(value: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import rules as R
+from .geometry import clip_rect
 
 
 def scene_index(scene: DataFrame, page: str = "page_id", selector: str = "selector", tier: str = "tier") -> DataFrame:
@@ -134,34 +135,53 @@ def fastpath_decide(predictions: DataFrame, options: DataFrame, least: float = 0
     return out.withColumn("reason", F.coalesce(why, F.lit("accepted"))).withColumn("used", F.col("reason") == "accepted").drop("offered")
 
 
-UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-SCENE_LABELS = ("search", "continue", "next", "back", "menu", "close", "open", "submit", "home", "help")
+UUID = "(?i)^(?:[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}|0{8}-0{4}-0{4}-0{4}-0{12}|f{8}-f{4}-f{4}-f{4}-f{12})$"
 
 
 def validate_scene(scenes: DataFrame, scheme: str = "scene/1") -> DataFrame:
-    """``scenes`` plus ``reason``: the first contract a scene breaks, null for a sound one."""
-    inside = lambda r: (r["x"] >= 0) & (r["y"] >= 0) & (r["width"] > 0) & (r["height"] > 0) & (r["x"] + r["width"] <= F.col("viewport.width") + 0.01) & (r["y"] + r["height"] <= F.col("viewport.height") + 0.01)
+    """``scenes`` plus ``reason``: the first contract a scene breaks, null for a sound one.
+
+    Fields come first, then what only a scene of sound fields can break: ids that repeat, boxes outside the viewport.
+    """
+    side = float(P.SCENE_SIDE)
+    whole = lambda v: F.coalesce((v == F.floor(v)) & (v >= 1) & (v <= side), F.lit(False))
+    sound = lambda r: finite(r["x"]) & finite(r["y"]) & r["x"].between(0, side) & r["y"].between(0, side) & F.coalesce((r["width"] > 0) & (r["width"] <= side) & (r["height"] > 0) & (r["height"] <= side), F.lit(False))
+    outside = lambda x: (x["rect"]["x"] + x["rect"]["width"] > F.col("viewport.width") + 0.01) | (x["rect"]["y"] + x["rect"]["height"] > F.col("viewport.height") + 0.01)
+    lacks = lambda test: F.coalesce(~test, F.lit(True))
     ids = F.transform("controls", lambda c: c["id"])
     why = R.first_reason(
         (
             ("scheme", ~F.col("scheme").eqNullSafe(scheme)),
-            ("revision", ~F.coalesce(F.col("revision").rlike(UUID), F.lit(False))),
-            ("viewport", ~F.coalesce((F.col("viewport.width") > 0) & (F.col("viewport.height") > 0), F.lit(False))),
-            ("too-many", (F.size("controls") > 200) | (F.size("regions") > 2000)),
+            ("revision", lacks(F.col("revision").rlike(UUID))),
+            ("viewport", ~(whole(F.col("viewport.width")) & whole(F.col("viewport.height")))),
+            ("too-many", (F.size("controls") > P.SCENE_CONTROLS) | (F.size("regions") > P.SCENE_REGIONS)),
+            ("control-id", F.exists("controls", lambda c: lacks(c["id"].rlike(P.CONTROL_ID)))),
+            ("role", F.exists("controls", lambda c: lacks(c["role"].isin(*P.SCENE_ROLES)))),
+            ("label", F.exists("controls", lambda c: lacks(c["label"].isin(*P.SAFE_LABELS)))),
+            ("region-kind", F.exists("regions", lambda r: lacks(r["kind"].isin(*P.REGION_KINDS)))),
+            ("rect", F.exists("controls", lambda c: lacks(sound(c["rect"]))) | F.exists("regions", lambda r: lacks(sound(r["rect"])))),
             ("duplicate-id", F.size(F.array_distinct(ids)) < F.size(ids)),
-            ("label", F.exists("controls", lambda c: ~F.lower(c["label"]).isin(*SCENE_LABELS))),
-            ("outside-viewport", F.exists("controls", lambda c: ~inside(c["rect"])) | F.exists("regions", lambda c: ~inside(c["rect"]))),
+            ("outside-viewport", F.exists("controls", outside) | F.exists("regions", outside)),
         )
     )
     return scenes.withColumn("reason", why)
 
 
-def make_scene(controls: DataFrame, page: str = "page_id", width: float = 1280.0, height: float = 800.0) -> DataFrame:
-    """Scenes rebuilt from controls: labels that aren't on the safe list go, boxes are clipped, one row per page."""
-    rect = F.struct(F.greatest(F.lit(0.0), "x").alias("x"), F.greatest(F.lit(0.0), "y").alias("y"), F.least(F.lit(width), F.col("x") + F.col("w")).alias("right"), F.least(F.lit(height), F.col("y") + F.col("h")).alias("bottom"))
-    safe = controls.where(F.lower("label").isin(*SCENE_LABELS)).withColumn("r", rect).where("r.right > r.x AND r.bottom > r.y")
-    item = F.struct("ord", F.lower("label").alias("label"), F.struct(F.col("r.x").alias("x"), F.col("r.y").alias("y"), (F.col("r.right") - F.col("r.x")).alias("width"), (F.col("r.bottom") - F.col("r.y")).alias("height")).alias("rect"))
-    return safe.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("controls"))
+def make_scene(controls: DataFrame, regions: DataFrame, page: str = "page_id", width: float = 1280.0, height: float = 800.0) -> DataFrame:
+    """``(page, controls, regions)`` rebuilt from ``controls(page, ord, id, role, label, x, y, w, h)`` and
+    ``regions(page, kind, x, y, w, h)``: labels off the safe list go, boxes are clipped, regions padded by two.
+
+    A page is a row by contract: what :func:`validate_scene` lets through is bounded.
+    """
+    size = F.lit(width), F.lit(height)
+    box = lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"), r["w"].alias("width"), r["h"].alias("height")).alias("rect")
+    safe = controls.where(F.col("label").isin(*P.SAFE_LABELS)).withColumn("r", clip_rect(*size)).where("r IS NOT NULL")
+    kept = safe.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("ord", "id", "role", "label", box(F.col("r"))))).alias("controls"))
+    padded = regions.withColumn("r", clip_rect(*size, pad=2.0)).where("r IS NOT NULL")
+    hidden = padded.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("kind", box(F.col("r"))))).alias("regions"))
+    pages = controls.select(page).union(regions.select(page)).distinct()
+    none = lambda c, df: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)).alias(c)
+    return pages.join(kept, page, "left").join(hidden, page, "left").select(page, none("controls", kept), none("regions", hidden))
 
 
 def risk_score(regions: DataFrame, controls: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -140,10 +140,18 @@ def merge_overlapping(boxes: DataFrame, key: str = "image", kind: str = "kind")
     return boxes.select(key, kind, *BOX).groupBy(key, kind).applyInPandas(merge, schema)
 
 
-def merge_gap(boxes: DataFrame, key: str = "image", gap: float = 4.0, most: int = 200) -> DataFrame:
-    """One pass in the order of (y, x): a box joins the first kept one within ``gap``, else it is kept."""
-    item = F.struct("y", "x", "w", "h")
-    packed = boxes.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("b"))
+def merge_gap(boxes: DataFrame, key: str = "image", kind: str = "kind", gap: float = 4.0, most: int = 200) -> DataFrame:
+    """``(key, kind, x, y, w, h)``: one pass over the boxes of a kind on an image in the order of (y, x), ties by id: a box
+    joins the first kept one within ``gap``, else it is kept.
+
+    An image's contract is its first ``most`` merged boxes, kinds in the order of their first ``box_id``. Boxes without
+    a kind or with a place or size that isn't finite are left out.
+    """
+    sound = F.col(kind).isNotNull()
+    for c in BOX:
+        sound = sound & F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    packed = boxes.where(sound).groupBy(key, kind).agg(F.min("box_id").alias("first"), F.array_sort(F.collect_list(F.struct("y", "x", "box_id", "w", "h"))).alias("b"))
+    packed = packed.withColumn("b", F.transform("b", lambda s: F.struct(s["y"].alias("y"), s["x"].alias("x"), s["w"].alias("w"), s["h"].alias("h"))))
     near = lambda s, k: (s["x"] <= k["x"] + k["w"] + gap) & (k["x"] <= s["x"] + s["w"] + gap) & (s["y"] <= k["y"] + k["h"] + gap) & (k["y"] <= s["y"] + s["h"] + gap)
 
     def around(s: Column, k: Column) -> Column:
@@ -153,9 +161,12 @@ def merge_gap(boxes: DataFrame, key: str = "image", gap: float = 4.0, most: int
     def step(acc: Column, s: Column) -> Column:
         at = F.array_position(F.transform(acc, lambda k: near(s, k)), F.lit(True))
         joined = F.transform(acc, lambda k, i: F.when(i + 1 == at, around(s, k)).otherwise(k))
-        return F.when(at > 0, joined).when(F.size(acc) >= most, acc).otherwise(F.concat(acc, F.array(s)))
+        return F.when(at > 0, joined).otherwise(F.concat(acc, F.array(s)))
 
-    return spread(packed, key, items=F.aggregate("b", F.slice("b", 1, 0), step), test="x")
+    merged = packed.withColumn("m", F.aggregate("b", F.slice("b", 1, 0), step))
+    before = F.sum(F.size("m")).over(Window.partitionBy(key).orderBy("first")) - F.size("m")
+    kept = merged.withColumn("m", F.slice("m", 1, F.greatest(F.lit(0), F.least(F.size("m"), most - before)).cast("int")))
+    return spread(kept, key, kind, items="m", test="x").select(key, kind, *BOX)
 
 
 def word_in_boxes(words: DataFrame, boxes: DataFrame, key: str = "image", word: str = "word_id", least: float = 0.5) -> DataFrame:

@@ -285,9 +285,14 @@ def b22_canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controls.select("page_id", "ord", D.canonical(F.col("label")).alias("canonical"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS n FROM documents")
+_ODD = " ﬁle ①② Straße ＡＢ e\u0301t"  # a ligature, circled and full-width characters, a letter that folds into two, an accent apart
+
+
+@query(f"""SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss') || ' file 12 strasse ab ét', '[\\p{{L}}\\p{{N}}]+') AS w FROM documents)""")
 def b23_norm_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(D.norm_tokens(F.col("text"))).cast("long").alias("n"))
+    """Documents, each with words at its end that compatibility forms and case folding change."""
+    w = D.norm_tokens(F.concat("text", F.lit(_ODD)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n"), F.md5(F.array_join(w, " ")).alias("digest"))
 
 
 @query("SELECT event_id, CASE WHEN regexp_matches(v, '^(?:[A-Z][A-Z0-9]*#[0-9]+|[0-9]+)$') THEN v ELSE repeat('*', least(length(v), 18)) END AS masked FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN 'EMAIL#' || event_id ELSE event_id::VARCHAR END AS v FROM events)")

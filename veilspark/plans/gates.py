@@ -15,19 +15,22 @@ from .detection import CONTROLS
 from .inputs import PREDICTIONS, predictions, probed, table
 from .registry import query
 
-#: Labels that the pages' own lack, dealt to every second control.
-LABELS = ("Delete account", "Save changes", "Open menu", "Next", "Profile", "हटाएं", "Kick from folder", "Leave the group", "View item", "Search")
-_PICK = "([" + ", ".join(f"'{x}'" for x in LABELS) + "])[(page_id * 3 + ord) % 10 + 1]"
+#: Labels that the pages' own lack, dealt to every second control; the last four have one look and other code points.
+LABELS = (
+    "Delete this draft", "Save my draft", "Open drawer", "Back to list", "Avatar", "मसौदा मिटाएँ", "Kick out the bot", "Leave the household", "View ledger", "Search",
+    "परिवार छो\u0921\u093cें", "परिवार छो\u095cें", "De\u200blete row", "A\u0301rea",
+)
+_PICK = "([" + ", ".join(f"'{x}'" for x in LABELS) + "])[(page_id * 3 + ord) % 14 + 1]"
 RICH = f"""{CONTROLS}, rich AS (SELECT page_id, ord, tag, type, href, CASE WHEN ord % 10 = 9 THEN '#c0' ELSE selector END AS selector, CASE WHEN ord % 2 = 0 THEN {_PICK} ELSE label END AS label,
- CASE WHEN ord % 7 = 3 THEN 'Next' WHEN ord % 7 = 5 THEN '' END AS aria, ord % 11 = 4 AS submits FROM controls)"""
+ CASE WHEN ord % 7 = 3 THEN 'Next' WHEN ord % 7 = 5 THEN '' WHEN ord % 14 = 8 THEN '\u00c1rea' END AS aria, ord % 11 = 4 AS submits FROM controls)"""
 
 
 def rich_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = A.parse_controls(table(spark, sf_dir, "pages"))
-    pick = F.element_at(F.array(*map(F.lit, LABELS)), ((F.col("page_id") * 3 + F.col("ord")) % 10 + 1).cast("int"))
+    pick = F.element_at(F.array(*map(F.lit, LABELS)), ((F.col("page_id") * 3 + F.col("ord")) % 14 + 1).cast("int"))
     return c.select(
         "page_id", "ord", "tag", "type", "href", F.when(F.col("ord") % 10 == 9, "#c0").otherwise(F.col("selector")).alias("selector"), F.when(F.col("ord") % 2 == 0, pick).otherwise(F.col("label")).alias("label"),
-        F.when(F.col("ord") % 7 == 3, "Next").when(F.col("ord") % 7 == 5, "").alias("aria"), (F.col("ord") % 11 == 4).alias("submits"),
+        F.when(F.col("ord") % 7 == 3, "Next").when(F.col("ord") % 7 == 5, "").when(F.col("ord") % 14 == 8, "\u00c1rea").alias("aria"), (F.col("ord") % 11 == 4).alias("submits"),
     )
 
 
@@ -41,8 +44,9 @@ def _re(regex: str) -> str:
     return f"$re${regex}$re$"
 
 
-_SLUG = lambda x: f"trim(regexp_replace(coalesce({x}, ''), '[\\s\\-_/.?=&+#:%]+', ' ', 'g'))"
-_COLL = lambda x: f"lower(trim(regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g')))"
+_SHOWN = lambda x: f"regexp_replace(nfc_normalize(coalesce({x}, '')), '[\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}]', '', 'g')"
+_SLUG = lambda x: f"trim(regexp_replace({_SHOWN(x)}, '[\\s\\-_/.?=&+#:%]+', ' ', 'g'))"
+_COLL = lambda x: f"lower(trim(regexp_replace({_SHOWN(x)}, '\\s+', ' ', 'g')))"
 _ANY = lambda names, regex: "(" + " OR ".join(f"regexp_matches({_SLUG(n)}, {_re(regex)})" for n in names) + ")"
 _NAME = "coalesce(nullif(aria, ''), nullif(label, ''), '')"
 TIERED = f"""{RICH}, b AS (SELECT *, CASE WHEN {_ANY(('label', 'aria', 'href', 'type'), P.DESTRUCTIVE_LABEL)} THEN 'destructive-keyword' WHEN {_ANY(('label', 'aria', 'type'), P.SUBMIT_LABEL)} THEN 'submit-keyword'
@@ -51,11 +55,11 @@ TIERED = f"""{RICH}, b AS (SELECT *, CASE WHEN {_ANY(('label', 'aria', 'href', '
 tiered AS (SELECT *, CASE basis WHEN 'destructive-keyword' THEN 'destructive' WHEN 'navigation-label' THEN 'navigational' ELSE 'state-changing' END AS tier FROM b)"""
 
 
-@query(f"""SELECT conv_id, turn, regexp_matches(t, {_re(P.DESTRUCTIVE_INTENT)}) AS intent FROM
-(SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' please delete it' WHEN 1 THEN ' undeleted' ELSE ' leave the team' END AS t FROM conversations WHERE role = 'user')""")
+@query(f"""SELECT conv_id, turn, regexp_matches({_SHOWN('t')}, {_re(P.DESTRUCTIVE_INTENT)}) AS intent FROM
+(SELECT conv_id, turn, text || CASE turn % 5 WHEN 0 THEN ' please delete it' WHEN 1 THEN ' undeleted' WHEN 2 THEN ' परिवार छो\u095cें' WHEN 3 THEN ' de\u200dlete' ELSE ' leave the team' END AS t FROM conversations WHERE role = 'user')""")
 def d1_destructive_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("turn") % 3
-    task = F.concat("text", F.when(k == 0, " please delete it").when(k == 1, " undeleted").otherwise(" leave the team"))
+    k = F.col("turn") % 5
+    task = F.concat("text", F.when(k == 0, " please delete it").when(k == 1, " undeleted").when(k == 2, " परिवार छो\u095cें").when(k == 3, " de\u200dlete").otherwise(" leave the team"))
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", R.destructive_intent(task).alias("intent"))
 
 
@@ -64,8 +68,9 @@ def d2_click_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiered(spark, sf_dir).select("page_id", "ord", "tier", "basis")
 
 
-_WIRE = f"""CASE WHEN regexp_matches(label || ' ' || type, {_re(P.DESTRUCTIVE_LABEL)}) THEN 'destructive' WHEN regexp_matches(label || ' ' || type, {_re(P.SUBMIT_LABEL)}) THEN 'state-changing'
- WHEN regexp_matches(trim(label), {_re(P.NAVIGATION_LABEL)}) THEN 'navigational' ELSE 'state-changing' END"""
+_BOTH = _SHOWN("label || ' ' || type")
+_WIRE = f"""CASE WHEN regexp_matches({_BOTH}, {_re(P.DESTRUCTIVE_LABEL)}) THEN 'destructive' WHEN regexp_matches({_BOTH}, {_re(P.SUBMIT_LABEL)}) THEN 'state-changing'
+ WHEN regexp_matches(trim({_SHOWN('label')}), {_re(P.NAVIGATION_LABEL)}) THEN 'navigational' ELSE 'state-changing' END"""
 
 
 @query(f"WITH {RICH} SELECT page_id, ord, {_WIRE} AS tier FROM rich")
@@ -180,20 +185,46 @@ def d13_escalate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).select("doc_id", R.escalate(verdict, F.col("p_destr"), F.col("p_off")).alias("verdict"))
 
 
-@query()
+_SAFE = "[" + ", ".join(f"'{x}'" for x in P.SAFE_LABELS) + "]"
+SCENES = f"""{RICH}, parts AS (SELECT page_id, page_id % 12 AS k, ord, CASE WHEN page_id % 12 = 3 AND ord < 2 THEN 'cx' WHEN page_id % 12 = 4 AND ord < 2 THEN 'c0' ELSE 'c' || ord END AS id, CASE WHEN page_id % 12 = 5 THEN type WHEN tag = 'a' THEN 'link' ELSE 'button' END AS role,
+ CASE WHEN page_id % 12 = 6 THEN label ELSE ({_SAFE})[ord % 11 + 1] END AS label, ord * 10.0 - CASE WHEN page_id % 12 = 7 THEN 15 ELSE 0 END AS x, CASE WHEN page_id % 12 = 8 AND ord = 1 THEN 'other' ELSE (['private', 'media', 'face', 'field', 'password'])[ord % 5 + 1] END AS kind FROM rich)"""
+
+
+@query(f"""WITH {SCENES} SELECT page_id, CASE WHEN k = 1 THEN 'scheme' WHEN k = 2 THEN 'revision' WHEN k = 9 THEN 'viewport' WHEN bool_or(NOT regexp_full_match(id, 'c[0-9]{{1,4}}')) THEN 'control-id' WHEN bool_or(role NOT IN ('button', 'link')) THEN 'role'
+ WHEN bool_or(NOT list_contains({_SAFE}, label)) THEN 'label' WHEN bool_or(kind = 'other') THEN 'region-kind' WHEN bool_or(x < 0) THEN 'rect' WHEN count(DISTINCT id) < count(*) THEN 'duplicate-id' WHEN max(x) + 8 > CASE WHEN k = 10 THEN 20 ELSE 1280 END + 0.01 THEN 'outside-viewport' END AS reason
+ FROM parts GROUP BY page_id, k""")
 def d14_validate_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenes from controls, some of them broken in one way."""
-    placed = rich_controls(spark, sf_dir).select("page_id", F.struct(F.when((F.col("page_id") % 7 == 3) & (F.col("ord") < 2), "#x").otherwise(F.concat(F.lit("#"), "ord")).alias("id"), F.when(F.col("page_id") % 7 == 4, F.col("label")).otherwise("Next").alias("label"), F.struct((F.col("ord") * 10).cast("double").alias("x"), F.lit(5.0).alias("y"), F.lit(8.0).alias("width"), F.lit(8.0).alias("height")).alias("rect")).alias("c"))
-    k = F.col("page_id") % 7
-    scenes = placed.groupBy("page_id").agg(F.collect_list("c").alias("controls")).select("page_id", "controls", F.when(k == 1, "other").otherwise("scene/1").alias("scheme"), F.when(k == 2, "none").otherwise("01234567-89ab-cdef-0123-456789abcdef").alias("revision"), F.struct(F.when(k == 5, 20.0).otherwise(1280.0).alias("width"), F.lit(800.0).alias("height")).alias("viewport"), F.array().cast("array<struct<kind:string,rect:struct<x:double,y:double,width:double,height:double>>>").alias("regions"))
+    """Scenes from controls, each page broken in one way or none."""
+    k, at = F.col("page_id") % 12, F.col("ord")
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    rect = F.struct((at * 10.0 - F.when(k == 7, 15).otherwise(0)).alias("x"), F.lit(5.0).alias("y"), F.lit(8.0).alias("width"), F.lit(8.0).alias("height")).alias("rect")
+    control = F.struct(
+        F.when((k == 3) & (at < 2), "cx").when((k == 4) & (at < 2), "c0").otherwise(F.concat(F.lit("c"), at)).alias("id"),
+        F.when(k == 5, F.col("type")).when(F.col("tag") == "a", "link").otherwise("button").alias("role"),
+        F.when(k == 6, F.col("label")).otherwise(pick(P.SAFE_LABELS, at % 11)).alias("label"), rect,
+    )
+    region = F.struct(F.when((k == 8) & (at == 1), "other").otherwise(pick(P.REGION_KINDS, at % 5)).alias("kind"), rect)
+    scenes = rich_controls(spark, sf_dir).groupBy("page_id").agg(F.collect_list(control).alias("controls"), F.collect_list(region).alias("regions"))
+    scenes = scenes.withColumns({
+        "scheme": F.when(k == 1, "other").otherwise("scene/1"), "revision": F.when(k == 2, "01234567-89ab-0def-8123-456789abcdef").otherwise("01234567-89ab-4def-8123-456789abcdef"),
+        "viewport": F.struct(F.when(k == 9, 9000.0).when(k == 10, 20.0).otherwise(1280.0).alias("width"), F.lit(800.0).alias("height")),
+    })
     return G.validate_scene(scenes).select("page_id", "reason")
 
 
-@query(f"""WITH {RICH} SELECT page_id, count(*) AS controls, CAST(sum(least(1280.0, ord * 100.0 + 90) - greatest(0.0, ord * 100.0 - 5)) AS BIGINT) AS width FROM rich WHERE lower(label) IN ({', '.join(f"'{x}'" for x in G.SCENE_LABELS)}) AND ord * 100.0 - 5 < 1280 GROUP BY page_id""")
+_MADE = f"""{RICH}, placed AS (SELECT page_id, ord, CASE WHEN ord % 3 = 0 THEN label ELSE ({_SAFE})[ord % 11 + 1] END AS label, ord * 100.4 - 5 AS x FROM rich),
+c AS (SELECT page_id, greatest(0.0, floor(x)) AS l, least(1280.0, ceil(x + 95)) AS r FROM placed WHERE list_contains({_SAFE}, label)), g AS (SELECT page_id, greatest(0.0, floor(x - 2)) AS l, least(1280.0, ceil(x + 97)) AS r FROM placed WHERE ord % 4 = 1)"""
+
+
+@query(f"""WITH {_MADE} SELECT page_id, coalesce(n, 0) AS controls, coalesce(w, 0) AS width, coalesce(m, 0) AS regions, coalesce(v, 0) AS hidden FROM (SELECT DISTINCT page_id FROM placed)
+ LEFT JOIN (SELECT page_id, count(*) AS n, CAST(sum(r - l) AS BIGINT) AS w FROM c WHERE r > l GROUP BY page_id) USING (page_id) LEFT JOIN (SELECT page_id, count(*) AS m, CAST(sum(r - l) AS BIGINT) AS v FROM g WHERE r > l GROUP BY page_id) USING (page_id)""")
 def d15_make_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = rich_controls(spark, sf_dir).withColumns({"x": F.col("ord") * 100.0 - 5, "y": F.lit(10.0), "w": F.lit(95.0), "h": F.lit(20.0)})
-    scene = G.make_scene(placed)
-    return scene.select("page_id", F.size("controls").cast("long").alias("controls"), F.aggregate("controls", F.lit(0.0), lambda s, c: s + c["rect"]["width"]).cast("long").alias("width"))
+    at = F.col("ord")
+    safe = F.element_at(F.array(*map(F.lit, P.SAFE_LABELS)), (at % 11 + 1).cast("int"))
+    placed = rich_controls(spark, sf_dir).withColumns({"x": at * 100.4 - 5, "y": F.lit(10.0), "w": F.lit(95.0), "h": F.lit(20.0), "label": F.when(at % 3 == 0, F.col("label")).otherwise(safe), "id": F.concat(F.lit("c"), at), "role": F.lit("button")})
+    scene = G.make_scene(placed, placed.where(at % 4 == 1).withColumn("kind", F.lit("field")))
+    wide = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x["rect"]["width"]).cast("long")
+    return scene.select("page_id", F.size("controls").cast("long").alias("controls"), wide("controls").alias("width"), F.size("regions").cast("long").alias("regions"), wide("regions").alias("hidden"))
 
 
 @query()

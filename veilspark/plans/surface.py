@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import register as U
 from ..functions import spans as S
+from ..functions import text as X
 from ..operators import detection as D
 from ..operators import geometry as E
 from .inputs import BOXES, boxes, probed, table
@@ -25,13 +26,13 @@ def u1_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, md5(nfc_normalize(text || chr(101) || chr(769))) AS digest FROM conversations")
 def u2_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with a letter and a combining accent after them, composed."""
-    text = D.composed(F.concat("text", F.lit("é")))
+    text = X.composed(F.concat("text", F.lit("é")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text).alias("digest"))
 
 
 @query()
 def u2_nfkc_casefold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(D.nfkc_casefold(F.col("text"))).alias("digest"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(X.nfkc_casefold(F.col("text"))).alias("digest"))
 
 
 @query(f"WITH {BOXES} SELECT kind, count(*) > 0 AS merged FROM boxes GROUP BY kind")
