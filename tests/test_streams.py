@@ -70,14 +70,32 @@ def test_run_budget(spark, folder):
 
 
 def test_references_are_used_once(spark, folder):
-    op = lambda i, op, s, **k: (1, i, T0 + timedelta(seconds=s), op, k.get("kind", "email"), k.get("target", "#a"), "r", k.get("confirmed", True))
-    data = [op(0, "issue", 0), op(1, "apply", 1, kind="phone"), op(2, "apply", 2), op(3, "apply", 3), op(4, "issue", 10), op(5, "apply", 11, confirmed=False), op(6, "apply", 50)]
-    path = folder(data, "reference_id long, event_id long, ts timestamp, op string, kind string, target string, revision string, confirmed boolean", 1)
+    op = lambda i, op, s, **k: (1, i, i, T0 + timedelta(seconds=s), op, k.get("kind", "email"), k.get("target", "#a"), "r", k.get("confirmed", True))
+    data = [op(0, "issue", 0), op(1, "apply", 1, kind="phone"), op(2, "apply", 2), op(3, "apply", 3), op(4, "issue", 10), op(5, "apply", 11, confirmed=False), op(6, "apply", 50), op(7, "issue", 60), op(8, "apply", 58), op(9, "apply", 61)]
+    path = folder(data, "reference_id long, event_id long, seq long, ts timestamp, op string, kind string, target string, revision string, confirmed boolean", 1)
     got = {r.event_id: r.result for r in H.run_available(H.value_references(H.read_table(spark, path, spark.read.parquet(path).schema))).collect()}
-    assert got == {1: "denied", 2: "applied", 3: "denied", 5: "denied", 6: "denied"}
+    assert got == {1: "denied", 2: "applied", 3: "denied", 5: "denied", 6: "denied", 8: "denied", 9: "denied"}
 
 
 def test_stage_durations(spark):
     e = [(1, "s", "active", T0, 0), (1, "s", "done", T0 + timedelta(seconds=2), 1), (1, "s", "active", T0 + timedelta(seconds=5), 2), (1, "s", "error", T0 + timedelta(seconds=6), 3), (1, "t", "active", T0, 4)]
     got = {r.stage: (r.ms, r.reason) for r in H.stage_durations(spark.createDataFrame(e, "run long, stage string, status string, ts timestamp, event_id long"), "run").collect()}
     assert got == {"s": (3000.0, None), "t": (None, "stage did not end")}
+
+
+def test_state_expires_with_event_time(spark, folder):
+    """Keys that event time has left behind hold no state; a late use of an old nonce is a new one only then."""
+    data = [(k, k, f"n{k}", T0 + timedelta(seconds=k)) for k in range(20)] + [(99, 100 + i, "x", T0 + timedelta(days=1 + i)) for i in range(3)]
+    parts = [data[:20], data[20:21], data[21:22], data[22:]]
+    path = None
+    for part in parts:
+        path = folder(part, "scope long, event_id long, nonce string, ts timestamp", 1)
+    stream = H.read_table(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    out = H.replay_guard(stream, window_s=60.0)
+    with H._rocksdb(spark):
+        where = H.shared_folder(spark)
+        job = out.writeStream.option("checkpointLocation", f"{where}/c").trigger(availableNow=True).format("parquet").start(f"{where}/out")
+        job.awaitTermination()
+        last = job.recentProgress[-1]["stateOperators"][0]
+    assert spark.read.parquet(f"{where}/out").where("first_use").count() == 23
+    assert last["numRowsTotal"] <= 6  # one key's nonce, count and timer

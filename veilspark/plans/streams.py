@@ -13,8 +13,12 @@ from .inputs import table
 from .registry import query
 
 
+#: Files of a table that one batch of a stream takes.
+FILES = 64
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return H.read_table(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema)
+    return H.read_table(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema, files_per_batch=FILES)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,14 +152,14 @@ def h9_stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "n_masked", F.md5("masked").alias("digest"))
 
 
-_WORDS = "unnest(list_slice(list_filter(string_split(text, ' '), lambda w: length(w) > 12), 1, 2))"
+_WORDS = "unnest(list_filter(string_split(text, ' '), lambda w: length(w) > 9))"
 
 
 @query(f"""WITH v AS (SELECT DISTINCT conv_id, {_WORDS} AS value FROM conversations WHERE role = 'user'), h AS (SELECT c.conv_id, c.turn, value FROM conversations c JOIN v USING (conv_id) WHERE role = 'assistant' AND contains(lower(text), lower(value)))
 SELECT conv_id, count(*) AS alerts FROM h GROUP BY conv_id""")
 def h10_stream_leak_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two long words of each user turn as secrets, the assistant's turns as what goes out."""
-    words = F.slice(F.filter(F.split("text", " "), lambda w: F.length(w) > 12), 1, 2)
+    """The long words of user turns as secrets, the assistant's turns as what goes out."""
+    words = F.filter(F.split("text", " "), lambda w: F.length(w) > 9)
     said = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("scope"), F.col("turn").alias("source_ord"), F.posexplode(words).alias("start", "value"), F.lit("WORD").alias("type"))
     vault = K.mint_tokens(said).withColumnRenamed("scope", "conv_id")
     bodies = _stream(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
@@ -164,10 +168,10 @@ def h10_stream_leak_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def h11_value_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signups issue a reference for their user, clicks and purchases apply it."""
+    """Signups issue a reference for their user, clicks and purchases apply it; at times the clock runs backwards."""
     e = _events(spark, sf_dir).where("event_type IN ('signup', 'click', 'purchase')")
     ops = e.select(
-        F.col("user_id").alias("reference_id"), "event_id", _burst().alias("ts"), F.when(F.col("event_type") == "signup", "issue").otherwise("apply").alias("op"), F.when(F.col("event_id") % 7 == 0, "phone").otherwise("email").alias("kind"), F.lit("#to").alias("target"), F.lit("r1").alias("revision"), (F.col("event_id") % 5 != 0).alias("confirmed")
+        F.col("user_id").alias("reference_id"), "event_id", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 23 == 0, _burst() - F.expr("INTERVAL 5 SECONDS")).otherwise(_burst()).alias("ts"), F.when(F.col("event_type") == "signup", "issue").otherwise("apply").alias("op"), F.when(F.col("event_id") % 7 == 0, "phone").otherwise("email").alias("kind"), F.lit("#to").alias("target"), F.lit("r1").alias("revision"), (F.col("event_id") % 5 != 0).alias("confirmed")
     )
     return H.run_available(H.value_references(ops))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,76 +18,119 @@ def in_order(rows: Iterator[pd.DataFrame], *columns: str) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(list(columns), kind="stable")
 
 
-class RateLimiter(StatefulProcessor):
+class Expiring(StatefulProcessor):
+    """State that event time outlives: a timer drops a key once the watermark is past all that could depend on it."""
+
+    def keep_until(self, end: pd.Timestamp) -> None:
+        """The key's only timer, which is late enough for its latest event."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(int(end.timestamp() * 1000) + 1)
+
+    def drop(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.drop()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class RateLimiter(Expiring):
     """A sliding log: at most ``most`` accepted requests in ``window_s`` seconds; refused ones leave no mark."""
 
     def __init__(self, most: int = 20, window_s: float = 60.0):
         self.most, self.window = most, pd.Timedelta(seconds=window_s)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.log = handle.getListState("accepted", "ts timestamp")
+        self.handle, self.log = handle, handle.getListState("accepted", "ts timestamp")
+
+    def drop(self) -> None:
+        self.log.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        log = [pd.Timestamp(x[0]) for x in self.log.get()] if self.log.exists() else []
+        log = deque(pd.Timestamp(x[0]) for x in self.log.get()) if self.log.exists() else deque()
         frame, verdicts = in_order(rows, "ts", "event_id"), []
         for ts in frame["ts"]:
-            log = [t for t in log if ts - t < self.window]
-            ok = len(log) < self.most
-            if ok:
+            while log and ts - log[0] >= self.window:
+                log.popleft()
+            verdicts.append(len(log) < self.most)
+            if verdicts[-1]:
                 log.append(ts)
-            verdicts.append(ok)
         self.log.put([(t.to_pydatetime(),) for t in log])
+        self.keep_until(frame["ts"].iloc[-1] + self.window)
         yield pd.DataFrame({"user_id": key[0], "event_id": frame["event_id"], "accepted": verdicts})
 
-    def close(self) -> None:
-        pass
 
+class ReplayGuard(Expiring):
+    """First use of a nonce within ``window_s`` wins; a full guard refuses rather than forgets.
 
-class ReplayGuard(StatefulProcessor):
-    """First use of a nonce within ``window_s`` wins; a full guard refuses rather than forgets."""
+    Nonces are a map of state, of which only a batch's own are read and written; a count and the oldest moment tell when
+    a sweep has anything to forget.
+    """
 
     def __init__(self, window_s: float = 600.0, most: int = 10_000):
         self.window, self.most = pd.Timedelta(seconds=window_s), most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "nonce string", "ts timestamp")
+        self.handle, self.seen = handle, handle.getMapState("seen", "nonce string", "ts timestamp")
+        self.held = handle.getValueState("held", "n long, oldest timestamp")
+
+    def drop(self) -> None:
+        self.seen.clear()
+        self.held.clear()
+
+    def swept(self, until: pd.Timestamp) -> tuple[int, pd.Timestamp | None]:
+        """Drop what is older than ``until``; how many are left, and the oldest moment of them."""
+        left = []
+        for nonce, at in list(self.seen.iterator()):
+            if pd.Timestamp(at[0]) < until:
+                self.seen.removeKey(nonce)
+            else:
+                left.append(pd.Timestamp(at[0]))
+        return len(left), min(left, default=None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        seen = {k[0]: pd.Timestamp(v[0]) for k, v in self.seen.iterator()} if self.seen.exists() else {}
-        before = set(seen)
+        n, oldest = self.held.get() if self.held.exists() else (0, None)
+        oldest = None if oldest is None else pd.Timestamp(oldest)
         frame, verdicts = in_order(rows, "ts", "event_id"), []
         for ts, nonce in zip(frame["ts"], frame["nonce"], strict=True):
-            oldest = next(iter(seen.values()), None)
-            if len(seen) >= self.most or (oldest is not None and oldest < ts - self.window):
-                seen = {n: t for n, t in seen.items() if t >= ts - self.window}
-            ok = len(seen) < self.most and nonce not in seen
-            if ok:
-                seen[nonce] = ts
-            verdicts.append(ok)
-        for nonce in before - set(seen):
-            self.seen.removeKey((nonce,))
-        for nonce, ts in seen.items():
-            self.seen.updateValue((nonce,), (ts.to_pydatetime(),))
+            until = ts - self.window
+            if oldest is not None and oldest < until:  # a guard whose oldest is within the window has nothing to forget
+                n, oldest = self.swept(until)
+            first = n < self.most and not self.seen.containsKey((nonce,))
+            if first:
+                self.seen.updateValue((nonce,), (ts.to_pydatetime(),))
+                n, oldest = n + 1, ts if oldest is None else oldest
+            verdicts.append(first)
+        self.held.update((int(n), None if oldest is None else oldest.to_pydatetime()))
+        self.keep_until(frame["ts"].iloc[-1] + self.window)
         yield pd.DataFrame({"scope": key[0], "event_id": frame["event_id"], "first_use": verdicts})
 
-    def close(self) -> None:
-        pass
 
+class RunBudget(Expiring):
+    """A run's first terminal status: completed, no progress, too many steps, or past its deadline.
 
-class RunBudget(StatefulProcessor):
-    """A run's first terminal status: completed, no progress, too many steps, or past its deadline."""
+    A run is forgotten a day (``forget_s``) after its last event; one that comes back then is a new run.
+    """
 
-    def __init__(self, most_steps: int = 8, deadline_s: float = 90.0, no_progress: int = 2):
+    def __init__(self, most_steps: int = 8, deadline_s: float = 90.0, no_progress: int = 2, forget_s: float = 86_400.0):
         self.most, self.deadline, self.still = most_steps, pd.Timedelta(seconds=deadline_s), no_progress
+        self.forget = pd.Timedelta(seconds=forget_s)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "started timestamp, actions long, unchanged long, print string, status string")
+        self.handle, self.run = handle, handle.getValueState("run", "started timestamp, actions long, unchanged long, print string, status string")
+
+    def drop(self) -> None:
+        self.run.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.run.get() if self.run.exists() else None
         started, actions, unchanged, seen, status = held if held else (None, 0, 0, None, None)
-        at = None
-        for r in in_order(rows, "ts", "event_id").itertuples():
+        at, frame = None, in_order(rows, "ts", "event_id")
+        for r in frame.itertuples():
             if status:
                 break
             started = pd.Timestamp(started) if started is not None else r.ts
@@ -105,31 +149,37 @@ class RunBudget(StatefulProcessor):
                     seen, actions = r.fingerprint, actions + 1
             at = r.event_id
         self.run.update((pd.Timestamp(started).to_pydatetime(), int(actions), int(unchanged), seen, status))
+        self.keep_until(frame["ts"].iloc[-1] + self.forget)
         if status and at is not None and not (held and held[4]):
             yield pd.DataFrame({"run_id": [key[0]], "status": [status], "actions": [int(actions)], "event_id": [int(at)]})
 
-    def close(self) -> None:
-        pass
 
+class ValueReferences(Expiring):
+    """References that allow one write: issued for a kind, a target and a revision, consumed before use, short-lived.
 
-class ValueReferences(StatefulProcessor):
-    """References that allow one write: issued for a kind, a target and a revision, consumed before use, short-lived."""
+    A use before the reference was issued, or after its time, revokes it.
+    """
 
     def __init__(self, ttl_s: float = 30.0):
         self.ttl = pd.Timedelta(seconds=ttl_s)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "issued timestamp, kind string, target string, revision string")
+        self.handle, self.held = handle, handle.getValueState("held", "issued timestamp, kind string, target string, revision string")
+
+    def drop(self) -> None:
+        self.held.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.held.get() if self.held.exists() else None
         ids, results = [], []
-        for r in in_order(rows, "ts", "event_id").itertuples():
+        for r in in_order(rows, "seq").itertuples():
             if r.op == "issue":
                 held = (r.ts, r.kind, r.target, r.revision)
                 continue
-            fresh = held is not None and r.ts - pd.Timestamp(held[0]) < self.ttl
-            fits = fresh and bool(r.confirmed) and tuple(held[1:]) == (r.kind, r.target, r.revision)
+            age = None if held is None else r.ts - pd.Timestamp(held[0])
+            if age is not None and not pd.Timedelta(0) <= age < self.ttl:
+                held = None
+            fits = held is not None and bool(r.confirmed) and tuple(held[1:]) == (r.kind, r.target, r.revision)
             if fits:
                 held = None
             ids.append(r.event_id)
@@ -138,27 +188,27 @@ class ValueReferences(StatefulProcessor):
             self.held.clear()
         else:
             self.held.update((pd.Timestamp(held[0]).to_pydatetime(), *held[1:]))
+            self.keep_until(pd.Timestamp(held[0]) + self.ttl)
         yield pd.DataFrame({"reference_id": key[0], "event_id": pd.Series(ids, dtype="int64"), "result": pd.Series(results, dtype="object")})
 
-    def close(self) -> None:
-        pass
-
 
-class LastActions(StatefulProcessor):
-    """The last ``n`` actions of a key, in order, after each batch."""
+class LastActions(Expiring):
+    """The last ``n`` actions of a key, in order, after each batch; forgotten ``forget_s`` after the last one."""
 
-    def __init__(self, n: int = 8):
-        self.n = n
+    def __init__(self, n: int = 8, forget_s: float = 365 * 86_400.0):
+        self.n, self.forget = n, pd.Timedelta(seconds=forget_s)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getListState("last", "event_id long, action string")
+        self.handle, self.last = handle, handle.getListState("last", "event_id long, action string")
+
+    def drop(self) -> None:
+        self.last.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = [tuple(x) for x in self.last.get()] if self.last.exists() else []
-        last += [(int(r.event_id), r.action) for r in in_order(rows, "ts", "event_id").itertuples()]
+        frame = in_order(rows, "ts", "event_id")
+        last += [(int(r.event_id), r.action) for r in frame.itertuples()]
         last = last[-self.n :]
         self.last.put(last)
+        self.keep_until(frame["ts"].iloc[-1] + self.forget)
         yield pd.DataFrame({"user_id": [key[0]], "event_id": [last[-1][0]], "history": [",".join(a for _, a in last)]})
-
-    def close(self) -> None:
-        pass

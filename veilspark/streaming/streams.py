@@ -15,6 +15,7 @@ from ..operators import tokens as K
 from .state import LastActions, RateLimiter, ReplayGuard, RunBudget, ValueReferences
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LATEST = "1 hour"  # how late an event may come
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -42,8 +43,11 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; a cluster without one is an error, only local mode has its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="spark-veil-")
@@ -72,10 +76,16 @@ def audit_sink(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """With a watermark of an hour, by which state expires, unless the stream has its own."""
+    marked = any("spark.watermarkDelayMs" in f.metadata for f in events.schema)
+    return events if marked else events.withWatermark("ts", LATEST)
+
+
 def rate_limit(events: DataFrame, most: int = 20, window_s: float = 60.0) -> DataFrame:
     """``(user_id, event_id, accepted)`` for every request ``(user_id, event_id, ts)``."""
     out = "user_id long, event_id long, accepted boolean"
-    return events.groupBy("user_id").transformWithStateInPandas(RateLimiter(most, window_s), out, "append", "none")
+    return _timed(events).groupBy("user_id").transformWithStateInPandas(RateLimiter(most, window_s), out, "append", "EventTime")
 
 
 def rate_windows(events: DataFrame, window: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
@@ -86,7 +96,7 @@ def rate_windows(events: DataFrame, window: str = "60 seconds", slide: str = "10
 def replay_guard(requests: DataFrame, window_s: float = 600.0, most: int = 10_000) -> DataFrame:
     """``(scope, event_id, first_use)`` for every request ``(scope, event_id, nonce, ts)``."""
     out = "scope long, event_id long, first_use boolean"
-    return requests.groupBy("scope").transformWithStateInPandas(ReplayGuard(window_s, most), out, "append", "none")
+    return _timed(requests).groupBy("scope").transformWithStateInPandas(ReplayGuard(window_s, most), out, "append", "EventTime")
 
 
 def first_uses(requests: DataFrame, delay: str = "600 seconds") -> DataFrame:
@@ -110,7 +120,7 @@ def stage_durations(events: DataFrame, *keys: str) -> DataFrame:
 def run_budget(events: DataFrame, most_steps: int = 8, deadline_s: float = 90.0, no_progress: int = 2) -> DataFrame:
     """``(run_id, status, actions, event_id)`` once per run, from ``(run_id, event_id, ts, complete, fingerprint)``."""
     out = "run_id long, status string, actions long, event_id long"
-    return events.groupBy("run_id").transformWithStateInPandas(RunBudget(most_steps, deadline_s, no_progress), out, "append", "none")
+    return _timed(events).groupBy("run_id").transformWithStateInPandas(RunBudget(most_steps, deadline_s, no_progress), out, "append", "EventTime")
 
 
 def freshness_join(captures: DataFrame, actions: DataFrame, key: str, within: str = "30 seconds", delay: str = "1 minute") -> DataFrame:
@@ -133,7 +143,7 @@ def action_history(events: DataFrame, n: int = 8) -> DataFrame:
 
 def action_history_stream(events: DataFrame, n: int = 8) -> DataFrame:
     out = "user_id long, event_id long, history string"
-    return events.groupBy("user_id").transformWithStateInPandas(LastActions(n), out, "append", "none")
+    return _timed(events).groupBy("user_id").transformWithStateInPandas(LastActions(n), out, "append", "EventTime")
 
 
 def run_sessions(events: DataFrame, gap: str, by: str) -> DataFrame:
@@ -153,9 +163,12 @@ def stream_leak_alert(bodies: DataFrame, vault: DataFrame, key: str, text: str =
 
 
 def value_references(ops: DataFrame, ttl_s: float = 30.0) -> DataFrame:
-    """``(reference_id, event_id, result)`` for every apply of ``(reference_id, event_id, ts, op, kind, target, revision, confirmed)``."""
+    """``(reference_id, event_id, result)`` for every apply of ``(reference_id, event_id, seq, ts, op, kind, target, revision, confirmed)``.
+
+    Operations are taken in the order of ``seq``; a clock that ran backwards shows in ``ts``.
+    """
     out = "reference_id long, event_id long, result string"
-    return ops.groupBy("reference_id").transformWithStateInPandas(ValueReferences(ttl_s), out, "append", "none")
+    return _timed(ops).groupBy("reference_id").transformWithStateInPandas(ValueReferences(ttl_s), out, "append", "EventTime")
 
 
 def gate_windows(plans: DataFrame, size: str = "1 day", delay: str = "1 hour") -> DataFrame:
