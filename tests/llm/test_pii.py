@@ -70,3 +70,65 @@ def test_reliabilities_tell_good_labelers_from_noise():
     p, chance = P.reliabilities(patterns, counts.astype(float))
     assert chance[1, 0, 2] > 0.85 > chance[1, 2, 2]
     assert p[(patterns == 2).all(axis=1)][0] > 0.9 and p[(patterns == 0).all(axis=1)][0] < 0.1
+
+
+def planted(n, seed=3):
+    """Texts with spans that are personal data, and with spans of the same forms that aren't."""
+    import random
+
+    draw, out = random.Random(seed), []
+    digits = lambda k: "".join(draw.choices("0123456789", k=k))
+    hexes = lambda k: "".join(draw.choices("0123456789abcdef", k=k))
+    word = lambda: "".join(draw.choices("aeioulmnrst", k=draw.randint(3, 8)))
+    good = (
+        lambda: ("phone", "call my phone ", f"{draw.randint(2, 9)}{digits(2)}-{draw.randint(2, 9)}{digits(2)}-{digits(4)}"),
+        lambda: ("ssn", "his social security number is ", f"{draw.randint(100, 665)}-{draw.randint(10, 99)}-{draw.randint(1000, 9999)}"),
+        lambda: ("secret", "the ", f"password={hexes(18)}"),
+        lambda: ("secret", "set ", f'token = "{hexes(40)}"'),
+        lambda: ("email", "mail to ", f"{word()}.{word()}(at){word()}(dot)com"),
+        lambda: ("name", "a letter from ", f"Dr. {draw.choice(['Anna', 'Peter', 'Maria', 'Zora'])} {word().title()}"),
+    )
+    bad = (
+        lambda: ("phone", "order ", f"0{digits(2)}-0{digits(2)}-{digits(4)}"),
+        lambda: ("ssn", "part no ", f"000-00-{digits(4)}"),
+        lambda: ("secret", "the ", f"password={draw.choice(['changeme', 'none', 'placeholder'])}{draw.choice(['', 's', '123'])}xxxx"),
+    )
+    for i in range(n):
+        text, spans = "", []
+        for _ in range(4):
+            text += " ".join(word() for _ in range(draw.randint(3, 9))) + " "
+            kind, lead, value = draw.choice(good + bad[: 3 if i % 2 else 1])()
+            is_good = not (lead in ("order ", "part no ") or "xxxx" in value)
+            text += lead
+            start = len(text) + (value.index("=") + 1 + 2 * (value[value.index("=") + 1] == " ") if "=" in value else 4 if kind == "name" else 0)
+            text += value
+            end = len(text) - value.endswith('"')
+            if is_good:
+                spans.append((kind, start, end))
+            text += ". "
+        out.append((i, text, spans))
+    return out
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    rows = planted(400)
+    got = {r.doc_id: r.spans for r in P.find(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    found = {(i, *x.split(":")) for i, spans in got.items() for x in spans.split(",") if x}
+    true = {(i, kind, str(start), str(end)) for i, _, spans in rows for kind, start, end in spans}
+    hit = len(found & true)
+    assert hit / len(found) > 0.95 and hit / len(true) > 0.95, (hit, len(found), len(true))
+
+
+def test_classifier_can_accept_what_the_strict_form_refuses(spark):
+    rows = [(i, f"the password={i:09d}abcdef{i % 7} x") for i in range(300)] + [(1000 + i, f'token = "{i:020d}abcdef0123{i % 9}"') for i in range(300)]
+    got = {r.doc_id: r.spans for r in P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("secret:13:29" in got[i] for i in range(300)) > 280  # sixteen characters are fewer than the strict form wants
+
+
+def test_overlapping_candidates_of_one_start(spark):
+    text = "reach anna at mail dot com dot org or anna(at)mail(dot)com, call 212-555-0199"
+    rows = [(i, text) for i in range(50)]
+    spans = {r.spans for r in P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(spans) == 1
+    places = sorted(tuple(map(int, x.split(":")[1:])) for x in spans.pop().split(","))
+    assert all(a[1] <= b[0] for a, b in zip(places, places[1:], strict=False))
