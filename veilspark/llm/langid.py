@@ -7,12 +7,13 @@ space; one-versus-rest ridge regression there learns the languages. Scoring is o
 texts: their presence rows by the landmarks' rows, folded with the regression's weights.
 
 The classifier is fitted on a bounded sample (``PER_LANG`` texts of each language, ``SAMPLE`` in all, the first by a
-digest of their ids); every text is scored whole.
+digest of their ids), of which the first ``LANDMARKS`` of each language, ``ALL_LANDMARKS`` in all, are landmarks; every
+text is scored whole. A text for which no language's value is above zero is claimed by none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +28,9 @@ ship(__name__)
 
 BUCKETS = 1 << 18
 PER_LANG = 200
-SAMPLE = 20_000
+SAMPLE = 8_000
 LANDMARKS = 16
+ALL_LANDMARKS = 256
 RIDGE = 1e-3
 SHARPNESS = 4.0
 UNKNOWN = "und"
@@ -66,43 +68,59 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
 
-    def scores(self, presence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Softmax of the one-versus-rest values, a row for each text."""
-        value = presence @ self.weights / np.sqrt(np.maximum(sizes, 1))[:, None] + self.bias
+    def values(self, presence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The one-versus-rest values, a row for each text, to five places, so that equal texts' values are equal."""
+        return np.round(presence @ self.weights / np.sqrt(np.maximum(sizes, 1))[:, None] + self.bias, 5)
+
+    @staticmethod
+    def shares(value: np.ndarray) -> np.ndarray:
+        """Their softmax."""
         value = np.exp(SHARPNESS * (value - value.max(axis=1, keepdims=True)))
         return value / value.sum(axis=1, keepdims=True)
 
 
-def fit(langs: list[str], features: list[np.ndarray], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """From each text's language and buckets. The first ``landmarks`` texts of each language are the landmarks."""
+def packed(table: np.ndarray) -> bytes:
+    """A text's buckets, as a list if it is short and else as a bitmap: 32 KiB at most."""
+    at = np.flatnonzero(table).astype("<i4")
+    return b"l" + at.tobytes() if len(at) < BUCKETS // 32 else b"b" + np.packbits(table).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<i4", offset=1) if raw[:1] == b"l" else np.flatnonzero(np.unpackbits(np.frombuffer(raw, "u1", offset=1)))
+
+
+def fit(langs: list[str], features: list[bytes], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """From each text's language and packed buckets. The first texts of each language are the landmarks."""
     names = sorted(set(langs))
-    place = [i for n in names for i in [j for j, x in enumerate(langs) if x == n][:landmarks]]
-    vocabulary = np.unique(np.concatenate([features[i] for i in place]))
+    each = max(1, min(landmarks, ALL_LANDMARKS // len(names)))
+    where = {n: i for i, n in enumerate(names)}
+    of: list[list[int]] = [[] for _ in names]
+    for i, n in enumerate(langs):
+        of[where[n]].append(i)
+    place = [i for own in of for i in own[:each]]
+    vocabulary = np.unique(np.concatenate([unpacked(features[i]) for i in place]))
+    sizes = np.array([max(1, len(unpacked(f))) for f in features])
 
     def rows(which: list[int]) -> np.ndarray:
         out = np.zeros((len(which), len(vocabulary)), dtype=np.float32)
         for r, i in enumerate(which):
-            at = np.searchsorted(vocabulary, features[i])
-            at = at[(at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == features[i])]
-            out[r, at] = 1
+            out[r] = np.isin(vocabulary, unpacked(features[i]), assume_unique=True)
         return out
 
-    marks = rows(place)
-    norms = np.sqrt([max(1, len(features[i])) for i in place])
-    basis = (marks / norms[:, None]).astype(np.float32)
+    basis = rows(place) / np.sqrt(sizes[place])[:, None].astype(np.float32)
     value, vector = np.linalg.eigh((basis @ basis.T).astype(np.float64))
     keep = value > 1e-6 * value.max()
     fold = vector[:, keep] / np.sqrt(value[keep])
-    kernel = np.concatenate([rows(list(range(i, min(i + 500, len(langs))))) @ basis.T for i in range(0, len(langs), 500)])
-    kernel = kernel / np.sqrt([max(1, len(f)) for f in features])[:, None]
-    x = np.column_stack([kernel @ fold, np.ones(len(langs))])
-    y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    balance = np.array([1 / langs.count(n) for n in names])[[names.index(n) for n in langs]]
+    kernel = np.concatenate([rows(list(range(i, min(i + 100, len(langs))))) @ basis.T for i in range(0, len(langs), 100)])
+    x = np.column_stack([kernel / np.sqrt(sizes)[:, None] @ fold, np.ones(len(langs))])
+    mine = np.array([where[n] for n in langs])
+    y = np.where(mine[:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
+    balance = 1 / np.array([len(own) for own in of])[mine]
     w = np.linalg.solve((x * balance[:, None]).T @ x + ridge * np.eye(x.shape[1]), (x * balance[:, None]).T @ y)
     return Model(names, vocabulary, (basis.T @ (fold @ w[:-1])).astype(np.float32), w[-1])
 
 
-def sample(docs: DataFrame, train: Column, id_col: str, text: str, lang: str) -> tuple[list[str], list[np.ndarray]]:
+def sample(docs: DataFrame, train: Column, id_col: str, text: str, lang: str) -> tuple[list[str], list[bytes]]:
     """Languages and buckets of the texts to learn from."""
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), uniform(F.col(id_col), "lang:").alias("u"))
@@ -121,34 +139,36 @@ def sample(docs: DataFrame, train: Column, id_col: str, text: str, lang: str) ->
             for raw in batch.column(1):
                 table[:] = False
                 mark(raw.as_py(), table)
-                got.append(np.flatnonzero(table).astype("<i4").tobytes())
+                got.append(packed(table))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.binary())], ["lang", "u", "buckets"])
 
-    found = picked.mapInArrow(run, "lang string, u double, buckets binary").orderBy("u", "buckets").limit(3 * SAMPLE).collect()
+    found = picked.mapInArrow(run, "lang string, u double, buckets binary").orderBy("u", "buckets").limit(2 * SAMPLE).collect()
     langs, features, seen = [], [], {}
     for r in found:
         seen[r.lang] = seen.get(r.lang, 0) + 1
         if seen[r.lang] <= each:
             langs.append(r.lang)
-            features.append(np.frombuffer(bytes(r.buckets), "<i4"))
+            features.append(bytes(r.buckets))
     return langs, features
 
 
 def predict(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` plus ``lang_pred`` and ``score``: the language learned that fits best, and its share of the softmax.
+    """``docs`` plus ``lang_pred``, ``score`` and ``claim``: the language learned that fits best, its share of the softmax,
+    and its one-versus-rest value.
 
-    Texts that are null or hold no letter are ``und`` with score 0, as is every text if no row can be learned from.
-    Rows are judged each by its text alone: repeats alike. Columns of those two names are replaced.
+    Texts that are null or hold no letter are ``und`` with score 0 and no claim, as is every text if no row can be
+    learned from. Of equal values the first name wins. Rows are judged each by its text alone: repeats alike, and a
+    very long text is marked piece by piece. Columns of those three names are replaced; an empty table gives one.
     """
     langs, features = sample(docs, train, id_col, text, lang)
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop("lang_pred", "score", "claim")
     at = kept.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(fit(langs, features) if langs else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = sent.value, np.zeros(BUCKETS, dtype=bool)
         for batch in batches:
-            names, scores = [UNKNOWN] * len(batch), np.zeros(len(batch))
+            names, scores, claims = [UNKNOWN] * len(batch), np.zeros(len(batch)), np.full(len(batch), np.nan)
             for lo in range(0, len(batch) if model else 0, 512):
                 which, presence, sizes = [], [], []
                 for i, raw in enumerate(batch.column(at).slice(lo, 512), lo):
@@ -160,21 +180,27 @@ def predict(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str =
                         presence.append(table[model.vocabulary])
                         sizes.append(np.count_nonzero(table))
                 if which:
-                    got = model.scores(np.array(presence, dtype=np.float32), np.array(sizes))
+                    got = model.values(np.array(presence, dtype=np.float32), np.array(sizes))
                     best = got.argmax(axis=1)
-                    scores[which] = got.max(axis=1)
+                    claims[which], scores[which] = got.max(axis=1), model.shares(got).max(axis=1)
                     for i, b in zip(which, best, strict=True):
                         names[i] = model.langs[b]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(claims, from_pandas=True)], [*batch.schema.names, "lang_pred", "score", "claim"])
 
-    fields = [*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("claim", T.DoubleType())]
     return kept.mapInArrow(run, T.StructType(fields))
 
 
-def keep_known(docs: DataFrame, train: Column, least: float = 0.0, **columns: str) -> DataFrame:
-    """``docs`` without the texts that no language was found for, or one with a lower score than ``least``."""
+def keep_known(docs: DataFrame, train: Column, least: float = 0.0, langs: Sequence[str] | None = None, **columns: str) -> DataFrame:
+    """``docs`` without those that are rejected: texts that no language claims with a value of ``least`` or more, and, if
+    ``langs`` are given, those of another language.
+
+    Null texts and texts without a letter go; repeated rows are judged alike and all stay or all go; columns may have
+    any names. If no row can be learned from, nothing is claimed and nothing stays; an empty table gives an empty table.
+    """
     names = docs.columns
     safe = [f"__veil_{i}" for i in range(len(names))]
     given = {v: safe[names.index(v)] for v in (columns.get("id_col", "doc_id"), columns.get("text", "text"), columns.get("lang", "lang"))}
     out = predict(docs.toDF(*safe), train, **dict(zip(("id_col", "text", "lang"), given.values(), strict=True)))
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*safe).toDF(*names)
+    wanted = F.lit(True) if langs is None else F.col("lang_pred").isin(*langs)
+    return out.where((F.col("claim") >= least) & wanted).select(*safe).toDF(*names)
