@@ -123,6 +123,7 @@ def test_equal_values_take_the_first_name(spark):
 
 def test_unclaimed_texts_and_unwanted_languages_go(spark):
     rows = [(i, f"the cat sat on the mat {i % 7}", "en") for i in range(60)] + [(100 + i, f"le chien est dans la maison {i % 7}", "fr") for i in range(60)]
+    rows += [(200 + i, f"der hund ist in dem haus {i % 7}", "de") for i in range(60)]
     rows += [(500, "\u0416\u0443\u043a \u0438\u0434\u0451\u0442 \u0434\u043e\u043c\u043e\u0439 \u0449\u0430\u0441", None), (501, None, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.doc_id for r in L.keep_known(docs, F.lit(True)).collect()} == {r[0] for r in rows} - {500, 501}

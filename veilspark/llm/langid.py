@@ -8,7 +8,8 @@ texts: their presence rows by the landmarks' rows, folded with the regression's
 
 The classifier is fitted on a bounded sample (``PER_LANG`` texts of each language, ``SAMPLE`` in all, the first by a
 digest of their ids), of which the first ``LANDMARKS`` of each language, ``ALL_LANDMARKS`` in all, are landmarks; every
-text is scored whole. A text for which no language's value is above zero is claimed by none.
+text is scored whole. A text for which no language's value is above zero is claimed by none (of two languages one
+always claims, for their values mirror each other).
 """
 
 from __future__ import annotations
