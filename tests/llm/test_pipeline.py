@@ -2,10 +2,13 @@
 
 from hashlib import md5
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
-from veilspark.llm import common, mixing, sharding
+from veilspark.llm import common, langid, mixing, sharding
 
 from .test_decontaminate import plain as plain_hits
+from .test_langid import marked, nystrom
 from .test_simhash import plain as plain_print
 from .test_simhash import plain_groups
 
@@ -22,7 +25,13 @@ def test_stages(spark, sf):
         got = {r.doc_id for r in out.collect()}
         assert out.count() == len(got)
         if name == "language":
-            want = {d for d, r in rows.items() if r.text and any(c.isalpha() for c in r.text)}
+            langs, features = langid.sample(docs, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 0, "doc_id", "text", "lang")
+            ids = [d for d, r in rows.items() if langid.has_letter(r.text)]
+            _, value = nystrom(langs, [set(langid.unpacked(f).tolist()) for f in features], marked([rows[d].text for d in ids]))
+            top = dict(zip(ids, value.max(axis=1), strict=True))
+            near = {d for d, v in top.items() if abs(v) < 2e-3}
+            want = {d for d, v in top.items() if v >= 0} - near | got & near
+            assert len(ids) * 0.95 < len(want) < len(rows)
         elif name == "near_duplicates":
             keyed = {(d is None, d or 0): plain_print(r.text) for d, r in rows.items()}
             want = {None if k[0] else k[1] for k in set(plain_groups(keyed).values())}
