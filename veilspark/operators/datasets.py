@@ -116,9 +116,11 @@ def content_fingerprint(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
-def dataset_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows and a digest of all of them that doesn't depend on their order."""
-    return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*sorted(columns)).cast("decimal(38,0)")).alias("fingerprint"))
+def dataset_fingerprint(df: DataFrame, columns: Sequence[str], *by: str) -> DataFrame:
+    """Rows and a digest of all of them that doesn't depend on their order, of the table or of each group: the sum of the
+    rows' first 60 bits of SHA-256."""
+    head = F.conv(F.substring(content_fingerprint(df, columns), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(head).cast("string").alias("fingerprint"))
 
 
 def drift(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
@@ -127,9 +129,9 @@ def drift(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
 
 
 def page_digest(text: Column) -> Column:
-    """``length:hash``, the hash being h x 31 + code point over the text, modulo 2^32."""
+    """``length:hash`` in hexadecimal, the hash being h x 31 + character over the text, modulo 2^32."""
     h = F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % 4294967296)
-    return F.concat_ws(":", F.length(text).cast("string"), h.cast("string"))
+    return F.concat_ws(":", F.length(text).cast("string"), F.lower(F.hex(h)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,34 +26,31 @@ def sensitive_spans(docs: DataFrame, text: str = "text", out: str = "spans") ->
     return with_codes.withColumn(out, S.suppressed(F.col("_all"))).drop("_all")
 
 
-def secret_scan(docs: DataFrame, allowed: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
-    """One row per text and pattern found in it; paths that match a pattern of ``allowed`` (small) and huge texts are skipped."""
+def secret_scan(docs: DataFrame, allowed: Sequence[str] = (), text: str = "text", path: str = "path") -> DataFrame:
+    """One row per text and pattern found in it; paths that match a pattern of ``allowed`` and huge texts are skipped."""
     scanned = docs.where(F.octet_length(text) <= P.SECRET_TEXT_LIMIT)
-    scanned = scanned.join(F.broadcast(allowed), F.expr(f"{path} rlike allowed"), "left_anti")
+    if allowed:
+        scanned = scanned.where(~F.coalesce(F.col(path).rlike("|".join(f"(?:{a})" for a in allowed)), F.lit(False)))
     found = F.array_compact(F.array(*(F.when(F.col(text).rlike(p.regex), F.struct(F.lit(p.name).alias("pattern"), F.lit(p.severity).alias("severity"))) for p in P.SECRETS)))
     return S.spread(scanned, *(c for c in docs.columns if c != text), items=found, test="pattern")
 
 
-def forbidden_lines(docs: DataFrame, needles: Sequence[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Numbers, from one, of the lines that hold any of ``needles`` in either case."""
+def glob_regex(glob: str) -> str:
+    """A path pattern as a regex: ``**/`` any folders, ``*`` within one, a closing ``/`` all below."""
+    parts = {"**/": "(?:.*/)?", "*": "[^/]*"}
+    body = "".join(parts.get(p) or re.escape(p) for p in re.findall(r"\*\*/|\*|[^*]+", glob))
+    return f"^{body}" if glob.endswith("/") else f"^{body}$"
+
+
+def forbidden_lines(docs: DataFrame, needles: Sequence[str], id_col: str = "doc_id", text: str = "text", allowed: Sequence[str] = (), path: str = "path") -> DataFrame:
+    """Numbers, from one, of the lines that hold any of ``needles`` in either case, but for paths that a glob allows."""
+    if allowed:
+        docs = docs.where(~S.any_of([F.col(path).rlike(glob_regex(g)) for g in allowed]))
     lines = docs.select(id_col, F.posexplode(F.split(text, "\n")).alias("at", "line"))
     hit = S.any_of([F.contains(F.lower("line"), F.lit(n.lower())) for n in needles])
     return lines.where(hit).select(id_col, (F.col("at") + 1).alias("line"))
 
 
-def glob_regex(glob: str) -> str:
-    """A path pattern as a regex: ``**/`` any folders, ``*`` within one, a closing ``/`` all below."""
-    out, at = "^", 0
-    while at < len(glob):
-        if glob.startswith("**/", at):
-            out, at = out + "(?:.*/)?", at + 3
-            continue
-        char = glob[at]
-        out += "[^/]*" if char == "*" else "\\" + char if char in r".+?^${}()|[]\\" else char
-        at += 1
-    return out if glob.endswith("/") else out + "$"
-
-
 def egress_guard(bodies: DataFrame, keys: Sequence[str], leaves: str) -> DataFrame:
     """The first field of each body, in order, in which a pass finds anything: its pattern and field, never the value."""
     rows = bodies.select(*keys, F.posexplode(F.map_entries(leaves)).alias("ord", "leaf"))

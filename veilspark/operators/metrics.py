@@ -357,3 +357,61 @@ def impact(rates: DataFrame, *factors: str) -> DataFrame:
 def gated_share(test: Column, least: int) -> Column:
     """A share in percent that is null until enough samples are there."""
     return F.when(F.count("*") >= least, F.round(100 * n_if(test) / F.count("*"), 4))
+
+
+def benchmark_formulas(rows: DataFrame, *by: str) -> DataFrame:
+    """The benchmark's formulas over ``(weight, passed, fault, rating, run, unexpected)``, each null below its least sample.
+
+    Weighted share of passed scenarios; completion of 25 attempts; recovery from 20 faults; anchored ratings (0 to 4, 18
+    of them) as an index; the median of three runs; unexpected failures among 1000 requests.
+    """
+    passed, fault = F.col("passed"), F.col("fault")
+    faults = n_if(fault)
+    return rows.groupBy(*by).agg(
+        F.round(100 * F.sum(F.when(passed, F.col("weight")).otherwise(0)) / F.sum("weight"), 4).alias("functionality"), gated_share(passed, 25).alias("completion"), F.when(faults >= 20, F.round(100 * n_if(fault & passed) / faults, 4)).alias("recovery"),
+        F.when(F.count("rating") >= 18, F.round(100 * F.avg("rating") / 4, 4)).alias("narrative"), F.when(F.count("run") >= 3, F.round(F.median("run"), 6)).alias("median_run"), gated_share(F.col("unexpected"), 1000).alias("unexpected_failure"),
+    )
+
+
+OUTCOMES = ("unaided", "with_help", "fail")
+
+
+def review_log_check(people: DataFrame, reviewers: DataFrame, tasks: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables plus ``reasons``, every one that a row is refused for, empty for a valid row.
+
+    ``people(id, non_author, date_utc, tasks map)``, ``reviewers(id, rubric_score, date_utc)``.
+    """
+    said = lambda rules: F.array_join(F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(True)), name + ",") for name, test in rules))), "")
+    undated = F.coalesce("date_utc", F.lit("")) == ""
+    results = [~F.coalesce(F.try_element_at("tasks", F.lit(t)).isin(*OUTCOMES), F.lit(False)) for t in tasks]
+    unfinished = F.exists(F.array(*results), lambda x: x)
+    p = people.withColumn("reasons", said((("id", ~F.startswith("id", F.lit("P"))), ("author", ~F.col("non_author")), ("date", undated), ("task", unfinished))))
+    r = reviewers.withColumn("reasons", said((("id", ~F.startswith("id", F.lit("R"))), ("score", ~F.col("rubric_score").isin(1, 2, 3, 4, 5)), ("date", undated))))
+    return p, r
+
+
+def review_outcomes(people: DataFrame, reviewers: DataFrame, least_people: int = 5, least_reviewers: int = 3) -> DataFrame:
+    """``(task, unaided, with_help, fail, met)`` of valid sessions; ``met`` if enough people and reviewers are valid."""
+    valid = people.where("reasons = ''")
+    enough = reviewers.where("reasons = ''").agg((F.count("*") >= least_reviewers).alias("rated"))
+    counts = valid.select(F.explode("tasks").alias("task", "result")).groupBy("task").agg(*(n_if(F.col("result") == o).alias(o) for o in OUTCOMES), F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(enough)).withColumn("met", (F.col("n") >= least_people) & F.col("rated")).drop("n", "rated")
+
+
+def fixture_token_score(expected: DataFrame, words: DataFrame, key: str, least: float = 70.0) -> DataFrame:
+    """Per image: tokens of personal data, how many were detected and retained, and useful tokens that were retained.
+
+    A word belongs to the expected box that holds its centre; a token is recognised if the letters and digits of its
+    words, in the order of their ids, are its own. ``expected(key, box_id, text, pii, box)``, ``words(key, box_id, text,
+    sensitive, confidence, box)``.
+    """
+    plain = lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]", "")
+    read = words.select(key, F.col("box_id").alias("word_id"), plain("text").alias("word"), "sensitive", F.col("confidence").alias("sure"), (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"))
+    held = F.col("cx").between(F.col("x"), F.col("x") + F.col("w")) & F.col("cy").between(F.col("y"), F.col("y") + F.col("h"))
+    got = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("word_id").isNotNull(), F.struct("word_id", "word")))), lambda x: x["word"]), "")
+    pairs = expected.join(read.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & held, "left")
+    out = pairs.groupBy(*expected.columns).agg(got.alias("got"), F.bool_or("sensitive").alias("any"), F.bool_and(~F.col("sensitive") & (F.col("sure") >= least)).alias("open"))
+    out = out.withColumn("ok", F.col("got") == plain("text"))
+    found, kept = F.col("ok") & F.coalesce("any", F.lit(False)), F.col("ok") & F.coalesce("open", F.lit(True))
+    pii = F.col("pii")
+    return out.groupBy(key).agg(n_if(pii).alias("pii_tokens"), n_if(pii & found).alias("pii_detected"), n_if(pii & kept).alias("pii_retained"), n_if(~pii).alias("useful_tokens"), n_if(~pii & kept).alias("useful_retained"))

@@ -57,6 +57,15 @@ def band(score: Column, label: Column, layer: Column) -> Column:
     return F.when((layer == "regex") | (score >= STRIP_THRESHOLD), "certain").when(score >= floor, "uncertain").otherwise("ignored")
 
 
+def with_model(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rules' spans of ``docs(key, text, spans)`` and those of any span model ``(key, start, end, label, score)``, merged
+    and banded: ``(key, start, end, type, value, label, score, layer, band)``."""
+    rules = S.spread(docs, key, items="spans").select(key, "start", "end", F.upper("kind").alias("type"), "value", F.col("kind").alias("label"), F.lit(1.0).alias("score"))
+    named = F.upper(F.regexp_replace("label", "[^A-Za-z0-9]", ""))
+    spans = docs.select(key, text).join(model, key).select(key, "start", "end", named.alias("type"), F.substr(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("value"), "label", "score")
+    return merge_layers(rules, spans, key).withColumn("band", band(F.col("score"), F.col("label"), F.col("layer")))
+
+
 def propagate_certain(spans: DataFrame, scope: str = "scope") -> DataFrame:
     """``spans(.., band)`` plus ``certain``: whether the value is certain anywhere in its scope."""
     return spans.withColumn("certain", F.max(F.col("band") == "certain").over(Window.partitionBy(scope, "type", "value")))

@@ -152,15 +152,14 @@ def g14_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.drift(now, docs.select("doc_id", F.sha2("lang", 256).alias("digest")), "doc_id")
 
 
-@query()
+@query("SELECT source, count(*) AS rows, CAST(sum(CAST(('0x' || substr(sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars || ',\"source\":\"' || source || '\"}'), 1, 15))::BIGINT AS HUGEINT)) AS VARCHAR) AS fingerprint FROM documents GROUP BY source")
 def g14_dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*sorted(docs.columns)).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+    return G.dataset_fingerprint(table(spark, sf_dir, "documents"), ("doc_id", "lang", "n_chars", "source"), "source")
 
 
-@query("SELECT page_id, length(url) || ':' || list_reduce(list_prepend(0::BIGINT, list_transform(string_split(url, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS digest FROM pages")
+@query("SELECT page_id, length(html) || ':' || to_hex(CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(html, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS BIGINT)).lower() AS digest FROM pages")
 def g15_page_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", G.page_digest(F.col("url")).alias("digest"))
+    return table(spark, sf_dir, "pages").select("page_id", G.page_digest(F.col("html")).alias("digest"))
 
 
 @query("""WITH g AS (SELECT 'd' AS side, doc_id AS k, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents UNION ALL SELECT 'b', item_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') FROM benchmark),

@@ -10,6 +10,7 @@ from ..functions import patterns as P
 from ..functions import spans as S
 from ..operators import detection as D
 from ..sources import tables as A
+from ..streaming.streams import shared_folder
 from .inputs import PROBED, probed, table
 from .registry import query
 
@@ -18,26 +19,30 @@ EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("t
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def a1_load_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.load_table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    """The schema and the number of rows that were agreed are checked before the table is used."""
+    agreed = table(spark, sf_dir, "events").count()
+    return A.load_table(spark, sf_dir, "events", EVENTS, agreed).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("SELECT role, count(*) AS n, count(*) FILTER (WHERE turn % 50 = 7) AS rejected FROM (SELECT CASE WHEN turn % 50 = 7 THEN NULL ELSE role END AS role, turn FROM conversations) GROUP BY role")
 def a2_read_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as JSON lines, some cut short, read by schema."""
+    """Turns written as JSON lines, some cut short, read by schema."""
     line = F.to_json(F.struct("conv_id", "turn", "role", "text"))
-    lines = table(spark, sf_dir, "conversations").select(F.when(F.col("turn") % 50 == 7, F.substring(line, 1, 20)).otherwise(line).alias("line"))
+    lines = table(spark, sf_dir, "conversations").select(F.when(F.col("turn") % 50 == 7, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    path = f"{shared_folder(spark)}/turns"
+    lines.write.text(path)
     schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
-    got = A.parse_jsonl(lines, "line", schema)
-    return got.groupBy("role").agg(F.count("*").alias("n"), F.count("_bad").alias("rejected"))
+    return A.read_jsonl(spark, path, schema).groupBy("role").agg(F.count("*").alias("n"), F.count("_bad").alias("rejected"))
 
 
-@query("""SELECT event_type, count(*) AS n, sum(event_id) AS ids, CAST(0 AS BIGINT) AS blanks FROM events GROUP BY event_type""")
+@query("""SELECT event_type, count(*) AS n, sum(event_id) AS ids, count(*) FILTER (WHERE event_id % 10 = 3) AS blanks, 'props,ts' AS missing FROM (SELECT event_id, event_type FROM events) GROUP BY event_type""")
 def a3_csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as padded CSV cells, read as text and trimmed."""
-    line = F.concat_ws(",", F.concat(F.lit("  "), "event_id"), F.concat("event_type", F.lit("   ")))
-    cells = F.from_csv(line, F.lit("event_id string, event_type string"))
-    rows = table(spark, sf_dir, "events").select(cells.alias("c")).select(F.coalesce(F.trim("c.event_id"), F.lit("")).alias("id"), F.coalesce(F.trim("c.event_type"), F.lit("")).alias("event_type"))
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("id").cast("long")).alias("ids"), F.sum((F.col("id") == "").cast("long")).alias("blanks"))
+    """Events written as CSV with padded cells and some blank ones, read by contract; two required columns are missing."""
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("  "), "event_id").alias("event_id"), F.concat("event_type", F.lit("   ")).alias("event_type"), F.when(F.col("event_id") % 10 != 3, " x ").alias("note"))
+    path = f"{shared_folder(spark)}/events"
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    cells, missing = A.read_csv_contract(spark, path, ["event_id", "event_type", "note", "props", "ts"])
+    return cells.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("event_id").cast("long")).alias("ids"), F.sum((F.col("note") == "").cast("long")).alias("blanks"), F.lit(",".join(missing)).alias("missing"))
 
 
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, CAST(0 AS INTEGER) AS ordinal FROM events GROUP BY k")
@@ -52,7 +57,9 @@ SELECT doc_id, split, split || '-' || lpad((row_number() OVER (PARTITION BY spli
 def a8_write_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     share = F.conv(F.substring(F.sha2(F.concat(F.lit("split:"), F.col("doc_id").cast("string")), 256), 1, 2), 16, 10).cast("int") / 256.0
-    return A.with_split_ids(docs.withColumn("split", F.when(share < 0.3, "test").otherwise("train")), "split", "doc_id")
+    path = f"{shared_folder(spark)}/splits"
+    A.write_splits(A.with_split_ids(docs.withColumn("split", F.when(share < 0.3, "test").otherwise("train")), "split", "doc_id"), path)
+    return spark.read.schema("doc_id long, split_id string, split string").parquet(path)
 
 
 _SQUEEZE = "trim(regexp_replace({0}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
@@ -210,13 +217,14 @@ _HAS = {p.name: f"regexp_matches(text, $re${p.regex}$re$)" for p in P.SECRETS}
 def b13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings without values; texts of one source stand for the allowlist."""
     docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "doc_id"))
-    allowed = spark.range(1).select(F.lit("^src19/").alias("allowed"))
-    return D.secret_scan(docs, allowed).select("doc_id", "pattern", "severity")
+    return D.secret_scan(docs, ["^src19/"]).select("doc_id", "pattern", "severity")
 
 
-@query("SELECT doc_id, CAST(i AS INTEGER) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE contains(lower(t), 'license') OR contains(lower(t), '@')")
+@query("SELECT doc_id, CAST(i AS INTEGER) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE NOT (lang = 'de' AND source LIKE '%3') AND NOT (lang = 'fr' AND source = 'src7')) WHERE contains(lower(t), 'license') OR contains(lower(t), '@')")
 def b14_forbidden_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.forbidden_lines(table(spark, sf_dir, "documents"), ["LICENSE", "@"])
+    """Documents as files in folders by language and source, some of which are allowed."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "lang", "source", F.concat("doc_id", F.lit(".txt"))))
+    return D.forbidden_lines(docs, ["LICENSE", "@"], allowed=("de/*3/*.txt", "**/fr/src7/"), path="path")
 
 
 @query()
@@ -313,16 +321,18 @@ def b25_word_text_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.groupBy("doc_id", "line").agg(F.count("*").alias("n"), F.sum("w").cast("long").alias("width"))
 
 
-@query("""WITH s AS (SELECT vec_id, embedding[1:8]::DOUBLE[] AS x FROM embeddings),
+@query("""WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
 p AS (SELECT vec_id, list_position(x, list_max(x)) AS best, 1 / list_sum(list_transform(x, lambda v: exp(v - list_max(x)))) AS c FROM s),
-w AS (SELECT CAST(floor(vec_id / 3) AS BIGINT) AS word, (['O', 'B-NAME', 'I-NAME', 'B-EMAIL', 'I-EMAIL', 'B-CITY', 'O', 'B-PIN'])[best] AS label, c FROM p)
-SELECT word, regexp_replace(arg_max(label, (c, label)), '^[BI]-', '') AS kind, round(max(c), 6) AS confidence FROM w WHERE label <> 'O' AND c >= 0.14 GROUP BY word""")
+w AS (SELECT CAST(floor(vec_id / 3) AS BIGINT) AS word, (['O', 'B-NAME', 'I-NAME', 'B-EMAIL', 'I-EMAIL', 'B-CITY', 'O', 'B-PIN'])[(best - 1) % 8 + 1] AS label, c FROM p)
+SELECT word, regexp_replace(arg_max(label, (c, label)), '^[BI]-', '') AS kind, round(max(c), 6) AS confidence FROM w WHERE label <> 'O' AND c >= 0.02 GROUP BY word""")
 def b26_best_label_per_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight parts of vectors as a token's scores; three tokens are a word."""
-    labels = ["O", "B-NAME", "I-NAME", "B-EMAIL", "I-EMAIL", "B-CITY", "O", "B-PIN"]
-    logits = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
-    tokens = table(spark, sf_dir, "embeddings").select((F.col("vec_id") / 3).cast("long").alias("word"), logits.alias("logits"))
-    return D.best_label_per_word(tokens, labels, 0.14).withColumn("confidence", F.round("confidence", 6))
+    """Vectors as a token's scores, eight labels dealt to their parts in turn; three tokens are a word."""
+    vectors = table(spark, sf_dir, "embeddings")
+    names = ["O", "B-NAME", "I-NAME", "B-EMAIL", "I-EMAIL", "B-CITY", "O", "B-PIN"]
+    labels = [names[i % 8] for i in range(vectors.agg(F.max(F.size("embedding"))).first()[0] or 8)]
+    logits = F.transform("embedding", lambda v: v.cast("double"))
+    tokens = vectors.select((F.col("vec_id") / 3).cast("long").alias("word"), logits.alias("logits"))
+    return D.best_label_per_word(tokens, labels, 0.02).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("SELECT conv_id, CAST(sum(strlen('{\"role\":\"' || role || '\",\"turn\":' || turn || '}')) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id")

@@ -222,13 +222,13 @@ def f21_score_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TIER4 = "(['reversible', 'navigational', 'state-changing', NULL])[event_id % 4 + 1]"
 
 
-@query(f"""WITH s AS (SELECT user_id AS attempt_id, event_id AS step, {_TIER4} AS tier, event_type AS gate, event_id % 101 = 0 OR event_id % 103 = 0 AS bypass, event_id % 5 = 0 AS unattended FROM events WHERE event_id % 211 = 0 OR event_id % 3 = 0)
+@query(f"""WITH s AS (SELECT user_id AS attempt_id, event_id AS step, {_TIER4} AS tier, event_type AS gate, event_id % 101 = 0 OR event_id % 103 = 0 AS bypass, event_id % 5 = 0 AS unattended FROM events)
 SELECT attempt_id, arg_max(tier, step) AS local_tier, arg_max(gate, step) AS gate, bool_or(bypass) AS bypassed, bool_or(unattended AND NOT coalesce(tier IN ('reversible', 'navigational'), false)) AS silent, count(*) AS steps,
  NOT bool_or(bypass OR tier IS NULL OR (unattended AND NOT coalesce(tier IN ('reversible', 'navigational'), false))) AS ok FROM (SELECT * FROM s) GROUP BY attempt_id""".replace("arg_max(tier, step)", "arg_max_null(tier, step)"))
 def f22_fold_gate_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     tier = F.when(i % 4 == 0, "reversible").when(i % 4 == 1, "navigational").when(i % 4 == 2, "state-changing")
-    steps = table(spark, sf_dir, "events").where((i % 211 == 0) | (i % 3 == 0)).select(F.col("user_id").alias("attempt_id"), i.alias("step"), tier.alias("local_tier"), F.col("event_type").alias("gate"), (i % 101 == 0).alias("bypassed"), (i % 103 != 0).alias("computed"), (i % 5 == 0).alias("unattended"))
+    steps = table(spark, sf_dir, "events").select(F.col("user_id").alias("attempt_id"), i.alias("step"), tier.alias("local_tier"), F.col("event_type").alias("gate"), (i % 101 == 0).alias("bypassed"), (i % 103 != 0).alias("computed"), (i % 5 == 0).alias("unattended"))
     return M.fold_gate_steps(steps)
 
 
@@ -246,12 +246,12 @@ def f24_latency_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 4) for c in ("local_ms", "planner_ms", "flow_ms")})
 
 
-@query(f"""WITH e AS (SELECT DISTINCT item_id % 20 AS g, {_TOKENS} AS token FROM benchmark), o AS (SELECT DISTINCT doc_id % 20 AS g, {_TOKENS} AS token FROM documents WHERE doc_id % 3 = 0),
+@query(f"""WITH e AS (SELECT DISTINCT item_id % 20 AS g, {_TOKENS} AS token FROM benchmark), o AS (SELECT DISTINCT doc_id % 20 AS g, {_TOKENS} AS token FROM documents),
 j AS (SELECT coalesce(e.g, o.g) AS g, e.token AS et, o.token AS ot FROM e FULL JOIN o ON e.g = o.g AND e.token = o.token)
 SELECT g, count(*) FILTER (WHERE et IS NOT NULL AND ot IS NOT NULL) AS tp, count(*) FILTER (WHERE et IS NULL) AS fp, count(*) FILTER (WHERE ot IS NULL) AS fn FROM j GROUP BY g""")
 def f25_set_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda name, key: table(spark, sf_dir, name).select((F.col(key) % 20).alias("g"), F.col(key).alias("k"), F.explode(F.filter(F.split(F.lower("text"), " "), lambda x: x != "")).alias("token"))
-    return M.set_prf(words("benchmark", "item_id"), words("documents", "doc_id").where("k % 3 = 0"), "token", "g").select("g", "tp", "fp", "fn")
+    return M.set_prf(words("benchmark", "item_id"), words("documents", "doc_id"), "token", "g").select("g", "tp", "fp", "fn")
 
 
 def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,15 +287,14 @@ def f28_category_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).rollup("source").agg(F.count("*").alias("expected"), M.n_if(F.col("quality") == 1).alias("recognized"), M.n_if(F.col("toxic") == 1).alias("marked"))
 
 
-RULES = """rules AS (SELECT l_orderkey AS id, CASE min(l_linenumber % 3) WHEN 0 THEN 'pass' ELSE 'fail' END AS status, list(DISTINCT l_partkey) AS required FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY 1),
+RULES = """rules AS (SELECT l_orderkey AS id, CASE min(l_linenumber % 3) WHEN 0 THEN 'pass' ELSE 'fail' END AS status, list(DISTINCT l_partkey) AS required FROM lineitem GROUP BY 1),
 ev AS (SELECT p_partkey AS path FROM part WHERE p_partkey % 10 > 0), need AS (SELECT id, status, unnest(required) AS path FROM rules),
 led AS (SELECT id, any_value(status) AS s0, count(*) FILTER (WHERE ev.path IS NULL) AS missing FROM need LEFT JOIN ev USING (path) GROUP BY id), ledger AS (SELECT id, missing, CASE WHEN s0 = 'pass' AND missing > 0 THEN 'unknown' ELSE s0 END AS status FROM led)"""
 
 
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as rules, their parts as the evidence they need."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 > 0")
-    return li.groupBy(F.col("l_orderkey").alias("id")).agg(F.when(F.min(F.col("l_linenumber") % 3) == 0, "pass").otherwise("fail").alias("status"), F.collect_set("l_partkey").alias("required"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.when(F.min(F.col("l_linenumber") % 3) == 0, "pass").otherwise("fail").alias("status"), F.collect_set("l_partkey").alias("required"))
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,26 +334,42 @@ def f32_resource_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.finite_summary(rows, "v", "user_id").withColumn("mean", F.round("mean", 6))
 
 
-@query("""WITH r AS (SELECT doc_id, source, CASE WHEN lang = 'es' THEN 'author' WHEN n_chars < 300 THEN 'too-short' END AS reason, CASE WHEN toxic = 1 THEN 'fail' WHEN quality = 1 THEN 'pass' ELSE 'partial' END AS result FROM documents JOIN labels USING (doc_id))
-SELECT source, count(*) FILTER (WHERE reason IS NULL) AS valid, count(*) FILTER (WHERE reason IS NOT NULL) AS rejected, count(*) FILTER (WHERE reason IS NULL AND result = 'pass') AS pass, count(*) FILTER (WHERE reason IS NULL AND result = 'partial') AS partial,
- count(*) FILTER (WHERE reason IS NULL AND result = 'fail') AS fail, count(*) FILTER (WHERE reason IS NULL) >= 3 AS bar_met FROM r GROUP BY source""")
+_LOG = """p AS (SELECT conv_id, (CASE WHEN conv_id % 9 = 4 THEN 'Q' ELSE 'P' END) || conv_id AS id, conv_id % 7 <> 3 AS non_author, CASE WHEN conv_id % 11 <> 5 THEN '2025-01-02' END AS date_utc, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY conv_id),
+t AS (SELECT p.*, task, CASE WHEN n <= 2 AND task = 2 THEN NULL ELSE (['unaided', 'with_help', 'fail'])[CAST((chars + task) % 3 + 1 AS BIGINT)] END AS result FROM p, (SELECT unnest(range(0, 3)) AS task)),
+bad AS (SELECT conv_id, any_value(id) AS id, CASE WHEN NOT starts_with(any_value(id), 'P') THEN 'id,' ELSE '' END || CASE WHEN NOT any_value(non_author) THEN 'author,' ELSE '' END || CASE WHEN any_value(date_utc) IS NULL THEN 'date,' ELSE '' END || CASE WHEN count(*) > count(result) THEN 'task,' ELSE '' END AS reasons FROM t GROUP BY conv_id)"""
+
+
+def _review_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as participants' sessions of three tasks, documents with labels as reviewers' ratings."""
+    k = F.col("conv_id")
+    p = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    result = lambda i: F.when(~((F.col("n") <= 2) & (i == 2)), F.element_at(F.array(*map(F.lit, M.OUTCOMES)), ((F.col("chars") + i) % 3 + 1).cast("int")))
+    people = p.select(F.concat(F.when(k % 9 == 4, "Q").otherwise("P"), k).alias("id"), (k % 7 != 3).alias("non_author"), F.when(k % 11 != 5, "2025-01-02").alias("date_utc"), F.create_map(*(x for i in range(3) for x in (F.lit(f"t{i}"), result(F.lit(i))))).alias("tasks"))
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    reviewers = d.select(F.concat(F.when(F.col("toxic") == 1, "X").otherwise("R"), "doc_id").alias("id"), (F.col("n_chars") % 7).cast("int").alias("rubric_score"), F.when(F.col("quality") == 1, "2025-02-03").alias("date_utc"))
+    return people, reviewers
+
+
+@query(f"WITH {_LOG} SELECT id, reasons FROM bad UNION ALL SELECT CASE WHEN toxic = 1 THEN 'X' ELSE 'R' END || doc_id, CASE WHEN toxic = 1 THEN 'id,' ELSE '' END || CASE WHEN n_chars % 7 NOT BETWEEN 1 AND 5 THEN 'score,' ELSE '' END || CASE WHEN quality <> 1 THEN 'date,' ELSE '' END FROM documents JOIN labels USING (doc_id)")
 def f33_review_log_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as reviews of tasks (sources): authors' own and very short ones don't count."""
-    p = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    reason = R.first_reason((("author", F.col("lang") == "es"), ("too-short", F.col("n_chars") < 300)))
-    rows = p.withColumn("reason", reason).withColumn("result", F.when(F.col("toxic") == 1, "fail").when(F.col("quality") == 1, "pass").otherwise("partial"))
-    ok = F.col("reason").isNull()
-    return rows.groupBy("source").agg(M.n_if(ok).alias("valid"), M.n_if(~ok).alias("rejected"), *(M.n_if(ok & (F.col("result") == r)).alias(r) for r in ("pass", "partial", "fail")), (M.n_if(ok) >= 3).alias("bar_met"))
+    people, reviewers = M.review_log_check(*_review_log(spark, sf_dir), tasks=("t0", "t1", "t2"))
+    return people.select("id", "reasons").unionByName(reviewers.select("id", "reasons"))
+
+
+@query(f"""WITH {_LOG} SELECT 't' || task AS task, count(*) FILTER (WHERE result = 'unaided') AS unaided, count(*) FILTER (WHERE result = 'with_help') AS with_help, count(*) FILTER (WHERE result = 'fail') AS fail,
+ count(*) >= 5 AND (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE toxic <> 1 AND quality = 1 AND n_chars % 7 BETWEEN 1 AND 5) >= 3 AS met FROM t JOIN bad USING (conv_id) WHERE reasons = '' GROUP BY task""")
+def f33_review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.review_outcomes(*M.review_log_check(*_review_log(spark, sf_dir), tasks=("t0", "t1", "t2")))
 
 
 GRID = tuple(round(0.1 * i, 1) for i in range(1, 101, 3))
 
 
-@query(f"""WITH l AS (SELECT vec_id, label % 4 AS bucket, embedding[1:8]::DOUBLE[] AS x, CAST(vec_id % 8 AS INTEGER) AS gold FROM embeddings), t AS (SELECT *, unnest({list(GRID)}::DOUBLE[]) AS t FROM l), s AS (SELECT bucket, t, gold, list_transform(x, lambda v: v / t) AS z FROM t),
+@query(f"""WITH l AS (SELECT vec_id, label % 4 AS bucket, embedding::DOUBLE[] AS x, CAST(vec_id % 8 AS INTEGER) AS gold FROM embeddings), t AS (SELECT *, unnest({list(GRID)}::DOUBLE[]) AS t FROM l), s AS (SELECT bucket, t, gold, list_transform(x, lambda v: v / t) AS z FROM t),
 m AS (SELECT bucket, t, avg(ln(list_sum(list_transform(z, lambda v: exp(v - list_max(z))))) + list_max(z) - z[gold + 1]) AS nll, count(*) AS n FROM s GROUP BY bucket, t)
 SELECT bucket, max(n) AS n, CASE WHEN max(n) < 10 THEN 1.0 ELSE arg_min(t, (round(nll, 12), t)) END AS temperature FROM m GROUP BY bucket""")
 def f34_temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select((F.col("label") % 4).alias("bucket"), F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("logits"), (F.col("vec_id") % 8).cast("int").alias("gold"))
+    rows = table(spark, sf_dir, "embeddings").select((F.col("label") % 4).alias("bucket"), F.transform("embedding", lambda v: v.cast("double")).alias("logits"), (F.col("vec_id") % 8).cast("int").alias("gold"))
     return M.temperature_fit(rows, GRID, "bucket")
 
 
@@ -364,18 +379,30 @@ def f35_impact_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.impact(rates, "a", "b", "c").select("o_custkey", F.round("impact", 6).alias("impact"))
 
 
-@query(f"""WITH {BOXES}, m AS (SELECT DISTINCT t.box_id FROM boxes t JOIN boxes p ON t.image = p.image AND t.side = 'truth' AND p.side = 'pred' AND t.kind = p.kind AND p.x + p.w / 2 BETWEEN t.x AND t.x + t.w AND p.y + p.h / 2 BETWEEN t.y AND t.y + t.h)
-SELECT image, count(*) AS expected, count(m.box_id) AS detected FROM (SELECT * FROM boxes WHERE side = 'truth') t LEFT JOIN m USING (box_id) GROUP BY image""")
+_WORDED = f"""{BOXES}, words AS (SELECT box_id, image, side, x, y, w, h, kind, confidence, (['Amber', 'basil ', 'Cedar-3', 'dune'])[CAST(box_id % 4 AS INTEGER) + 1] AS text FROM boxes),
+j AS (SELECT t.box_id, any_value(t.image) AS image, any_value(t.kind) = 'email' AS pii, regexp_replace(lower(any_value(t.text)), '[^a-z0-9]', '', 'g') AS want, string_agg(regexp_replace(lower(p.text), '[^a-z0-9]', '', 'g'), '' ORDER BY p.box_id) AS got,
+ coalesce(bool_or(p.kind = 'email'), false) AS any_sensitive, coalesce(bool_and(p.kind <> 'email' AND p.confidence >= 0.93), true) AS all_open FROM words t LEFT JOIN words p ON t.image = p.image AND p.side = 'pred' AND p.x + p.w / 2 BETWEEN t.x AND t.x + t.w AND p.y + p.h / 2 BETWEEN t.y AND t.y + t.h
+ WHERE t.side = 'truth' GROUP BY t.box_id, t.image, t.kind, t.text, t.x, t.y, t.w, t.h, t.confidence)"""
+
+
+@query(f"""WITH {_WORDED}, s AS (SELECT image, pii, coalesce(got, '') = want AS recognized, any_sensitive, all_open FROM j)
+SELECT image, count(*) FILTER (WHERE pii) AS pii_tokens, count(*) FILTER (WHERE pii AND recognized AND any_sensitive) AS pii_detected, count(*) FILTER (WHERE pii AND recognized AND all_open) AS pii_retained, count(*) FILTER (WHERE NOT pii) AS useful_tokens, count(*) FILTER (WHERE NOT pii AND recognized AND all_open) AS useful_retained FROM s GROUP BY image""")
 def f36_fixture_token_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected boxes that hold the centre of a predicted one of their kind."""
-    b = boxes(spark, sf_dir)
-    truth, pred = b.where("side = 'truth'"), b.where("side = 'pred'").select("image", "kind", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"))
-    hit = truth.join(pred, ["image", "kind"]).where(F.col("cx").between(F.col("x"), F.col("x") + F.col("w")) & F.col("cy").between(F.col("y"), F.col("y") + F.col("h"))).select("box_id").distinct().withColumn("hit", F.lit(True))
-    return truth.join(hit, "box_id", "left").groupBy("image").agg(F.count("*").alias("expected"), F.count("hit").alias("detected"))
+    """Boxes as words: odd lines were expected, even ones were read, those of the kind email are sensitive."""
+    word = F.element_at(F.array(*map(F.lit, ("Amber", "basil ", "Cedar-3", "dune"))), (F.col("box_id") % 4 + 1).cast("int"))
+    b = boxes(spark, sf_dir).withColumns({"text": word, "sensitive": F.col("kind") == "email"})
+    truth = b.where("side = 'truth'").withColumnRenamed("sensitive", "pii")
+    return M.fixture_token_score(truth, b.where("side = 'pred'"), "image", least=0.93)
 
 
-@query("SELECT event_type, CASE WHEN count(*) >= 195 THEN round(100 * count(*) FILTER (WHERE value < 100) / count(*), 4) END AS completion, CASE WHEN count(*) >= 30 THEN round(median(value), 6) END AS median_run FROM events GROUP BY event_type")
-def f37_benchmark_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(M.gated_share(F.col("value") < 100, 195).alias("completion"), F.when(F.count("*") >= 30, F.round(F.median("value"), 6)).alias("median_run"))
+_MEDIAN = "round(median(value), 6)"
 
 
+@query("""WITH g AS (SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value < 100) AS done, sum(CASE WHEN event_id % 4 = 0 THEN 3 ELSE 1 END) AS weights, sum(CASE WHEN event_id % 4 = 0 THEN 3 ELSE 1 END) FILTER (WHERE value < 100) AS passed,
+ count(*) FILTER (WHERE event_id % 3 = 0) AS faults, count(*) FILTER (WHERE event_id % 3 = 0 AND value < 100) AS recovered, avg(event_id % 5) AS rating, round(median(value), 6) AS runs, count(*) FILTER (WHERE event_id % 50 = 7) AS unexpected FROM events GROUP BY event_type)
+SELECT event_type, round(100.0 * passed / weights, 4) AS functionality, CASE WHEN n >= 25 THEN round(100.0 * done / n, 4) END AS completion, CASE WHEN faults >= 20 THEN round(100.0 * recovered / faults, 4) END AS recovery, CASE WHEN n >= 18 THEN round(100 * rating / 4, 4) END AS narrative,
+ CASE WHEN n >= 3 THEN runs END AS median_run, CASE WHEN n >= 1000 THEN round(100.0 * unexpected / n, 4) END AS unexpected_failure FROM g""")
+def f37_benchmark_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, done = F.col("event_id"), F.col("value") < 100
+    rows = table(spark, sf_dir, "events").select("event_type", F.when(i % 4 == 0, 3).otherwise(1).alias("weight"), done.alias("passed"), (i % 3 == 0).alias("fault"), (i % 5).alias("rating"), F.col("value").alias("run"), (i % 50 == 7).alias("unexpected"))
+    return M.benchmark_formulas(rows, "event_type")

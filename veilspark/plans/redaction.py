@@ -76,10 +76,22 @@ def c4_merge_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("SELECT CASE WHEN s >= 0.6 THEN 'certain' WHEN s >= CASE WHEN n THEN 0.12 ELSE 0.35 END THEN 'uncertain' ELSE 'ignored' END AS band, count(*) AS n FROM (SELECT (doc_id * 17 % 100) / 100.0 AS s, doc_id % 2 = 0 AS n FROM documents) GROUP BY band")
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+')) AS p, unnest(range(0, len(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+')))) AS i FROM documents),
+o AS (SELECT doc_id, p, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM w),
+h AS (SELECT doc_id, CAST(pos + length(p) - length(regexp_extract(p, '[A-Z][a-z]{4,7}$')) AS BIGINT) AS start FROM o WHERE regexp_matches(p, '[A-Z][a-z]{4,7}$')), s AS (SELECT start % 2 = 0 AS name, (start * 7 + doc_id) % 100 / 100.0 AS score FROM h)
+SELECT CASE WHEN score >= 0.6 THEN 'certain' WHEN score >= CASE WHEN name THEN 0.12 ELSE 0.35 END THEN 'uncertain' ELSE 'ignored' END AS band, CASE WHEN name THEN 'person name' ELSE 'city' END AS label, count(*) AS n FROM s GROUP BY ALL""")
 def c5_band_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score, label = F.col("doc_id") * 17 % 100 / 100.0, F.when(F.col("doc_id") % 2 == 0, "person name").otherwise("city")
-    return table(spark, sf_dir, "documents").groupBy(K.band(score, label, F.lit("model")).alias("band")).agg(F.count("*").alias("n"))
+    """A model's spans by band and label."""
+    rows = _model_spans(spark, sf_dir).withColumn("band", K.band(F.col("score"), F.col("label"), F.col("layer")))
+    return rows.groupBy("band", "label").agg(F.count("*").alias("n"))
+
+
+@query()
+def u5_span_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any table ``(doc_id, start, end, label, score)`` as a model: its spans merged with the rules' and banded."""
+    model = _model_spans(spark, sf_dir).select(F.col("source_ord").alias("doc_id"), "start", "end", "label", "score")
+    merged = K.with_model(D.document_spans(probed(spark, sf_dir)), model)
+    return merged.groupBy("doc_id", "layer", "band").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
 
 
 @query("""WITH s AS (SELECT user_id AS scope, event_type AS type, props AS value, CASE WHEN value >= 60 THEN 'certain' ELSE 'uncertain' END AS band FROM events)

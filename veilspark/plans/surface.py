@@ -35,9 +35,15 @@ def u2_nfkc_casefold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(X.nfkc_casefold(F.col("text"))).alias("digest"))
 
 
-@query(f"WITH {BOXES} SELECT kind, count(*) > 0 AS merged FROM boxes GROUP BY kind")
+@query(f"""WITH RECURSIVE {BOXES}, m(step, image, kind, n, rects) AS (
+ SELECT 0, image, kind, count(*), list({{'x': x, 'y': y, 'r': x + w, 'b': y + h}}) FROM boxes GROUP BY image, kind
+ UNION ALL SELECT step + 1, image, kind, n, list_distinct(list_transform(rects, lambda a: {{'x': list_min(list_transform(list_filter(rects, lambda o: a.x <= o.r AND o.x <= a.r AND a.y <= o.b AND o.y <= a.b), lambda o: o.x)),
+   'y': list_min(list_transform(list_filter(rects, lambda o: a.x <= o.r AND o.x <= a.r AND a.y <= o.b AND o.y <= a.b), lambda o: o.y)), 'r': list_max(list_transform(list_filter(rects, lambda o: a.x <= o.r AND o.x <= a.r AND a.y <= o.b AND o.y <= a.b), lambda o: o.r)),
+   'b': list_max(list_transform(list_filter(rects, lambda o: a.x <= o.r AND o.x <= a.r AND a.y <= o.b AND o.y <= a.b), lambda o: o.b))}})) FROM m WHERE step < 40)
+SELECT image, kind, CAST(len(rects) AS BIGINT) AS merged, round(list_sum(list_transform(rects, lambda a: (a.r - a.x) * (a.b - a.y))), 4) AS area FROM m WHERE step = 40""")
 def u3_merge_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.merge_overlapping(boxes(spark, sf_dir)).groupBy("kind").agg((F.count("*") > 0).alias("merged"))
+    merged = E.merge_overlapping(boxes(spark, sf_dir))
+    return merged.groupBy("image", "kind").agg(F.count("*").alias("merged"), F.round(F.sum(F.col("w") * F.col("h")), 4).alias("area"))
 
 
 @query()
