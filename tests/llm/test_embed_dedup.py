@@ -1,6 +1,7 @@
 """Vector groups against all pairs."""
 
 import numpy as np
+import pytest
 
 from veilspark.llm import embed_dedup as E
 
@@ -27,7 +28,9 @@ def plain(rows):
     return out
 
 
-def test_recall_on_the_table(spark, sf):
+@pytest.mark.parametrize("bits", [16, 20, 24])
+def test_recall_on_the_table(spark, sf, monkeypatch, bits):
+    monkeypatch.setattr(E, "key_bits", lambda largest: bits)  # as for tables of a million vectors and more
     rng = np.random.default_rng(3)
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     for i, (_, v, label) in enumerate(rows[:200]):
@@ -61,3 +64,21 @@ def test_rotation_is_orthogonal():
     x = np.random.default_rng(1).normal(size=(300, 12))
     _, axes = E.learn(x, bits=12)
     assert np.allclose(axes.T @ axes, np.eye(12), atol=1e-8)
+
+
+def test_keys_grow_with_the_largest_label():
+    assert [E.key_bits(n) for n in (0, 1000, 60_000, 1 << 20, 1 << 40)] == [16, 16, 16, 21, 32]
+    assert [len(E._words(b)) * (E.BITS // b) for b in (16, 17, 21, 32)] == [4, 6, 6, 4]
+    assert 12 <= E.radius(0.98, 64) <= 18 < E.radius(0.98, 128) < E.radius(0.98, 128, 0.5)
+
+
+def test_vectors_of_many_lengths(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for n in (5, 6, 7, 8, 30):
+        for i in range(40):
+            v = rng.normal(size=n)
+            rows += [(len(rows), v.tolist(), i % 2), (len(rows) + 1, (v + rng.normal(size=n) * 0.01).tolist(), i % 2)]
+    want = plain(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in want.values())

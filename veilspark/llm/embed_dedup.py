@@ -1,16 +1,21 @@
 """Near-duplicate vectors: iterative quantisation, multi-index Hamming tables, then the vectors themselves.
 
 Vectors are centred, projected on their principal axes and rotated so that their signs lose least (the rotation is
-fitted on ``SAMPLE`` vectors, the first by a digest of their ids); the signs are a code of 64 bits at most. Codes are
-cut into tables of ``TABLE_BITS`` bits. Two codes that differ by fewer than ``2 x tables`` bits have a table in which
-they differ by one bit at most, so every vector is put in each table under its own key and looked up under that key
-and those one bit away. Pairs met that differ by ``RADIUS`` bits or fewer are compared by cosine in double precision.
+fitted on ``SAMPLE`` vectors, the first by a digest of their parts; vectors of another length than most of those take
+random axes); the signs are codes of 64 bits. Codes are cut into tables whose keys have as many bits as it takes to
+number the vectors of the largest label, 16 at least, so that a key's vectors stay few at any size; keys of more than
+16 bits are cut from two codes by two rotations, for as many tables. Two codes that differ by fewer than twice as many
+bits as there are tables have a table in which they differ by one bit at most, so every vector is put in each table
+under its own key and looked up under that key and those one bit away. Pairs met are compared by cosine in double
+precision, but for those whose codes differ by more bits than one linked pair in a million would (:func:`radius`).
 
 Equal vectors of one label are one row with a count all the way, so a group of copies costs no pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,19 +29,33 @@ ship(__name__)
 
 COSINE = 0.98
 BITS = 64
-TABLE_BITS = 16
-RADIUS = 16
+LEAST_KEY, MOST_KEY = 16, 32
 SAMPLE = 10_000
 ROUNDS = 40
 
 
-def learn(vectors: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def radius(least: float, bits: int, norm: float = 1.0) -> int:
+    """The fewest differing bits, of ``bits`` signs, that a pair of cosine ``least`` exceeds once in a million; ``norm`` is
+    what centring leaves of a unit vector's length."""
+    p = 2 * math.asin(min(1.0, math.sqrt(max(0.0, 2 - 2 * least)) / 2 / max(norm, 1e-9))) / math.pi
+    tail, r = 1.0, -1
+    while tail > 1e-6 and r < bits:
+        r += 1
+        tail -= math.comb(bits, r) * p**r * (1 - p) ** (bits - r)
+    return r
+
+
+def key_bits(largest: int) -> int:
+    return min(MOST_KEY, max(LEAST_KEY, max(1, largest).bit_length()))
+
+
+def learn(vectors: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Centre and projection (dimensions x bits): principal axes turned to the rotation with least quantisation loss."""
     centre = vectors.mean(axis=0)
     x = vectors - centre
     axes = np.linalg.svd(x.T @ x)[0][:, : min(bits, x.shape[1])]
     v = x @ axes
-    turn = np.linalg.qr(np.random.default_rng(0).normal(size=(v.shape[1], v.shape[1])))[0]
+    turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(v.shape[1], v.shape[1])))[0]
     for _ in range(rounds):
         left, _, right = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v)
         turn = (left @ right).T
@@ -52,42 +71,58 @@ def _usable(v: Column) -> Column:
     return v.isNotNull() & sound & F.exists(v, lambda x: x != 0)
 
 
-def _coded(reps: DataFrame) -> DataFrame:
-    """``reps(rep, label, v)`` plus ``code``; vectors of other lengths than the sample's commonest get a code of zero."""
-    picked = reps.orderBy(uniform(F.col("rep"), "itq:"), "rep").limit(SAMPLE).select("v").collect()  # a bounded sample
+def _learned(reps: DataFrame, words: int) -> tuple[int, list[tuple[np.ndarray, np.ndarray]], float]:
+    """The sample's commonest length, its centres and projections, and the length that all but a few vectors keep when
+    they are centred."""
+    picked = reps.orderBy(uniform(F.col("same"), "itq:"), "same").limit(SAMPLE).select("v").collect()  # a bounded sample
+    if not picked:
+        return 0, [], 1.0
     lengths = [len(r.v) for r in picked]
-    size = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 1
-    centre, axes = learn(_unit(np.array([r.v for r in picked if len(r.v) == size], dtype=np.float64))) if picked else (np.zeros(1), np.eye(1))
-    sent = reps.sparkSession.sparkContext.broadcast((size, centre, axes))
-
-    @F.pandas_udf(T.LongType())
-    def code(vectors: pd.Series) -> pd.Series:
-        size, centre, axes = sent.value
-        out = np.zeros(len(vectors), dtype=np.int64)
-        which = np.flatnonzero(vectors.map(len).to_numpy() == size)
-        if len(which):
-            signs = (_unit(np.stack(vectors.iloc[which]).astype(np.float64)) - centre) @ axes >= 0
-            padded = np.zeros((len(which), 64), dtype=np.uint8)
-            padded[:, : signs.shape[1]] = signs
-            out[which] = np.packbits(padded, axis=1, bitorder="little").view("<i8")[:, 0]
-        return pd.Series(out)
-
-    return reps.withColumn("code", code("v"))
-
-
-def _candidates(coded: DataFrame) -> DataFrame:
-    """``(a, b)`` with a < b: vectors of one label that meet in a table and whose codes are close."""
-    key = lambda c, i: F.shiftrightunsigned(c, i * TABLE_BITS)
-    mask = F.lit((1 << TABLE_BITS) - 1).cast("long")
-    tables = F.array(*(key(F.col("code"), i).bitwiseAND(mask) for i in range(BITS // TABLE_BITS)))
-    home = coded.select("rep", "label", "size", "code", F.posexplode(tables).alias("table", "key"))
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(TABLE_BITS)))
-    ask = home.select(F.col("rep").alias("rep2"), "label", "size", F.col("code").alias("code2"), "table", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
-    met = home.join(ask, ["label", "size", "table", "key"])
-    met = met.where((F.col("rep") < F.col("rep2")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("code2"))) <= RADIUS))
+    size = max(set(lengths), key=lambda n: (lengths.count(n), n))
+    sample = _unit(np.array([r.v for r in picked if len(r.v) == size], dtype=np.float64))
+    return size, [learn(sample, seed=i) for i in range(words)], float(np.quantile(np.linalg.norm(sample - sample.mean(axis=0), axis=1), 0.05))
+
+
+def _coded(reps: DataFrame, words: int, size: int, learned: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``reps(.., v)`` plus ``codes``, ``words`` of them."""
+    sent = reps.sparkSession.sparkContext.broadcast((size, learned))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def codes(vectors: pd.Series) -> pd.Series:
+        size, learned = sent.value
+        out = np.zeros((len(vectors), words), dtype=np.int64)
+        lengths = vectors.map(len).to_numpy()
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            x = _unit(np.stack(vectors.iloc[at]).astype(np.float64))
+            for i in range(words):
+                centre, axes = learned[i] if n == size else (np.zeros(n), np.random.default_rng([int(n), i]).normal(size=(int(n), BITS)))
+                padded = np.zeros((len(at), 64), dtype=np.uint8)
+                padded[:, : axes.shape[1]] = (x - centre) @ axes >= 0
+                out[at, i] = np.packbits(padded, axis=1, bitorder="little").view("<i8")[:, 0]
+        return pd.Series(list(out))
+
+    return reps.withColumn("codes", codes("v"))
+
+
+def _candidates(coded: DataFrame, bits: int, most: int) -> DataFrame:
+    """``(a, b)`` with a < b: vectors of one label that meet in a table and whose codes differ by ``most`` bits at most."""
+    words = len(_words(bits))
+    mask = F.lit((1 << bits) - 1).cast("long")
+    tables = F.array(*(F.shiftrightunsigned(F.get("codes", F.lit(i)), j * bits).bitwiseAND(mask) for i in range(words) for j in range(BITS // bits)))
+    home = coded.select("rep", "label", "size", "codes", F.posexplode(tables).alias("table", "key"))
+    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(bits)))
+    ask = home.select(F.col("rep").alias("rep2"), "label", "size", F.col("codes").alias("codes2"), "table", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
+    apart = sum((F.bit_count(F.get("codes", F.lit(i)).bitwiseXOR(F.get("codes2", F.lit(i)))) for i in range(1, words)), F.bit_count(F.get("codes", F.lit(0)).bitwiseXOR(F.get("codes2", F.lit(0)))))
+    met = home.join(ask, ["label", "size", "table", "key"]).where((F.col("rep") < F.col("rep2")) & (apart <= most))
     return met.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
+def _words(bits: int) -> range:
+    """The codes that keys of so many bits are cut from: four tables at least."""
+    return range(1 if BITS // bits >= 4 else 2)
+
+
 @F.pandas_udf(T.DoubleType())
 def _cosine(left: pd.Series, right: pd.Series) -> pd.Series:
     if not len(left):
@@ -118,8 +153,11 @@ def near_duplicates(
     rows = materialize(rows, "vectors")
     groups = rows.where(F.col("same").isNotNull()).groupBy("same").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.first("label").alias("label"), F.first("v").alias("v"))
     groups = materialize(groups.withColumn("rep", F.monotonically_increasing_id()).withColumn("size", F.size("v")), "groups")
-    coded = materialize(_coded(groups.select("rep", "label", "size", "v")).drop("v"), "codes")
-    pairs = _candidates(coded)
+    bits = key_bits(groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
+    words = len(_words(bits))
+    size, learned, norm = _learned(groups, words)
+    coded = materialize(_coded(groups.select("rep", "label", "size", "v"), words, size, learned).drop("v"), "codes")
+    pairs = _candidates(coded, bits, radius(least, BITS * words, norm))
     left, right = (groups.select(F.col("rep").alias(x), F.col("v").alias(f"v{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     close = pairs.join(left, "a").join(right, "b").withColumn("cosine", _cosine("va", "vb")).where(F.col("cosine") >= least)
     close = materialize(close.select("a", "b", "na", "nb"), "close")
