@@ -49,20 +49,53 @@ def quick(regex: str) -> str:
     return f"{flag or ''}{first}(?<!{before}{first}){more}{rest}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_CHUNK = 64
+
+
+def offsets(sizes: Column) -> Column:
+    """Where each item begins when items of these sizes are laid end to end.
+
+    Arrays can only be appended to by a copy, so sums run within chunks, and from chunk to chunk.
+    """
+
+    def running(items: Column, start: Column) -> Column:
+        zero = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, v: F.struct((a["at"] + v).cast("int").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(items, zero, step, lambda a: a["out"])
+
+    def chunked(z: Column) -> Column:
+        part = lambda k: F.slice(z, k * _CHUNK + 1, F.lit(_CHUNK))
+        total = lambda k: F.aggregate(part(k), F.lit(0), lambda t, v: (t + v).cast("int"))
+        chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(z), F.lit(1)) - 1) / _CHUNK).cast("int"))
+        return let(running(F.transform(chunks, total), F.lit(0)), lambda bases: F.flatten(F.transform(bases, lambda base, k: running(part(k), base))))
+
+    return let(sizes, chunked)
+
+
 def hits(text: Column, regex: str, kind: str = "", rule: str = "", order: int = 0) -> Column:
     """Every hit as ``(start, end, kind, rule, value, pass)``, in order; offsets are half-open."""
     regex = quick(regex)
     gaps, found = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     pairs = F.arrays_zip(found.alias("hit"), gaps.alias("gap"))  # the last gap has no hit after it
 
-    def step(acc: Column, x: Column) -> Column:
-        start = (acc["at"] + F.length(x["gap"])).cast("int")
-        end = (start + F.length(x["hit"])).cast("int")
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(rule).alias("rule"), x["hit"].alias("value"), F.lit(order).alias("pass"))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
+    def placed(pairs: Column) -> Column:
+        starts = offsets(F.transform(pairs, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))))
+
+        def span(starts: Column) -> Callable[[Column, Column], Column]:
+            def at(x: Column, i: Column) -> Column:
+                start = (F.get(starts, i) + F.length(x["gap"])).cast("int")
+                return F.struct(start.alias("start"), (start + F.length(x["hit"])).cast("int").alias("end"), F.lit(kind).alias("kind"), F.lit(rule).alias("rule"), x["hit"].alias("value"), F.lit(order).alias("pass"))
+
+            return at
+
+        return let(starts, lambda s: F.filter(F.transform(pairs, span(s)), lambda x: x["value"].isNotNull()))
 
-    zero = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return F.when(F.size(found) > 0, let(pairs, placed)).otherwise(no_spans())
 
 
 def luhn(value: Column) -> Column:
@@ -121,7 +154,7 @@ def nearby_otp(text: Column, spans: Column) -> Column:
     def look(word: Column) -> Column:
         window = F.substr(text, word["start"] + 1, F.lit(OTP_REACH))
         value = F.regexp_extract(window, digits, 1)
-        start = (word["start"] + F.instr(window, value) - 1).cast("int")
+        start = (word["start"] + F.regexp_instr(window, F.lit(digits)) - 1).cast("int")
         return F.struct(start.alias("start"), (start + F.length(value)).cast("int").alias("end"), F.lit("otp").alias("kind"), F.lit("otp-nearby-digits").alias("rule"), value.alias("value"), F.lit(len(LABELLED)).alias("pass"))
 
     found = F.filter(F.transform(hits(text, OTP_WORDS), look), lambda s: s["value"] != "")
@@ -150,12 +183,12 @@ def kinds_of(spans: Column) -> Column:
 def rendered(text: Column, spans: Column, put: Callable[[Column], Column]) -> Column:
     """The text with every span (sorted, disjoint) replaced by ``put`` of it."""
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), put(s))
-        return F.struct(s["end"].alias("at"), piece.alias("out"))
+    def pieces(spans: Column) -> Column:
+        last = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+        before = F.transform(spans, lambda s, i: F.concat(F.substr(text, last(i) + 1, s["start"] - last(i)), put(s)))
+        return F.array_join(F.concat(before, F.array(F.substr(text, last(F.size(spans)) + 1, F.length(text)))), "")
 
-    zero = F.struct(F.lit(0).cast("int").alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    return let(spans, pieces)
 
 
 def rebuilt(text: Column, regex: str, put: Callable[[Column], Column]) -> Column:

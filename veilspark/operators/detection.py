@@ -85,21 +85,24 @@ def chunk_lines(docs: DataFrame, most: int = 128, id_col: str = "doc_id", text:
     Offsets are in the text. A chunk takes words as long as they fit its budget; one word alone may exceed it.
     """
     lines = F.split(text, "\n")
-    starts = F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + F.length(x) + 1).cast("int").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    starts = S.offsets(F.transform(lines, lambda x: F.length(x) + 1))
     rows = docs.select(id_col, F.posexplode(F.arrays_zip(lines.alias("t"), starts.alias("at"))).alias("line", "x")).select(id_col, "line", "x.t", F.col("x.at").alias("base"))
     rows = rows.where(F.trim("t") != "")
     weigh = lambda v: F.regexp_count(v, F.lit(P.WORD_PIECE))
     pieces = F.transform(S.hits(F.col("t"), r"\S+"), lambda s: F.struct(s["start"], s["end"], weigh(s["value"]).alias("n")))
-    chunk = "array<struct<start:int,end:int,n:int>>"
+    chunk = "struct<start:int,end:int,n:int>"
+    zero = F.struct(F.lit(None).cast(chunk).alias("open"), F.array().cast(f"array<{chunk}>").alias("done"))
 
     def pack(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        full = (F.size(acc) == 0) | (last["n"] + p["n"] > most)
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), p["end"].alias("end"), (last["n"] + p["n"]).alias("n"))))
-        return F.when(full, F.concat(acc, F.array(p))).otherwise(grown)
+        """The open chunk grows until a word would not fit; only then is it copied to those that are done."""
+        last = acc["open"]
+        fits = F.coalesce(last["n"] + p["n"] <= most, F.lit(False))
+        grown = F.struct(last["start"].alias("start"), p["end"].alias("end"), (last["n"] + p["n"]).alias("n"))
+        done = F.when(fits | last.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))
+        return F.struct(F.when(fits, grown).otherwise(p).cast(chunk).alias("open"), done.alias("done"))
 
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length("t").alias("end"), weigh(F.col("t")).alias("n")))
-    chunks = F.when(weigh(F.col("t")) <= most, whole).otherwise(F.aggregate(pieces, F.array().cast(chunk), lambda a, p: F.when(F.size(a) == 0, F.array(p)).otherwise(pack(a, p)).cast(chunk)))
+    chunks = F.when(weigh(F.col("t")) <= most, whole).otherwise(F.aggregate(pieces, zero, pack, lambda a: F.concat(a["done"], F.array(a["open"]))))
     out = S.spread(rows, id_col, "line", "base", items=chunks)
     return out.select(id_col, "line", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"), F.col("n").alias("words"))
 

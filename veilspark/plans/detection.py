@@ -11,7 +11,7 @@ from ..functions import spans as S
 from ..operators import detection as D
 from ..sources import tables as A
 from ..streaming.streams import shared_folder
-from .inputs import PROBED, probed, table
+from .inputs import PROBED, probed, table, texts
 from .registry import query
 
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
@@ -263,7 +263,7 @@ def b18_neutralise_scaffolding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def b19_chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = D.chunk_lines(table(spark, sf_dir, "documents"))
+    chunks = D.chunk_lines(texts(spark, sf_dir))
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("words").alias("most"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
@@ -278,7 +278,7 @@ def b20_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def b21_line_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document's lines, some turned into labels."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    lines = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     words = lines.select("doc_id", "line", F.posexplode(F.split("t", " ")).alias("x", "word"))
     words = words.withColumn("word", F.when(F.col("x") % 9 == 2, F.lit("Email:")).when(F.col("x") % 9 == 5, F.lit("other:")).otherwise(F.col("word")))
     return D.line_policy(words).groupBy("doc_id", "kind", "rule").count()

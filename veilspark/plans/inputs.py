@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BLOCK_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts whose rows are worked on for long: one too small for its blocks to fill the cores is dealt out anew."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * BLOCK_BYTES else df
+
+
 def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, each followed by a line with personal data of the kinds that their texts lack, made from the id."""
     n = lambda width, mod, off=0: F.lpad(((F.col("doc_id") + off) % mod).cast("string"), width, "0")
@@ -18,7 +28,7 @@ def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" uid "), n(12, 1000000000000), F.lit(" call +91 9"), n(9, 1000000000), F.lit(" or 98765 4"), n(4, 10000), F.lit(" or +44 20 79"), n(2, 100), F.lit(" "), n(4, 10000),
         F.lit(" mail user"), F.col("doc_id").cast("string"), F.lit("@example.test otp is "), n(6, 1000000), F.lit(" password: s3cret"), F.col("doc_id").cast("string"), F.lit(" cvv 1"), n(2, 100), F.lit(" end"),
     )
-    return table(spark, sf_dir, "documents").withColumn("text", F.concat("text", line))
+    return texts(spark, sf_dir).withColumn("text", F.concat("text", line))
 
 
 def _n(width: int, mod: int, off: int = 0) -> str:
