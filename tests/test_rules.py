@@ -9,8 +9,8 @@ from veilspark.operators import geometry as E
 from veilspark.operators import metrics as M
 
 LABELS = {
-    "Delete account": "destructive", "हटाएं": "destructive", "ह‍टाएं": "destructive", "Kick from folder": "destructive", "Leave the group": "destructive", "Leave a review": "state-changing", "Swipe left": "state-changing",
-    "Clear filters": "state-changing", "रद्द करें": "state-changing", "Cancel": "state-changing", "Save": "state-changing", "Open menu": "navigational", "Next": "navigational", "Account link": "navigational", "close-account": "destructive",
+    "Erase this page": "destructive", "मसौदा मिटाएँ": "destructive", "मसौदा मि\u200dटाएँ": "destructive", "Kick the bot": "destructive", "Leave my household": "destructive", "परिवार छो\u095cें": "destructive", "परिवार छो\u0921\u093cें": "destructive",
+    "Leave by noon": "state-changing", "Nudge": "state-changing", "Clear formatting": "state-changing", "Pay rent": "state-changing", "Open drawer": "navigational", "Back to list": "navigational", "Permanent link": "navigational", "cancel_subscription": "destructive",
 }
 
 

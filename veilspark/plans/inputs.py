@@ -67,10 +67,11 @@ PREDICTIONS = """predictions AS (SELECT doc_id, lang, source, quality, toxic, n_
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as boxes on images of 1000 x 800: odd lines are truth, even ones predictions."""
+    """Line items as boxes on images of 1000 x 800: odd lines are truth, even ones predictions. Lines' numbers repeat within
+    an order, so ids hold more of a line."""
     x, y = (F.col("l_partkey") * 37 % 900).cast("double"), (F.col("l_suppkey") * 53 % 700).cast("double")
     return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box_id"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + (F.col("l_partkey") * 7 + F.col("l_suppkey") * 3) % 1000).alias("box_id"),
         (F.col("l_orderkey") / 8).cast("long").alias("image"),
         F.when(F.col("l_linenumber") % 2 == 1, "truth").otherwise("pred").alias("side"),
         F.when(F.col("l_partkey") % 2 == 0, "email").otherwise("face").alias("kind"),
@@ -78,7 +79,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-BOXES = """boxes AS (SELECT l_orderkey * 10 + l_linenumber AS box_id, CAST(floor(l_orderkey / 8) AS BIGINT) AS image, CASE WHEN l_linenumber % 2 = 1 THEN 'truth' ELSE 'pred' END AS side,
+BOXES = """boxes AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000 + (l_partkey * 7 + l_suppkey * 3) % 1000 AS box_id, CAST(floor(l_orderkey / 8) AS BIGINT) AS image, CASE WHEN l_linenumber % 2 = 1 THEN 'truth' ELSE 'pred' END AS side,
  CASE WHEN l_partkey % 2 = 0 THEN 'email' ELSE 'face' END AS kind, CAST(l_partkey * 37 % 900 AS DOUBLE) AS x, CAST(l_suppkey * 53 % 700 AS DOUBLE) AS y, l_quantity * 4 + 20 AS w,
  l_quantity * 3 + 15 AS h, 1 - l_discount AS confidence FROM lineitem)"""
 
