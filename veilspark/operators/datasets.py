@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def digest_share(key: Column, seed: str) -> Column:
     """The first byte of sha256(``seed:key``) over 256: the same for a key wherever it stands."""
@@ -18,8 +20,8 @@ def stable_split(df: DataFrame, key: str, seed: str, share: float = 0.3) -> Data
 
 
 def group_holdout(df: DataFrame, group: str, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the held groups (a short table), and all others."""
-    return df.join(F.broadcast(held), group, "left_semi"), df.join(F.broadcast(held), group, "left_anti")
+    """Rows of the held groups, and all others."""
+    return df.join(held, group, "left_semi"), df.join(held, group, "left_anti")
 
 
 def dedupe_rows(df: DataFrame, parts: Sequence[str], order: str) -> DataFrame:
@@ -30,26 +32,33 @@ def dedupe_rows(df: DataFrame, parts: Sequence[str], order: str) -> DataFrame:
 
 
 def pair_positive_negative(tasks: DataFrame, controls: DataFrame, task: str, goal: str, label: str, goals: str, seed: str, factor: float = 1.5) -> DataFrame:
-    """Each task with all controls that serve its goal, and with max(2, ``factor`` x as many) others by a digest's order.
+    """Each task with all controls that serve its goal, and with max(2, ``factor`` x as many) others, as far as there are.
 
     ``tasks(task, goal)``; ``controls(label, goals)`` is a table of labels, short beside the tasks. Both lists are made
-    once for each goal; a task ranks its goal's others within its own row, so no pair is made that isn't kept.
+    once for each goal, the others in a digest's order; a task takes those from a place of its own on, round the end, so
+    no pair is made that isn't kept.
     """
-    served = tasks.select(goal).distinct().join(controls, F.array_contains(F.col(goals), F.col(goal)), "left").groupBy(goal).agg(F.array_sort(F.collect_set(label)).alias("pos"))
-    every = controls.agg(F.array_sort(F.collect_set(label)).alias("every"))
-    lists = served.join(F.broadcast(every)).select(goal, "pos", F.array_except("every", "pos").alias("neg"))
-    rank = F.transform("neg", lambda x: F.struct(F.sha2(F.concat_ws(":", F.lit(seed), F.col(task).cast("string"), x.cast("string")), 256).alias("d"), x.alias("label")))
-    want = F.greatest(F.lit(2), F.floor(F.size("pos") * factor)).cast("int")
-    picked = tasks.join(lists, goal).withColumn("neg", F.transform(F.slice(F.array_sort(rank), F.lit(1), want), lambda x: x["label"]))
-    both = F.concat(F.transform("pos", lambda x: F.struct(x.alias("label"), F.lit("A").alias("gold"))), F.transform("neg", lambda x: F.struct(x.alias("label"), F.lit("B").alias("gold"))))
+    wanted = tasks.select(goal).distinct()
+    every = controls.groupBy().agg(F.array_sort(F.collect_set(label)).alias("every"))
+    pos = controls.select(label, F.explode(goals).alias(goal)).groupBy(goal).agg(F.array_sort(F.collect_set(label)).alias("pos"))
+    lists = wanted.join(pos, goal, "left").withColumn("pos", F.coalesce("pos", F.array().cast(every.schema["every"].dataType))).crossJoin(every)
+    rank = F.transform(F.array_except("every", "pos"), lambda x: F.struct(F.sha2(F.concat_ws(":", F.lit(seed), F.col(goal).cast("string"), x.cast("string")), 256).alias("d"), x.alias("label")))
+    lists = lists.select(goal, "pos", F.transform(F.array_sort(rank), lambda x: x["label"]).alias("neg"))
+    n = F.size("neg")
+    start = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col(task).cast("string")), 256), 1, 8), 16, 10).cast("long"), F.greatest(n, F.lit(1))).cast("int")
+    want = F.least(n, F.greatest(F.lit(2), F.floor(F.size("pos") * factor)).cast("int"))
+    picked = tasks.join(lists, goal)
+    chosen = F.concat(F.slice("neg", start + 1, want), F.slice("neg", F.lit(1), F.greatest(F.lit(0), start + want - n)))
+    both = F.concat(F.transform("pos", lambda x: F.struct(x.alias("label"), F.lit("A").alias("gold"))), F.transform(chosen, lambda x: F.struct(x.alias("label"), F.lit("B").alias("gold"))))
     return picked.select(task, goal, F.inline(both)).withColumnRenamed("label", label)
 
 
 def calib_carve(df: DataFrame, key: str, bucket: str, part: int = 8) -> DataFrame:
     """``df`` plus ``calib``: exactly one row in ``part`` of each bucket, first by a digest of the key."""
-    rank = F.row_number().over(Window.partitionBy(bucket).orderBy(F.sha2(F.col(key).cast("string"), 256), key))
-    size = F.count("*").over(Window.partitionBy(bucket))
-    return df.withColumn("calib", rank <= F.floor(size / part))
+    digest = F.sha2(F.col(key).cast("string"), 256)
+    held = df.withColumn("_digest", digest).withColumn("_head", F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long"))
+    out = numbered(held, [bucket], "_head", ["_digest", key])
+    return out.withColumn("calib", F.col("_place") < F.floor(F.col("_size") / part)).select(*df.columns, "calib")
 
 
 def split_leak(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -74,12 +83,11 @@ def drop_seen(val: DataFrame, train: DataFrame, body: Sequence[str]) -> DataFram
 
 
 def bank_split(df: DataFrame, bank: str, order: str) -> DataFrame:
-    """Every fourth entry of a bank (the last of one with two or three) goes to val; a single entry to both."""
-    w = Window.partitionBy(bank).orderBy(order)
-    i, n = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy(bank))
-    out = df.withColumn("_i", i).withColumn("_n", n)
-    val = F.when(F.col("_n") < 2, "both").when((F.col("_i") % 4 == 3) | ((F.col("_n") < 4) & (F.col("_i") == F.col("_n") - 1)), "val").otherwise("train")
-    return out.withColumn("part", val).drop("_i", "_n")
+    """Every fourth entry of a bank, by ``order`` (a number), goes to val, as does the last of one with two or three; a
+    single entry goes to both."""
+    i, n = F.col("_place"), F.col("_size")
+    val = F.when(n < 2, "both").when((i % 4 == 3) | ((n < 4) & (i == n - 1)), "val").otherwise("train")
+    return numbered(df, [bank], order, []).withColumn("part", val).select(*df.columns, "part")
 
 
 def split_manifest(df: DataFrame, *by: str) -> DataFrame:

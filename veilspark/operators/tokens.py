@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import spans as S
+from .numbering import numbered
 
 STRIP_THRESHOLD = 0.60
 FLOOR, FLOOR_BY_LABEL = 0.35, {"person name": 0.12}
@@ -34,8 +35,9 @@ def mint_tokens(spans: DataFrame, scope: str = "scope", source: str = "source_or
     ``spans(scope, source_ord, start, type, value)``. Repeats are combined before any shuffle of a scope's rows.
     """
     first = spans.groupBy(scope, "type", "value").agg(F.min(F.struct(F.col(source).alias("o"), F.col("start").alias("a"))).alias("first"))
-    n = F.row_number().over(Window.partitionBy(scope, "type").orderBy("first", "value"))
-    return first.withColumn("n", n).select(scope, "type", "value", F.concat_ws("#", "type", F.col("n").cast("string")).alias("token"), "n", F.col("first.o").alias("first_source"))
+    placed = numbered(first.select(scope, "type", "value", F.col("first.o").alias("first_source"), F.col("first.a").alias("_start")), [scope, "type"], "first_source", ["_start", "value"])
+    n = (F.col("_place") + 1).cast("int")
+    return placed.select(scope, "type", "value", F.concat_ws("#", "type", n.cast("string")).alias("token"), n.alias("n"), "first_source")
 
 
 def merge_layers(regex: DataFrame, model: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -68,7 +70,8 @@ def with_model(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str
 
 def propagate_certain(spans: DataFrame, scope: str = "scope") -> DataFrame:
     """``spans(.., band)`` plus ``certain``: whether the value is certain anywhere in its scope."""
-    return spans.withColumn("certain", F.max(F.col("band") == "certain").over(Window.partitionBy(scope, "type", "value")))
+    sure = spans.where("band = 'certain'").select(scope, "type", "value").distinct().withColumn("certain", F.lit(True))
+    return spans.join(sure, [scope, "type", "value"], "left").withColumn("certain", F.coalesce("certain", F.lit(False)))
 
 
 def apply_answers(spans: DataFrame, vault: DataFrame, answers: DataFrame, scope: str = "scope") -> DataFrame:

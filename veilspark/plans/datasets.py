@@ -42,8 +42,9 @@ _GOALS = "c AS (SELECT item_id AS label, [item_id % 5, (item_id + 2) % 7] AS goa
 
 @query(f"""WITH {_GOALS}, n AS (SELECT g AS goal, count(DISTINCT label) AS n FROM (SELECT label, unnest(goals) AS g FROM c) GROUP BY g),
 pos AS (SELECT DISTINCT task, goal, label FROM t JOIN (SELECT label, unnest(goals) AS g FROM c) ON g = goal),
-neg AS (SELECT task, goal, label, row_number() OVER (PARTITION BY task ORDER BY sha256('7:' || task || ':' || label), label) AS r, greatest(2, CAST(floor(coalesce(n, 0) * 1.5) AS BIGINT)) AS want FROM t LEFT JOIN n USING (goal) JOIN c ON NOT list_contains(goals, goal))
-SELECT task, goal, label, 'A' AS gold FROM pos UNION ALL SELECT task, goal, label, 'B' FROM neg WHERE r <= want""")
+others AS (SELECT goal, label, row_number() OVER (PARTITION BY goal ORDER BY sha256('7:' || goal || ':' || label), label) - 1 AS i, count(*) OVER (PARTITION BY goal) AS size FROM (SELECT DISTINCT goal FROM t), c WHERE NOT list_contains(goals, goal)),
+neg AS (SELECT task, goal, label FROM t JOIN others USING (goal) LEFT JOIN n USING (goal) WHERE (i - ('0x' || substr(sha256('7:' || task), 1, 8))::BIGINT % size + size) % size < greatest(2, CAST(floor(coalesce(n, 0) * 1.5) AS BIGINT)))
+SELECT task, goal, label, 'A' AS gold FROM pos UNION ALL SELECT task, goal, label, 'B' FROM neg""")
 def g4_pair_positive_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as tasks of five goals, benchmark items as controls that serve two goals each."""
     i = F.col("item_id")
