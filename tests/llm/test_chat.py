@@ -47,3 +47,10 @@ def test_empty_and_repeats(spark):
 @given(st.lists(st.tuples(st.text("<|\\nim_sta>rt\n", max_size=12), st.text("<|\\im_endstar>\n", max_size=30)), max_size=4))
 def test_any_turns_parse_back(turns):
     assert [t[:2] for t in C.parse("".join(C.render(r, t) for r, t in turns))] == turns
+
+
+def test_mask_marks_assistant_texts_as_written(spark):
+    rows = [(1, 0, "user", "a <|im_end|>", 9), (1, 1, "assistant", "b <|im_start|>assistant", 9), (1, 1, "assistant", "b <|im_start|>assistant", 9), (1, 2, "assistant", "x" * 300_000, 9), (1, 3, None, None, 9)]
+    got = C.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, piece int")).orderBy("turn").collect()
+    masked = [None if r.loss_start is None else C.unescape(r.piece[r.loss_start : r.loss_end]) for r in got]
+    assert masked == [None, rows[1][3], rows[2][3], rows[3][3], None]

@@ -4,7 +4,8 @@ A turn is written as a start mark, its role, a line break, its text, an end mark
 parser reads a rendered turn back; if what it reads is not the turn it came from, the conflicting content is escaped
 and the turn read again, until it is identical: a backslash goes into each ``<|`` of the text (one more where there
 are some already), which the parser takes out. Rendering works on single turns and needs no shuffle; a conversation
-is its turns' pieces in order, so one of any length is written and read as a stream.
+is its turns' pieces in order, so one of any length is written and read as a stream. With each piece goes its part of the
+loss mask: where the text of an assistant's turn begins and ends in the piece, as written.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .common import materialize, ship
 ship(__name__)
 
 START, STOP = "<|im_start|>", "<|im_end|>"
+LEARNED = "assistant"
 _CLASH, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _ROLE_CLASH, _ROLE_ESCAPED = re.compile(r"[\\\n]"), re.compile(r"\\([\\n])")
 
@@ -74,15 +76,19 @@ def render(role: str, text: str) -> str:
 
 
 def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``(conv_id, turn, piece)``: each turn as written. Null roles and texts are empty."""
+    """``(conv_id, turn, piece, loss_start, loss_end)``: each turn as written, and the code points of it that are under the
+    loss mask (null: none). Null roles and texts are empty; repeated rows are turns each; columns of other names are
+    left behind; a very long text is one piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pieces = [render(r or "", t or "") for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.string())], ["conv_id", "turn", "piece"])
+            masks = [next((t[2:] for t in parse(p) if t[0] == LEARNED), (None, None)) for p in pieces]
+            starts, ends = (pa.array([m[i] for m in masks], pa.int64()) for i in range(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.string()), starts, ends], ["conv_id", "turn", "piece", "loss_start", "loss_end"])
 
     rows = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "conv_id long, turn long, piece string")
+    return rows.mapInArrow(run, "conv_id long, turn long, piece string, loss_start long, loss_end long")
 
 
 class _Digest:
@@ -92,14 +98,15 @@ class _Digest:
         self.conv, self.turns, self.loss_chars, self.chars = conv, 0, 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, piece: str) -> None:
+    def add(self, piece: str, start: int | None, end: int | None) -> None:
         self.chars += len(piece)
         for role, text, _, _ in parse(piece):
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            if role == "assistant":
-                self.loss_chars += len(text)
-                self.loss.update(text.encode("utf-8", "surrogatepass"))
+        if start is not None:
+            learned = unescape(piece[start:end])
+            self.loss_chars += len(learned)
+            self.loss.update(learned.encode("utf-8", "surrogatepass"))
 
     def row(self) -> tuple:
         return self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
@@ -123,25 +130,26 @@ def read_back(pieces: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(rows, list(_COLUMNS))
 
         for batch in batches:
-            for conv, piece in zip(batch.column(0), batch.column(1), strict=True):
+            for conv, piece, *mask in zip(*batch.columns, strict=True):
                 if now is None or now.conv != conv.as_py():
                     if now is not None:
                         done.append(now.row())
                     now = _Digest(conv.as_py())
-                now.add(piece.as_py())
+                now.add(piece.as_py(), *(x.as_py() for x in mask))
             if len(done) >= 1000:
                 yield out()
         if now is not None:
             done.append(now.row())
             yield out()
 
-    dealt = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "piece").select("conv_id", "piece")
+    dealt = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "piece").select("conv_id", "piece", "loss_start", "loss_end")
     return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def round_trip(turns: DataFrame) -> DataFrame:
     """Write all conversations to the shared folder and report each from what was written.
 
-    Rows with a null conversation are one conversation; null turns come first; an empty table gives an empty table.
+    Rows with a null conversation are one conversation; null turns come first; repeated rows are turns each; extra
+    columns are left behind; an empty table gives an empty table.
     """
     return read_back(materialize(format_turns(turns), "chat"))

@@ -109,9 +109,11 @@ def _report(docs: DataFrame, found: DataFrame) -> DataFrame:
         F.first("id").alias("id"), F.max("n_words").cast("long").alias("n_words"), _covered(F.collect_list("hit")).alias("n_hit"), F.collect_set("set").alias("sets")
     )
     per = materialize(per, "marks")
-    ids = per.select("row", F.explode("sets").alias("set")).join(sets, "set").groupBy("row")
-    ids = ids.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    out = per.drop("sets").join(ids, "row", "left")
+    # documents that hit the same sets of items are one combination, whose items are gathered once
+    combined = per.withColumn("sets", F.array_sort("sets")).withColumn("combination", F.sha2(F.array_join("sets", ","), 256))
+    ids = combined.select("combination", "sets").distinct().select("combination", F.explode("sets").alias("set")).distinct().join(sets, "set")
+    ids = ids.select("combination", F.explode("items").alias("item")).distinct().groupBy("combination").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = combined.drop("sets").join(ids, "combination", "left")
     return out.select(
         "id",
         "n_words",

@@ -104,6 +104,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs ``(a, b)`` of distinct fingerprints that differ by ``threshold`` (3 at most) bits or fewer."""
     if threshold > THRESHOLD:
         raise ValueError("the anchors cover three differing bits at most")
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # a row becomes 34
     left = homes(fps).select("half", "anchor", F.col("fp").alias("a"))
     right = probes(fps).select("half", "anchor", F.col("fp").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
