@@ -33,11 +33,19 @@ def no_spans() -> Column:
 _BOUNDED = re.compile(r"^(\(\?i\))?\(\?<!(\[[^\]]*\])\)(\[[^\]]*\]|\\\+)(?:\{(\d+)\})?")
 
 
+_RUN = re.compile(r"^(\(\?i\))?(\[[^\]]*\])\+@")
+
+
 def quick(regex: str) -> str:
-    """The same pattern with a leading "not after" moved behind its first character.
+    """The same pattern with a leading "not after" moved behind its first character, if what follows may follow.
 
-    The matcher then drops most places at their first character and looks back only from the rest.
+    The matcher then drops most places at their first character and looks back only from the rest. A pattern that begins
+    with a run before an ``@`` is tried once for each run, from its start or from where the last hit ended.
     """
+    run = _RUN.match(regex)
+    if run is not None:
+        flag, before = run.groups()
+        return f"{flag or ''}(?:\\G|(?<!{before})){before}++@{regex[run.end() :]}"
     m = _BOUNDED.match(regex)
     if m is None:
         return regex
@@ -46,7 +54,9 @@ def quick(regex: str) -> str:
     if n is None and rest[:1] in ("+", "*", "?", "{"):
         return regex
     more = f"{first}{{{int(n) - 1}}}" if n and int(n) > 1 else ""
-    return f"{flag or ''}{first}(?<!{before}{first}){more}{rest}"
+    follows = re.match(r"\[[^\]]*\](?:\{[1-9][0-9]*\}|(?![{*?+]))", more or rest)
+    ahead = f"(?={follows[0]})" if follows else ""
+    return f"{flag or ''}{first}{ahead}(?<!{before}{first}){more}{rest}"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
