@@ -6,7 +6,7 @@ A text's parts between hits and the hits themselves, laid end to end, give every
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Hashable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -135,8 +135,30 @@ def pattern_hits(text: Column, pattern: Pattern, order: int) -> Column:
     return guarded(text, pattern.needs, spans)
 
 
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep what ``build`` makes of a plain column: building hundreds of expressions takes seconds, and they don't change."""
+    kept: dict[tuple, Column] = {}
+
+    def get(text: Column, *rest: Hashable) -> Column:
+        name = str(text._jc.toString())
+        if not name.isidentifier():
+            return build(text, *rest)
+        key = (name, *rest)
+        if key not in kept:
+            kept[key] = build(text, *rest)
+        return kept[key]
+
+    get.__doc__ = build.__doc__
+    return get
+
+
 def candidates(text: Column, passes: Sequence[Pattern] = PASSES) -> Column:
     """All passes' hits, in order of pass and place; bare twelve-digit numbers last, where the text names their card."""
+    return _candidates(text, tuple(passes))
+
+
+@built_once
+def _candidates(text: Column, passes: tuple[Pattern, ...]) -> Column:
     found = [pattern_hits(text, p, i) for i, p in enumerate(passes)]
     bare = F.when(text.rlike(AADHAAR_WORDS), hits(text, AADHAAR_BARE, "aadhaar", "aadhaar", len(passes))).otherwise(no_spans())
     return F.concat(*found, bare)
@@ -152,6 +174,7 @@ def claimed(spans: Column) -> Column:
     return F.array_sort(kept)
 
 
+@built_once
 def labelled(text: Column) -> Column:
     """The labelled rules' hits, overlaps kept."""
     return F.concat(*(guarded(text, LABEL_NEEDS.get(rule), hits(text, regex, kind, rule, i)) for i, (rule, kind, regex) in enumerate(LABELLED)))
