@@ -8,11 +8,17 @@ threshold). Each fingerprint is therefore replicated to its 1 or 16 anchors with
 fingerprints whose home it is, and compared in full. No pair within the threshold is missed.
 
 Fingerprints are deduplicated before they are replicated, so a group of exact copies, however large, is one row.
+
+Three bits of three-word shingles are a strict rule. To drop near-duplicates, :func:`drop_near_duplicates` also looks for
+texts whose sets of words have fingerprints (``WIDE`` of them, each by hashes of its own) that three bits at most part:
+an exchanged word moves one member of that set, but three shingles or five. Such candidates are links only if their sets
+of five-word shingles have a similarity of ``SIMILAR`` or more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, ship
+from .common import ascii_lower, materialize, ship
 from .components import components
 
 ship(__name__)
@@ -28,6 +34,8 @@ ship(__name__)
 SHINGLE = 3
 THRESHOLD = 3
 SEED = 42
+WIDE = 4
+SIMILAR, SIMILAR_WORDS = 0.8, 5
 _BLOCK = 1 << 16  # shingles hashed at a time, which bounds memory for very long texts
 
 
@@ -52,17 +60,38 @@ def simhash(raw: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(majority, bitorder="little").view("<i8")[0])
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``docs`` plus a long column ``out``; a null text counts as empty."""
+def word_prints(raw: bytes | None) -> list[int]:
+    """``WIDE`` signed fingerprints of the set of words in a text, each with hashes of its own."""
+    from xxhash import xxh64_intdigest
+
+    words = set((raw or b"").lower().split())
+    if not words:
+        return [0] * WIDE
+    hashes = np.fromiter(map(xxh64_intdigest, words), dtype="<u8", count=len(words))
+    out = []
+    for k in range(WIDE):
+        x = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + np.uint64(k)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones = np.unpackbits((x ^ (x >> np.uint64(31))).view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(words), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint", wide: str | None = None) -> DataFrame:
+    """``docs`` plus a long column ``out``, and if named an array of :func:`word_prints`; a null text counts as empty."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(at).cast(pa.binary())
-            found = pa.array((simhash(x.as_py()) for x in raw), type=pa.int64(), size=len(raw))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
+            more = {out: pa.array((simhash(x.as_py()) for x in raw), type=pa.int64(), size=len(raw))}
+            if wide:
+                more[wide] = pa.array([word_prints(x.as_py()) for x in raw], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
+    fields = [*docs.schema.fields, T.StructField(out, T.LongType()), *([T.StructField(wide, T.ArrayType(T.LongType()))] if wide else [])]
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def _parity(x: Column, mask: int) -> Column:
@@ -136,13 +165,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     )
 
 
+def _shingles(text: Column, size: int) -> Column:
+    """Distinct hashes of a text's shingles of ``size`` words; the whole of a shorter one; none of an empty one."""
+    words = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+
+    def grams(h: Column) -> Column:
+        n = F.greatest(F.size(h) - size + 1, F.lit(1))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(size))))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(hashed), lambda h: F.when(F.size(h) > 0, grams(h)).otherwise(F.array().cast("array<bigint>")))))
+
+
+def similar_links(reps: DataFrame, texts: DataFrame, least: float = SIMILAR, size: int = SIMILAR_WORDS) -> DataFrame:
+    """Pairs ``(a, b)`` of ``reps(fp, row, wide)`` whose word fingerprints meet and whose texts are ``least`` similar.
+
+    Of representatives with one word fingerprint the least is compared with the others, and stands for them outside.
+    ``texts(row, text)`` has their texts.
+    """
+    found = []
+    for k in range(WIDE):
+        own = materialize(reps.select("fp", F.get("wide", F.lit(k)).alias("w")), "wide")
+        least_of = own.groupBy("w").agg(F.min("fp").alias("first"))
+        stars = own.join(least_of, "w").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+        met = links(least_of.select(F.col("w").alias("fp"))).withColumnRenamed("a", "wa").withColumnRenamed("b", "wb")
+        ends = [least_of.select(F.col("w").alias(f"w{x}"), F.col("first").alias(x)) for x in "ab"]
+        found += [stars, met.join(ends[0], "wa").join(ends[1], "wb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))]
+    pairs = materialize(reduce(DataFrame.union, found).distinct(), "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps.select("fp", "row"), "fp")
+    sets = materialize(named.join(texts, "row").select("fp", _shingles(F.col("text"), size).alias("s")), "shingles")
+    sides = [sets.select(F.col("fp").alias(x), F.col("s").alias(f"s{x}")) for x in "ab"]
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(both >= least * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id (of repeats of that id, one row)."""
-    row, fp = "__veil_row", "__veil_fp"
-    held = materialize(with_fingerprint(docs, text, fp).withColumn(row, F.monotonically_increasing_id()), "texts")
-    best = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col(row).alias("r")))
+    """``docs`` with one row of each group: the one with the smallest id (of repeats of that id, one row).
+
+    Linked are rows whose fingerprints differ by three bits at most, and those that :func:`similar_links` finds. Null
+    and empty texts are one group; a null id stays only where a group has no other; columns may have any names but the
+    operator's own; an empty table gives an empty table; a very long text is hashed piece by piece.
+    """
+    row, fp, wide = "__veil_row", "__veil_fp", "__veil_wide"
+    held = materialize(with_fingerprint(docs, text, fp, wide).withColumn(row, F.monotonically_increasing_id()), "texts")
+    best = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col(row).alias("r"), F.col(wide).alias("w")))
     firsts = materialize(held.groupBy(F.col(fp).alias("fp")).agg(best.alias("best")), "prints")
-    group = _grouped(firsts).select(F.col("node").alias("fp"), "component")
+    reps = firsts.select("fp", F.col("best.r").alias("row"), F.col("best.w").alias("wide"))
+    near = similar_links(reps, held.select(F.col(row).alias("row"), F.col(text).alias("text")))
+    group = components(links(firsts.select("fp")).union(near)).select(F.col("node").alias("fp"), "component")
     named = firsts.join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     stay = named.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.r").alias(row))
     return held.join(stay, row, "left_semi").select(*docs.columns)
