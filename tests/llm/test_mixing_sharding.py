@@ -72,3 +72,20 @@ def test_placing(spark):
     assert S.place(spark.createDataFrame([], schema)).collect() == []
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_given_targets_are_met(spark):
+    """Weights of sources from a table, topics from a column, lists of languages and topics of the caller's own."""
+    rows = [(i, "word " * (5 + i % 11), ("xx", "yy", "zz", None)[i % 4], ("a", "b", "c", None)[i // 4 % 4], ("t1", "t2", None)[i // 16 % 3]) for i in range(960)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, theme string")
+    langs, topics, sources = {"xx": 0.5, "yy": 0.3, "rest": 0.2}, {"t1": 0.6, "else": 0.4}, {"a": 3.0, "b": 1.0, "": 4.0}
+    table = spark.createDataFrame(list(sources.items()), "source string, weight double")
+    got = M.sampled(docs, topic="theme", langs=langs, topics=topics, sources=table).collect()
+    total = sum(r.n_tokens for r in got)
+    share = lambda key, value: sum(r.weight * r.n_tokens for r in got if r[key] == value) / total
+    assert all(abs(share("lang", k) - v) < 1e-3 for k, v in langs.items())
+    assert all(abs(share("topic", k) - v) < 1e-3 for k, v in topics.items())
+    assert all(abs(share("source", k) - v / 8) < 1e-3 for k, v in sources.items())
+    assert {r.weight for r in got if r.source == "c"} == {0.0}
+    kept = {r.doc_id for r in got if r.kept}
+    assert {r.doc_id for r in M.mix(docs, topic="theme", langs=langs, topics=topics, sources=table).collect()} == kept and kept

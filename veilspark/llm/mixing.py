@@ -1,9 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Tokens are counted by source, language and topic. Raking finds one factor per source, language and topic such that
-the weighted tokens meet all three sets of target shares. Languages and topics come from fixed lists (all else is
-``other``), so their factors are two short vectors; sources may be any number, so their factors stay a table with one
-row, holding at most languages x topics cells, for each source. A sweep is two small aggregations over that table.
+the weighted tokens meet all three sets of target shares. The targets of languages and topics are two short lists given
+by the caller (values off a list share the target of its last name), so their factors are two short vectors; a topic is a
+column of the documents or, without one, a text's form. Sources may be any number, so their factors stay a table with one
+row, holding at most languages x topics cells, for each source; their target weights are a table too, or a power of their
+tokens. A sweep is two small aggregations over that table.
 
 A document is kept with probability min(1, k x weight), k being set so that the expected tokens are ``budget`` times
 all tokens. The draw is a digest of the document's id: the same wherever and however often it runs.
@@ -35,14 +37,13 @@ def topic_of(text: Column) -> Column:
     return out.otherwise("prose")
 
 
-def features(text: str = "text", lang: str = "lang", source: str = "source") -> dict[str, Column]:
+def features(text: str = "text", lang: str = "lang", source: str = "source", topic: str | None = None, langs: dict[str, float] = LANGS, topics: dict[str, float] = TOPICS) -> dict[str, Column]:
     """Columns ``m_source``, ``m_lang``, ``m_topic`` (the last two as places in their lists) and ``m_tokens``."""
-    place = lambda x, names: F.coalesce(F.array_position(F.array(*map(F.lit, names)), x), F.lit(len(names))).cast("int") - 1
-    known = F.when(F.col(lang).isin(*LANGS), F.col(lang)).otherwise("other")
+    place = lambda x, names: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), x), F.lit(0)), F.lit(len(names))).cast("int") - 1
     return {
         "m_source": F.coalesce(F.col(source).cast("string"), F.lit("")),
-        "m_lang": place(known, LANGS),
-        "m_topic": place(F.coalesce(topic_of(F.col(text)), F.lit("prose")), TOPICS),
+        "m_lang": place(F.col(lang), langs),
+        "m_topic": place(topic_of(F.col(text)) if topic is None else F.col(topic), topics),
         "m_tokens": F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
     }
 
@@ -57,22 +58,31 @@ def _vector(values: list[float]) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))
 
 
-def rake(feats: DataFrame, source_power: float = SOURCE_POWER, budget: float = BUDGET, sweeps: int = SWEEPS) -> tuple[DataFrame, Column, Column]:
+def rake(
+    feats: DataFrame, source_power: float = SOURCE_POWER, budget: float = BUDGET, sweeps: int = SWEEPS, langs: dict[str, float] = LANGS, topics: dict[str, float] = TOPICS, sources: DataFrame | None = None
+) -> tuple[DataFrame, Column, Column]:
     """From ``features``: the table ``(m_source, a)``, and two expressions of a row joined to it: weight, probability.
 
     The expected weighted tokens of each source, language and topic are the targets' shares of all tokens: sources'
-    exactly, the others' up to the fit's remaining error. Documents without tokens have their cell's weight.
+    exactly, the others' up to the fit's remaining error. Documents without tokens have their cell's weight. Targets of
+    values without tokens are left out and the rest scaled; ``sources(source, weight)`` gives sources' targets, of which
+    one that it lacks has none: its documents have weight 0.
     """
     cells = feats.groupBy("m_source", "m_lang", "m_topic").agg(F.sum("m_tokens").alias("n")).where("n > 0")
     cell = F.struct(F.col("m_lang").alias("l"), F.col("m_topic").alias("t"), F.col("n").cast("double").alias("n"))
     table = cells.groupBy("m_source").agg(F.sum("n").cast("double").alias("n"), F.array_sort(F.collect_list(cell)).alias("cells"))
-    table = materialize(table.withColumn("share", F.pow("n", F.lit(source_power))), "cells")
+    if sources is None:
+        table = table.withColumn("share", F.pow("n", F.lit(source_power)))
+    else:
+        given = sources.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("m_source")).agg(F.sum("weight").cast("double").alias("share"))
+        table = table.join(given, "m_source", "left").withColumn("share", F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(0.0)))
+    table = materialize(table, "cells")
     total, share = table.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.sum("share")).first()
-    if not total:
+    if not total or not share:
         return table.select("m_source", F.lit(1.0).alias("a")), F.lit(1.0), F.lit(1.0)
     have = table.select(F.inline("cells")).agg(F.collect_set("l"), F.collect_set("t")).first()  # short fixed lists
-    langs, topics = _shares(LANGS, set(have[0])), _shares(TOPICS, set(have[1]))
-    b, c = [1.0] * len(LANGS), [1.0] * len(TOPICS)
+    wanted_langs, wanted_topics = _shares(langs, set(have[0])), _shares(topics, set(have[1]))
+    b, c = [1.0] * len(langs), [1.0] * len(topics)
 
     def mass(bs: list[float], cs: list[float]) -> Column:
         """A source's tokens under the two vectors of factors."""
@@ -85,11 +95,11 @@ def rake(feats: DataFrame, source_power: float = SOURCE_POWER, budget: float = B
         """The factors that bring one list's sums to its targets, the others being as they are."""
         rows = scaled(b, c).select("a", F.inline("cells")).groupBy(place).agg(F.sum(F.col("a") * F.col("n") * factor).alias("s")).collect()
         sums = {r[place]: r.s for r in rows}
-        return [t * total / sums[i] if i in sums else 1.0 for i, t in enumerate(targets)]
+        return [t * total / sums[i] if sums.get(i) else 1.0 for i, t in enumerate(targets)]
 
     for _ in range(sweeps):
-        b = fitted("l", F.get(_vector(c), F.col("t")), langs)
-        c = fitted("t", F.get(_vector(b), F.col("l")), topics)
+        b = fitted("l", F.get(_vector(c), F.col("t")), wanted_langs)
+        c = fitted("t", F.get(_vector(b), F.col("l")), wanted_topics)
     factors = materialize(scaled(b, c), "factors")
     weight = lambda lang, topic: F.col("a") * F.get(_vector(b), lang) * F.get(_vector(c), topic)
     k = budget
@@ -100,22 +110,22 @@ def rake(feats: DataFrame, source_power: float = SOURCE_POWER, budget: float = B
     return factors.select("m_source", "a"), w, F.least(F.lit(1.0), F.lit(k) * w)
 
 
-def sampled(docs: DataFrame, id_col: str = "doc_id", **options: float) -> DataFrame:
+def sampled(docs: DataFrame, id_col: str = "doc_id", topic: str | None = None, langs: dict[str, float] = LANGS, topics: dict[str, float] = TOPICS, **options: float | DataFrame) -> DataFrame:
     """One row per input row: id, source, language, topic, tokens, weight, probability and whether it is kept.
 
-    Null sources are one source (the empty name), null or unlisted languages are ``other``, null texts are prose
-    without tokens; repeated rows share a decision. A cell without tokens has weight and probability by its factors,
+    Null sources are one source (the empty name), null or unlisted languages and topics count as the last listed, null
+    texts are prose without tokens; repeated rows share a decision. A cell without tokens has weight and probability by its factors,
     or 1 if its source has no tokens at all. An empty table gives an empty table.
     """
-    feats = materialize(docs.select(F.col(id_col), *(v.alias(k) for k, v in features().items())), "features")
-    table, w, p = rake(feats, **options)
+    feats = materialize(docs.select(F.col(id_col), *(v.alias(k) for k, v in features(topic=topic, langs=langs, topics=topics).items())), "features")
+    table, w, p = rake(feats, langs=langs, topics=topics, **options)
     out = feats.join(table, "m_source", "left").withColumns({"w": F.coalesce(w, F.lit(1.0)), "p": F.coalesce(p, F.lit(1.0))})
     name = lambda names, at: F.get(F.array(*map(F.lit, names)), F.col(at))
     return out.select(
         id_col,
         F.col("m_source").alias("source"),
-        name(LANGS, "m_lang").alias("lang"),
-        name(TOPICS, "m_topic").alias("topic"),
+        name(langs, "m_lang").alias("lang"),
+        name(topics, "m_topic").alias("topic"),
         F.col("m_tokens").alias("n_tokens"),
         F.round("w", 6).alias("weight"),
         F.round("p", 6).alias("probability"),
@@ -123,12 +133,12 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", **options: float) -> DataFr
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **options: float) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", topic: str | None = None, langs: dict[str, float] = LANGS, topics: dict[str, float] = TOPICS, **options: float | DataFrame) -> DataFrame:
     """The documents that ``sampled`` keeps, with their columns, whatever those are called."""
     names = docs.columns
     safe = {name: f"__veil_{i}" for i, name in enumerate(names)}
-    feats = docs.toDF(*safe.values()).withColumns(features(safe["text"], safe["lang"], safe["source"]))
-    table, _, p = rake(feats.select("m_source", "m_lang", "m_topic", "m_tokens"), **options)
+    feats = docs.toDF(*safe.values()).withColumns(features(safe["text"], safe["lang"], safe["source"], None if topic is None else safe[topic], langs, topics))
+    table, _, p = rake(feats.select("m_source", "m_lang", "m_topic", "m_tokens"), langs=langs, topics=topics, **options)
     out = feats.join(table, "m_source", "left")
     kept = out.where(uniform(F.col(safe[id_col]), "mix:") < F.coalesce(p, F.lit(1.0)))
     return kept.select(*safe.values()).toDF(*names)
