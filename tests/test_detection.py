@@ -134,3 +134,10 @@ def test_form_fields(spark):
     df = spark.createDataFrame(rows, "type string, name string, autocomplete string, inputmode string, id string")
     got = [r[0] for r in df.select(D.classify_form_field(*(F.col(c) for c in df.columns))).collect()]
     assert got == [["password"], ["email"], ["tel"], ["otp"], ["card-like", "pan"], []]
+
+
+def test_leaks_are_counted_in_either_case(spark):
+    bodies = spark.createDataFrame([("s", "Ann ann ANNA aaaa"), ("s", "Ann ann ANNA aaaa"), ("s", None), ("t", "jo.doe@example.test, JO.DOE@example.tests x"), ("t", "")], "scope string, text string")
+    values = [("s", "Ann"), ("s", "aa"), ("s", "zz"), ("s", "anna aaaa"), ("t", "jo.doe@example.test"), ("t", "jo.doe@example.tests"), ("t", "Ann"), ("t", "x"), ("t", ""), ("u", "x")]
+    got = {(r.scope, r.value): r.n for r in K.leak_check(bodies, spark.createDataFrame(values + values[:2], "scope string, value string"), "scope").collect()}
+    assert got == {("s", "Ann"): 6, ("s", "aa"): 4, ("s", "zz"): 0, ("s", "anna aaaa"): 2, ("t", "jo.doe@example.test"): 2, ("t", "jo.doe@example.tests"): 1, ("t", "Ann"): 0, ("t", "x"): 3, ("t", ""): 0, ("u", "x"): 0}

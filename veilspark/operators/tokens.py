@@ -160,12 +160,32 @@ def replaced_rows(decided: DataFrame, answers: DataFrame, vault: DataFrame, scop
     return rows.unionByName(rest.select(scope, "token", kind.alias("type"), F.lit(None).cast("long").alias("source"), F.lit(None).cast("string").alias("layer"), F.lit(None).cast("double").alias("score")))
 
 
+HEAD = 6
+
+
 def leak_check(bodies: DataFrame, values: DataFrame, key: str, text: str = "text", value: str = "value") -> DataFrame:
-    """Occurrences, in either case, of each known value in the bodies of its scope; values without any have zero."""
-    hay, needle = F.lower(F.coalesce(text, F.lit(""))), F.lower(value)
-    pairs = values.join(bodies, key, "left")
-    n = (F.length(hay) - F.length(F.replace(hay, needle))) / F.length(needle)
-    return pairs.groupBy(key, value).agg(F.sum(F.when(F.length(needle) > 0, n).otherwise(0)).cast("long").alias("n"))
+    """Occurrences, in either case, of each known value in the bodies of its scope; values without any have zero.
+
+    Only places where a body has the first ``HEAD`` characters of some value are looked at, and only windows as long as
+    a value that begins so; a window is a value or not by an equi-join. No value is held against a body that lacks it.
+    """
+    hay = F.lower(F.coalesce(text, F.lit("")))
+    held = bodies.select(key, hay.alias("_hay"), F.sha2(hay, 256).alias("_digest"))
+    known = values.select(key, value).distinct().withColumn("_needle", F.lower(value)).withColumn("_head", F.substring("_needle", 1, HEAD)).withColumn("_n", F.length("_needle"))
+    heads = known.where("_n > 0").select(key, "_head", "_n").distinct()
+    sizes = sorted(r[0] for r in heads.select(F.length("_head")).distinct().collect())  # HEAD different ones at most
+
+    def grams(size: int) -> Column:
+        at = F.sequence(F.lit(1), F.size("_chars") - size + 1)
+        return F.when(F.size("_chars") >= size, F.transform(at, lambda i: F.struct(i.alias("_at"), F.array_join(F.slice("_chars", i, size), "").alias("_head"))))
+
+    places = held.withColumn("_chars", F.split("_hay", "")).select(key, "_digest", F.inline(F.flatten(F.array_compact(F.array(*map(grams, sizes or [HEAD])))))).distinct()
+    windows = places.join(heads, [key, "_head"]).select(key, "_digest", "_at", "_n").join(held.dropDuplicates([key, "_digest"]), [key, "_digest"])
+    found = windows.select(key, "_digest", F.substr(F.col("_hay"), F.col("_at"), F.col("_n")).alias("_needle")).distinct()
+    pairs = found.join(known.select(key, value, "_needle"), [key, "_needle"]).join(held, [key, "_digest"])
+    n = ((F.length("_hay") - F.length(F.replace("_hay", F.col("_needle")))) / F.length("_needle")).cast("long")
+    counts = pairs.groupBy(key, value).agg(F.sum(n).alias("n"))
+    return known.select(key, value).join(counts, [key, value], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
 def mask_boxes(fields: DataFrame, key: str, group: str) -> DataFrame:
