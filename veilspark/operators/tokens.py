@@ -179,8 +179,9 @@ def leak_check(bodies: DataFrame, values: DataFrame, key: str, text: str = "text
         at = F.sequence(F.lit(1), F.size("_chars") - size + 1)
         return F.when(F.size("_chars") >= size, F.transform(at, lambda i: F.struct(i.alias("_at"), F.array_join(F.slice("_chars", i, size), "").alias("_head"))))
 
-    places = held.withColumn("_chars", F.split("_hay", "")).select(key, "_digest", F.inline(F.flatten(F.array_compact(F.array(*map(grams, sizes or [HEAD])))))).distinct()
-    windows = places.join(heads, [key, "_head"]).select(key, "_digest", "_at", "_n").join(held.dropDuplicates([key, "_digest"]), [key, "_digest"])
+    once = held.dropDuplicates([key, "_digest"])
+    places = once.withColumn("_chars", F.split("_hay", "")).select(key, "_digest", F.inline(F.flatten(F.array_compact(F.array(*map(grams, sizes or [HEAD]))))))
+    windows = places.join(heads, [key, "_head"]).select(key, "_digest", "_at", "_n").join(once, [key, "_digest"])
     found = windows.select(key, "_digest", F.substr(F.col("_hay"), F.col("_at"), F.col("_n")).alias("_needle")).distinct()
     pairs = found.join(known.select(key, value, "_needle"), [key, "_needle"]).join(held, [key, "_digest"])
     n = ((F.length("_hay") - F.length(F.replace("_hay", F.col("_needle")))) / F.length("_needle")).cast("long")
