@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 from .patterns import Pattern
+from .text import nfc
 
 
 def _text(value: str) -> str:
@@ -26,7 +27,27 @@ SQL_FUNCTIONS = (
     ("veil_mask", "v STRING", "STRING", f"CASE WHEN v RLIKE {_text(f'^(?:{P.VAULT_TOKEN}|[0-9]+)$')} THEN v ELSE repeat('*', least(length(v), 18)) END"),
     ("veil_tier_rank", "t STRING", "BIGINT", _tier_place("t")),
     ("veil_stricter_tier", "a STRING, b STRING", "STRING", f"CASE WHEN {_tier_place('a')} > 0 AND {_tier_place('b')} > 0 THEN CASE WHEN {_tier_place('a')} >= {_tier_place('b')} THEN a ELSE b END END"),
-    ("veil_destructive_intent", "t STRING", "BOOLEAN", f"coalesce(t, '') RLIKE {_text(P.DESTRUCTIVE_INTENT)}"),
+    ("veil_shown", "t STRING", "STRING", f"regexp_replace(veil_nfc(coalesce(t, '')), {_text(P.ZERO_WIDTH)}, '')"),
+    ("veil_destructive_intent", "t STRING", "BOOLEAN", f"veil_shown(t) RLIKE {_text(P.DESTRUCTIVE_INTENT)}"),
+    ("veil_collapsed", "t STRING", "STRING", "lower(trim(regexp_replace(veil_shown(t), r'\\s+', ' ')))"),
+    ("veil_name_mismatch", "a STRING, b STRING", "BOOLEAN", "veil_collapsed(a) <> '' AND veil_collapsed(b) <> '' AND NOT contains(veil_collapsed(a), veil_collapsed(b)) AND NOT contains(veil_collapsed(b), veil_collapsed(a))"),
+    (
+        "veil_click_tier_wire",
+        "label STRING, kind STRING",
+        "STRING",
+        f"CASE WHEN veil_shown(concat(coalesce(label, ''), ' ', coalesce(kind, ''))) RLIKE {_text(P.DESTRUCTIVE_LABEL)} THEN 'destructive' WHEN veil_shown(concat(coalesce(label, ''), ' ', coalesce(kind, ''))) RLIKE {_text(P.SUBMIT_LABEL)} THEN 'state-changing'"
+        f" WHEN trim(veil_shown(label)) RLIKE {_text(P.NAVIGATION_LABEL)} THEN 'navigational' ELSE 'state-changing' END",
+    ),
+    ("veil_is_descriptor", "v STRING", "BOOLEAN", f"size(regexp_extract_all(lower(v), '[a-z]+', 0)) > 0 AND size(array_except(regexp_extract_all(lower(v), '[a-z]+', 0), array({', '.join(map(_text, P.DESCRIPTORS))}))) = 0"),
+    ("veil_element_pii", "kind STRING, label STRING", "BOOLEAN", f"lower(coalesce(kind, '')) IN ({', '.join(map(_text, P.PII_FIELD_TYPES))}) OR coalesce(label, '') RLIKE {_text(P.PII_LABEL)} OR lower(coalesce(kind, '')) RLIKE {_text(P.PII_LABEL)}"),
+    ("veil_heavy_page", "w DOUBLE, h DOUBLE, n BIGINT", "BOOLEAN", "w * h >= 1200000 OR n >= 10"),
+    ("veil_overlap", "x DOUBLE, w DOUBLE, x2 DOUBLE, w2 DOUBLE", "DOUBLE", "greatest(0.0D, least(x + w, x2 + w2) - greatest(x, x2))"),
+    (
+        "veil_iou",
+        "x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, x2 DOUBLE, y2 DOUBLE, w2 DOUBLE, h2 DOUBLE",
+        "DOUBLE",
+        "CASE WHEN w * h + w2 * h2 - veil_overlap(x, w, x2, w2) * veil_overlap(y, h, y2, h2) > 0 THEN veil_overlap(x, w, x2, w2) * veil_overlap(y, h, y2, h2) / (w * h + w2 * h2 - veil_overlap(x, w, x2, w2) * veil_overlap(y, h, y2, h2)) ELSE 0.0D END",
+    ),
     (
         "veil_gate",
         "passed BOOLEAN, tier STRING",
@@ -41,6 +62,7 @@ SQL_FUNCTIONS = (
 
 def register_sql(spark: SparkSession) -> list[str]:
     """Create the functions for this session; their names."""
+    spark.udf.register("veil_nfc", nfc)
     for name, params, result, body in SQL_FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
     return [f[0] for f in SQL_FUNCTIONS]

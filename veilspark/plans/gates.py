@@ -39,23 +39,23 @@ def tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rich_controls(spark, sf_dir).withColumn("t", R.click_tier(fields)).select("*", "t.tier", "t.basis").drop("t")
 
 
-def _re(regex: str) -> str:
+def quoted(regex: str) -> str:
     """ASCII ``\\b`` is RE2's own."""
     return f"$re${regex}$re$"
 
 
-_SHOWN = lambda x: f"regexp_replace(nfc_normalize(coalesce({x}, '')), '[\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}]', '', 'g')"
-_SLUG = lambda x: f"trim(regexp_replace({_SHOWN(x)}, '[\\s\\-_/.?=&+#:%]+', ' ', 'g'))"
-_COLL = lambda x: f"lower(trim(regexp_replace({_SHOWN(x)}, '\\s+', ' ', 'g')))"
-_ANY = lambda names, regex: "(" + " OR ".join(f"regexp_matches({_SLUG(n)}, {_re(regex)})" for n in names) + ")"
+SHOWN = lambda x: f"regexp_replace(nfc_normalize(coalesce({x}, '')), '[\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}]', '', 'g')"
+_SLUG = lambda x: f"trim(regexp_replace({SHOWN(x)}, '[\\s\\-_/.?=&+#:%]+', ' ', 'g'))"
+_COLL = lambda x: f"lower(trim(regexp_replace({SHOWN(x)}, '\\s+', ' ', 'g')))"
+_ANY = lambda names, regex: "(" + " OR ".join(f"regexp_matches({_SLUG(n)}, {quoted(regex)})" for n in names) + ")"
 _NAME = "coalesce(nullif(aria, ''), nullif(label, ''), '')"
 TIERED = f"""{RICH}, b AS (SELECT *, CASE WHEN {_ANY(('label', 'aria', 'href', 'type'), P.DESTRUCTIVE_LABEL)} THEN 'destructive-keyword' WHEN {_ANY(('label', 'aria', 'type'), P.SUBMIT_LABEL)} THEN 'submit-keyword'
  WHEN submits THEN 'submits-form' WHEN {_COLL('label')} <> '' AND {_COLL('aria')} <> '' AND NOT contains({_COLL('label')}, {_COLL('aria')}) AND NOT contains({_COLL('aria')}, {_COLL('label')}) THEN 'name-mismatch'
- WHEN regexp_matches({_COLL(_NAME)}, {_re(P.NAVIGATION_LABEL)}) THEN 'navigation-label' ELSE 'unproven' END AS basis FROM rich),
+ WHEN regexp_matches({_COLL(_NAME)}, {quoted(P.NAVIGATION_LABEL)}) THEN 'navigation-label' ELSE 'unproven' END AS basis FROM rich),
 tiered AS (SELECT *, CASE basis WHEN 'destructive-keyword' THEN 'destructive' WHEN 'navigation-label' THEN 'navigational' ELSE 'state-changing' END AS tier FROM b)"""
 
 
-@query(f"""SELECT conv_id, turn, regexp_matches({_SHOWN('t')}, {_re(P.DESTRUCTIVE_INTENT)}) AS intent FROM
+@query(f"""SELECT conv_id, turn, regexp_matches({SHOWN('t')}, {quoted(P.DESTRUCTIVE_INTENT)}) AS intent FROM
 (SELECT conv_id, turn, text || CASE turn % 5 WHEN 0 THEN ' please delete it' WHEN 1 THEN ' undeleted' WHEN 2 THEN ' परिवार छो\u095cें' WHEN 3 THEN ' de\u200dlete' ELSE ' leave the team' END AS t FROM conversations WHERE role = 'user')""")
 def d1_destructive_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("turn") % 5
@@ -68,12 +68,12 @@ def d2_click_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiered(spark, sf_dir).select("page_id", "ord", "tier", "basis")
 
 
-_BOTH = _SHOWN("label || ' ' || type")
-_WIRE = f"""CASE WHEN regexp_matches({_BOTH}, {_re(P.DESTRUCTIVE_LABEL)}) THEN 'destructive' WHEN regexp_matches({_BOTH}, {_re(P.SUBMIT_LABEL)}) THEN 'state-changing'
- WHEN regexp_matches(trim({_SHOWN('label')}), {_re(P.NAVIGATION_LABEL)}) THEN 'navigational' ELSE 'state-changing' END"""
+_BOTH = SHOWN("label || ' ' || type")
+WIRE = f"""CASE WHEN regexp_matches({_BOTH}, {quoted(P.DESTRUCTIVE_LABEL)}) THEN 'destructive' WHEN regexp_matches({_BOTH}, {quoted(P.SUBMIT_LABEL)}) THEN 'state-changing'
+ WHEN regexp_matches(trim({SHOWN('label')}), {quoted(P.NAVIGATION_LABEL)}) THEN 'navigational' ELSE 'state-changing' END"""
 
 
-@query(f"WITH {RICH} SELECT page_id, ord, {_WIRE} AS tier FROM rich")
+@query(f"WITH {RICH} SELECT page_id, ord, {WIRE} AS tier FROM rich")
 def d3_click_tier_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rich_controls(spark, sf_dir).select("page_id", "ord", R.click_tier_wire(F.col("label"), F.col("type")).alias("tier"))
 
@@ -284,7 +284,7 @@ def d20_validate_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.validate_action(p, tiered(spark, sf_dir)).select("plan_id", "refused", F.col("plan.x").alias("x"))
 
 
-@query(f"WITH {TIERED} SELECT page_id, ord, tier AS one, wire AS other FROM (SELECT *, {_WIRE} AS wire FROM tiered) WHERE tier <> wire")
+@query(f"WITH {TIERED} SELECT page_id, ord, tier AS one, wire AS other FROM (SELECT *, {WIRE} AS wire FROM tiered) WHERE tier <> wire")
 def d21_rule_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.rule_parity(tiered(spark, sf_dir), F.col("tier"), R.click_tier_wire(F.col("label"), F.col("type"))).select("page_id", "ord", "one", "other")
 
@@ -320,7 +320,7 @@ def b10_classify_form_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(F.array_join(kinds, ",").alias("kinds")).count()
 
 
-@query(f"WITH {RICH} SELECT page_id, ord, type IN ('password', 'email', 'tel') OR regexp_matches(label, {_re(P.PII_LABEL)}) OR regexp_matches(type, {_re(P.PII_LABEL)}) AS pii FROM rich")
+@query(f"WITH {RICH} SELECT page_id, ord, type IN ('password', 'email', 'tel') OR regexp_matches(label, {quoted(P.PII_LABEL)}) OR regexp_matches(type, {quoted(P.PII_LABEL)}) AS pii FROM rich")
 def b11_element_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rich_controls(spark, sf_dir).select("page_id", "ord", D.element_pii(F.col("type"), F.col("label")).alias("pii"))
 

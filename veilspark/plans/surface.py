@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import register as U
 from ..functions import spans as S
 from ..functions import text as X
 from ..operators import detection as D
 from ..operators import geometry as E
+from .gates import RICH, SHOWN, WIRE, quoted, rich_controls
 from .inputs import BOXES, boxes, probed, table
 from .registry import query
 
@@ -23,6 +25,16 @@ def u1_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT event_id, veil_mask(props) AS masked, veil_stricter_tier('state-changing', {tier}) AS tier, veil_gate(true, {tier}) AS gate FROM veil_events")
 
 
+@query(f"""WITH {RICH} SELECT page_id, ord, {WIRE} AS tier, regexp_matches({SHOWN('label')}, {quoted(P.DESTRUCTIVE_INTENT)}) AS intent, type IN ('password', 'email', 'tel') OR regexp_matches(label, {quoted(P.PII_LABEL)}) OR regexp_matches(type, {quoted(P.PII_LABEL)}) AS pii,
+ round(greatest(0, 50.0 - ord) / (50.0 + ord), 6) AS iou FROM rich WHERE label <> ''""")
+def u1_sql_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and boxes as SQL functions, on controls."""
+    U.register_sql(spark)
+    rich_controls(spark, sf_dir).where("label <> ''").createOrReplaceTempView("veil_controls")
+    return spark.sql("""SELECT page_id, ord, veil_click_tier_wire(label, type) AS tier, veil_destructive_intent(label) AS intent, veil_element_pii(type, label) AS pii,
+        round(veil_iou(0.0D, 0.0D, 50.0D, 10.0D, cast(ord AS DOUBLE), 0.0D, 50.0D, 10.0D), 6) AS iou FROM veil_controls""")
+
+
 @query("SELECT conv_id, turn, md5(nfc_normalize(text || chr(101) || chr(769))) AS digest FROM conversations")
 def u2_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with a letter and a combining accent after them, composed."""
