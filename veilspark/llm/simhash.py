@@ -18,7 +18,6 @@ of five-word shingles have a similarity of ``SIMILAR`` or more.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -112,33 +111,32 @@ def _flip(p: str) -> str:
     return f"(CASE WHEN {p} = 0 THEN 0L ELSE shiftleft(1L, cast({p} - 1 AS int)) END)"
 
 
-def _halves(fps: DataFrame) -> DataFrame:
+def _halves(fps: DataFrame, by: tuple[str, ...]) -> DataFrame:
     low = F.lit(0x7FFFFFFF).cast("long")
     half = F.array(F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 32).bitwiseAND(low))
-    return fps.select("fp", F.posexplode(half).alias("half", "x")).withColumn("s", _syndrome(F.col("x")))
+    return fps.select("fp", *by, F.posexplode(half).alias("half", "x")).withColumn("s", _syndrome(F.col("x")))
 
 
-def homes(fps: DataFrame) -> DataFrame:
-    """``(fp, half, anchor)``: the one anchor within a bit of each half."""
-    return _halves(fps).selectExpr("fp", "half", f"x ^ {_flip('s')} AS anchor")
+def homes(fps: DataFrame, *by: str) -> DataFrame:
+    """``(fp, by, half, anchor)``: the one anchor within a bit of each half."""
+    return _halves(fps, by).selectExpr("fp", *by, "half", f"x ^ {_flip('s')} AS anchor")
 
 
-def probes(fps: DataFrame) -> DataFrame:
-    """``(fp, half, anchor)``: every anchor within two bits of each half."""
+def probes(fps: DataFrame, *by: str) -> DataFrame:
+    """``(fp, by, half, anchor)``: every anchor within two bits of each half."""
     flips = f"transform(filter(sequence(0, 31), i -> i < (i ^ s)), i -> x ^ {_flip('i')} ^ {_flip('(i ^ s)')})"
-    return _halves(fps).selectExpr("fp", "half", f"explode(CASE WHEN s = 0 THEN array(x) ELSE {flips} END) AS anchor")
+    return _halves(fps, by).selectExpr("fp", *by, "half", f"explode(CASE WHEN s = 0 THEN array(x) ELSE {flips} END) AS anchor")
 
 
-def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs ``(a, b)`` of distinct fingerprints that differ by ``threshold`` (3 at most) bits or fewer."""
+def links(fps: DataFrame, threshold: int = THRESHOLD, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs ``(by, a, b)`` of distinct fingerprints, equal in ``by``, that differ by ``threshold`` (3 at most) bits or fewer."""
     if threshold > THRESHOLD:
         raise ValueError("the anchors cover three differing bits at most")
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # a row becomes 34
-    left = homes(fps).select("half", "anchor", F.col("fp").alias("a"))
-    right = probes(fps).select("half", "anchor", F.col("fp").alias("b"))
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
-    met = left.join(right, (left.half == right.half) & (left.anchor == right.anchor) & (left.a != right.b) & close)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = homes(fps, *by).withColumnRenamed("fp", "a")
+    right = probes(fps, *by).withColumnRenamed("fp", "b")
+    met = left.join(right, [*by, "half", "anchor"]).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold))
+    return met.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _grouped(prints: DataFrame) -> DataFrame:
@@ -183,15 +181,13 @@ def similar_links(reps: DataFrame, texts: DataFrame, least: float = SIMILAR, siz
     Of representatives with one word fingerprint the least is compared with the others, and stands for them outside.
     ``texts(row, text)`` has their texts.
     """
-    found = []
-    for k in range(WIDE):
-        own = materialize(reps.select("fp", F.get("wide", F.lit(k)).alias("w")), "wide")
-        least_of = own.groupBy("w").agg(F.min("fp").alias("first"))
-        stars = own.join(least_of, "w").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
-        met = links(least_of.select(F.col("w").alias("fp"))).withColumnRenamed("a", "wa").withColumnRenamed("b", "wb")
-        ends = [least_of.select(F.col("w").alias(f"w{x}"), F.col("first").alias(x)) for x in "ab"]
-        found += [stars, met.join(ends[0], "wa").join(ends[1], "wb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))]
-    pairs = materialize(reduce(DataFrame.union, found).distinct(), "pairs")
+    own = materialize(reps.select("fp", F.posexplode("wide").alias("k", "w")), "wide")
+    least_of = own.groupBy("k", "w").agg(F.min("fp").alias("first"))
+    stars = own.join(least_of, ["k", "w"]).where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    met = links(least_of.select("k", F.col("w").alias("fp")), by=("k",)).toDF("k", "wa", "wb")
+    ends = [least_of.select("k", F.col("w").alias(f"w{x}"), F.col("first").alias(x)) for x in "ab"]
+    met = met.join(ends[0], ["k", "wa"]).join(ends[1], ["k", "wb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(stars.union(met).distinct(), "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps.select("fp", "row"), "fp")
     sets = materialize(named.join(texts, "row").select("fp", _shingles(F.col("text"), size).alias("s")), "shingles")
     sides = [sets.select(F.col("fp").alias(x), F.col("s").alias(f"s{x}")) for x in "ab"]
