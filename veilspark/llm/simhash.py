@@ -135,7 +135,10 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, by: tuple[str, ...] = ())
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # a row becomes 34
     left = homes(fps, *by).withColumnRenamed("fp", "a")
     right = probes(fps, *by).withColumnRenamed("fp", "b")
-    met = left.join(right, [*by, "half", "anchor"]).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold))
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    # a pair within a bit in a half meets there both ways, so one way is enough, as is the first half if both are close
+    once = (F.col("a") < F.col("b")) & ((F.col("half") == 0) | (F.bit_count(apart.bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))) >= 2))
+    met = left.join(right, [*by, "half", "anchor"]).where(once & (F.bit_count(apart) <= threshold))
     return met.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
