@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embed_dedup, langid, mixing, ngram_lm, pii, records, sharding, simhash
+from . import centroids, chat, decontaminate, embed_dedup, langid, mixing, ngram_lm, pii, records, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op10_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_simplex_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,11 +88,13 @@ QUERIES = {
         op8_lookup_shards,
         op9_framed_records,
         op10_simhash_anchor_cover,
+        op11_simplex_centroids,
     )
 }
 ORACLE: dict[str, str] = {
     "op1_raked_mixture": mixing.sql(),
     "op8_lookup_shards": sharding.sql(),
+    "op11_simplex_centroids": centroids.sql(),
     "op3_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
