@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, decontaminate, embed_dedup, langid, mixing, ngram_lm, pii, records, sharding, simhash
+from . import centroids, chat, decontaminate, embed_dedup, langid, mixing, ngram_lm, pii, records, sharding, simhash, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op11_simplex_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_radix_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = F.crc32(F.col("conv_id").cast("string")) % 6
+    return trie.nodes(trie.with_openings(trie.sequences(_table(spark, sf_dir, "conversations")), taken, 5))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,12 +94,14 @@ QUERIES = {
         op9_framed_records,
         op10_simhash_anchor_cover,
         op11_simplex_centroids,
+        op12_radix_conversations,
     )
 }
 ORACLE: dict[str, str] = {
     "op1_raked_mixture": mixing.sql(),
     "op8_lookup_shards": sharding.sql(),
     "op11_simplex_centroids": centroids.sql(),
+    "op12_radix_conversations": trie.SQL,
     "op3_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
