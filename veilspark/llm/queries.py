@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, decontaminate, embed_dedup, langid, mixing, ngram_lm, pii, records, sharding, simhash, trie
+from . import centroids, chat, decontaminate, embed_dedup, langid, mixing, ngram_lm, pii, records, repeats, sharding, simhash, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,12 @@ def op12_radix_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(trie.with_openings(trie.sequences(_table(spark, sf_dir, "conversations")), taken, 5))
 
 
+def op13_doubled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find(_table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("kept").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,6 +101,7 @@ QUERIES = {
         op10_simhash_anchor_cover,
         op11_simplex_centroids,
         op12_radix_conversations,
+        op13_doubled_windows,
     )
 }
 ORACLE: dict[str, str] = {
@@ -102,6 +109,7 @@ ORACLE: dict[str, str] = {
     "op8_lookup_shards": sharding.sql(),
     "op11_simplex_centroids": centroids.sql(),
     "op12_radix_conversations": trie.SQL,
+    "op13_doubled_windows": repeats.sql(),
     "op3_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
