@@ -10,8 +10,9 @@ hash-partitioned buckets of all windows, however common one is, and a bucket ans
 block has it, and whether one has it earlier. Documents are numbered by id for that. What a block knows of a level (places
 and hashes of the windows that may still repeat) is a row of a table bucketed by block, so neither is shuffled.
 
-At ``window`` words the hashes have 128 bits. At other lengths a window shares its hash with another in 2^28 cases at
-most, which below ``window`` costs only a question more.
+A window's hash is of 64 bits and made of its halves' hashes; at ``window`` words it has 32 more. Below ``window`` words only
+so many bits are sent that a window shares them with another in 2^8 cases at most, which costs a question more; above, in
+2^28 cases.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, ship
+from .common import fresh_path, ship
 from .ngram_lm import _mixed, _pack, _unpack
 
 ship(__name__)
@@ -36,6 +37,21 @@ _KINDS = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.s
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
+def _sorted(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of keys of ``width`` bits, and which of them, in that order, differ from the one before."""
+    bits = len(keys).bit_length()
+    if width + bits <= 64:  # with their places they are sorted in one array
+        both = keys << np.uint64(bits) | np.arange(len(keys), dtype="<u8")
+        both.sort()
+        order, keys = (both & np.uint64((1 << bits) - 1)).astype("i8"), both >> np.uint64(bits)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return order, new
+
+
 def _rows(rows: list[tuple]) -> pa.Table:
     columns = zip(*rows, strict=True) if rows else [[]] * len(_NAMES)
     return pa.table([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], _NAMES)
@@ -116,72 +132,76 @@ def _grams(words: np.ndarray, width: int) -> np.ndarray:
 
 
 class Windows:
-    """A block's windows of one length that may repeat: where they begin, by hashes, in documents that end at ``ends``."""
+    """A block's windows of one length that may repeat: where they begin, by hash, in documents that end at ``ends``; at the
+    length that is settled exactly, by a second hash too."""
 
-    def __init__(self, length: int, at: np.ndarray, one: np.ndarray, two: np.ndarray, ends: np.ndarray, ranks: np.ndarray):
+    def __init__(self, length: int, at: np.ndarray, one: np.ndarray, two: np.ndarray | None, ends: np.ndarray, ranks: np.ndarray):
         self.length, self.at, self.one, self.two, self.ends, self.ranks = length, at, one, two, ends, ranks
 
     @classmethod
     def first(cls, length: int, words: np.ndarray, lengths: np.ndarray, ranks: np.ndarray) -> Windows:
         ends = np.cumsum(lengths)
         at = np.flatnonzero(np.repeat(ends, lengths) - np.arange(len(words)) >= length)
-        return cls(length, at, _grams(words, length)[at], _grams(words * _SECOND, length)[at], ends, ranks)
+        return cls(length, at, _grams(words, length)[at], None, ends, ranks)
 
     @classmethod
     def read(cls, row: dict) -> Windows:
-        at = np.cumsum(_unpack(row["a"], "<i8"))
-        hashes = _unpack(row["b"], "<u8").reshape(2, -1)
-        ends = _unpack(row["c"], "<i8")
-        return cls(row["level"], at, hashes[0], hashes[1], ends, _unpack(row["d"], "<i8"))
+        hashes = _unpack(row["b"], "<u4")
+        n = row["n"]
+        one = hashes[: 2 * n].view("<u8")
+        return cls(row["level"], np.cumsum(_unpack(row["a"], "<i8")), one, hashes[2 * n :] if len(hashes) > 2 * n else None, _unpack(row["c"], "<i8"), _unpack(row["d"], "<i8"))
 
     def row(self, block: int) -> tuple:
-        both = _pack(np.concatenate([self.one, self.two]))
-        return block, self.length, "windows", None, None, _pack(np.diff(self.at, prepend=0)), both, _pack(self.ends), _pack(self.ranks)
+        hashes = self.one.view("<u4")
+        hashes = hashes if self.two is None else np.concatenate([hashes, self.two])
+        return block, self.length, "windows", None, len(self.at), _pack(np.diff(self.at, prepend=0)), _pack(hashes), _pack(self.ends), _pack(self.ranks)
 
     def docs(self) -> np.ndarray:
         return np.searchsorted(self.ends, self.at, "right")
 
-    def distinct(self, exact: bool, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def distinct(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys' first places (earliest document, then earliest start), each window's key, and the keys in order:
-        with ``exact`` by both hashes, else by the first ``width`` bits."""
-        if not exact:
-            keys, first, place = np.unique(self.one >> np.uint64(64 - width), return_index=True, return_inverse=True)
-            return first, place, keys
-        order = np.lexsort((self.at, self.ranks[self.docs()], self.two, self.one))
-        one, two = self.one[order], self.two[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        by both hashes if there are two, else by the first ``width`` bits."""
+        if self.two is None:
+            keys = self.one >> np.uint64(64 - width)
+            order, new = _sorted(keys, width)
+        else:
+            keys = self.one
+            order = np.lexsort((self.at, self.ranks[self.docs()], self.two, keys))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (np.diff(keys[order]) != 0) | (np.diff(self.two[order]) != 0)
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.cumsum(new) - 1
-        return order[new], place, one[new]
+        return order[new], place, keys[order[new]]
 
-    def asks(self, block: int, exact: bool, width: int, bits: int) -> list[tuple]:
-        first, _, keys = self.distinct(exact, width)
-        cuts = np.searchsorted(keys >> np.uint64((64 if exact else width) - bits), np.arange(2**bits + 1, dtype=np.uint64)).tolist()
+    def asks(self, block: int, width: int, bits: int) -> list[tuple]:
+        first, _, keys = self.distinct(width)
+        cuts = np.searchsorted(keys >> np.uint64((width if self.two is None else 64) - bits), np.arange(2**bits + 1, dtype=np.uint64)).tolist()
         ranks, out = self.ranks[self.docs()[first]], []
         for bucket, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if i < j:
-                more = (_pack(self.two[first[i:j]]), _pack(ranks[i:j])) if exact else (None, None)
+                more = (None, None) if self.two is None else (_pack(self.two[first[i:j]]), _pack(ranks[i:j]))
                 out.append((block, self.length, "asks", bucket, j - i, _pack(np.diff(keys[i:j], prepend=np.uint64(0))), *more, None))
         return out
 
-    def told(self, answers: list[bytes], exact: bool, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def told(self, answers: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
         """For each window whether it repeats, and whether it also begins earlier."""
-        first, place, _ = self.distinct(exact, width)
+        first, place, _ = self.distinct(width)
         bits = np.concatenate([_unpack(x, "u1") for x in answers] or [np.zeros(0, "u1")])
         repeats = (bits[place] & 1).astype(bool) | (np.bincount(place, minlength=len(first)) > 1)[place]
         later = (bits[place] & 2).astype(bool)
         later |= np.arange(len(place)) != first[place]
         return repeats, later
 
-    def doubled(self, repeats: np.ndarray) -> Windows:
-        """Windows of twice the length, both halves of which repeat."""
-        at, docs = self.at[repeats], self.docs()[repeats]
+    def doubled(self, repeats: np.ndarray, exact: bool) -> Windows:
+        """Windows of twice the length, both halves of which repeat; with a second hash if they are the exact ones."""
+        at, docs, one = self.at[repeats], self.docs()[repeats], self.one[repeats]
         half = np.searchsorted(at, at + self.length)
         ok = half < len(at)
         ok[ok] = (at[half[ok]] == at[ok] + self.length) & (docs[half[ok]] == docs[ok])
-        left, right = np.flatnonzero(repeats)[ok], np.flatnonzero(repeats)[half[ok]]
-        return Windows(2 * self.length, at[ok], _mixed(self.one[left], self.one[right]), _mixed(self.two[left], self.two[right]), self.ends, self.ranks)
+        left, right = one[ok], one[half[ok]]
+        two = (_mixed(left * _SECOND, right) >> np.uint64(32)).astype("<u4") if exact else None
+        return Windows(2 * self.length, at[ok], _mixed(left, right), two, self.ends, self.ranks)
 
 
 def _words(row: dict) -> list[bytes]:
@@ -214,11 +234,11 @@ def _answers(key: tuple, asks: pa.Table) -> pa.Table:
     parts = [np.cumsum(_unpack(x["a"], "<u8"), dtype="<u8") for x in rows]  # sorted, so sent as steps
     keys, sizes = np.concatenate(parts), [len(p) for p in parts]
     if rows[0]["b"] is None:
-        order = np.argsort(keys, kind="stable")
-        new = np.diff(keys[order], prepend=keys[order[:1]] + np.uint64(1)) != 0
+        keys -= keys.min()
+        order, new = _sorted(keys, int(keys.max()).bit_length())
         ranks = np.zeros(len(keys), "<i8")
     else:
-        two, ranks = (np.concatenate([_unpack(x[c], kind) for x in rows]) for c, kind in (("b", "<u8"), ("c", "<i8")))
+        two, ranks = (np.concatenate([_unpack(x[c], kind) for x in rows]) for c, kind in (("b", "<u4"), ("c", "<i8")))
         order = np.lexsort((ranks, two, keys))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (np.diff(keys[order]) != 0) | (np.diff(two[order]) != 0)
@@ -240,6 +260,10 @@ class _Shelf:
         path = self.paths.setdefault(level, fresh_path(self.spark, "repeats"))
         rows.write.bucketBy(self.buckets, "block").option("path", path).option("compression", "none").mode("append").saveAsTable(self._name(path))
 
+    def empty(self, level: int) -> None:
+        """Give back the room of a level that nothing reads any more."""
+        self.spark.range(0).write.mode("overwrite").parquet(self.paths[level])
+
     def table(self, level: int) -> DataFrame:
         return self.spark.table(self._name(self.paths[level]))
 
@@ -276,48 +300,54 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: in
 
     keep_beside_texts(blocks(rows))
     total = shelf.table(0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits, width = max(4, (total // _BUCKET_KEYS).bit_length()), min(64, max(40, 28 + total.bit_length()))
+    bits, size = max(4, (total // _BUCKET_KEYS).bit_length()), total.bit_length()
+
+    def width(length: int) -> int:
+        return min(64, max(32, size + (8 if length < window else 28)))
+
     blank = [F.lit(None).cast(kind).alias(c) for c, kind in (f.split() for f in _ROW.split(", ")) if c not in ("block", "kind")]
     keep_beside_texts(_numbered(shelf.table(0)).select("block", F.lit("ranks").alias("kind"), "ranks", *blank))
 
-    def level(length: int):  # noqa: ANN202
-        """What a block asks at ``length``, what it then has to remember, and what it has found at half of it."""
+    def asks(length: int):  # noqa: ANN202
+        def run(rows: pa.Table) -> pa.Table:
+            found = _by_kind(rows)
+            own = Windows.read(found["windows"][0]) if "windows" in found else _start(found, start)
+            return _rows(own.asks(rows["block"][0].as_py(), width(length), bits))
+
+        return run
+
+    def extended(length: int):  # noqa: ANN202
+        """The windows of twice ``length`` that are left, and what a block has found at ``length``."""
 
         def run(rows: pa.Table) -> pa.Table:
             found = _by_kind(rows)
             block = rows["block"][0].as_py()
-            if length == start:
-                return _rows(_start(found, start).asks(block, False, width, bits))
-            below = Windows.read(found["windows"][0]) if "windows" in found else _start(found, start)
-            repeats, later = below.told([x["a"] for x in found.get("told", [])], below.length == window, width)
-            now, out = below.doubled(repeats), []
-            if below.length == window and later.any():
-                out.append((block, window, "removed", None, None, _pack(np.diff(below.at[later], prepend=0)), None, None, None))
-            if below.length >= window and repeats.any():
-                out.append((block, below.length, "longest", None, None, _pack(np.unique(below.docs()[repeats])), None, None, None))
-            if len(now.at):
-                out += [now.row(block), *now.asks(block, length == window, width, bits)]
-            return _rows(out)
+            own = Windows.read(found["windows"][0]) if "windows" in found else _start(found, start)
+            repeats, later = own.told([x["a"] for x in found.get("told", [])], width(length))
+            now, out = own.doubled(repeats, 2 * length == window), []
+            if length == window and later.any():
+                out.append((block, window, "removed", None, None, _pack(np.diff(own.at[later], prepend=0)), None, None, None))
+            if length >= window and repeats.any():
+                out.append((block, length, "longest", None, None, _pack(np.unique(own.docs()[repeats])), None, None, None))
+            return _rows([*out, now.row(block)] if len(now.at) else out)
 
         return run
 
-    length, last = start, 0
+    length = start
     while True:
-        kinds = ("windows", "told") if last else ("text", "ranks", "told")
-        below = shelf.table(last).where(F.col("kind").isin(*kinds))
-        shelf.keep(length, below.groupBy("block").applyInArrow(level(length), _ROW))
-        made = shelf.table(length)
-        keep_beside_texts(made.where(F.col("kind").isin("removed", "longest")))
-        asks = made.where(F.col("kind") == "asks").select("block", "level", "bucket", "a", "b", "c")
-        if asks.isEmpty():
-            break
-        told = asks.groupBy("bucket").applyInArrow(_answers, _ROW).repartition(buckets, "block")
-        if length == start:
-            keep_beside_texts(told)
-        else:
-            shelf.keep(length, told)
-            last = length
+        at = 0 if length == start else length
+        own = shelf.table(at).where(F.col("kind").isin("text", "ranks", "windows"))
+        asked = own.groupBy("block").applyInArrow(asks(length), _ROW).select("block", "level", "bucket", "a", "b", "c")
+        told = asked.groupBy("bucket").applyInArrow(_answers, _ROW).repartition(buckets, "block")
+        shelf.keep(at, told) if at else keep_beside_texts(told)
+        own = shelf.table(at).where(F.col("kind").isin("text", "ranks", "windows", "told"))
+        shelf.keep(2 * length, own.groupBy("block").applyInArrow(extended(length), _ROW))
+        if at:
+            shelf.empty(at)
         length *= 2
+        keep_beside_texts(shelf.table(length).where(F.col("kind").isin("removed", "longest")))
+        if shelf.table(length).where("kind = 'windows'").isEmpty():
+            break
 
     def kept(rows: pa.Table) -> pa.Table:
         found = _by_kind(rows)
@@ -343,7 +373,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: in
         return pa.table([ids, pa.array(lengths), pa.array(lengths - left), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(longest)], ["id", "n_words", "n_removed", "kept", "longest"])
 
     done = shelf.table(0).where(F.col("kind").isin("text", "removed", "longest")).groupBy("block")
-    out = materialize(done.applyInArrow(kept, f"id {id_type}, n_words long, n_removed long, kept string, longest long"), "kept")
+    out = done.applyInArrow(kept, f"id {id_type}, n_words long, n_removed long, kept string, longest long")
     shelf.forget()
     return out.withColumnRenamed("id", id_col)
 
