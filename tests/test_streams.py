@@ -1,5 +1,6 @@
 """Stateful streams against the same rules replayed over sorted rows, in one batch and in several."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -86,7 +87,8 @@ def test_stage_durations(spark):
 def test_state_expires_with_event_time(spark, folder):
     """Keys that event time has left behind hold no state; a late use of an old nonce is a new one only then."""
     data = [(k, k, f"n{k}", T0 + timedelta(seconds=k)) for k in range(20)] + [(99, 100 + i, "x", T0 + timedelta(days=1 + i)) for i in range(3)]
-    parts = [data[:20], data[20:21], data[21:22], data[22:]]
+    data.append((98, 200, "y", T0 + timedelta(days=5)))  # the time goes on, and this one waits for its own
+    parts = [data[:20], data[20:21], data[21:22], data[22:23], data[23:]]
     path = None
     for part in parts:
         path = folder(part, "scope long, event_id long, nonce string, ts timestamp", 1)
@@ -98,4 +100,48 @@ def test_state_expires_with_event_time(spark, folder):
         job.awaitTermination()
         last = job.recentProgress[-1]["stateOperators"][0]
     assert spark.read.parquet(f"{where}/out").where("first_use").count() == 23
-    assert last["numRowsTotal"] <= 6  # one key's nonce, count and timer
+    assert last["numRowsTotal"] <= 6  # what one key waits with, and timers
+
+
+def test_events_in_any_order_and_late_ones(spark, folder):
+    """Ten-minute steps with an hour's patience: what comes in the wrong order is decided in the right one; what comes
+    after its step was decided, or has no time, is told to be late."""
+    at = lambda m: T0 + timedelta(minutes=m)
+    batches = [[(1, 1, at(20)), (1, 2, at(5))], [(1, 3, at(0)), (1, 4, at(1000))], [(1, 5, at(3)), (2, 6, at(4)), (1, 7, None)], [(1, 8, at(990))]]
+    path = None
+    for rows in batches:
+        path = folder(rows, "user_id long, event_id long, ts timestamp", 1)
+        time.sleep(0.05)  # files are taken by their time
+    stream = H.read_table(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    out = H.run_available(H.rate_limit(stream, most=2, window_s=3600))
+    got = {r.event_id: (r.accepted, r.late) for r in out.collect()}
+    assert got == {3: (True, False), 2: (True, False), 1: (False, False), 4: (True, False), 8: (True, False), 5: (None, True), 6: (None, True), 7: (None, True)}
+    assert {r.late: r.n for r in H.late_counts(out).collect()} == {True: 3, False: 5}
+
+
+def test_stage_clock_tells_of_stages_that_never_end(spark, folder):
+    data = [("a", 1, T0, "active"), ("a", 2, T0 + timedelta(minutes=1), "done"), ("b", 3, T0, "active"), ("c", 4, T0, "active"), ("c", 5, T0 + timedelta(hours=3), "done"), ("d", 6, T0, "active"), ("d", 7, T0 + timedelta(minutes=2), "active"), ("d", 8, T0 + timedelta(minutes=3), "error"), ("e", 9, T0, "done")]
+    path = folder(data, "stage string, event_id long, ts timestamp, status string", 1)
+    got = {r.event_id: (r.ms, r.reason) for r in H.run_available(H.stage_clock(H.read_table(spark, path, spark.read.parquet(path).schema), "stage")).collect()}
+    none = (None, "stage did not end")
+    assert got == {1: (60_000.0, None), 3: none, 4: none, 6: none, 7: (60_000.0, None)}
+
+
+def test_a_run_from_a_table(spark):
+    runs = {1: ["a"] * 4, 2: [str(i) for i in range(12)], 3: ["a", "b", "b", "a"], 5: [None] * 9}
+    data = [(r, 100 * r + i, T0 + timedelta(seconds=i), r == 3 and i == 3, f) for r, marks in runs.items() for i, f in enumerate(marks)]
+    data += [(4, 400, T0, False, "a"), (4, 401, T0 + timedelta(seconds=95), True, "a"), (6, 600, T0, None, "a")]
+    df = spark.createDataFrame(data, "run_id long, event_id long, ts timestamp, complete boolean, fingerprint string")
+    got = {r.run_id: (r.event_id, r.status, r.actions) for r in H.run_budget_table(df).collect()}
+    assert got == {1: (102, "no_progress", 2), 2: (208, "step_limit", 8), 3: (303, "completed", 3), 4: (401, "deadline", 1), 5: (508, "step_limit", 8)}
+
+
+def test_windows_and_late_rows_make_up_the_input(spark, folder):
+    at = lambda m: T0 + timedelta(minutes=m)
+    path = None
+    for rows in ([(1, at(5), "a", 1.0), (2, at(200), "a", 2.0)], [(3, at(10), "a", 3.0), (4, at(190), "b", 4.0)], [(5, at(201), "a", 5.0), (6, at(20), "b", 6.0)]):
+        path = folder(rows, "event_id long, ts timestamp, kind string, ms double", 1)
+        time.sleep(0.05)
+    stream = H.split_late(H.read_table(spark, path, spark.read.parquet(path).schema, files_per_batch=1), 3600.0, late="10 minutes")
+    out, seen = H.run_counted(H.audit_windows(stream.where("NOT late"), "kind"))
+    assert sorted((r.kind, r.n, r.max_ms) for r in out.collect()) == [("a", 1, 1.0), ("a", 2, 5.0), ("b", 1, 4.0)] and seen == {"n": 6, "n_late": 2}

@@ -1,7 +1,13 @@
-"""Stateful processors: what must be decided event by event, per key, in the order of event time."""
+"""Stateful processors: what must be decided event by event, per key, in the order of event time.
+
+Events come in any order. :class:`Reordered` holds a key's events by steps of event time and decides a step when the
+watermark has passed its end, all of its events in order; events of a step that is decided already come out as late.
+Times are whole microseconds (``at``), so no processor depends on a session's time zone.
+"""
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections import deque
 from collections.abc import Iterator
@@ -12,203 +18,325 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+SECOND = 1_000_000
+
 
-def in_order(rows: Iterator[pd.DataFrame], *columns: str) -> pd.DataFrame:
-    """A key's rows of this batch by event time and then id."""
-    return pd.concat(list(rows)).sort_values(list(columns), kind="stable")
+class Reordered(StatefulProcessor):
+    """A reorder buffer: a map of state from a step of event time to the rows that wait for its end, and a timer for each.
+
+    ``columns`` are the input's, of which the first ``order`` are the order of decisions inside a step. A step's rows of
+    one key are in memory together, no more of them. What a key knows is forgotten by a timer too, a step after the time
+    that a decision asked it to be kept until.
+    """
 
+    columns: tuple[str, ...] = ("at", "event_id")
+    order = 2
+    out: tuple[str, ...] = ()
 
-class Expiring(StatefulProcessor):
-    """State that event time outlives: a timer drops a key once the watermark is past all that could depend on it."""
+    def __init__(self, step_s: float):
+        self.step = max(1, int(step_s * 1000))
 
-    def keep_until(self, end: pd.Timestamp) -> None:
-        """The key's only timer, which is late enough for its latest event."""
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        self.handle.registerTimer(int(end.timestamp() * 1000) + 1)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "step long", "rows binary")
+        self.until = handle.getValueState("until", "at long")
+        self.start(handle)
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
 
-    def drop(self) -> None:
+    def decide(self, key: tuple, rows: list[tuple]) -> tuple[list[tuple], int | None]:
+        """What the rows of a step bring out (rows of ``out`` after the key), and until when the state is needed."""
         raise NotImplementedError
 
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+    def _frame(self, key: tuple, rows: list[tuple], late: bool) -> pd.DataFrame:
+        frame = pd.DataFrame([(key[0], *r, late) for r in rows], columns=["key", *self.out, "late"])
+        return frame.astype({c: "Int64" for c in ("event_id", "actions", "at") if c in frame})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            steps = frame["at"] // (self.step * 1000)
+            late = (steps + 1) * self.step <= passed
+            if late.any():
+                blank = (None,) * (len(self.out) - 1)
+                yield self._frame(key, [(i, *blank) for i in frame.loc[late, "event_id"].tolist()], True)
+            for step, own in frame[~late].groupby(steps[~late]):
+                held = list(zip(*(own[c].astype(object).where(own[c].notna(), None).tolist() for c in self.columns), strict=True))
+                at = (int(step),)
+                if self.waiting.containsKey(at):
+                    held = pickle.loads(self.waiting.getValue(at)[0]) + held
+                else:
+                    self.handle.registerTimer((at[0] + 1) * self.step)
+                self.waiting.updateValue(at, (pickle.dumps(held),))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.drop()
-        yield from ()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if now % self.step:  # a timer of memory is a millisecond behind a step's end
+            if self.until.exists() and self.until.get()[0] <= now:
+                self.forget()
+                self.until.clear()
+            return
+        at = (now // self.step - 1,)
+        rows = pickle.loads(self.waiting.getValue(at)[0])
+        self.waiting.removeKey(at)
+        rows.sort(key=lambda r: r[: self.order])
+        found, until = self.decide(key, rows)
+        if until is not None:
+            end = (until // (self.step * 1000) + 1) * self.step + 1
+            if not self.until.exists() or self.until.get()[0] < end:
+                self.until.update((end,))
+                self.handle.registerTimer(end)
+        if found:
+            yield self._frame(key, found, False)
+
+
+class LateRows(StatefulProcessor):
+    """Marks the rows whose window of event time has closed; they lose their time. It has no state."""
+
+    def __init__(self, size_s: float):
+        self.size = int(size_s * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            late = (frame["at"] // (self.size * 1000) + 1) * self.size <= passed
+            ts = pd.to_datetime(frame["at"].where(~late), unit="us").astype("datetime64[ns]")
+            rest = frame.drop(columns=["part", "at"])
+            yield pd.concat([ts.rename("ts"), rest, late.rename("late")], axis=1)
 
     def close(self) -> None:
         pass
 
 
-class RateLimiter(Expiring):
+class RateLimiter(Reordered):
     """A sliding log: at most ``most`` accepted requests in ``window_s`` seconds; refused ones leave no mark."""
 
-    def __init__(self, most: int = 20, window_s: float = 60.0):
-        self.most, self.window = most, pd.Timedelta(seconds=window_s)
+    out = ("event_id", "accepted")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.log = handle, handle.getListState("accepted", "ts timestamp")
+    def __init__(self, most: int = 20, window_s: float = 60.0, step_s: float = 600.0):
+        super().__init__(step_s)
+        self.most, self.window = most, int(window_s * SECOND)
 
-    def drop(self) -> None:
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.log = handle.getListState("accepted", "at long")
+
+    def forget(self) -> None:
         self.log.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        log = deque(pd.Timestamp(x[0]) for x in self.log.get()) if self.log.exists() else deque()
-        frame, verdicts = in_order(rows, "ts", "event_id"), []
-        for ts in frame["ts"]:
-            while log and ts - log[0] >= self.window:
+    def decide(self, key: tuple, rows: list[tuple]) -> tuple[list[tuple], int | None]:
+        log, out = deque(x[0] for x in self.log.get()) if self.log.exists() else deque(), []
+        for at, event in rows:
+            while log and at - log[0] >= self.window:
                 log.popleft()
-            verdicts.append(len(log) < self.most)
-            if verdicts[-1]:
-                log.append(ts)
-        self.log.put([(t.to_pydatetime(),) for t in log])
-        self.keep_until(frame["ts"].iloc[-1] + self.window)
-        yield pd.DataFrame({"user_id": key[0], "event_id": frame["event_id"], "accepted": verdicts})
+            out.append((event, len(log) < self.most))
+            if out[-1][1]:
+                log.append(at)
+        self.log.put([(at,) for at in log])
+        return out, rows[-1][0] + self.window
 
 
-class ReplayGuard(Expiring):
+class ReplayGuard(Reordered):
     """First use of a nonce within ``window_s`` wins; a full guard refuses rather than forgets.
 
-    Nonces are a map of state, of which only a batch's own are read and written; a count and the oldest moment tell when
+    Nonces are a map of state, of which only a step's own are read and written; a count and the oldest moment tell when
     a sweep has anything to forget.
     """
 
-    def __init__(self, window_s: float = 600.0, most: int = 10_000):
-        self.window, self.most = pd.Timedelta(seconds=window_s), most
+    columns, out = ("at", "event_id", "nonce"), ("event_id", "first_use")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.seen = handle, handle.getMapState("seen", "nonce string", "ts timestamp")
-        self.held = handle.getValueState("held", "n long, oldest timestamp")
+    def __init__(self, window_s: float = 600.0, most: int = 10_000, step_s: float = 600.0):
+        super().__init__(step_s)
+        self.window, self.most = int(window_s * SECOND), most
 
-    def drop(self) -> None:
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "nonce string", "at long")
+        self.held = handle.getValueState("held", "n long, oldest long")
+
+    def forget(self) -> None:
         self.seen.clear()
         self.held.clear()
 
-    def swept(self, until: pd.Timestamp) -> tuple[int, pd.Timestamp | None]:
+    def swept(self, until: int) -> tuple[int, int | None]:
         """Drop what is older than ``until``; how many are left, and the oldest moment of them."""
         left = []
         for nonce, at in list(self.seen.iterator()):
-            if pd.Timestamp(at[0]) < until:
+            if at[0] < until:
                 self.seen.removeKey(nonce)
             else:
-                left.append(pd.Timestamp(at[0]))
+                left.append(at[0])
         return len(left), min(left, default=None)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def decide(self, key: tuple, rows: list[tuple]) -> tuple[list[tuple], int | None]:
         n, oldest = self.held.get() if self.held.exists() else (0, None)
-        oldest = None if oldest is None else pd.Timestamp(oldest)
-        frame, verdicts = in_order(rows, "ts", "event_id"), []
-        for ts, nonce in zip(frame["ts"], frame["nonce"], strict=True):
-            until = ts - self.window
+        out = []
+        for at, event, nonce in rows:
+            until = at - self.window
             if oldest is not None and oldest < until:  # a guard whose oldest is within the window has nothing to forget
                 n, oldest = self.swept(until)
             first = n < self.most and not self.seen.containsKey((nonce,))
             if first:
-                self.seen.updateValue((nonce,), (ts.to_pydatetime(),))
-                n, oldest = n + 1, ts if oldest is None else oldest
-            verdicts.append(first)
-        self.held.update((int(n), None if oldest is None else oldest.to_pydatetime()))
-        self.keep_until(frame["ts"].iloc[-1] + self.window)
-        yield pd.DataFrame({"scope": key[0], "event_id": frame["event_id"], "first_use": verdicts})
+                self.seen.updateValue((nonce,), (at,))
+                n, oldest = n + 1, at if oldest is None else oldest
+            out.append((event, first))
+        self.held.update((n, oldest))
+        return out, rows[-1][0] + self.window
 
 
-class RunBudget(Expiring):
+class RunBudget(Reordered):
     """A run's first terminal status: completed, no progress, too many steps, or past its deadline.
 
     A run is forgotten a day (``forget_s``) after its last event; one that comes back then is a new run.
     """
 
-    def __init__(self, most_steps: int = 8, deadline_s: float = 90.0, no_progress: int = 2, forget_s: float = 86_400.0):
-        self.most, self.deadline, self.still = most_steps, pd.Timedelta(seconds=deadline_s), no_progress
-        self.forget = pd.Timedelta(seconds=forget_s)
+    columns, out = ("at", "event_id", "complete", "fingerprint"), ("event_id", "status", "actions")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.run = handle, handle.getValueState("run", "started timestamp, actions long, unchanged long, print string, status string")
+    def __init__(self, most_steps: int = 8, deadline_s: float = 90.0, no_progress: int = 2, forget_s: float = 86_400.0, step_s: float = 600.0):
+        super().__init__(step_s)
+        self.most, self.deadline, self.still, self.after = most_steps, int(deadline_s * SECOND), no_progress, int(forget_s * SECOND)
 
-    def drop(self) -> None:
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "started long, last long, actions long, unchanged long, print string, status string")
+
+    def forget(self) -> None:
         self.run.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.run.get() if self.run.exists() else None
-        started, actions, unchanged, seen, status = held if held else (None, 0, 0, None, None)
-        at, frame = None, in_order(rows, "ts", "event_id")
-        for r in frame.itertuples():
+    def decide(self, key: tuple, rows: list[tuple]) -> tuple[list[tuple], int | None]:
+        fresh = (None, None, 0, 0, None, None)
+        started, last, actions, unchanged, seen, status = self.run.get() if self.run.exists() else fresh
+        out = []
+        for at, event, complete, fingerprint in rows:
+            if last is not None and at - last > self.after:
+                started, last, actions, unchanged, seen, status = fresh
+            started, last = at if started is None else started, at
             if status:
-                break
-            started = pd.Timestamp(started) if started is not None else r.ts
-            if r.ts - started >= self.deadline:
+                continue
+            if at - started >= self.deadline:
                 status = "deadline"
-            elif r.complete:
+            elif complete:
                 status = "completed"
             else:
                 if seen is not None:
-                    unchanged = unchanged + 1 if r.fingerprint == seen else 0
+                    unchanged = unchanged + 1 if fingerprint == seen else 0
                 if unchanged >= self.still:
                     status = "no_progress"
                 elif actions >= self.most:
                     status = "step_limit"
                 else:
-                    seen, actions = r.fingerprint, actions + 1
-            at = r.event_id
-        self.run.update((pd.Timestamp(started).to_pydatetime(), int(actions), int(unchanged), seen, status))
-        self.keep_until(frame["ts"].iloc[-1] + self.forget)
-        if status and at is not None and not (held and held[4]):
-            yield pd.DataFrame({"run_id": [key[0]], "status": [status], "actions": [int(actions)], "event_id": [int(at)]})
+                    seen, actions = fingerprint, actions + 1
+            if status:
+                out.append((event, status, actions))
+        self.run.update((started, last, actions, unchanged, seen, status))
+        return out, last + self.after
 
 
-class ValueReferences(Expiring):
+class ValueReferences(Reordered):
     """References that allow one write: issued for a kind, a target and a revision, consumed before use, short-lived.
 
-    A use before the reference was issued, or after its time, revokes it.
+    A use before the reference was issued, by the ``clock`` of who uses it, or after its time, revokes it.
     """
 
-    def __init__(self, ttl_s: float = 30.0):
-        self.ttl = pd.Timedelta(seconds=ttl_s)
+    columns, order = ("seq", "event_id", "at", "clock", "op", "kind", "target", "revision", "confirmed"), 1
+    out = ("event_id", "result")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getValueState("held", "issued timestamp, kind string, target string, revision string")
+    def __init__(self, ttl_s: float = 30.0, step_s: float = 600.0):
+        super().__init__(step_s)
+        self.ttl = int(ttl_s * SECOND)
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "issued long, kind string, target string, revision string")
 
-    def drop(self) -> None:
+    def forget(self) -> None:
         self.held.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.held.get() if self.held.exists() else None
-        ids, results = [], []
-        for r in in_order(rows, "seq").itertuples():
-            if r.op == "issue":
-                held = (r.ts, r.kind, r.target, r.revision)
+    def decide(self, key: tuple, rows: list[tuple]) -> tuple[list[tuple], int | None]:
+        held, out = self.held.get() if self.held.exists() else None, []
+        for _, event, _, clock, op, *asked, confirmed in rows:
+            if op == "issue":
+                held = (clock, *asked)
                 continue
-            age = None if held is None else r.ts - pd.Timestamp(held[0])
-            if age is not None and not pd.Timedelta(0) <= age < self.ttl:
+            if held is not None and not 0 <= clock - held[0] < self.ttl:
                 held = None
-            fits = held is not None and bool(r.confirmed) and tuple(held[1:]) == (r.kind, r.target, r.revision)
+            fits = held is not None and bool(confirmed) and tuple(held[1:]) == tuple(asked)
             if fits:
                 held = None
-            ids.append(r.event_id)
-            results.append("applied" if fits else "denied")
+            out.append((event, "applied" if fits else "denied"))
         if held is None:
             self.held.clear()
-        else:
-            self.held.update((pd.Timestamp(held[0]).to_pydatetime(), *held[1:]))
-            self.keep_until(pd.Timestamp(held[0]) + self.ttl)
-        yield pd.DataFrame({"reference_id": key[0], "event_id": pd.Series(ids, dtype="int64"), "result": pd.Series(results, dtype="object")})
+            return out, None
+        self.held.update(tuple(held))
+        return out, held[0] + self.ttl
 
 
-class LastActions(Expiring):
-    """The last ``n`` actions of a key, in order, after each batch; forgotten ``forget_s`` after the last one."""
+class LastActions(Reordered):
+    """The last ``n`` actions of a key, in order, after each step; forgotten ``forget_s`` after the last one."""
 
-    def __init__(self, n: int = 8, forget_s: float = 365 * 86_400.0):
-        self.n, self.forget = n, pd.Timedelta(seconds=forget_s)
+    columns, out = ("at", "event_id", "action"), ("event_id", "at", "history")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getListState("last", "event_id long, action string")
+    def __init__(self, n: int = 8, forget_s: float = 365 * 86_400.0, step_s: float = 600.0):
+        super().__init__(step_s)
+        self.n, self.after = n, int(forget_s * SECOND)
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getListState("last", "at long, action string")
 
-    def drop(self) -> None:
+    def forget(self) -> None:
         self.last.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def decide(self, key: tuple, rows: list[tuple]) -> tuple[list[tuple], int | None]:
         last = [tuple(x) for x in self.last.get()] if self.last.exists() else []
-        frame = in_order(rows, "ts", "event_id")
-        last += [(int(r.event_id), r.action) for r in frame.itertuples()]
-        last = last[-self.n :]
+        last = [x for x in last if rows[0][0] - x[0] <= self.after]
+        last = (last + [(at, action) for at, _, action in rows])[-self.n :]
         self.last.put(last)
-        self.keep_until(frame["ts"].iloc[-1] + self.forget)
-        yield pd.DataFrame({"user_id": [key[0]], "event_id": [last[-1][0]], "history": [",".join(a for _, a in last)]})
+        at, event, _ = rows[-1]
+        return [(event, at, ",".join(a for _, a in last if a is not None))], at + self.after
+
+
+class StageClock(Reordered):
+    """Time from a stage's ``active`` to its next other status. A stage that has none ``timeout_s`` after its start comes
+    out with a reason and without a time, by a timer, even if no event follows; what comes later ends nothing."""
+
+    columns, out = ("at", "event_id", "status"), ("event_id", "at", "ms", "reason")
+
+    def __init__(self, timeout_s: float = 3600.0, step_s: float = 600.0):
+        super().__init__(step_s)
+        self.timeout = int(timeout_s * SECOND)
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.active = handle.getValueState("active", "event_id long, at long")
+
+    def forget(self) -> None:
+        self.active.clear()
+
+    def _unended(self, active: tuple) -> tuple:
+        return active[0], active[1], None, "stage did not end"
+
+    def decide(self, key: tuple, rows: list[tuple]) -> tuple[list[tuple], int | None]:
+        active, out = self.active.get() if self.active.exists() else None, []
+        for at, event, status in rows:
+            if active is not None:
+                if status == "active" or at - active[1] > self.timeout:
+                    out.append(self._unended(active))
+                else:
+                    out.append((active[0], active[1], (at - active[1]) / 1000.0, None))
+            active = (event, at) if status == "active" else None
+        if active is None:
+            self.active.clear()
+            return out, None
+        self.active.update(active)
+        return out, active[1] + self.timeout
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if now % self.step and self.until.exists() and self.until.get()[0] <= now and self.active.exists():
+            yield self._frame(key, [self._unended(self.active.get())], False)
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
