@@ -128,3 +128,12 @@ def test_unclaimed_texts_and_unwanted_languages_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.doc_id for r in L.keep_known(docs, F.lit(True)).collect()} == {r[0] for r in rows} - {500, 501}
     assert {r.doc_id for r in L.keep_known(docs, F.lit(True), langs=["fr"]).collect()} == set(range(100, 160))
+
+
+def test_no_language_is_lost_however_rare(spark):
+    """Five hundred languages, of which a hundred have two texts each, beside frequent ones."""
+    rows = [(k * 1000 + i, f"w{k}".translate(str.maketrans("0123456789", "abcdefghij")) * 3, f"l{k:03}") for k in range(500) for i in range(2 if k % 5 == 0 else 60 if k < 20 else 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, features = L.sample(df, F.lit(True), "doc_id", "text", "lang")
+    assert set(langs) == {r[2] for r in rows} and len(langs) == len(features)
+    assert max(langs.count(x) for x in set(langs)) <= L.SAMPLE // 500

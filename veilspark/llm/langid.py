@@ -6,9 +6,10 @@ their numbers of features. A few landmark texts of each language span the Nystro
 space; one-versus-rest ridge regression there learns the languages. Scoring is one matrix product for each batch of
 texts: their presence rows by the landmarks' rows, folded with the regression's weights.
 
-The classifier is fitted on a bounded sample (``PER_LANG`` texts of each language, ``SAMPLE`` in all, the first by a
-digest of their ids), of which the first ``LANDMARKS`` of each language, ``ALL_LANDMARKS`` in all, are landmarks; every
-text is scored whole. A text for which no language's value is above zero is claimed by none (of two languages one
+The classifier is fitted on a bounded sample: of every language the first texts by a digest of their ids, as many of each
+as ``SAMPLE`` has room for, ``PER_LANG`` at most and one at least. The first of each, ``LANDMARKS`` at most and as many as
+``ALL_LANDMARKS`` has room for, again one at least, are landmarks. So no language is lost, however rare, and where there
+are more languages than room, the bounds are their number. Every text is scored whole. A text for which no language's value is above zero is claimed by none (of two languages one
 always claims, for their values mirror each other).
 """
 
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,32 +126,27 @@ def sample(docs: DataFrame, train: Column, id_col: str, text: str, lang: str) ->
     """Languages and buckets of the texts to learn from."""
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), uniform(F.col(id_col), "lang:").alias("u"))
-    counts = docs.where(train & F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("lang")).count()
-    top = counts.orderBy(F.desc("count"), "lang").limit(SAMPLE // 20).collect()
-    if not top:
-        return [], []
-    each = min(PER_LANG, SAMPLE // len(top))
-    rate = F.create_map(*(F.lit(x) for r in top for x in (r.lang, min(1.0, 2.0 * each / r["count"] + 16 / r["count"]))))
-    picked = rows.where(F.col("u") < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    counts = rows.groupBy("lang").count()
+    each = max(1, min(PER_LANG, SAMPLE // max(1, counts.count())))
+    # about twice as many of each language as are wanted, or all, whatever its size; then the first of them
+    rate = (2.0 * each + 16) / F.col("count")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("u", "tie"))
+    picked = rows.join(counts, "lang").where(F.col("u") < rate).withColumn("n", first).where(F.col("n") <= each).select("lang", "n", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS, dtype=bool)
         for batch in batches:
             got = []
-            for raw in batch.column(1):
+            for raw in batch.column(2):
                 table[:] = False
                 mark(raw.as_py(), table)
                 got.append(packed(table))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.binary())], ["lang", "u", "buckets"])
-
-    found = picked.mapInArrow(run, "lang string, u double, buckets binary").orderBy("u", "buckets").limit(2 * SAMPLE).collect()
-    langs, features, seen = [], [], {}
-    for r in found:
-        seen[r.lang] = seen.get(r.lang, 0) + 1
-        if seen[r.lang] <= each:
-            langs.append(r.lang)
-            features.append(bytes(r.buckets))
-    return langs, features
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], ["lang", "n", "buckets"])
+
+    found = picked.mapInArrow(run, "lang string, n int, buckets binary").collect()  # ``each`` of each language
+    found.sort(key=lambda r: (r.n, r.lang))
+    return [r.lang for r in found], [bytes(r.buckets) for r in found]
 
 
 def predict(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -33,7 +33,7 @@ ship(__name__)
 SHINGLE = 3
 THRESHOLD = 3
 SEED = 42
-WIDE = 4
+WIDE = 6
 SIMILAR, SIMILAR_WORDS = 0.8, 5
 _BLOCK = 1 << 16  # shingles hashed at a time, which bounds memory for very long texts
 
