@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import nfc
+from .text import composed
 
 
 def tier_rank(tier: Column) -> Column:
@@ -27,7 +27,7 @@ def permits_unattended(tier: Column) -> Column:
 
 def _shown(text: Column) -> Column:
     """Canonical composition, then zero-width characters removed: what every rule reads. Labels and tasks are short."""
-    return F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), P.ZERO_WIDTH, "")
+    return F.regexp_replace(composed(F.coalesce(text, F.lit(""))), P.ZERO_WIDTH, "")
 
 
 def slugs_as_words(text: Column) -> Column:

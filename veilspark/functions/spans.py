@@ -67,24 +67,66 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 _CHUNK = 64
 
 
-def offsets(sizes: Column) -> Column:
-    """Where each item begins when items of these sizes are laid end to end.
+def scanned(values: Column, zero: int, step: Callable[[Column, Column], Column]) -> Column:
+    """For each item what ``step`` makes of all items before it; ``step`` is associative, and whole numbers are its items.
 
-    Arrays can only be appended to by a copy, so sums run within chunks, and from chunk to chunk.
+    Arrays can only be appended to by a copy, so it runs within chunks, and from chunk to chunk.
     """
 
     def running(items: Column, start: Column) -> Column:
-        zero = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
-        step = lambda a, v: F.struct((a["at"] + v).cast("int").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
-        return F.aggregate(items, zero, step, lambda a: a["out"])
+        first = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        put = lambda a, v: F.struct(step(a["at"], v).cast("int").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(items, first, put, lambda a: a["out"])
 
     def chunked(z: Column) -> Column:
         part = lambda k: F.slice(z, k * _CHUNK + 1, F.lit(_CHUNK))
-        total = lambda k: F.aggregate(part(k), F.lit(0), lambda t, v: (t + v).cast("int"))
+        total = lambda k: F.aggregate(part(k), F.lit(zero), lambda t, v: step(t, v).cast("int"))
+        chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(z), F.lit(1)) - 1) / _CHUNK).cast("int"))
+        return let(running(F.transform(chunks, total), F.lit(zero)), lambda bases: F.flatten(F.transform(bases, lambda base, k: running(part(k), base))))
+
+    return let(values, chunked)
+
+
+def offsets(sizes: Column) -> Column:
+    """Where each item begins when items of these sizes are laid end to end."""
+    return scanned(sizes, 0, lambda a, b: a + b)
+
+
+_FAR = (1 << 31) - 1
+
+
+def clear_of(spans: Column, taken: Callable[[Column], Column], body: Callable[[Column], Column] = lambda s: s) -> Column:
+    """Of spans in order of their start: those that are ``taken``, and the others that overlap none of these.
+
+    A sweep, in time proportional to the spans: a span is clear if none of the taken ones before it ends behind its start
+    and none of those after it begins before its end.
+    """
+    ends = lambda b: scanned(F.transform(b, lambda s: F.when(taken(s), body(s)["end"]).otherwise(F.lit(0))), 0, F.greatest)
+    starts = lambda b: F.reverse(scanned(F.reverse(F.transform(b, lambda s: F.when(taken(s), body(s)["start"]).otherwise(F.lit(_FAR)))), _FAR, F.least))
+
+    def sweep(b: Column) -> Column:
+        clear = lambda e, n: F.filter(b, lambda s, i: taken(s) | ((F.get(e, i) <= body(s)["start"]) & (F.get(n, i) >= body(s)["end"])))
+        return let(ends(b), lambda e: let(starts(b), lambda n: clear(e, n)))
+
+    return let(spans, sweep)
+
+
+def disjoint(spans: Column, kind: str) -> Column:
+    """Of spans in order of their start, greedily, those that begin behind the last one taken; ``kind`` is the array's type.
+
+    Appending copies, so taken spans are kept in chunks.
+    """
+    state = lambda end, out: F.struct(end.alias("end"), out.alias("out"))
+    nothing = F.array().cast(kind)
+
+    def chunked(z: Column) -> Column:
         chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(z), F.lit(1)) - 1) / _CHUNK).cast("int"))
-        return let(running(F.transform(chunks, total), F.lit(0)), lambda bases: F.flatten(F.transform(bases, lambda base, k: running(part(k), base))))
+        take = lambda a, s: F.when(s["start"] >= a["end"], state(s["end"], F.concat(a["out"], F.array(s)))).otherwise(a)
+        one = lambda end, k: F.aggregate(F.slice(z, k * _CHUNK + 1, F.lit(_CHUNK)), state(end, nothing), take)
+        whole = F.aggregate(chunks, state(F.lit(0), F.array().cast(f"array<{kind}>")), lambda a, k: let(one(a["end"], k), lambda x: state(x["end"], F.concat(a["out"], F.array(x["out"])))), lambda a: a["out"])
+        return F.flatten(whole)
 
-    return let(sizes, chunked)
+    return let(spans, chunked)
 
 
 def hits(text: Column, regex: str, kind: str = "", rule: str = "", order: int = 0) -> Column:
@@ -169,9 +211,19 @@ def overlaps(a: Column, b: Column) -> Column:
 
 
 def claimed(spans: Column) -> Column:
-    """Earlier spans win; later ones that overlap a winner go; the rest by start."""
-    kept = F.aggregate(spans, no_spans(), lambda acc, s: F.when(F.exists(acc, lambda k: overlaps(s, k)), acc).otherwise(F.concat(acc, F.array(s))))
-    return F.array_sort(kept)
+    """Earlier passes win; spans of later ones that overlap a winner go; the rest by start. A pass's own never overlap.
+
+    Few spans are held against each other, many are swept pass by pass; the answer is the same.
+    """
+    fold = F.aggregate(spans, no_spans(), lambda acc, s: F.when(F.exists(acc, lambda k: overlaps(s, k)), acc).otherwise(F.concat(acc, F.array(s))))
+
+    def one_pass(acc: Column, p: Column) -> Column:
+        marked = lambda xs, old: F.transform(xs, lambda s: F.struct(s["start"].alias("at"), F.lit(old).alias("old"), s.alias("s")))
+        both = F.array_sort(F.concat(marked(acc, True), marked(F.filter(spans, lambda s: s["pass"] == p), False)))
+        return F.transform(clear_of(both, lambda x: x["old"], lambda x: x["s"]), lambda x: x["s"])
+
+    passes = F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["pass"])))
+    return F.when(F.size(spans) > _CHUNK, F.aggregate(passes, no_spans(), one_pass)).otherwise(F.array_sort(fold))
 
 
 @built_once
@@ -195,18 +247,43 @@ def nearby_otp(text: Column, spans: Column) -> Column:
     return F.array_distinct(fresh)
 
 
+_RANKS = sorted({*SPECIFICITY.values(), 0}, reverse=True)
+
+
 def suppressed(spans: Column) -> Column:
-    """Spans inside a more specific or longer one go, as do twelve digits that overlap a card-like run."""
+    """Spans inside a more specific or longer one go, as do twelve digits that overlap a card-like run.
+
+    Few are held against each other in that order. Many are swept by their start: a span is inside another if one of those
+    before it, of its own rank or a higher one, ends behind it. No card-like run lies in twelve digits, so such runs are
+    settled first.
+    """
     rank = lambda s: F.coalesce(*(F.when(s["kind"] == k, v) for k, v in SPECIFICITY.items()), F.lit(0))
-    keyed = F.transform(spans, lambda s: F.struct((-rank(s)).alias("r"), (s["start"] - s["end"]).alias("n"), s["start"].alias("a"), s["pass"].alias("p"), s.alias("s")))
-    ordered = F.transform(F.array_sort(keyed), lambda x: x["s"])
+    keyed = F.array_sort(F.transform(spans, lambda s: F.struct((-rank(s)).alias("r"), (s["start"] - s["end"]).alias("n"), s["start"].alias("a"), s["pass"].alias("p"), s.alias("s"))))
 
     def keep(acc: Column, s: Column) -> Column:
         inside = F.exists(acc, lambda k: (s["start"] >= k["start"]) & (s["end"] <= k["end"]))
         on_card = (s["kind"] == "aadhaar") & F.exists(acc, lambda k: (k["kind"] == "card-like") & overlaps(s, k))
         return F.when(inside | on_card, acc).otherwise(F.concat(acc, F.array(s)))
 
-    return F.array_sort(F.aggregate(ordered, no_spans(), keep))
+    def outer(xs: Column) -> Column:
+        by_start = F.array_sort(F.transform(xs, lambda x: F.struct(x["a"].alias("a"), x["n"].alias("n"), x["r"].alias("r"), x["p"].alias("p"), x["s"].alias("s"))))
+
+        def sweep(b: Column) -> Column:
+            ends = F.transform(F.array(*map(F.lit, _RANKS)), lambda v: scanned(F.transform(b, lambda x: F.when(x["r"] <= -v, x["s"]["end"]).otherwise(F.lit(0))), 0, F.greatest))
+            place = lambda x: F.array_position(F.array(*map(F.lit, _RANKS)), -x["r"]).cast("int")
+            return let(ends, lambda e: F.filter(b, lambda x, i: F.get(F.element_at(e, place(x)), i) < x["s"]["end"]))
+
+        return let(by_start, sweep)
+
+    def many(xs: Column) -> Column:
+        is_bare = lambda x: x["s"]["kind"] == "aadhaar"
+        before = lambda k, x: F.struct(k["n"], k["a"], k["p"]) < F.struct(x["n"], x["a"], x["p"])  # noqa: E731  of one rank
+        cards = F.filter(outer(F.filter(xs, lambda x: ~is_bare(x))), lambda x: x["s"]["kind"] == "card-like")
+        free = lambda c: F.filter(xs, lambda x: ~is_bare(x) | ~F.exists(c, lambda k: before(k, x) & overlaps(k["s"], x["s"])))
+        return F.transform(outer(let(cards, free)), lambda x: x["s"])
+
+    few = F.aggregate(F.transform(keyed, lambda x: x["s"]), no_spans(), keep)
+    return F.array_sort(F.when(F.size(spans) > _CHUNK, let(keyed, many)).otherwise(few))
 
 
 def kinds_of(spans: Column) -> Column:

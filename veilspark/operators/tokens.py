@@ -23,10 +23,12 @@ def masked_text(docs: DataFrame, text: str = "text", spans: str = "spans") -> Da
 
 def tokenized_by_occurrence(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """The older rule: a new token for every occurrence, numbered by type in the order of the passes."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["pass"].alias("p"), s["start"].alias("a"), s["kind"].alias("k"))))
-    number = lambda s: F.size(F.filter(order, lambda o: (o["k"] == s["kind"]) & ((o["p"] < s["pass"]) | ((o["p"] == s["pass"]) & (o["a"] <= s["start"])))))
-    put = S.rendered(F.col(text), F.col(spans), lambda s: F.concat(F.upper(s["kind"]), F.lit("#"), number(s).cast("string")))
-    return docs.withColumn("tokenized", put).drop(text, spans)
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["pass"].alias("p"), s["start"].alias("a"), s["end"].alias("e"), s["kind"].alias("k"))))
+    of_kind = lambda o, k: F.transform(F.filter(o, lambda x: x["k"] == k), lambda x, i: F.struct(x["a"].alias("start"), x["e"].alias("end"), F.concat(F.upper(k), F.lit("#"), (i + 1).cast("string")).alias("token")))
+    numbered_by_kind = S.let(order, lambda o: F.array_sort(F.flatten(F.transform(F.array_distinct(F.transform(o, lambda x: x["k"])), lambda k: of_kind(o, k)))))
+    docs = docs.withColumn("_numbered", numbered_by_kind)
+    put = S.rendered(F.col(text), F.col("_numbered"), lambda s: s["token"])
+    return docs.withColumn("tokenized", put).drop(text, spans, "_numbered")
 
 
 def mint_tokens(spans: DataFrame, scope: str = "scope", source: str = "source_ord") -> DataFrame:
@@ -48,8 +50,11 @@ def merge_layers(regex: DataFrame, model: DataFrame, key: str = "doc_id") -> Dat
     fields = ("start", "end", "type", "value", "label", "score")
     pack = lambda df, layer: df.select(key, F.struct(F.lit(0 if layer == "regex" else 1).alias("o"), *fields, F.lit(layer).alias("layer")).alias("s"))
     both = pack(regex, "regex").unionByName(pack(model, "model")).groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("spans"))
-    clash = lambda s, k: (s["start"] < k["end"]) & (k["start"] < s["end"])
-    kept = F.aggregate("spans", F.filter("spans", lambda s: s["o"] == 0), lambda acc, s: F.when((s["o"] == 0) | F.exists(acc, lambda k: clash(s, k)), acc).otherwise(F.concat(acc, F.array(s))))
+    kind = both.schema["spans"].dataType.simpleString()
+    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("at"), s["o"].alias("o"), s.alias("s"))))
+    clear = F.transform(S.clear_of(by_start, lambda x: x["o"] == 0, lambda x: x["s"]), lambda x: x["s"])
+    both = both.withColumn("spans", clear)
+    kept = F.concat(F.filter("spans", lambda s: s["o"] == 0), S.disjoint(F.filter("spans", lambda s: s["o"] == 1), kind))
     return S.spread(both, key, items=kept).drop("o")
 
 
