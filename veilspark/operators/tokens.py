@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import spans as S
+from . import matching as M
 from .numbering import numbered
 
 STRIP_THRESHOLD = 0.60
@@ -123,24 +124,23 @@ def rehydrate(texts: DataFrame, vault: DataFrame, scope: str = "scope", text: st
     return out.withColumn("rejected", bad).withColumn("restored", F.when(~bad, back)).drop("vault")
 
 
-def _quoted(value: Column) -> Column:
-    return F.regexp_replace(value, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
-
-
 def replace_known_values(labels: DataFrame, vault: DataFrame, scope: str = "scope", label: str = "label") -> DataFrame:
     """Labels with every known value of their scope as its token: longest first, whole words, in one pass.
 
     A value is bounded only where it begins or ends with a word's character, so a name never changes a longer one.
     """
-    edge = lambda at, look: F.when(F.substr("value", at, F.lit(1)).rlike(r"[\p{L}\p{N}_]"), look).otherwise("")
-    bounded = F.concat(edge(F.lit(1), F.lit(r"(?<![\p{L}\p{N}_])")), _quoted(F.col("value")), edge(F.lit(-1), F.lit(r"(?![\p{L}\p{N}_])")))
     known = vault.where("value <> ''").groupBy(scope, "value").agg(F.min("token").alias("token"))
-    parts = known.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value", "token", bounded.alias("re")))).alias("v"))
-    parts = parts.select(scope, F.array_join(F.transform("v", lambda x: x["re"]), "|").alias("re"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["value"], x["token"]))).alias("by"))
-    out = labels.join(parts, scope, "left")
-    gaps, found = F.split(F.col(label), F.col("re"), -1), F.regexp_extract_all(F.col(label), F.col("re"), F.lit(0))
-    new = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.try_element_at(F.col("by"), F.get(found, i)), F.lit("")))), "")
-    return out.withColumn("new_label", F.when(F.col("re").isNull(), F.col(label)).otherwise(new)).drop("re", "by")
+    word = r"[\p{L}\p{N}_]"
+    found = M.occurrences(labels, known, scope, label).join(known, [scope, "value"]).select(scope, "text", "value", "token", F.explode("starts").alias("start"))
+    found = found.withColumn("end", F.col("start") + F.length("value"))
+    at = lambda place: F.substr("text", place, F.lit(1))
+    opens = ~F.substr("value", F.lit(1), F.lit(1)).rlike(word) | (F.col("start") == 0) | ~at(F.col("start")).rlike(word)
+    closes = ~F.substr("value", F.lit(-1), F.lit(1)).rlike(word) | ~at(F.col("end") + 1).rlike(word)
+    spans = found.where(opens & closes).groupBy(scope, F.col("text").alias(label)).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("n"), "end", "token"))).alias("_spans"))
+    taken = S.disjoint(F.col("_spans"), spans.schema["_spans"].dataType.simpleString())
+    out = labels.join(spans.withColumn("_spans", taken), [scope, label], "left")
+    put = S.rendered(F.col(label), F.col("_spans"), lambda s: s["token"])
+    return out.withColumn("new_label", F.when(F.col("_spans").isNull(), F.col(label)).otherwise(put)).select(*labels.columns, "new_label")
 
 
 def replace_substring_values(labels: DataFrame, vault: DataFrame, scope: str = "scope", label: str = "label") -> DataFrame:
@@ -165,33 +165,16 @@ def replaced_rows(decided: DataFrame, answers: DataFrame, vault: DataFrame, scop
     return rows.unionByName(rest.select(scope, "token", kind.alias("type"), F.lit(None).cast("long").alias("source"), F.lit(None).cast("string").alias("layer"), F.lit(None).cast("double").alias("score")))
 
 
-HEAD = 6
-
-
 def leak_check(bodies: DataFrame, values: DataFrame, key: str, text: str = "text", value: str = "value") -> DataFrame:
     """Occurrences, in either case, of each known value in the bodies of its scope; values without any have zero.
 
-    Only places where a body has the first ``HEAD`` characters of some value are looked at, and only windows as long as
-    a value that begins so; a window is a value or not by an equi-join. No value is held against a body that lacks it.
+    Each different body is searched once for all values of its scope.
     """
-    hay = F.lower(F.coalesce(text, F.lit("")))
-    held = bodies.select(key, hay.alias("_hay"), F.sha2(hay, 256).alias("_digest"))
-    known = values.select(key, value).distinct().withColumn("_needle", F.lower(value)).withColumn("_head", F.substring("_needle", 1, HEAD)).withColumn("_n", F.length("_needle"))
-    heads = known.where("_n > 0").select(key, "_head", "_n").distinct()
-    sizes = sorted(r[0] for r in heads.select(F.length("_head")).distinct().collect())  # HEAD different ones at most
-
-    def grams(size: int) -> Column:
-        at = F.sequence(F.lit(1), F.size("_chars") - size + 1)
-        return F.when(F.size("_chars") >= size, F.transform(at, lambda i: F.struct(i.alias("_at"), F.array_join(F.slice("_chars", i, size), "").alias("_head"))))
-
-    once = held.dropDuplicates([key, "_digest"])
-    places = once.withColumn("_chars", F.split("_hay", "")).select(key, "_digest", F.inline(F.flatten(F.array_compact(F.array(*map(grams, sizes or [HEAD]))))))
-    windows = places.join(heads, [key, "_head"]).select(key, "_digest", "_at", "_n").join(once, [key, "_digest"])
-    found = windows.select(key, "_digest", F.substr(F.col("_hay"), F.col("_at"), F.col("_n")).alias("_needle")).distinct()
-    pairs = found.join(known.select(key, value, "_needle"), [key, "_needle"]).join(held, [key, "_digest"])
-    n = ((F.length("_hay") - F.length(F.replace("_hay", F.col("_needle")))) / F.length("_needle")).cast("long")
-    counts = pairs.groupBy(key, value).agg(F.sum(n).alias("n"))
-    return known.select(key, value).join(counts, [key, value], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    known = values.select(key, value).distinct().withColumn("_needle", F.lower(value))
+    held = bodies.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("_hay")).groupBy(key, "_hay").agg(F.count("*").alias("_times"))
+    found = M.occurrences(held, known, key, "_hay", "_needle").select(key, F.col("text").alias("_hay"), F.col("value").alias("_needle"), M.apart(F.col("starts"), F.length("value")).alias("_n"))
+    counts = found.join(held, [key, "_hay"]).groupBy(key, "_needle").agg(F.sum(F.col("_n") * F.col("_times")).alias("n"))
+    return known.join(counts, [key, "_needle"], "left").select(key, value, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def mask_boxes(fields: DataFrame, key: str, group: str) -> DataFrame:

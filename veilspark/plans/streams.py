@@ -210,7 +210,7 @@ def h10_stream_leak_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("scope"), F.col("turn").alias("source_ord"), F.posexplode(words).alias("start", "value"), F.lit("WORD").alias("type"))
     vault = K.mint_tokens(said).withColumnRenamed("scope", "conv_id")
     bodies = _stream(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
-    return H.run_available(H.stream_leak_alert(bodies, vault, "conv_id")).groupBy("conv_id").agg(F.count("*").alias("alerts"))
+    return H.stream_leak_alert(bodies, vault, "conv_id").groupBy("conv_id").agg(F.count("*").alias("alerts"))
 
 
 @query()

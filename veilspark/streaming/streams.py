@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import detection as D
+from ..operators import matching as M
 from ..operators import tokens as K
 from .state import LastActions, LateRows, RateLimiter, Reordered, ReplayGuard, RunBudget, StageClock, ValueReferences
 
@@ -271,10 +272,26 @@ def stream_redact(docs: DataFrame, text: str = "text") -> DataFrame:
     return K.masked_text(D.document_spans(docs, text), text)
 
 
+def leak_alerts(bodies: DataFrame, vault: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Bodies that hold a known value of their scope, in either case; the alert names the token only. Values are found as
+    the leak check finds them."""
+    known = vault.select(key, "token", F.lower("value").alias("_needle"))
+    held = bodies.withColumn("_hay", F.lower(text))
+    found = M.occurrences(held, known, key, "_hay", "_needle").select(key, F.col("text").alias("_hay"), F.col("value").alias("_needle"))
+    return held.join(found, [key, "_hay"]).join(known, [key, "_needle"]).select(*(c for c in bodies.columns if c != text), "token")
+
+
 def stream_leak_alert(bodies: DataFrame, vault: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Bodies that hold a known value of their scope, by a stream-static join; the alert names the token only."""
-    hit = F.contains(F.lower(text), F.lower("value"))
-    return bodies.join(vault.select(key, "token", "value"), key).where(hit).select(*(c for c in bodies.columns if c != text), "token")
+    """Alerts of a stream of bodies, batch by batch; one that is run again replaces its own alerts and no other."""
+    spark, folder = bodies.sparkSession, shared_folder(bodies.sparkSession)
+    out = T.StructType([f for f in bodies.schema if f.name != text] + [T.StructField("token", T.StringType())])
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        leak_alerts(batch, vault, key, text).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    bodies.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([], out).write.mode("overwrite").parquet(f"{folder}/out/batch=-1")
+    return spark.read.schema(out).parquet(f"{folder}/out")
 
 
 def value_references(ops: DataFrame, ttl_s: float = 30.0, late: str = LATEST, step_s: float = 600.0) -> DataFrame:
