@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,7 +45,47 @@ def interval_iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, shared / union).otherwise(0.0)
 
 
+def cell_size(*boxes: DataFrame) -> float:
+    """The side of a grid's cells: a power of two, so that cutting boxes at it is exact, no smaller than boxes are on the
+    average nor than a 64th of the largest, which is therefore in 65 x 65 cells at most."""
+    sides = reduce(DataFrame.unionByName, (b.where("w > 0 AND h > 0").select(F.greatest("w", "h").cast("double").alias("s")) for b in boxes))
+    mean, most = sides.agg(F.avg("s"), F.max("s")).first()
+    return 2.0 ** math.ceil(math.log2(max(mean, most / 64))) if mean and most < float("inf") else 1.0
+
+
+def in_cells(boxes: DataFrame, cell: float) -> DataFrame:
+    """A row for each cell that a box touches, with the cell's place ``cx, cy``."""
+    span = lambda a, s: F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(a) + F.col(s)) / cell))
+    return boxes.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
+
+
+def near_pairs(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """Pairs of boxes, one of each side and of equal keys, that share an area: all columns of ``a`` and those of ``b`` that
+    aren't keys, of which the box's end in 2. Boxes meet in the cells of a grid, a pair only in the cell where what
+    they share begins."""
+    cell = cell_size(a, b)
+    names = {c: f"{c}2" if c in BOX else c for c in b.columns if c not in keys}
+    here = in_cells(a.where("w > 0 AND h > 0"), cell)
+    there = in_cells(b.where("w > 0 AND h > 0"), cell).select(*keys, "cx", "cy", *(F.col(c).alias(n) for c, n in names.items()))
+    met = here.join(there, [*keys, "cx", "cy"])
+    left, top = F.greatest("x", "x2"), F.greatest("y", "y2")
+    shares = (F.least(F.col("x") + F.col("w"), F.col("x2") + F.col("w2")) > left) & (F.least(F.col("y") + F.col("h"), F.col("y2") + F.col("h2")) > top)
+    first = (F.col("cx") == F.floor(left / cell)) & (F.col("cy") == F.floor(top / cell))
+    return met.where(shares & first).select(*a.columns, *names.values())
+
+
 def union_area(boxes: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, area)``: boxes are cut at the cells of a grid, and each cell's are measured by themselves."""
+    sound = boxes.where("w > 0 AND h > 0").select(*keys, *BOX)
+    cell = cell_size(sound)
+    cut = in_cells(sound, cell)
+    for a, s, c in (("x", "w", "cx"), ("y", "h", "cy")):
+        low = F.greatest(F.col(a), F.col(c) * cell)
+        cut = cut.withColumns({a: low, s: F.least(F.col(a) + F.col(s), (F.col(c) + 1) * cell) - low})
+    return _slabs(cut, *keys, "cx", "cy").groupBy(*keys).agg(F.sum("area").alias("area"))
+
+
+def _slabs(boxes: DataFrame, *keys: str) -> DataFrame:
     """``(keys, area)``: vertical slabs between edges, each with the length of its boxes' merged intervals."""
     sound = boxes.where("w > 0 AND h > 0").select(*keys, *BOX)
     edges = sound.select(*keys, F.explode(F.array(F.col("x"), F.col("x") + F.col("w"))).alias("left")).distinct()
@@ -57,10 +99,13 @@ def union_area(boxes: DataFrame, *keys: str) -> DataFrame:
 
 def shared_boxes(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     """Every pair's intersection as a box: what two sets of boxes cover together, by :func:`union_area`."""
-    other = b.select(*keys, *(F.col(c).alias(f"{c}2") for c in BOX))
+    return _shared(near_pairs(a.select(*keys, *BOX), b.select(*keys, *BOX), *keys), *keys)
+
+
+def _shared(pairs: DataFrame, *keys: str) -> DataFrame:
     x, y = F.greatest("x", "x2"), F.greatest("y", "y2")
     w, h = F.least(F.col("x") + F.col("w"), F.col("x2") + F.col("w2")) - x, F.least(F.col("y") + F.col("h"), F.col("y2") + F.col("h2")) - y
-    return a.join(other, list(keys)).where((w > 0) & (h > 0)).select(*keys, x.alias("x_"), y.alias("y_"), w.alias("w_"), h.alias("h_")).toDF(*keys, *BOX)
+    return pairs.select(*keys, x.alias("x_"), y.alias("y_"), w.alias("w_"), h.alias("h_")).toDF(*keys, *BOX)
 
 
 def coverage(truth: DataFrame, masks: DataFrame, images: DataFrame, key: str = "image") -> DataFrame:
@@ -93,10 +138,10 @@ def greedy_match(pred: DataFrame, truth: DataFrame, key: str = "image", least: f
     the order of ids, of equal overlaps the truth with the smallest.
     """
     sure = by == "confidence"
-    other = truth.select(key, F.col("box_id").alias("truth_id"), *(F.col(c).alias(f"{c}2") for c in BOX))
+    other = truth.select(key, F.col("box_id").alias("truth_id"), *BOX)
     score = iou(F.col, lambda k: F.col(f"{k}2"))
     place = (-F.col("confidence") if sure else F.lit(0.0)).alias("o")
-    pairs = pred.join(other, key).withColumn("iou", score).where(F.col("iou") > 0)
+    pairs = near_pairs(pred.select(key, "box_id", "confidence", *BOX), other, key).withColumn("iou", score).where(F.col("iou") > 0)
     item = F.struct(place, F.col("box_id").alias("p"), (-F.col("iou")).alias("i"), (-F.col("truth_id") if sure else F.col("truth_id")).alias("t"))
     packed = pairs.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("pairs"))
     zero = F.struct(F.lit(None).cast("long").alias("p"), F.array().cast("array<bigint>").alias("used"), F.lit(0).alias("tp"))
@@ -171,19 +216,12 @@ def merge_gap(boxes: DataFrame, key: str = "image", kind: str = "kind", gap: flo
 
 def word_in_boxes(words: DataFrame, boxes: DataFrame, key: str = "image", word: str = "word_id", least: float = 0.5) -> DataFrame:
     """``words`` plus ``inside``: whether boxes together cover at least ``least`` of the word's own area."""
-    parts = shared_boxes_by(words, boxes, key, word)
+    parts = _shared(near_pairs(words.select(key, word, *BOX), boxes.select(key, *BOX), key), key, word)
     area = union_area(parts, key, word)
     out = words.join(area, [key, word], "left")
     return out.withColumn("inside", F.coalesce(F.col("area") / (F.col("w") * F.col("h")) >= least, F.lit(False))).drop("area")
 
 
-def shared_boxes_by(words: DataFrame, boxes: DataFrame, key: str, word: str) -> DataFrame:
-    other = boxes.select(key, *(F.col(c).alias(f"{c}2") for c in BOX))
-    x, y = F.greatest("x", "x2"), F.greatest("y", "y2")
-    w, h = F.least(F.col("x") + F.col("w"), F.col("x2") + F.col("w2")) - x, F.least(F.col("y") + F.col("h"), F.col("y2") + F.col("h2")) - y
-    return words.join(other, key).where((w > 0) & (h > 0)).select(key, word, x.alias("x_"), y.alias("y_"), w.alias("w_"), h.alias("h_")).toDF(key, word, *BOX)
-
-
 def ratio_to_px(x1: Column, y1: Column, x2: Column, y2: Column, width: float, height: float) -> Column:
     """Corner ratios as a pixel box, null if they aren't finite or stand the wrong way round."""
     sound = [v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) for v in (x1, y1, x2, y2)]
