@@ -34,23 +34,34 @@ def dedupe_rows(df: DataFrame, parts: Sequence[str], order: str) -> DataFrame:
 def pair_positive_negative(tasks: DataFrame, controls: DataFrame, task: str, goal: str, label: str, goals: str, seed: str, factor: float = 1.5) -> DataFrame:
     """Each task with all controls that serve its goal, and with max(2, ``factor`` x as many) others, as far as there are.
 
-    ``tasks(task, goal)``; ``controls(label, goals)`` is a table of labels, short beside the tasks. Both lists are made
-    once for each goal, the others in a digest's order; a task takes those from a place of its own on, round the end, so
-    no pair is made that isn't kept.
+    ``tasks(task, goal)``; ``controls(label, goals)``. A goal's others are numbered as rows, in a digest's order; a task
+    takes those from a place of its own on, round the end: an equi-join on blocks of places, of which it needs a few, so
+    no pair is made that isn't kept but for the rest of two blocks.
     """
     wanted = tasks.select(goal).distinct()
-    every = controls.groupBy().agg(F.array_sort(F.collect_set(label)).alias("every"))
-    pos = controls.select(label, F.explode(goals).alias(goal)).groupBy(goal).agg(F.array_sort(F.collect_set(label)).alias("pos"))
-    lists = wanted.join(pos, goal, "left").withColumn("pos", F.coalesce("pos", F.array().cast(every.schema["every"].dataType))).crossJoin(every)
-    rank = F.transform(F.array_except("every", "pos"), lambda x: F.struct(F.sha2(F.concat_ws(":", F.lit(seed), F.col(goal).cast("string"), x.cast("string")), 256).alias("d"), x.alias("label")))
-    lists = lists.select(goal, "pos", F.transform(F.array_sort(rank), lambda x: x["label"]).alias("neg"))
-    n = F.size("neg")
-    start = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col(task).cast("string")), 256), 1, 8), 16, 10).cast("long"), F.greatest(n, F.lit(1))).cast("int")
-    want = F.least(n, F.greatest(F.lit(2), F.floor(F.size("pos") * factor)).cast("int"))
-    picked = tasks.join(lists, goal)
-    chosen = F.concat(F.slice("neg", start + 1, want), F.slice("neg", F.lit(1), F.greatest(F.lit(0), start + want - n)))
-    both = F.concat(F.transform("pos", lambda x: F.struct(x.alias("label"), F.lit("A").alias("gold"))), F.transform(chosen, lambda x: F.struct(x.alias("label"), F.lit("B").alias("gold"))))
-    return picked.select(task, goal, F.inline(both)).withColumnRenamed("label", label)
+    labels = controls.select(label).distinct()
+    pos = controls.select(label, F.explode(goals).alias(goal)).distinct().join(wanted, goal, "left_semi")
+    n_pos = pos.groupBy(goal).agg(F.count("*").alias("_n_pos"))
+    # every goal with every label but its own: the rows that are asked for, numbered
+    part = F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1)))
+    spread = wanted.withColumn("_part", part).join(labels.withColumn("_part", F.pmod(F.xxhash64(label), F.lit(_PARTS)).cast("int")), "_part").drop("_part")
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col(goal).cast("string"), F.col(label).cast("string")), 256)
+    others = spread.join(pos, [goal, label], "left_anti").withColumn("_digest", digest)
+    others = numbered(others, [goal], "_digest", [label]).select(goal, label, "_place", F.col("_size").alias("_n"))
+    sizes = others.groupBy(goal).agg(F.first("_n").alias("_n")).join(n_pos, goal, "full").na.fill(0, ["_n", "_n_pos"])
+    start = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col(task).cast("string")), 256), 1, 8), 16, 10).cast("long"), F.greatest("_n", F.lit(1)))
+    want = F.least(F.col("_n"), F.greatest(F.lit(2), F.floor(F.col("_n_pos") * factor)))
+    asks = tasks.join(sizes, goal).withColumn("_start", start).withColumn("_end", F.col("_start") + want)
+    blocks = lambda a, b: F.sequence(F.floor(a / _ROUND), F.floor((F.greatest(a, b) - 1) / _ROUND))
+    once, again = blocks(F.col("_start"), F.least("_end", "_n")), F.when(F.col("_end") > F.col("_n"), blocks(F.lit(0), F.col("_end") - F.col("_n"))).otherwise(F.array().cast("array<bigint>"))
+    asks = asks.withColumn("_block", F.explode(F.array_distinct(F.concat(once, again))))
+    met = asks.join(others.drop("_n").withColumn("_block", F.floor(F.col("_place") / _ROUND)), [goal, "_block"])
+    taken = F.col("_place").between(F.col("_start"), F.col("_end") - 1) | (F.col("_place") < F.col("_end") - F.col("_n"))
+    neg = met.where(taken).select(task, goal, label, F.lit("B").alias("gold"))
+    return tasks.select(task, goal).join(pos, goal).select(task, goal, label, F.lit("A").alias("gold")).unionByName(neg)
+
+
+_PARTS, _ROUND = 64, 64
 
 
 def calib_carve(df: DataFrame, key: str, bucket: str, part: int = 8) -> DataFrame:
@@ -103,21 +114,11 @@ def soft_targets(options: DataFrame, step: str, accepted: str, wrong_mass: float
     return options.withColumn("target", F.when(F.col(accepted), (1 - wrong_mass) / good).otherwise(wrong_mass / F.greatest(F.lit(1), bad)))
 
 
-def slice_sample(df: DataFrame, key: str, offsets: Sequence[int], length: int, buckets: int = 256) -> DataFrame:
-    """``length`` consecutive rows, in the order of ``key`` (an integer), from each of ``offsets``.
-
-    Rows are numbered within ranges of the key, and a small table of the ranges' sizes gives where each begins.
-    """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumns({"position": F.lit(None).cast("long"), "slice": F.lit(None).cast("int")}).limit(0)
-    width = max(1, -(-(high - low + 1) // buckets))
-    held = df.withColumn("_b", F.floor((F.col(key) - low) / width))
-    sizes = held.groupBy("_b").count()
-    begin = sizes.withColumn("_begin", F.sum("count").over(Window.orderBy("_b")) - F.col("count")).drop("count")
-    at = held.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(key))).join(begin, "_b").withColumn("position", F.col("_begin") + F.col("_n") - 1)
+def slice_sample(df: DataFrame, key: str, offsets: Sequence[int], length: int) -> DataFrame:
+    """``length`` consecutive rows, in the order of ``key``, from each of ``offsets``."""
+    at = numbered(df, [], key, []).withColumnRenamed("_place", "position").drop("_size")
     which = F.coalesce(*(F.when(F.col("position").between(o, o + length - 1), i) for i, o in enumerate(offsets)))
-    return at.withColumn("slice", which).where("slice IS NOT NULL").drop("_b", "_n", "_begin")
+    return at.withColumn("slice", which).where("slice IS NOT NULL")
 
 
 def content_fingerprint(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -163,14 +164,15 @@ def csv_contract_check(rows: DataFrame) -> DataFrame:
     """One row per broken rule of a team-written row ``(id, lang, task, action, control_label, control_type, value, tier, serves_task, notes)``."""
     c = {k: F.coalesce(F.trim(F.col(k)), F.lit("")) for k in ("id", "lang", "task", "action", "control_label", "control_type", "value", "tier", "serves_task", "notes")}
     every = F.concat_ws(" ", c["task"], c["control_label"], c["value"], c["notes"])
-    dup = F.count("*").over(Window.partitionBy("id")) > 1
+    repeated = rows.groupBy("id").count().where("count > 1").select(F.col("id").alias("_id"), F.lit(True).alias("_dup"))
     rules = (
         ("example-row", F.startswith(c["id"], F.lit("x"))), ("duplicate-id", F.col("_dup")), ("lang", ~c["lang"].isin("en", "hi")), ("task-and-label", (c["task"] == "") | (c["control_label"] == "")), ("action", ~c["action"].isin("click", "type")),
         ("control-type", ~c["control_type"].isin("button", "link", "input")), ("serves-task", ~c["serves_task"].isin("yes", "no")), ("click-tier", (c["action"] == "click") & ~c["tier"].isin(*CSV_TIERS)), ("click-value", (c["action"] == "click") & (c["value"] != "")),
         ("type-tier", (c["action"] == "type") & (c["tier"] != "")), ("type-token", (c["action"] == "type") & ~c["value"].rlike("^[A-Z][A-Z0-9]*#[0-9]+")), ("real-data", every.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|[0-9]{10}")),
     )
     broken = F.array_compact(F.array(*(F.when(test, name) for name, test in rules)))
-    return rows.withColumn("_dup", dup).select("id", F.explode(broken).alias("rule"))
+    checked = rows.join(repeated, F.col("id").eqNullSafe(F.col("_id")), "left")
+    return checked.withColumn("_dup", F.coalesce("_dup", F.lit(False))).select("id", F.explode(broken).alias("rule"))
 
 
 def csv_quotas(rows: DataFrame, quotas: dict[str, int]) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -19,6 +18,7 @@ from pyspark.sql import types as T
 from ..operators import detection as D
 from ..operators import matching as M
 from ..operators import tokens as K
+from ..sources.shared import shared_folder
 from .state import LastActions, LateRows, RateLimiter, Reordered, ReplayGuard, RunBudget, StageClock, ValueReferences
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -69,19 +69,6 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a cluster without one is an error, only local mode has its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="spark-veil-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/veil-stream-{uuid.uuid4().hex}"
-
-
 def run_available(stream: DataFrame, mode: str = "append", close: bool = True) -> DataFrame:
     """Run a stream over all that is there now, into the shared folder, and read the result as a table.
 
