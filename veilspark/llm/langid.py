@@ -127,12 +127,13 @@ def sample(docs: DataFrame, train: Column, id_col: str, text: str, lang: str) ->
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), uniform(F.col(id_col), "lang:").alias("u"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    counts = rows.groupBy("lang").count()
-    each = max(1, min(PER_LANG, SAMPLE // max(1, counts.count())))
-    # about twice as many of each language as are wanted, or all, whatever its size; then the first of them
-    rate = (2.0 * each + 16) / F.col("count")
+    langs = rows.select("lang").distinct().count()
+    each = max(1, min(PER_LANG, SAMPLE // max(1, langs)))
+    # the first keys of each language, without texts: every task puts out ``each`` of one language at most
     first = F.row_number().over(Window.partitionBy("lang").orderBy("u", "tie"))
-    picked = rows.join(counts, "lang").where(F.col("u") < rate).withColumn("n", first).where(F.col("n") <= each).select("lang", "n", "text")
+    keys = rows.select("lang", "u", "tie").distinct().withColumn("n", first).where(F.col("n") <= each)
+    found = rows.join(F.broadcast(keys) if langs <= SAMPLE else keys, ["lang", "u", "tie"])  # ``SAMPLE`` keys at most are sent
+    picked = found.groupBy("lang", "n").agg(F.min("text").alias("text"))  # repeats are one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS, dtype=bool)
