@@ -76,14 +76,25 @@ class Reordered(StatefulProcessor):
                     self.handle.registerTimer((at[0] + 1) * self.step)
                 self.waiting.updateValue(at, (pickle.dumps(held),))
 
+    def expired(self, key: tuple) -> list[tuple]:
+        """What comes out when memory is over: nothing, as a rule."""
+        return []
+
+    def _over(self, key: tuple, now: int) -> Iterator[pd.DataFrame]:
+        if self.until.exists() and self.until.get()[0] <= now:
+            found = self.expired(key)
+            self.forget()
+            self.until.clear()
+            if found:
+                yield self._frame(key, found, False)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = expiredTimerInfo.getExpiryTimeInMs()
         if now % self.step:  # a timer of memory is a millisecond behind a step's end
-            if self.until.exists() and self.until.get()[0] <= now:
-                self.forget()
-                self.until.clear()
+            yield from self._over(key, now)
             return
         at = (now // self.step - 1,)
+        yield from self._over(key, at[0] * self.step + 1)  # where time has leapt, its timer is not yet due
         rows = pickle.loads(self.waiting.getValue(at)[0])
         self.waiting.removeKey(at)
         rows.sort(key=lambda r: r[: self.order])
@@ -95,6 +106,8 @@ class Reordered(StatefulProcessor):
                 self.handle.registerTimer(end)
         if found:
             yield self._frame(key, found, False)
+        if not self.waiting.exists():  # a timer that is due already fires in a later batch only, and there may be none
+            yield from self._over(key, timerValues.getCurrentWatermarkInMs())
 
 
 class LateRows(StatefulProcessor):
@@ -335,8 +348,5 @@ class StageClock(Reordered):
         self.active.update(active)
         return out, active[1] + self.timeout
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if now % self.step and self.until.exists() and self.until.get()[0] <= now and self.active.exists():
-            yield self._frame(key, [self._unended(self.active.get())], False)
-        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+    def expired(self, key: tuple) -> list[tuple]:
+        return [self._unended(self.active.get())] if self.active.exists() else []
