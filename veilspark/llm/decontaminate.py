@@ -88,7 +88,8 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
     """One row per input row: words, hit words, items hit, the digest of their ids, and whether any word is hit.
 
     Null texts have no words and no hits; benchmark texts that are null or hold no word are in no document; null item
-    ids count as the empty string; repeated rows are reported each. Empty tables give no rows, or no hits.
+    ids count as the empty string; repeated rows are reported each; a very long text is one row of words, searched whole;
+    columns of other names are left behind. Empty tables give no rows, or no hits.
     """
     return _report(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text)).alias("w")), windows(benchmark, text=text, size=size)).withColumnRenamed("id", id_col)
 

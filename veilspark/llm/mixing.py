@@ -115,7 +115,8 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", topic: str | None = None, l
 
     Null sources are one source (the empty name), null or unlisted languages and topics count as the last listed, null
     texts are prose without tokens; repeated rows share a decision. A cell without tokens has weight and probability by its factors,
-    or 1 if its source has no tokens at all. An empty table gives an empty table.
+    or 1 if its source has no tokens at all. A very long text is counted like any other, whole; columns of other names, also
+    those that the operator uses inside, are left behind. An empty table gives an empty table.
     """
     feats = materialize(docs.select(F.col(id_col), *(v.alias(k) for k, v in features(topic=topic, langs=langs, topics=topics).items())), "features")
     table, w, p = rake(feats, langs=langs, topics=topics, **options)

@@ -218,7 +218,8 @@ def _added(key: tuple, asks: pa.Table) -> pa.Table:
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """One row per input row: id, ``held_out``, token counts, unigram and automaton log10 probabilities.
 
-    A null text is empty and scores its end token; repeated rows are scored each; a model without training tokens
+    A null text is empty and scores its end token; a very long text is a block of its own, scored whole; columns of other
+    names are left behind; repeated rows are scored each; a model without training tokens
     gives every word the unknown word's probability. An empty table gives an empty table.
     """
     spark = docs.sparkSession

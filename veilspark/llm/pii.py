@@ -252,7 +252,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """One row per input row: counts and digest of the fixed spans, and all spans.
 
     Null texts are empty and hold nothing; rows are judged each, repeats alike; of added spans that overlap the first
-    stays, of one start the longest, of one place the kind named first; an empty table gives an empty table.
+    stays, of one start the longest, of one place the kind named first; a very long text is scanned whole, in one task;
+    columns of other names are left behind; an empty table gives an empty table.
     """
     scanned = materialize(scan(docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))), "spans")
     sent = docs.sparkSession.sparkContext.broadcast(trained(scanned))

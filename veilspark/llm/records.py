@@ -238,7 +238,9 @@ def _batch(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """Write ``docs`` into a fresh shared folder and report every record read back.
 
-    One row per input row; an empty table writes no file and gives an empty table.
+    One row per input row. Null texts are empty; null ids come first, rows of one id by text; repeated rows are records each;
+    a very long text is one record, encoded whole; columns of other names are left behind; an empty table writes no file
+    and gives an empty table.
     """
     folder = fresh_path(docs.sparkSession, "records")
     return read(write(docs, folder, tokenizer, id_col, text, end_id), folder).withColumnRenamed("doc_id", id_col)

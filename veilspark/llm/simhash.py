@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """One row per input row: id, 16 hex digits of the fingerprint, smallest id of the group.
 
     Null and empty texts have fingerprint zero and link like any other; repeated rows are kept and share a group;
-    a null id is never a group's smallest id unless the group has no other. An empty table gives an empty table.
+    a null id is never a group's smallest id unless the group has no other; a very long text is hashed piece by piece; columns
+    of other names are left behind. An empty table gives an empty table.
     """
     prints = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", "fp")
     prints = materialize(prints.select("id", "fp"), "prints")
