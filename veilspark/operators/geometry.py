@@ -46,11 +46,11 @@ def interval_iou(a: Column, b: Column) -> Column:
 
 
 def cell_size(*boxes: DataFrame) -> float:
-    """The side of a grid's cells: a power of two, so that cutting boxes at it is exact, no smaller than boxes are on the
-    average nor than a 64th of the largest, which is therefore in 65 x 65 cells at most."""
+    """The side of a grid's cells: a power of two, so that cutting boxes at it is exact, no smaller than four times
+    what boxes are on the average nor than a 64th of the largest, which is therefore in 65 x 65 cells at most."""
     sides = reduce(DataFrame.unionByName, (b.where("w > 0 AND h > 0").select(F.greatest("w", "h").cast("double").alias("s")) for b in boxes))
     mean, most = sides.agg(F.avg("s"), F.max("s")).first()
-    return 2.0 ** math.ceil(math.log2(max(mean, most / 64))) if mean and most < float("inf") else 1.0
+    return 2.0 ** math.ceil(math.log2(max(4 * mean, most / 64))) if mean and most < float("inf") else 1.0
 
 
 def in_cells(boxes: DataFrame, cell: float) -> DataFrame:
