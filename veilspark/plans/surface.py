@@ -11,6 +11,7 @@ from ..functions import spans as S
 from ..functions import text as X
 from ..operators import detection as D
 from ..operators import geometry as E
+from ..operators import timeline as L
 from .gates import RICH, SHOWN, WIRE, quoted, rich_controls
 from .inputs import BOXES, boxes, probed, table
 from .registry import query
@@ -89,14 +90,10 @@ def j2_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), b AS (SELECT event_id AS seen, user_id, ts FROM events WHERE event_type = 'view')
 SELECT a.event_id, arg_max(b.seen, (b.ts, b.seen)) AS seen FROM a LEFT JOIN b ON a.user_id = b.user_id AND b.ts <= a.ts GROUP BY a.event_id""")
 def j3_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each click with its user's latest view: one sorted pass per user, no pairs."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "events").where("event_type IN ('click', 'view')")
-    view = F.when(F.col("event_type") == "view", F.col("event_id"))
-    # at one instant, views come before clicks
-    order = Window.partitionBy("user_id").orderBy("ts", (F.col("event_type") == "click").cast("int"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.withColumn("seen", F.last(view, ignorenulls=True).over(order)).where("event_type = 'click'").select("event_id", "seen")
+    """Each click with its user's latest view."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    views = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("seen"))
+    return L.as_of(e.where("event_type = 'click'"), views, ["user_id"], "ts", "seen").select("event_id", "seen")
 
 
 @query("SELECT n_name, date_trunc('month', o_orderdate) AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")

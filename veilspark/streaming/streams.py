@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..operators import detection as D
 from ..operators import matching as M
+from ..operators import timeline as L
 from ..operators import tokens as K
 from ..sources.shared import shared_folder
 from .state import LastActions, LateRows, RateLimiter, Reordered, ReplayGuard, RunBudget, StageClock, ValueReferences
@@ -185,10 +186,9 @@ def stage_durations(events: DataFrame, *keys: str) -> DataFrame:
 
     A stage that never ends, or ends before it begins, is null with a reason.
     """
-    w = Window.partitionBy(*keys, "stage").orderBy("ts", "event_id")
-    rows = events.withColumn("next_ts", F.lead("ts").over(w)).withColumn("next_status", F.lead("status").over(w)).where("status = 'active'")
-    done = F.col("next_status").isNotNull() & (F.col("next_status") != "active")
-    ms = F.when(done, (F.unix_micros("next_ts") - F.unix_micros("ts")) / 1000.0)
+    rows = L.following(events, [*keys, "stage"], ["ts", "event_id"], ["ts", "status"], "_next").where("status = 'active'")
+    done = F.col("_next.status").isNotNull() & (F.col("_next.status") != "active")
+    ms = F.when(done, (F.unix_micros("_next.ts") - F.unix_micros("ts")) / 1000.0)
     out = rows.withColumn("ms", ms).groupBy(*keys, "stage").agg(F.sum("ms").alias("ms"), F.count("ms").alias("ended"))
     return out.withColumn("reason", F.when(F.col("ended") == 0, "stage did not end"))
 
@@ -240,8 +240,7 @@ def audit_windows(audit: DataFrame, by: str, size: str = "1 hour", delay: str =
 
 def action_history(events: DataFrame, n: int = 8) -> DataFrame:
     """Per event the user's last ``n`` actions, this one included (batch)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1 - n, 0)
-    return events.withColumn("history", F.array_join(F.collect_list("action").over(w), ","))
+    return L.recent(events, ["user_id"], ["ts", "event_id"], "action", n, "history").withColumn("history", F.array_join("history", ","))
 
 
 def action_history_stream(events: DataFrame, n: int = 8, late: str = LATEST, step_s: float = 600.0) -> DataFrame:
