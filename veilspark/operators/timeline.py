@@ -41,6 +41,17 @@ def with_edges(held: DataFrame, by: Sequence[str], value: Column, n: int = 1, ah
     With ``ahead``, after it, from the furthest to the nearest. Null where the group has none there.
     """
     step = -F.col("_at") if ahead else F.col("_at")
+    edges = _last_values(held, by, step, value) if n == 1 else _last_rows(held, by, step, value, n)
+    return _same(held, edges, [*by, "_part"], "left")
+
+
+def _last_values(held: DataFrame, by: Sequence[str], step: Column, value: Column) -> DataFrame:
+    runs = held.groupBy(*by, "_part").agg(F.min(step).alias("_step"), F.max_by(value, F.when(value.isNotNull(), step)).alias("_own"))
+    before = Window.partitionBy(*by).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
+    return runs.withColumn("_edge", F.last("_own", ignorenulls=True).over(before)).where("_edge IS NOT NULL").select(*by, "_part", F.array("_edge").alias("_edge"))
+
+
+def _last_rows(held: DataFrame, by: Sequence[str], step: Column, value: Column, n: int) -> DataFrame:
     cut = held.groupBy(*by).agg(F.min("_part").alias("_a"), F.max("_part").alias("_b")).where("_a < _b").select(*by)
     rows = _same(held.select(*by, "_part", step.alias("_step"), value.alias("_value")), cut, by, "left_semi")
     # the last rows of each range, of which no more than n leave a task
@@ -51,7 +62,7 @@ def with_edges(held: DataFrame, by: Sequence[str], value: Column, n: int = 1, ah
     first = rows.groupBy(*by, "_part").agg(F.min("_step").alias("_step")).withColumn("_first", F.lit(True))
     before = Window.partitionBy(*by).orderBy("_step", F.col("_first").desc()).rowsBetween(Window.unboundedPreceding, -1)
     met = near.unionByName(first, allowMissingColumns=True).withColumn("_edge", F.last("_seen", ignorenulls=True).over(before))
-    return _same(held, met.where("_first AND _edge IS NOT NULL").select(*by, "_part", "_edge"), [*by, "_part"], "left")
+    return met.where("_first AND _edge IS NOT NULL").select(*by, "_part", "_edge")
 
 
 def carried(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
