@@ -109,3 +109,20 @@ def test_splits_are_stable_and_leaks_found(spark):
 def test_banks(spark, n):
     got = [r.part for r in G.bank_split(spark.createDataFrame([("b", i) for i in range(n)], "bank string, i int"), "bank", "i").orderBy("i").collect()]
     assert got == {1: ["both"], 2: ["train", "val"], 3: ["train", "train", "val"], 4: ["train"] * 3 + ["val"], 9: (["train"] * 3 + ["val"]) * 2 + ["train"]}[n]
+
+
+def test_shared_phrases_and_their_share_of_an_item(spark):
+    words = [f"w{i}" for i in range(30)]
+    docs = [(1, " ".join(words)), (2, "A  b\nC d"), (3, " ".join(words[:9]) + " x " + " ".join(words[:9])), (4, None), (5, ""), (None, "a b c d e"), (1, "q " + " ".join(words[20:]) + " zz"), (6, " ".join(["a"] * 50_000 + words[5:13]))]
+    items = [(10, " ".join(words[5:20])), (11, "a b c"), (12, None), (13, " ".join(words[22:]) + " zz " + " ".join(words[22:])), (14, "a a a a a a a a a")]
+    want = {}
+    grams = lambda t, n: {tuple(w[i : i + n]) for w in [(t or "").lower().split()] for i in range(len(w) - n + 1)}
+    for n in (3, 8):
+        want = {}
+        for d in {d for d, _ in docs}:
+            for i, t in items:
+                both = set().union(*(grams(x, n) for k, x in docs if k == d)) & grams(t, n)
+                if both:
+                    want[d, i] = (len(both), round(len(both) / len(grams(t, n)), 9))
+        got = G.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), n)
+        assert {(r.doc_id, r.item_id): (r.shared, round(r.ratio, 9)) for r in got.collect()} == want

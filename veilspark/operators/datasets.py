@@ -144,17 +144,28 @@ def page_digest(text: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
-    """``(doc, item, shared)``: distinct n-grams of words that a document shares with an item, for pairs that share any."""
+    """``(doc, item, shared, ratio)``: distinct n-grams of words that a document shares with an item, and their share of the
+    item's, for pairs that share any.
 
-    def grams(df: DataFrame, key: str) -> DataFrame:
-        words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-        rows = df.select(key, words.alias("w")).select(key, "w", F.posexplode("w").alias("at", "_"))
-        gram = F.xxhash64(*(F.get("w", F.col("at") + i) for i in range(n)))
-        return rows.where(F.col("at") + n <= F.size("w")).select(key, gram.alias("gram"))
-
-    items = grams(benchmark, item).distinct()
-    hit = grams(docs, doc).join(items, "gram").distinct()
-    return hit.groupBy(doc, item).agg(F.count("*").alias("shared"))
+    Hashes only find the places of documents that may be in an item: n-grams are equal by their words. Texts of fewer than
+    ``n`` words share none.
+    """
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "").alias("_w")
+    gram = lambda i: F.array_join(F.slice("_w", i + 1, n), " ")
+
+    def places(df: DataFrame, key: str, *more: Column) -> DataFrame:
+        rows = df.select(key, words).select(key, "_w", F.posexplode("_w").alias("_at", "_")).where(F.col("_at") + n <= F.size("_w"))
+        return rows.select(key, F.xxhash64(*(F.get("_w", F.col("_at") + i) for i in range(n))).alias("_digest"), *more)
+
+    grams = places(benchmark, item, gram(F.col("_at")).alias("_gram")).distinct()
+    sizes = grams.groupBy(item).agg(F.count("*").alias("_size"))
+    found = places(docs, doc, F.col("_at")).join(grams.select("_digest").distinct(), "_digest", "left_semi")
+    found = found.groupBy(F.col(doc).alias("_doc")).agg(F.collect_set("_at").alias("_places"))  # no more than a document's words
+    # read at another text of the same id, places are n-grams of that id too
+    held = docs.select(doc, text).join(found, F.col(doc).eqNullSafe(F.col("_doc"))).select(doc, words, "_places")
+    held = held.select(doc, F.explode(F.transform(F.filter("_places", lambda i: i + n <= F.size("_w")), gram)).alias("_gram")).distinct()
+    shared = held.join(grams.drop("_digest"), "_gram").groupBy(doc, item).agg(F.count("*").alias("shared"))
+    return shared.join(sizes, item).select(doc, item, "shared", (F.col("shared") / F.col("_size")).alias("ratio"))
 
 
 CSV_TIERS = ("navigational", "state-changing", "destructive")

@@ -165,8 +165,9 @@ def g15_page_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH g AS (SELECT 'd' AS side, doc_id AS k, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents UNION ALL SELECT 'b', item_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') FROM benchmark),
 n AS (SELECT DISTINCT side, k, array_to_string(w[i + 1 : i + 8], ' ') AS gram FROM (SELECT side, k, w, unnest(range(0, len(w) - 7)) AS i FROM g WHERE len(w) >= 8))
-SELECT d.k AS doc_id, b.k AS item_id, count(*) AS shared FROM n d JOIN n b ON d.gram = b.gram AND d.side = 'd' AND b.side = 'b' GROUP BY ALL""")
+SELECT d.k AS doc_id, b.k AS item_id, count(*) AS shared, round(count(*) / any_value(s.size), 6) AS ratio FROM n d JOIN n b ON d.gram = b.gram AND d.side = 'd' AND b.side = 'b'
+JOIN (SELECT k, count(*) AS size FROM n WHERE side = 'b' GROUP BY k) s ON s.k = b.k GROUP BY d.k, b.k""")
 def g16_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return G.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("ratio", F.round("ratio", 6))
 
 
