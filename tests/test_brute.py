@@ -3,7 +3,7 @@
 import re
 import unicodedata
 from collections import Counter, defaultdict, deque
-from datetime import timedelta
+from datetime import UTC, timedelta
 from hashlib import md5
 
 import pytest
@@ -524,6 +524,23 @@ def test_f18_approx_percentiles(spark, sf, table):
     assert {r[0] for r in got.collect()} == set(values)
 
 
+def test_h6_sketch_rollup(spark, sf, table):
+    groups = defaultdict(list)
+    for e in table("events"):
+        day = e["ts"].replace(hour=0, minute=0, second=0, microsecond=0, tzinfo=UTC)
+        for level, start in (("day", day), ("month", day.replace(day=1)), ("all", None)):
+            groups[level, start and round(start.timestamp() * 1e6), e["event_type"]].append(e)
+    got = {(r.level, r.start, r.event_type): r for r in QUERIES["h6_sketch_rollup"](spark, sf).collect()}
+    assert set(got) == set(groups)
+    for key, held in groups.items():
+        values, users = sorted(e["value"] for e in held), len({e["user_id"] for e in held})
+        r = got[key]
+        assert r.n == len(held) and abs(r.users - users) <= 0.05 * users
+        for p, q in ((r.p50, 0.5), (r.p95, 0.95), (r.p99, 0.99)):
+            below, upto = sum(v < p for v in values) / len(values), sum(v <= p for v in values) / len(values)
+            assert below - 0.005 <= q <= upto + 0.005
+
+
 def test_every_query_without_sql_is_tested_here():
     from veilspark.plans import ORACLE
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..operators import sketches as Q
 from ..operators import tokens as K
 from ..sources import tables as A
 from ..streaming import streams as H
@@ -168,6 +169,15 @@ def h6_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg((F.lit(seen.get("n", 0)).cast("long")).alias("n_input"), (F.coalesce(F.sum("n"), F.lit(0)) + F.lit(seen.get("n_late", 0))).cast("long").alias("n_accounted"))
 
 
+@query()
+def h6_sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and latencies of each kind of event, sketched by the hour in a stream and merged to days, months and all."""
+    events = _events(spark, sf_dir).select("event_id", "ts", "event_type", "user_id", "value")
+    hours = H.run_available(H.sketch_windows(events, "event_type", "user_id", "value", delay=_span(spark, sf_dir)))
+    held = Q.rollup(hours, "start", ["event_type"], ["day", "month"]).where("level <> ''")
+    return held.select("level", F.unix_micros("start").alias("start"), "event_type", "n", Q.distinct_estimate().alias("users"), *(Q.quantile(q / 100).alias(f"p{q}") for q in (50, 95, 99)))
+
+
 @query("""SELECT event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), ',') AS history FROM events WHERE event_type <> 'view'""")
 def h7_action_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type <> 'view'").withColumn("action", F.col("event_type"))

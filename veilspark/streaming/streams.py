@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..operators import detection as D
 from ..operators import matching as M
+from ..operators import sketches as Q
 from ..operators import timeline as L
 from ..operators import tokens as K
 from ..sources.shared import shared_folder
@@ -238,6 +239,12 @@ def audit_windows(audit: DataFrame, by: str, size: str = "1 hour", delay: str =
     return timed(audit, delay).groupBy(F.window("ts", size), by).agg(F.count("*").alias("n"), F.max("ms").alias("max_ms"), F.avg("ms").alias("mean_ms"), F.percentile_approx("ms", 0.95).alias("p95_ms")).select(F.col("window.start").alias("start"), by, "n", "max_ms", "mean_ms", "p95_ms")
 
 
+def sketch_windows(events: DataFrame, by: str, member: str, value: str, size: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Sketches per tumbling window, to be merged into longer ones (:mod:`..operators.sketches`)."""
+    made = timed(events, delay).groupBy(F.window("ts", size), by).agg(*Q.sketches(F.col(member), F.col(value)))
+    return made.select(F.col("window.start").alias("start"), by, "n", "n_values", "members", "amounts")
+
+
 def action_history(events: DataFrame, n: int = 8) -> DataFrame:
     """Per event the user's last ``n`` actions, this one included (batch)."""
     return L.recent(events, ["user_id"], ["ts", "event_id"], "action", n, "history").withColumn("history", F.array_join("history", ","))
