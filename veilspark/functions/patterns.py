@@ -163,3 +163,7 @@ ERROR_CLASSES = (
     ("restricted_page", "navigate_to_allowed_page", False, r"(?i)Cannot access|chrome://|about:|extension gallery|restricted"),
     ("pairing_token", "paste_token", True, r"(?i)pairing token|Paste your local"),
 )
+
+# Field types whose value is no data that someone typed, and what makes a page heavy.
+NO_VALUE_TYPES = ("checkbox", "radio", "button", "submit", "reset", "image", "file", "range", "color", "hidden")
+HEAVY_PIXELS, HEAVY_REGIONS = 1_200_000, 10

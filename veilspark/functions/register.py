@@ -40,7 +40,7 @@ SQL_FUNCTIONS = (
     ),
     ("veil_is_descriptor", "v STRING", "BOOLEAN", f"size(regexp_extract_all(lower(v), '[a-z]+', 0)) > 0 AND size(array_except(regexp_extract_all(lower(v), '[a-z]+', 0), array({', '.join(map(_text, P.DESCRIPTORS))}))) = 0"),
     ("veil_element_pii", "kind STRING, label STRING", "BOOLEAN", f"lower(coalesce(kind, '')) IN ({', '.join(map(_text, P.PII_FIELD_TYPES))}) OR coalesce(label, '') RLIKE {_text(P.PII_LABEL)} OR lower(coalesce(kind, '')) RLIKE {_text(P.PII_LABEL)}"),
-    ("veil_heavy_page", "w DOUBLE, h DOUBLE, n BIGINT", "BOOLEAN", "w * h >= 1200000 OR n >= 10"),
+    ("veil_heavy_page", "w DOUBLE, h DOUBLE, n BIGINT", "BOOLEAN", f"w * h >= {P.HEAVY_PIXELS} OR n >= {P.HEAVY_REGIONS}"),
     ("veil_overlap", "x DOUBLE, w DOUBLE, x2 DOUBLE, w2 DOUBLE", "DOUBLE", "greatest(0.0D, least(x + w, x2 + w2) - greatest(x, x2))"),
     (
         "veil_iou",
@@ -56,6 +56,59 @@ SQL_FUNCTIONS = (
     ),
     ("veil_same_page", "a STRING, b STRING", "BOOLEAN", "substring_index(a, '#', 1) = substring_index(b, '#', 1)"),
     ("veil_json_bytes", "body STRING", "INT", "octet_length(body)"),
+    ("veil_permits_unattended", "tier STRING", "BOOLEAN", "coalesce(tier IN ('reversible', 'navigational'), false)"),
+    ("veil_is_probability", "p DOUBLE", "BOOLEAN", "coalesce(NOT isnan(p) AND p >= 0 AND p <= 1, false)"),
+    ("veil_escalate", "verdict STRING, p_destr DOUBLE, p_off DOUBLE", "STRING", "CASE WHEN verdict = 'accept' AND (coalesce(p_destr, 0.0D) >= 0.5D OR coalesce(p_off, 0.0D) >= 0.5D) THEN 'ask' ELSE verdict END"),
+    ("veil_final_tier", "remote STRING, local STRING", "STRING", "CASE WHEN veil_tier_rank(remote) > 0 THEN veil_stricter_tier(remote, local) ELSE local END"),
+    (
+        "veil_gate_dual_reasons",
+        "verdict STRING, remote STRING, local STRING",
+        "ARRAY<STRING>",
+        "array_compact(array(CASE WHEN NOT (verdict <=> 'accept') THEN 'verdict-not-accept' END, CASE WHEN veil_tier_rank(remote) = 0 THEN 'remote-tier-unknown' WHEN remote <> local THEN 'tiers-differ' END,"
+        " CASE WHEN NOT veil_permits_unattended(veil_final_tier(remote, local)) THEN 'tier-needs-confirmation' END))",
+    ),
+    (
+        "veil_gate_dual",
+        "verdict STRING, remote STRING, local STRING",
+        "STRUCT<path STRING, final_tier STRING, reasons ARRAY<STRING>>",
+        "CASE WHEN veil_tier_rank(local) = 0 THEN named_struct('path', 'reject', 'final_tier', cast(NULL AS STRING), 'reasons', array('no-local-tier')) WHEN verdict <=> 'reject' THEN named_struct('path', 'reject', 'final_tier', local, 'reasons', cast(array() AS ARRAY<STRING>))"
+        " WHEN verdict <=> 'ask' THEN named_struct('path', 'ask', 'final_tier', veil_final_tier(remote, local), 'reasons', cast(array() AS ARRAY<STRING>))"
+        " ELSE named_struct('path', CASE WHEN size(veil_gate_dual_reasons(verdict, remote, local)) > 0 THEN 'confirm' ELSE 'unattended' END, 'final_tier', veil_final_tier(remote, local), 'reasons', veil_gate_dual_reasons(verdict, remote, local)) END",
+    ),
+    (
+        "veil_error_class",
+        "message STRING, code STRING",
+        "STRING",
+        f"CASE WHEN code <=> {_text(P.ERROR_CLASSES[0][0])} THEN {_text(P.ERROR_CLASSES[0][0])} {' '.join(f'WHEN coalesce(message, {_text("unknown")}) RLIKE {_text(regex)} THEN {_text(name)}' for name, _, _, regex in P.ERROR_CLASSES)} ELSE 'other' END",
+    ),
+    ("veil_canonical_text", "t STRING", "STRING", "lower(trim(regexp_replace(veil_shown(t), r'[ \\t\\n\\x0B\\f\\r_/.?=&+#:%-]+', ' ')))"),
+    (
+        "veil_value_field_pii",
+        "kind STRING, v STRING",
+        "BOOLEAN",
+        f"CASE WHEN lower(coalesce(kind, 'text')) = 'password' THEN true WHEN lower(coalesce(kind, 'text')) IN ({', '.join(map(_text, P.NO_VALUE_TYPES))}) THEN NULL ELSE trim(coalesce(v, '')) <> '' END",
+    ),
+    ("veil_finite", "v DOUBLE", "BOOLEAN", "v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('infinity')"),
+    (
+        "veil_clip_rect",
+        "x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, width DOUBLE, height DOUBLE, pad DOUBLE",
+        "STRUCT<x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE>",
+        "CASE WHEN least(width, ceil(x + w + pad)) > greatest(0.0D, floor(x - pad)) AND least(height, ceil(y + h + pad)) > greatest(0.0D, floor(y - pad)) THEN named_struct('x', greatest(0.0D, cast(floor(x - pad) AS DOUBLE)), 'y', greatest(0.0D, cast(floor(y - pad) AS DOUBLE)),"
+        " 'w', least(width, cast(ceil(x + w + pad) AS DOUBLE)) - greatest(0.0D, cast(floor(x - pad) AS DOUBLE)), 'h', least(height, cast(ceil(y + h + pad) AS DOUBLE)) - greatest(0.0D, cast(floor(y - pad) AS DOUBLE))) END",
+    ),
+    (
+        "veil_ratio_to_px",
+        "x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, width DOUBLE, height DOUBLE",
+        "STRUCT<x BIGINT, y BIGINT, w BIGINT, h BIGINT>",
+        "CASE WHEN veil_finite(x1) AND veil_finite(y1) AND veil_finite(x2) AND veil_finite(y2) AND x2 > x1 AND y2 > y1 THEN named_struct('x', floor(x1 * width + 0.5D), 'y', floor(y1 * height + 0.5D), 'w', floor((x2 - x1) * width + 0.5D), 'h', floor((y2 - y1) * height + 0.5D)) END",
+    ),
+    (
+        "veil_scale_mask",
+        "x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, sx DOUBLE, sy DOUBLE",
+        "STRUCT<x BIGINT, y BIGINT, w BIGINT, h BIGINT>",
+        "named_struct('x', floor(x * sx), 'y', floor(y * sy), 'w', ceil((x + w) * sx) - floor(x * sx), 'h', ceil((y + h) * sy) - floor(y * sy))",
+    ),
+    ("veil_interval_iou", "a0 BIGINT, a1 BIGINT, b0 BIGINT, b1 BIGINT", "DOUBLE", "CASE WHEN a1 - a0 + b1 - b0 - greatest(0, least(a1, b1) - greatest(a0, b0)) > 0 THEN greatest(0, least(a1, b1) - greatest(a0, b0)) / (a1 - a0 + b1 - b0 - greatest(0, least(a1, b1) - greatest(a0, b0))) ELSE 0.0D END"),
     ("veil_split_share", "seed STRING, k STRING", "DOUBLE", "cast(conv(substr(sha2(concat(seed, ':', k), 256), 1, 2), 16, 10) AS INT) / 256.0D"),
 )
 

@@ -165,7 +165,7 @@ def same_page(a: Column, b: Column) -> Column:
 
 
 def heavy_page(width: Column, height: Column, regions: Column) -> Column:
-    return (width * height >= 1_200_000) | (regions >= 10)
+    return (width * height >= P.HEAVY_PIXELS) | (regions >= P.HEAVY_REGIONS)
 
 
 def planner_label(status: Column, body: Column) -> Column:

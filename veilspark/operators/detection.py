@@ -209,11 +209,7 @@ def element_pii(field_type: Column, label: Column) -> Column:
     return kind.isin(*P.PII_FIELD_TYPES) | F.coalesce(label, F.lit("")).rlike(P.PII_LABEL) | kind.rlike(P.PII_LABEL)
 
 
-#: Types whose value is no data that someone typed.
-NO_VALUE_TYPES = ("checkbox", "radio", "button", "submit", "reset", "image", "file", "range", "color", "hidden")
-
-
 def value_field_pii(type_: Column, value: Column) -> Column:
     """Password fields always; other fields that hold a value when it isn't empty; null for those that hold none."""
     kind = F.lower(F.coalesce(type_, F.lit("text")))
-    return F.when(kind == "password", F.lit(True)).when(kind.isin(*NO_VALUE_TYPES), F.lit(None).cast("boolean")).otherwise(F.trim(F.coalesce(value, F.lit(""))) != "")
+    return F.when(kind == "password", F.lit(True)).when(kind.isin(*P.NO_VALUE_TYPES), F.lit(None).cast("boolean")).otherwise(F.trim(F.coalesce(value, F.lit(""))) != "")
