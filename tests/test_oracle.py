@@ -13,7 +13,7 @@ from veilspark.plans import ORACLE, QUERIES
 SAMPLE = (
     "a4_parse_annotations a9_parse_controls a10_page_text b1_pii_candidates b20_token_windows b22_canonical_text b26_best_label_per_word c3_mint_tokens c6_propagate_certain c15_leak_check d2_click_tier d7_plan_checks d12_release_rule "
     "d18_action_options e3_union_area e9_coverage f5_token_multiset_match f10_sliced_metrics f12_auroc f18_latency_percentiles f30_evidence_freshness g3_dedupe_rows g4_pair_positive_negative g10_split_manifest g16_contamination "
-    "h3_stage_durations h3_stage_clock h7_action_history h4_run_budget h4_run_budget_table h6_audit_windows h6_late_rows h12_step_gate_stream h8_run_sessions u1_sql_functions j3_as_of"
+    "h3_stage_durations h3_stage_clock h7_action_history h4_run_budget h4_run_budget_table h6_audit_windows h6_late_rows h12_step_gate_stream h8_run_sessions u1_sql_functions u1_sql_boxes u1_sql_gates j3_as_of"
 ).split()
 
 

@@ -36,6 +36,29 @@ def u1_sql_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(veil_iou(0.0D, 0.0D, 50.0D, 10.0D, cast(ord AS DOUBLE), 0.0D, 50.0D, 10.0D), 6) AS iou FROM veil_controls""")
 
 
+@query(f"""WITH {BOXES}, c AS (SELECT box_id, x, y, w, h, greatest(0.0, floor(x * 1.01 - 2)) AS cx, least(800.0, ceil(x * 1.01 + w + 2)) AS r, greatest(0.0, floor(y - 2)) AS cy, least(600.0, ceil(y + h + 2)) AS b FROM boxes)
+SELECT box_id, CASE WHEN r > cx AND b > cy THEN r - cx END AS clipped_w, CAST(ceil((x + w) * 1.5) - floor(x * 1.5) AS BIGINT) AS scaled_w, CASE WHEN w > 0 AND h > 0 THEN CAST(floor(x / 1000 * 640 + 0.5) AS BIGINT) END AS px_x FROM c""")
+def u1_sql_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes clipped, scaled and put in pixels by SQL functions."""
+    U.register_sql(spark)
+    boxes(spark, sf_dir).createOrReplaceTempView("veil_boxes")
+    return spark.sql("""SELECT box_id, veil_clip_rect(x * 1.01D, y, w, h, 800D, 600D, 2D).w AS clipped_w, veil_scale_mask(x, y, w, h, 1.5D, 1.25D).w AS scaled_w,
+        veil_ratio_to_px(x / 1000, y / 1000, (x + w) / 1000, (y + h) / 1000, 640D, 480D).x AS px_x FROM veil_boxes""")
+
+
+@query("""WITH e AS (SELECT event_id, (['accept', 'ask', 'reject', 'maybe'])[event_id % 4 + 1] AS verdict, (['destructive', 'navigational', 'odd'])[event_id % 3 + 1] AS remote, (['navigational', 'state-changing', 'destructive', 'none', 'reversible'])[event_id % 5 + 1] AS local FROM events),
+f AS (SELECT *, CASE WHEN remote = 'odd' THEN local WHEN 'destructive' IN (remote, local) THEN 'destructive' WHEN local = 'state-changing' THEN local ELSE 'navigational' END AS final FROM e)
+SELECT event_id, CASE WHEN local = 'none' OR verdict = 'reject' THEN 'reject' WHEN verdict = 'ask' THEN 'ask' WHEN verdict <> 'accept' OR remote = 'odd' OR remote <> local OR final NOT IN ('navigational', 'reversible') THEN 'confirm' ELSE 'unattended' END AS path,
+ CASE WHEN local = 'none' THEN NULL WHEN verdict = 'reject' THEN local ELSE final END AS final_tier FROM f""")
+def u1_sql_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-sided gates by a SQL function."""
+    U.register_sql(spark)
+    table(spark, sf_dir, "events").createOrReplaceTempView("veil_events")
+    pick = lambda *names: f"element_at(array({', '.join(map(repr, names))}), cast(event_id % {len(names)} + 1 AS int))"
+    gate = f"veil_gate_dual({pick('accept', 'ask', 'reject', 'maybe')}, {pick('destructive', 'navigational', 'odd')}, {pick('navigational', 'state-changing', 'destructive', 'none', 'reversible')})"
+    return spark.sql(f"SELECT event_id, g.path, g.final_tier FROM (SELECT event_id, {gate} AS g FROM veil_events)")
+
+
 @query("SELECT conv_id, turn, md5(nfc_normalize(text || chr(101) || chr(769))) AS digest FROM conversations")
 def u2_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with a letter and a combining accent after them, composed."""
