@@ -1,18 +1,19 @@
 """Span columns: pattern hits with code-point offsets, their vetoes, claims, and texts rebuilt around them.
 
-A text's parts between hits and the hits themselves, laid end to end, give every hit's offsets; no Python runs.
+A text's parts between hits and the hits themselves, laid end to end, give every hit's offsets. The registry's own patterns are found by :mod:`.scan`.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Hashable, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .patterns import AADHAAR_BARE, AADHAAR_WORDS, LABEL_NEEDS, LABELLED, OTP_REACH, OTP_WORDS, PASSES, SPECIFICITY, Pattern
+from . import scan
+from .patterns import PASSES, SPECIFICITY, Pattern
 
 EMPTY_SPANS = "array<struct<start:int,end:int,kind:string,rule:string,value:string,pass:int>>"
 
@@ -177,33 +178,9 @@ def pattern_hits(text: Column, pattern: Pattern, order: int) -> Column:
     return guarded(text, pattern.needs, spans)
 
 
-def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
-    """Keep what ``build`` makes of a plain column: building hundreds of expressions takes seconds, and they don't change."""
-    kept: dict[tuple, Column] = {}
-
-    def get(text: Column, *rest: Hashable) -> Column:
-        name = str(text._jc.toString())
-        if not name.isidentifier():
-            return build(text, *rest)
-        key = (name, *rest)
-        if key not in kept:
-            kept[key] = build(text, *rest)
-        return kept[key]
-
-    get.__doc__ = build.__doc__
-    return get
-
-
 def candidates(text: Column, passes: Sequence[Pattern] = PASSES) -> Column:
     """All passes' hits, in order of pass and place; bare twelve-digit numbers last, where the text names their card."""
-    return _candidates(text, tuple(passes))
-
-
-@built_once
-def _candidates(text: Column, passes: tuple[Pattern, ...]) -> Column:
-    found = [pattern_hits(text, p, i) for i, p in enumerate(passes)]
-    bare = F.when(text.rlike(AADHAAR_WORDS), hits(text, AADHAAR_BARE, "aadhaar", "aadhaar", len(passes))).otherwise(no_spans())
-    return F.concat(*found, bare)
+    return scan.candidates(text, tuple(passes))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -226,24 +203,14 @@ def claimed(spans: Column) -> Column:
     return F.when(F.size(spans) > _CHUNK, F.aggregate(passes, no_spans(), one_pass)).otherwise(F.array_sort(fold))
 
 
-@built_once
 def labelled(text: Column) -> Column:
     """The labelled rules' hits, overlaps kept."""
-    return F.concat(*(guarded(text, LABEL_NEEDS.get(rule), hits(text, regex, kind, rule, i)) for i, (rule, kind, regex) in enumerate(LABELLED)))
+    return scan.labelled(text)
 
 
 def nearby_otp(text: Column, spans: Column) -> Column:
     """For each word that speaks of a code, the first free-standing 4 to 8 digits within reach that no otp span covers."""
-    digits = r"(?<![A-Za-z0-9_])([0-9]{4,8})(?![A-Za-z0-9_])"
-
-    def look(word: Column) -> Column:
-        window = F.substr(text, word["start"] + 1, F.lit(OTP_REACH))
-        value = F.regexp_extract(window, digits, 1)
-        start = (word["start"] + F.regexp_instr(window, F.lit(digits)) - 1).cast("int")
-        return F.struct(start.alias("start"), (start + F.length(value)).cast("int").alias("end"), F.lit("otp").alias("kind"), F.lit("otp-nearby-digits").alias("rule"), value.alias("value"), F.lit(len(LABELLED)).alias("pass"))
-
-    found = F.filter(F.transform(hits(text, OTP_WORDS), look), lambda s: s["value"] != "")
-    fresh = F.filter(found, lambda s: ~F.exists(spans, lambda k: (k["kind"] == "otp") & (k["start"] <= s["start"]) & (k["end"] >= s["end"])))
+    fresh = F.filter(scan.codes(text), lambda s: ~F.exists(spans, lambda k: (k["kind"] == "otp") & (k["start"] <= s["start"]) & (k["end"] >= s["end"])))
     return F.array_distinct(fresh)
 
 

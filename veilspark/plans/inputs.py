@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,10 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table of texts whose rows are worked on for long: one too small for its blocks to fill the cores is dealt out anew."""
+    """A table of texts whose rows are worked on for long, dealt out anew: a row group is read by one task, and it may be a
+    whole table."""
     df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * BLOCK_BYTES else df
+    return df.repartition(max(cores, size // BLOCK_BYTES))
 
 
 def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
