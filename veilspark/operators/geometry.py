@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import spread
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BOX = ("x", "y", "w", "h")
 MERGE_LIMIT = 2000
 
@@ -157,32 +162,50 @@ def greedy_match(pred: DataFrame, truth: DataFrame, key: str = "image", least: f
     return out.select(key, F.col("tp").cast("long").alias("tp"), (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
 
 
+def _merged(group: list[tuple[float, float, float, float]]) -> list[tuple[float, float, float, float]]:
+    """Corners of a group's boxes, merged until none touch. A box that grew is held against all kept ones again."""
+    kept: list[tuple[float, float, float, float]] = []
+    for box in group:
+        again = True
+        while again:
+            apart = [o for o in kept if not (box[0] <= o[2] and o[0] <= box[2] and box[1] <= o[3] and o[1] <= box[3])]
+            again = len(apart) < len(kept)
+            if again:
+                met = [o for o in kept if box[0] <= o[2] and o[0] <= box[2] and box[1] <= o[3] and o[1] <= box[3]]
+                box = (min(box[0], *(o[0] for o in met)), min(box[1], *(o[1] for o in met)), max(box[2], *(o[2] for o in met)), max(box[3], *(o[3] for o in met)))
+                kept = apart
+        kept.append(box)
+    return sorted(kept)
+
+
 def merge_overlapping(boxes: DataFrame, key: str = "image", kind: str = "kind") -> DataFrame:
     """Boxes of one kind on one image that touch become the box around them, until none touch.
 
-    A group has a contract of ``MERGE_LIMIT`` boxes; a larger one is an error, not a cut.
+    A group has a contract of ``MERGE_LIMIT`` boxes; a larger one is an error, not a cut. Groups are rows of a batch, for
+    a frame of its own would cost each more than its merging.
     """
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > MERGE_LIMIT:
-            raise ValueError(f"{len(frame)} boxes of one kind on an image")
-        rest = [(r.x, r.y, r.x + r.w, r.y + r.h) for r in frame.itertuples()]
-        again = True
-        while again:
-            again, out = False, []
-            for box in rest:
-                for i, o in enumerate(out):
-                    if box[0] <= o[2] and o[0] <= box[2] and box[1] <= o[3] and o[1] <= box[3]:
-                        out[i], again = (min(box[0], o[0]), min(box[1], o[1]), max(box[2], o[2]), max(box[3], o[3])), True
-                        break
-                else:
-                    out.append(box)
-            rest = out
-        a = np.array(sorted(rest))
-        return pd.DataFrame({key: frame[key].iloc[0], kind: frame[kind].iloc[0], "x": a[:, 0], "y": a[:, 1], "w": a[:, 2] - a[:, 0], "h": a[:, 3] - a[:, 1]})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(2)
+            flat = held.flatten()
+            x, y, w, h = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            corners = list(zip(x.tolist(), y.tolist(), (x + w).tolist(), (y + h).tolist(), strict=True))
+            place, out, at = [], [], 0
+            for i, n in enumerate(pc.list_value_length(held).to_pylist()):
+                if n > MERGE_LIMIT:
+                    raise ValueError(f"{n} boxes of one kind on an image")
+                found = _merged(corners[at : at + n])
+                place += [i] * len(found)
+                out += found
+                at += n
+            a, rows = np.array(out).reshape(-1, 4), pa.array(place, pa.int64())
+            columns = (a[:, 0], a[:, 1], a[:, 2] - a[:, 0], a[:, 3] - a[:, 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, columns)], [key, kind, *BOX])
 
     schema = f"{key} {boxes.schema[key].dataType.simpleString()}, {kind} string, x double, y double, w double, h double"
-    return boxes.select(key, kind, *BOX).groupBy(key, kind).applyInPandas(merge, schema)
+    packed = boxes.groupBy(key, kind).agg(F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in BOX))).alias("b"))
+    return packed.mapInArrow(merge, schema)
 
 
 def merge_gap(boxes: DataFrame, key: str = "image", kind: str = "kind", gap: float = 4.0, most: int = 200) -> DataFrame:
