@@ -53,7 +53,7 @@ def a4_parse_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT doc_id, CASE WHEN ('0x' || substr(sha256('split:' || doc_id), 1, 2))::INT / 256.0 < 0.3 THEN 'test' ELSE 'train' END AS split, sha256(doc_id::VARCHAR) AS k FROM documents)
-SELECT doc_id, split, split || '-' || lpad((row_number() OVER (PARTITION BY split ORDER BY k, doc_id) - 1)::VARCHAR, 5, '0') AS split_id FROM s""")
+SELECT doc_id, split, split || '-' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 5, '0') ELSE n::VARCHAR END AS split_id FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY k, doc_id) - 1 AS n FROM s)""")
 def a8_write_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     share = F.conv(F.substring(F.sha2(F.concat(F.lit("split:"), F.col("doc_id").cast("string")), 256), 1, 2), 16, 10).cast("int") / 256.0
