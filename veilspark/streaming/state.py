@@ -21,12 +21,81 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SECOND = 1_000_000
 
 
+#: How many rows of a key wait together; those of a key with more wait by steps.
+TOGETHER = 10_000
+
+
+class Kept:
+    """A value, list or map of state that is read once and written once in a call, however often a rule asks it."""
+
+    def __init__(self, state, kind: str):  # noqa: ANN001
+        self.state, self.kind = state, kind
+        self.known = self.changed = False
+
+    def _read(self):  # noqa: ANN202
+        if not self.known:
+            there = self.state.exists()
+            if self.kind == "map":
+                self.was = {tuple(k): tuple(v) for k, v in self.state.iterator()} if there else {}
+                self.now = dict(self.was)
+            else:
+                self.now = None if not there else [tuple(x) for x in self.state.get()] if self.kind == "list" else tuple(self.state.get())
+            self.known = True
+        return self.now
+
+    def _write(self, value) -> None:  # noqa: ANN001
+        self.now, self.known, self.changed = value, True, True
+
+    def exists(self) -> bool:
+        return bool(self._read()) if self.kind != "value" else self._read() is not None
+
+    def get(self):  # noqa: ANN201
+        return self._read()
+
+    update = put = _write
+
+    def containsKey(self, key: tuple) -> bool:  # noqa: N802
+        return key in self._read()
+
+    def updateValue(self, key: tuple, value: tuple) -> None:  # noqa: N802
+        self._read()[key] = value
+        self.changed = True
+
+    def removeKey(self, key: tuple) -> None:  # noqa: N802
+        del self._read()[key]
+        self.changed = True
+
+    def iterator(self) -> Iterator[tuple[tuple, tuple]]:
+        return iter(list(self._read().items()))
+
+    def clear(self) -> None:
+        if self.kind == "map":
+            self._read()
+        self._write({} if self.kind == "map" else None)
+
+    def flush(self) -> None:
+        if self.changed:
+            if not self.now:
+                self.state.clear()
+            elif self.kind == "map":
+                for key in self.was.keys() - self.now.keys():
+                    self.state.removeKey(key)
+                for key, value in self.now.items():
+                    if self.was.get(key) != value:
+                        self.state.updateValue(key, value)
+            else:
+                (self.state.put if self.kind == "list" else self.state.update)(self.now)
+        self.known = self.changed = False
+
+
 class Reordered(StatefulProcessor):
-    """A reorder buffer: a map of state from a step of event time to the rows that wait for its end, and a timer for each.
+    """A reorder buffer: rows that wait for the end of their step of event time, and a timer for a key's earliest step.
 
-    ``columns`` are the input's, of which the first ``order`` are the order of decisions inside a step. A step's rows of
-    one key are in memory together, no more of them. What a key knows is forgotten by a timer too, a step after the time
-    that a decision asked it to be kept until.
+    ``columns`` are the input's, of which the first ``order`` are the order of decisions inside a step. A key's rows wait
+    together while they are ``TOGETHER`` at most, else in a map of state by their step, so that no more than that, or a
+    step's, are in memory. A timer decides all steps that the watermark has passed. What a key knows is forgotten by a
+    timer too, a step after the time that a decision asked it to be kept until. State is asked once for each call, for
+    every question is a message to another process.
     """
 
     columns: tuple[str, ...] = ("at", "event_id")
@@ -38,10 +107,17 @@ class Reordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "step long", "rows binary")
-        self.until = handle.getValueState("until", "at long")
+        self.few = handle.getListState("few", "rows binary")
+        self.many = handle.getMapState("many", "step long", "rows binary")
+        self.due = Kept(handle.getValueState("due", "step long, n long, many boolean"), "value")
+        self.until = Kept(handle.getValueState("until", "at long"), "value")
+        self.kept: list[Kept] = [self.due, self.until]
         self.start(handle)
 
+    def keep(self, state, kind: str) -> Kept:  # noqa: ANN001
+        self.kept.append(Kept(state, kind))
+        return self.kept[-1]
+
     def start(self, handle: StatefulProcessorHandle) -> None:
         raise NotImplementedError
 
@@ -52,62 +128,120 @@ class Reordered(StatefulProcessor):
     def forget(self) -> None:
         raise NotImplementedError
 
+    def expired(self, key: tuple) -> list[tuple]:
+        """What comes out when memory is over: nothing, as a rule."""
+        return []
+
     def close(self) -> None:
         pass
 
     def _frame(self, key: tuple, rows: list[tuple], late: bool) -> pd.DataFrame:
-        frame = pd.DataFrame([(key[0], *r, late) for r in rows], columns=["key", *self.out, "late"])
-        return frame.astype({c: "Int64" for c in ("event_id", "actions", "at") if c in frame})
+        columns = dict(zip(self.out, zip(*rows, strict=True), strict=True))
+        made = {c: pd.array(v, "Int64") if c in ("event_id", "actions", "at") else list(v) for c, v in columns.items()}
+        return pd.DataFrame({"key": [key[0]] * len(rows), **made, "late": late})
+
+    def _flush(self) -> None:
+        for state in self.kept:
+            state.flush()
+
+    def _by_step(self, rows: list[tuple]) -> dict[int, list[tuple]]:
+        place, size, steps = self.columns.index("at"), self.step * 1000, {}
+        for row in rows:
+            steps.setdefault(row[place] // size, []).append(row)
+        return steps
+
+    def _together(self) -> list[tuple]:
+        return [row for chunk in self.few.get() for row in pickle.loads(chunk[0])] if self.few.exists() else []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs()
+        passed, size = timerValues.getCurrentWatermarkInMs(), self.step * 1000
+        place, event = self.columns.index("at"), self.columns.index("event_id")
         for frame in rows:
-            steps = frame["at"] // (self.step * 1000)
-            late = (steps + 1) * self.step <= passed
-            if late.any():
+            columns = ([None if v is None or v != v else v for v in frame[c].tolist()] for c in self.columns)
+            told = list(zip(*columns, strict=True))
+            fresh = [r for r in told if (r[place] // size + 1) * self.step > passed]
+            if len(fresh) < len(told):
                 blank = (None,) * (len(self.out) - 1)
-                yield self._frame(key, [(i, *blank) for i in frame.loc[late, "event_id"].tolist()], True)
-            for step, own in frame[~late].groupby(steps[~late]):
-                held = list(zip(*(own[c].astype(object).where(own[c].notna(), None).tolist() for c in self.columns), strict=True))
-                at = (int(step),)
-                if self.waiting.containsKey(at):
-                    held = pickle.loads(self.waiting.getValue(at)[0]) + held
-                else:
-                    self.handle.registerTimer((at[0] + 1) * self.step)
-                self.waiting.updateValue(at, (pickle.dumps(held),))
-
-    def expired(self, key: tuple) -> list[tuple]:
-        """What comes out when memory is over: nothing, as a rule."""
-        return []
-
-    def _over(self, key: tuple, now: int) -> Iterator[pd.DataFrame]:
-        if self.until.exists() and self.until.get()[0] <= now:
-            found = self.expired(key)
-            self.forget()
-            self.until.clear()
-            if found:
-                yield self._frame(key, found, False)
+                yield self._frame(key, [(r[event], *blank) for r in told if (r[place] // size + 1) * self.step <= passed], True)
+            if fresh:
+                self._wait(fresh)
+                self._flush()
+
+    def _wait(self, rows: list[tuple]) -> None:
+        step, n, many = self.due.get() or (None, 0, False)
+        first = min(r[self.columns.index("at")] for r in rows) // (self.step * 1000)
+        n += len(rows)
+        if not many and n <= TOGETHER:
+            self.few.appendValue((pickle.dumps(rows),))
+        else:
+            if not many:
+                rows = self._together() + rows
+                self.few.clear()
+            for at, own in self._by_step(rows).items():
+                if many and self.many.containsKey((at,)):
+                    own = pickle.loads(self.many.getValue((at,))[0]) + own
+                self.many.updateValue((at,), (pickle.dumps(own),))
+            many = True
+        if step is None or first < step:
+            self.handle.registerTimer((first + 1) * self.step)
+            step = first
+        self.due.update((step, n, many))
+
+    def _passed(self, passed: int) -> Iterator[tuple[int, list[tuple]]]:
+        """The steps that the watermark has passed, in order, with their rows, which wait no more."""
+        step, n, many = self.due.get() or (None, 0, False)
+        if step is None or (step + 1) * self.step > passed:
+            return
+        if many:
+            held, rest = None, sorted(k[0] for k in self.many.keys())
+        else:
+            held = self._by_step(self._together())
+            rest = sorted(held)
+        while rest and (rest[0] + 1) * self.step <= passed:
+            at = rest.pop(0)
+            if held is None:
+                rows = pickle.loads(self.many.getValue((at,))[0])
+                self.many.removeKey((at,))
+            else:
+                rows = held.pop(at)
+            n -= len(rows)
+            yield at, rows
+        if held is not None:
+            self.few.clear()
+            if held:
+                self.few.appendValue((pickle.dumps([r for own in held.values() for r in own]),))
+        if rest:
+            self.handle.registerTimer((rest[0] + 1) * self.step)
+            self.due.update((rest[0], n, many))
+        else:
+            self.due.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if now % self.step:  # a timer of memory is a millisecond behind a step's end
-            yield from self._over(key, now)
-            return
-        at = (now // self.step - 1,)
-        yield from self._over(key, at[0] * self.step + 1)  # where time has leapt, its timer is not yet due
-        rows = pickle.loads(self.waiting.getValue(at)[0])
-        self.waiting.removeKey(at)
-        rows.sort(key=lambda r: r[: self.order])
-        found, until = self.decide(key, rows)
-        if until is not None:
-            end = (until // (self.step * 1000) + 1) * self.step + 1
-            if not self.until.exists() or self.until.get()[0] < end:
-                self.until.update((end,))
-                self.handle.registerTimer(end)
-        if found:
-            yield self._frame(key, found, False)
-        if not self.waiting.exists():  # a timer that is due already fires in a later batch only, and there may be none
-            yield from self._over(key, timerValues.getCurrentWatermarkInMs())
+        passed, out = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), []
+        before = until = self.until.get()[0] if self.until.exists() else None
+        for step, rows in self._passed(passed):
+            if until is not None and until <= step * self.step + 1:  # where time has leapt, its timer is not yet due
+                out += self.expired(key)
+                self.forget()
+                until = None
+            rows.sort(key=lambda r: r[: self.order])
+            found, last = self.decide(key, rows)
+            out += found
+            if last is not None:
+                until = max(until or 0, (last // (self.step * 1000) + 1) * self.step + 1)
+        if until is not None and until <= passed:
+            out += self.expired(key)
+            self.forget()
+            until = None
+        if until != before:
+            if until is None:
+                self.until.clear()
+            else:
+                self.until.update((until,))
+                self.handle.registerTimer(until)
+        self._flush()
+        if out:
+            yield self._frame(key, out, False)
 
 
 class LateRows(StatefulProcessor):
@@ -141,7 +275,7 @@ class RateLimiter(Reordered):
         self.most, self.window = most, int(window_s * SECOND)
 
     def start(self, handle: StatefulProcessorHandle) -> None:
-        self.log = handle.getListState("accepted", "at long")
+        self.log = self.keep(handle.getListState("accepted", "at long"), "list")
 
     def forget(self) -> None:
         self.log.clear()
@@ -172,8 +306,8 @@ class ReplayGuard(Reordered):
         self.window, self.most = int(window_s * SECOND), most
 
     def start(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "nonce string", "at long")
-        self.held = handle.getValueState("held", "n long, oldest long")
+        self.seen = self.keep(handle.getMapState("seen", "nonce string", "at long"), "map")
+        self.held = self.keep(handle.getValueState("held", "n long, oldest long"), "value")
 
     def forget(self) -> None:
         self.seen.clear()
@@ -218,7 +352,7 @@ class RunBudget(Reordered):
         self.most, self.deadline, self.still, self.after = most_steps, int(deadline_s * SECOND), no_progress, int(forget_s * SECOND)
 
     def start(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "started long, last long, actions long, unchanged long, print string, status string")
+        self.run = self.keep(handle.getValueState("run", "started long, last long, actions long, unchanged long, print string, status string"), "value")
 
     def forget(self) -> None:
         self.run.clear()
@@ -266,7 +400,7 @@ class ValueReferences(Reordered):
         self.ttl = int(ttl_s * SECOND)
 
     def start(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "issued long, kind string, target string, revision string")
+        self.held = self.keep(handle.getValueState("held", "issued long, kind string, target string, revision string"), "value")
 
     def forget(self) -> None:
         self.held.clear()
@@ -300,7 +434,7 @@ class LastActions(Reordered):
         self.n, self.after = n, int(forget_s * SECOND)
 
     def start(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getListState("last", "at long, action string")
+        self.last = self.keep(handle.getListState("last", "at long, action string"), "list")
 
     def forget(self) -> None:
         self.last.clear()
@@ -325,7 +459,7 @@ class StageClock(Reordered):
         self.timeout = int(timeout_s * SECOND)
 
     def start(self, handle: StatefulProcessorHandle) -> None:
-        self.active = handle.getValueState("active", "event_id long, at long")
+        self.active = self.keep(handle.getValueState("active", "event_id long, at long"), "value")
 
     def forget(self) -> None:
         self.active.clear()
