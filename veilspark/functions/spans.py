@@ -257,21 +257,22 @@ def kinds_of(spans: Column) -> Column:
     return F.array_distinct(F.transform(spans, lambda s: s["kind"]))
 
 
-def rendered(text: Column, spans: Column, put: Callable[[Column], Column]) -> Column:
-    """The text with every span (sorted, disjoint) replaced by ``put`` of it."""
+def rendered(text: Column, spans: Column, put: Callable[[Column], Column], keep: Callable[[Column, Column, Column], Column] = lambda g, before, after: g) -> Column:
+    """The text with every span (sorted, disjoint) replaced by ``put`` of it, and what lies between by ``keep`` of it and of
+    whether a span goes before and after it."""
 
     def pieces(spans: Column) -> Column:
         last = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
-        before = F.transform(spans, lambda s, i: F.concat(F.substr(text, last(i) + 1, s["start"] - last(i)), put(s)))
-        return F.array_join(F.concat(before, F.array(F.substr(text, last(F.size(spans)) + 1, F.length(text)))), "")
+        before = F.transform(spans, lambda s, i: F.concat(keep(F.substr(text, last(i) + 1, s["start"] - last(i)), i > 0, F.lit(True)), put(s)))
+        return F.array_join(F.concat(before, F.array(keep(F.substr(text, last(F.size(spans)) + 1, F.length(text)), F.size(spans) > 0, F.lit(False)))), "")
 
     return let(spans, pieces)
 
 
-def rebuilt(text: Column, regex: str, put: Callable[[Column], Column]) -> Column:
-    """The text with every hit of ``regex`` replaced by ``put`` of its value."""
+def rebuilt(text: Column, regex: str, put: Callable[[Column], Column], keep: Callable[[Column], Column] = lambda g: g) -> Column:
+    """The text with every hit of ``regex`` replaced by ``put`` of its value, and what lies between by ``keep`` of it."""
     gaps, found = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    new = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(put(F.get(found, i)), F.lit(""))))
+    new = F.transform(gaps, lambda g, i: F.concat(keep(g), F.coalesce(put(F.get(found, i)), F.lit(""))))
     return F.array_join(new, "")
 
 

@@ -13,6 +13,7 @@ from .numbering import numbered
 STRIP_THRESHOLD = 0.60
 FLOOR, FLOOR_BY_LABEL = 0.35, {"person name": 0.12}
 MASK = "<mask-pii/>"
+PARTER = "\u2060"
 
 
 def masked_text(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -100,12 +101,20 @@ def decisions(spans: DataFrame, scope: str = "scope") -> DataFrame:
     return done.groupBy(scope, "token", "source_ord").agg(F.min_by(F.struct("label", "layer", "score"), "start").alias("d")).select(scope, "token", "source_ord", "d.*")
 
 
+def _parted(gap: Column, before: Column, after: Column) -> Column:
+    """Text between tokens, so that none but they read as tokens: a mark parts what would, and is itself doubled."""
+    marked = F.regexp_replace(F.regexp_replace(gap, PARTER, PARTER * 2), "([A-Z0-9]#)(?=[0-9])", f"$1{PARTER}")
+    head = F.when(before & marked.rlike(r"\A[0-9]"), PARTER).otherwise("")
+    return F.concat(head, marked, F.when(after & marked.rlike(r"[A-Z0-9]\z"), PARTER).otherwise(""))
+
+
 def render(sources: DataFrame, spans: DataFrame, scope: str = "scope", source: str = "source_ord", text: str = "text") -> DataFrame:
-    """Each source's text with its replaced spans as tokens; sources without any stay as they are."""
+    """Each source's text with its replaced spans as tokens; sources without any stay as they are. Where a token would
+    run into the text around it, or that text reads as one, a word joiner (``PARTER``) stands between."""
     planned = spans.where("decision = 'replace'").groupBy(scope, source).agg(F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("planned"))
     out = sources.join(planned, [scope, source], "left")
-    put = S.rendered(F.col(text), F.col("planned"), lambda s: s["token"])
-    return out.withColumn("rendered", F.coalesce(put, F.col(text))).drop("planned", text)
+    put = S.rendered(F.col(text), F.col("planned"), lambda s: s["token"], _parted)
+    return out.withColumn("rendered", F.coalesce(put, _parted(F.col(text), F.lit(False), F.lit(False)))).drop("planned", text)
 
 
 def rehydrate(texts: DataFrame, vault: DataFrame, scope: str = "scope", text: str = "rendered") -> DataFrame:
@@ -120,7 +129,7 @@ def rehydrate(texts: DataFrame, vault: DataFrame, scope: str = "scope", text: st
     known = F.coalesce(F.col("vault"), F.create_map().cast("map<string,string>"))
     found = F.regexp_extract_all(text, F.lit(P.VAULT_TOKEN), F.lit(0))
     bad = F.exists(found, lambda t: F.try_element_at(known, t).isNull())
-    back = S.rebuilt(F.col(text), P.VAULT_TOKEN, lambda t: F.try_element_at(known, t))
+    back = S.rebuilt(F.col(text), P.VAULT_TOKEN, lambda t: F.try_element_at(known, t), lambda g: F.regexp_replace(g, f"{PARTER}({PARTER}?)", "$1"))
     return out.withColumn("rejected", bad).withColumn("restored", F.when(~bad, back)).drop("vault")
 
 
