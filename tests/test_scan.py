@@ -1,6 +1,7 @@
 """The scanner's hits against those of the patterns as columns, over odd texts; and how texts are dealt out."""
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -62,6 +63,32 @@ def test_scanning_is_faster_than_the_columns(spark, sf):
     assert fast * 1.5 < slow
 
 
+def test_prose_is_read_once_for_all_patterns():
+    text = "Er of tionatti the of, inoran erin nt hawhti. " * 40_000 + "one pin is 1234"
+    found = [scan.places(p.regex) for p in P.PASSES] + [scan.places(regex, P.LABEL_NEEDS.get(rule)) for rule, _, regex in P.LABELLED]
+    mark, digits = scan.marker(found), re.compile("[0-9]+")
+
+    def seconds(read):
+        times = []
+        for _ in range(3):
+            start = time.time()
+            read()
+            times.append(time.time() - start)
+        return min(times)
+
+    def all_patterns():
+        marks = mark(text)
+        return [hit for find in found for hit in find(text, marks)]
+
+    assert [text[a:b] for a, b in all_patterns()] == ["pin"]
+    assert seconds(all_patterns) < 15 * seconds(lambda: list(digits.finditer(text)))
+
+
+def test_first_words_are_what_a_pattern_begins_with():
+    assert scan.first_words(r"(?i)(?<![a-z])(?:otp|one[\s-]?time\s(?:code|pin)|auth(?:ent)?\s|pins?|2fa\scode)(?![a-z])x|y") == ("otp", "one", "auth", "pin", "2fa")
+    assert scan.first_words(P.AADHAAR_WORDS) == ("aadhaar", "aadhar", "uidai") and not scan.first_words(P.AADHAAR_BARE)
+
+
 def test_texts_of_one_row_group_are_dealt_out(spark, sf, monkeypatch):
     """A row group is read by one task, however many blocks its file has."""
     monkeypatch.setattr(inputs, "BLOCK_BYTES", 1 << 10)

@@ -178,9 +178,10 @@ def pattern_hits(text: Column, pattern: Pattern, order: int) -> Column:
     return guarded(text, pattern.needs, spans)
 
 
-def candidates(text: Column, passes: Sequence[Pattern] = PASSES) -> Column:
-    """All passes' hits, in order of pass and place; bare twelve-digit numbers last, where the text names their card."""
-    return scan.candidates(text, tuple(passes))
+def candidates(text: Column, passes: Sequence[Pattern] = PASSES, alone: bool = False) -> Column:
+    """All passes' hits, in order of pass and place; bare twelve-digit numbers last, where the text names their card. A column
+    ``alone`` is taken into no later filter, but may not stand in an aggregate."""
+    return scan.candidates(text, tuple(passes), alone)
 
 
 def overlaps(a: Column, b: Column) -> Column:
