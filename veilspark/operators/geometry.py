@@ -20,6 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BOX = ("x", "y", "w", "h")
 MERGE_LIMIT = 2000
+CELL_BOXES = 256
 
 
 def clip_rect(width: Column, height: Column, pad: float = 0.0, whole: bool = True) -> Column:
@@ -64,11 +65,11 @@ def in_cells(boxes: DataFrame, cell: float) -> DataFrame:
     return boxes.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
 
 
-def near_pairs(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+def near_pairs(a: DataFrame, b: DataFrame, *keys: str, cell: float | None = None) -> DataFrame:
     """Pairs of boxes, one of each side and of equal keys, that share an area: all columns of ``a`` and those of ``b`` that
     aren't keys, of which the box's end in 2. Boxes meet in the cells of a grid, a pair only in the cell where what
     they share begins."""
-    cell = cell_size(a, b)
+    cell = cell or cell_size(a, b)
     names = {c: f"{c}2" if c in BOX else c for c in b.columns if c not in keys}
     here = in_cells(a.where("w > 0 AND h > 0"), cell)
     there = in_cells(b.where("w > 0 AND h > 0"), cell).select(*keys, "cx", "cy", *(F.col(c).alias(n) for c, n in names.items()))
@@ -79,15 +80,54 @@ def near_pairs(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return met.where(shares & first).select(*a.columns, *names.values())
 
 
-def union_area(boxes: DataFrame, *keys: str) -> DataFrame:
-    """``(keys, area)``: boxes are cut at the cells of a grid, and each cell's are measured by themselves."""
+def union_area(boxes: DataFrame, *keys: str, cell: float | None = None) -> DataFrame:
+    """``(keys, area)``: boxes are cut at the cells of a grid, and each cell's are measured by themselves: those of many
+    cells together in tasks, those of a cell with more than ``CELL_BOXES`` as a table of their own."""
     sound = boxes.where("w > 0 AND h > 0").select(*keys, *BOX)
-    cell = cell_size(sound)
+    cell = cell or cell_size(sound)
     cut = in_cells(sound, cell)
     for a, s, c in (("x", "w", "cx"), ("y", "h", "cy")):
         low = F.greatest(F.col(a), F.col(c) * cell)
         cut = cut.withColumns({a: low, s: F.least(F.col(a) + F.col(s), (F.col(c) + 1) * cell) - low})
-    return _slabs(cut, *keys, "cx", "cy").groupBy(*keys).agg(F.sum("area").alias("area"))
+    packed = cut.groupBy(*keys, "cx", "cy").agg(F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in BOX))).alias("_boxes"))
+    few = packed.where(F.size("_boxes") <= CELL_BOXES).select(*keys, F.arrow_udf(_areas, "double")(F.col("_boxes")).alias("area"))
+    many = _slabs(packed.where(F.size("_boxes") > CELL_BOXES).select(*keys, "cx", "cy", F.inline("_boxes")), *keys, "cx", "cy").select(*keys, "area")
+    return few.unionByName(many).groupBy(*keys).agg(F.sum("area").alias("area"))
+
+
+def _areas(lists: pa.Array) -> pa.Array:
+    """The area under each list's boxes; as many lists at a time as have few edges in all."""
+    n = np.asarray(pc.list_value_length(lists))
+    ends, flat = np.cumsum(n), lists.flatten()
+    x, y, w, h = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+    parts = np.cumsum(2 * n.astype(np.int64) ** 2) // (1 << 22)
+    limits = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(n)]
+    out = []
+    for a, b in zip(limits, limits[1:], strict=False):
+        at = slice(ends[a] - n[a] if a < b else 0, ends[b - 1] if a < b else 0)
+        out.append(_swept(np.repeat(np.arange(b - a), n[a:b]), x[at], y[at], (x + w)[at], (y + h)[at], b - a))
+    return pa.array(np.concatenate(out))
+
+
+def _swept(group: np.ndarray, left: np.ndarray, top: np.ndarray, right: np.ndarray, bottom: np.ndarray, groups: int) -> np.ndarray:
+    """As :func:`_slabs`, for groups of boxes side by side: slabs lie between a group's sorted edges."""
+    if not len(group):
+        return np.zeros(groups)
+    edges = np.concatenate([left, right])
+    order = np.lexsort((edges, np.concatenate([group, group])))
+    edges, place = edges[order], np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    first, spans = place[: len(group)], place[len(group) :] - place[: len(group)]
+    box = np.repeat(np.arange(len(group)), spans)
+    slab = first[box] + np.arange(len(box)) - np.repeat(np.cumsum(spans) - spans, spans)
+    order = np.lexsort((top[box], slab))
+    box, slab = box[order], slab[order]
+    ends, rank = np.unique(bottom, return_inverse=True)
+    lowest = np.maximum.accumulate(slab * len(ends) + rank[box])  # by rank, so that it starts anew in each slab
+    start, again = top[box], slab[1:] == slab[:-1]
+    start[1:][again] = np.maximum(start[1:], ends[(lowest[:-1] - slab[:-1] * len(ends))])[again]
+    part = (edges[slab + 1] - edges[slab]) * np.maximum(0.0, bottom[box] - start)
+    return np.bincount(group[box], weights=part, minlength=groups)
 
 
 def _slabs(boxes: DataFrame, *keys: str) -> DataFrame:
@@ -102,9 +142,9 @@ def _slabs(boxes: DataFrame, *keys: str) -> DataFrame:
     return inside.withColumn("part", (F.col("right") - F.col("left")) * length).groupBy(*keys).agg(F.sum("part").alias("area"))
 
 
-def shared_boxes(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+def shared_boxes(a: DataFrame, b: DataFrame, *keys: str, cell: float | None = None) -> DataFrame:
     """Every pair's intersection as a box: what two sets of boxes cover together, by :func:`union_area`."""
-    return _shared(near_pairs(a.select(*keys, *BOX), b.select(*keys, *BOX), *keys), *keys)
+    return _shared(near_pairs(a.select(*keys, *BOX), b.select(*keys, *BOX), *keys, cell=cell), *keys)
 
 
 def _shared(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -118,7 +158,9 @@ def coverage(truth: DataFrame, masks: DataFrame, images: DataFrame, key: str = "
 
     ``images(key, width, height)`` has a row for each image, with or without boxes.
     """
-    t, m, both = (union_area(d, key).withColumnRenamed("area", n) for d, n in ((truth, "truth_area"), (masks, "mask_area"), (shared_boxes(truth, masks, key), "shared_area")))
+    cell = cell_size(truth, masks)  # what boxes share is no larger than they are
+    sides = ((truth, "truth_area"), (masks, "mask_area"), (shared_boxes(truth, masks, key, cell=cell), "shared_area"))
+    t, m, both = (union_area(d, key, cell=cell).withColumnRenamed("area", n) for d, n in sides)
     out = images.join(t, key, "left").join(m, key, "left").join(both, key, "left").na.fill(0.0, ["truth_area", "mask_area", "shared_area"])
     outside = F.col("width") * F.col("height") - F.col("truth_area")
     return out.withColumn("covered", F.when(F.col("truth_area") > 0, F.col("shared_area") / F.col("truth_area"))).withColumn("preserved", F.when(outside > 0, (outside - F.col("mask_area") + F.col("shared_area")) / outside))
