@@ -262,12 +262,21 @@ def rendered(text: Column, spans: Column, put: Callable[[Column], Column], keep:
     """The text with every span (sorted, disjoint) replaced by ``put`` of it, and what lies between by ``keep`` of it and of
     whether a span goes before and after it."""
 
-    def pieces(spans: Column) -> Column:
+    def pieces(text: Column, spans: Column) -> Column:
         last = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
-        before = F.transform(spans, lambda s, i: F.concat(keep(F.substr(text, last(i) + 1, s["start"] - last(i)), i > 0, F.lit(True)), put(s)))
-        return F.array_join(F.concat(before, F.array(keep(F.substr(text, last(F.size(spans)) + 1, F.length(text)), F.size(spans) > 0, F.lit(False)))), "")
 
-    return let(spans, pieces)
+        def part(k: Column) -> Column:
+            """Later spans are cut from their own stretch of the text, for a place in a text is counted from its begin."""
+            lo, n = last(k * _CHUNK), F.least(F.size(spans), (k + 1) * _CHUNK)
+            stretch = F.when(k > 0, F.substr(text, lo + 1, last(n) - lo)).otherwise(text)
+            one = lambda t, s, b, i: F.concat(keep(F.substr(t, b - lo + 1, s["start"] - b), i > 0, F.lit(True)), put(s))
+            return let(stretch, lambda t: F.transform(F.slice(spans, k * _CHUNK + 1, F.lit(_CHUNK)), lambda s, i: one(t, s, last(k * _CHUNK + i), k * _CHUNK + i)))
+
+        chunks = F.filter(F.sequence(F.lit(0), F.floor((F.greatest(F.size(spans), F.lit(1)) - 1) / _CHUNK).cast("int")), lambda k: k * _CHUNK < F.size(spans))
+        tail = keep(F.substr(text, last(F.size(spans)) + 1, F.length(text)), F.size(spans) > 0, F.lit(False))
+        return F.when(spans.isNotNull(), F.array_join(F.concat(F.flatten(F.transform(chunks, part)), F.array(tail)), ""))
+
+    return let(text, lambda t: let(spans, lambda s: pieces(t, s)))
 
 
 def rebuilt(text: Column, regex: str, put: Callable[[Column], Column], keep: Callable[[Column], Column] = lambda g: g) -> Column:

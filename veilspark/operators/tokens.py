@@ -103,9 +103,11 @@ def decisions(spans: DataFrame, scope: str = "scope") -> DataFrame:
 
 def _parted(gap: Column, before: Column, after: Column) -> Column:
     """Text between tokens, so that none but they read as tokens: a mark parts what would, and is itself doubled."""
-    marked = F.regexp_replace(F.regexp_replace(gap, PARTER, PARTER * 2), "([A-Z0-9]#)(?=[0-9])", f"$1{PARTER}")
-    head = F.when(before & marked.rlike(r"\A[0-9]"), PARTER).otherwise("")
-    return F.concat(head, marked, F.when(after & marked.rlike(r"[A-Z0-9]\z"), PARTER).otherwise(""))
+    doubled = F.replace(gap, F.lit(PARTER), F.lit(PARTER * 2))
+    marked = S.let(doubled, lambda d: F.when(F.contains(d, F.lit("#")), F.regexp_replace(d, "([A-Z0-9]#)(?=[0-9])", f"$1{PARTER}")).otherwise(d))
+    first, last = (lambda m, at=at: F.substr(m, F.lit(at), F.lit(1)) for at in (1, -1))
+    mark = lambda test: F.when(test, PARTER).otherwise("")
+    return S.let(marked, lambda m: F.concat(mark(before & first(m).rlike("[0-9]")), m, mark(after & last(m).rlike("[A-Z0-9]"))))
 
 
 def render(sources: DataFrame, spans: DataFrame, scope: str = "scope", source: str = "source_ord", text: str = "text") -> DataFrame:

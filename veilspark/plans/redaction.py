@@ -9,6 +9,7 @@ from ..functions import spans as S
 from ..operators import detection as D
 from ..operators import tokens as K
 from ..sources import tables as A
+from ..sources.shared import written
 from .inputs import BOXES, PROBED, boxes, probed, table
 from .registry import query
 
@@ -115,7 +116,8 @@ def c8_uncertain_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rendered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    spans = _spans(spark, sf_dir).withColumn("certain", F.lit(True))
+    """Texts with their spans as tokens, and the vault; the spans are found once, for both."""
+    spans = written(_spans(spark, sf_dir), "spans").withColumn("certain", F.lit(True))
     vault = K.mint_tokens(spans)
     decided = spans.join(vault.select("scope", "type", "value", "token"), ["scope", "type", "value"]).withColumn("decision", F.lit("replace"))
     sources = probed(spark, sf_dir).select(F.col("source").alias("scope"), F.col("doc_id").alias("source_ord"), "text")
