@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .patterns import PASSES, SPECIFICITY, Pattern
+from .patterns import LABELLED, PASSES, SPECIFICITY, Pattern
 
 EMPTY_SPANS = "array<struct<start:int,end:int,kind:string,rule:string,value:string,pass:int>>"
 
@@ -188,6 +188,24 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def meeting(spans: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of a function from a span to those of ``spans`` that overlap it, as ``(start, end, i)``, ``i`` their place.
+
+    They are held in chunks by their start, each with what it reaches over: a span is compared with few of very many.
+    """
+    sorted_ = F.sort_array(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i"))))
+    reach = lambda part: F.struct(F.get(part, 0)["start"].alias("start"), F.array_max(F.transform(part, lambda x: x["end"])).alias("end"), part.alias("part"))
+
+    def chunked(xs: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(xs), F.lit(1)) - 1) / _CHUNK).cast("int"))
+        return F.transform(chunks, lambda k: let(F.slice(xs, k * _CHUNK + 1, F.lit(_CHUNK)), reach))
+
+    def find(held: Column) -> Callable[[Column], Column]:
+        return lambda s: F.flatten(F.transform(F.filter(held, lambda c: overlaps(c, s)), lambda c: F.filter(c["part"], lambda x: overlaps(x, s))))
+
+    return let(let(sorted_, chunked), lambda held: body(find(held)))
+
+
 def claimed(spans: Column) -> Column:
     """Earlier passes win; spans of later ones that overlap a winner go; the rest by start. A pass's own never overlap.
 
@@ -209,10 +227,28 @@ def labelled(text: Column) -> Column:
     return scan.labelled(text)
 
 
+def labelled_and_codes(text: Column) -> Column:
+    """:func:`labelled`'s hits and all codes near words that speak of one, from one reading of the text."""
+    return scan.labelled_and_codes(text)
+
+
+def rules_of(found: Column) -> Column:
+    return F.filter(found, lambda s: s["pass"] < len(LABELLED))
+
+
+def codes_of(found: Column) -> Column:
+    return F.filter(found, lambda s: s["pass"] == len(LABELLED))
+
+
+def fresh_otp(codes: Column, spans: Column) -> Column:
+    """Those of ``codes`` that no otp span covers."""
+    covers = lambda k, s: (k["start"] <= s["start"]) & (k["end"] >= s["end"])
+    return meeting(F.filter(spans, lambda k: k["kind"] == "otp"), lambda near: F.filter(codes, lambda s: ~F.exists(near(s), lambda k: covers(k, s))))
+
+
 def nearby_otp(text: Column, spans: Column) -> Column:
     """For each word that speaks of a code, the first free-standing 4 to 8 digits within reach that no otp span covers."""
-    fresh = F.filter(scan.codes(text), lambda s: ~F.exists(spans, lambda k: (k["kind"] == "otp") & (k["start"] <= s["start"]) & (k["end"] >= s["end"])))
-    return F.array_distinct(fresh)
+    return F.filter(scan.codes(text), lambda s: ~F.exists(spans, lambda k: (k["kind"] == "otp") & (k["start"] <= s["start"]) & (k["end"] >= s["end"])))
 
 
 _RANKS = sorted({*SPECIFICITY.values(), 0}, reverse=True)

@@ -20,9 +20,8 @@ def document_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def sensitive_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """``docs`` plus the labelled spans that count. Each step is a column of its own, so none is computed twice."""
-    t = F.col(text)
-    with_rules = docs.withColumn("_rules", S.labelled(t))
-    with_codes = with_rules.withColumn("_all", F.concat("_rules", S.nearby_otp(t, F.col("_rules")))).drop("_rules")
+    found = F.col("_found")
+    with_codes = docs.withColumn("_found", S.labelled_and_codes(F.col(text))).withColumn("_all", F.concat(S.rules_of(found), S.fresh_otp(S.codes_of(found), S.rules_of(found)))).drop("_found")
     return with_codes.withColumn(out, S.suppressed(F.col("_all"))).drop("_all")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import meeting
 from .geometry import interval_iou
 
 
@@ -32,8 +33,8 @@ def covered_length(spans: Column) -> Column:
 
 def shared_spans(a: Column, b: Column) -> Column:
     """Every overlap of a span of ``a`` with one of ``b``."""
-    each = lambda s: F.transform(F.filter(b, lambda k: (s["start"] < k["end"]) & (k["start"] < s["end"])), lambda k: F.struct(F.greatest(s["start"], k["start"]).alias("start"), F.least(s["end"], k["end"]).alias("end")))
-    return F.flatten(F.transform(a, each))
+    both = lambda s, k: F.struct(F.greatest(s["start"], k["start"]).alias("start"), F.least(s["end"], k["end"]).alias("end"))
+    return meeting(b, lambda near: F.flatten(F.transform(a, lambda s: F.transform(near(s), lambda k: both(s, k)))))
 
 
 def char_coverage(cases: DataFrame, length: str, truth: str = "truth", pred: str = "pred") -> DataFrame:
@@ -44,15 +45,20 @@ def char_coverage(cases: DataFrame, length: str, truth: str = "truth", pred: str
 
 
 def span_prf(cases: DataFrame, truth: str = "truth", pred: str = "pred", least: float = 0.5) -> DataFrame:
-    """Span matches by greedy choice in the predictions' order; precision and recall are 1 where both sides are empty."""
+    """Span matches by greedy choice in the predictions' order; precision and recall are 1 where both sides are empty.
 
-    def best(acc: Column, p: Column) -> Column:
-        scored = F.transform(F.col(truth), lambda t, i: F.struct(F.when(F.array_contains(acc["used"], i), -1.0).otherwise(interval_iou(p, t)).alias("s"), (-i).alias("i")))
-        top = F.array_max(scored)
-        hit = F.coalesce(top["s"] >= least, F.lit(False))
-        return F.struct(F.when(hit, F.concat(acc["used"], F.array(-top["i"]))).otherwise(acc["used"]).alias("used"))
+    A prediction's choices are those true spans that share at least ``least`` (above zero) with it, the best first.
+    """
+
+    def choices(near: Callable[[Column], Column]) -> Column:
+        scored = lambda p: F.transform(near(p), lambda t: F.struct((-interval_iou(p, t)).alias("s"), t["i"].alias("i")))
+        each = F.transform(F.col(pred), lambda p: F.transform(F.array_sort(F.filter(scored(p), lambda x: x["s"] <= -least)), lambda x: x["i"]))
+        return F.filter(each, lambda of: F.size(of) > 0)
+
+    def best(used: Column, of: Column) -> Column:
+        return F.concat(used, F.slice(F.filter(of, lambda i: ~F.array_contains(used, i)), 1, 1))
 
-    used = F.aggregate(F.col(pred), F.struct(F.array().cast("array<int>").alias("used")), best, lambda a: F.size(a["used"]))
+    used = F.aggregate(meeting(F.col(truth), choices), F.array().cast("array<int>"), best, F.size)
     out = cases.withColumn("tp", used).withColumn("fp", F.size(pred) - F.col("tp")).withColumn("fn", F.size(truth) - F.col("tp"))
     both = (F.size(truth) == 0) & (F.size(pred) == 0)
     return out.withColumn("precision", F.when(both, 1.0).otherwise(ratio(F.col("tp"), F.col("tp") + F.col("fp")))).withColumn("recall", F.when(F.size(truth) == 0, 1.0).otherwise(ratio(F.col("tp"), F.col("tp") + F.col("fn"))))

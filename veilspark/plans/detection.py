@@ -193,9 +193,9 @@ def b6_labelled_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def b7_nearby_otp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    docs = probed(spark, sf_dir).withColumn("rules", S.labelled(text))
-    return docs.select("doc_id", F.size(S.nearby_otp(text, S.no_spans())).alias("n_open"), F.size(S.nearby_otp(text, F.col("rules"))).alias("n_new"))
+    docs = probed(spark, sf_dir).withColumn("found", S.labelled_and_codes(F.col("text")))
+    codes = S.codes_of(F.col("found"))
+    return docs.select("doc_id", F.size(codes).alias("n_open"), F.size(S.fresh_otp(codes, S.rules_of(F.col("found")))).alias("n_new"))
 
 
 @query()
