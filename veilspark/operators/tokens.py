@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import scan
 from ..functions import spans as S
 from . import matching as M
 from .numbering import numbered
@@ -68,11 +69,21 @@ def band(score: Column, label: Column, layer: Column) -> Column:
 
 def with_model(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rules' spans of ``docs(key, text, spans)`` and those of any span model ``(key, start, end, label, score)``, merged
-    and banded: ``(key, start, end, type, value, label, score, layer, band)``."""
-    rules = S.spread(docs, key, items="spans").select(key, "start", "end", F.upper("kind").alias("type"), "value", F.col("kind").alias("label"), F.lit(1.0).alias("score"))
-    named = F.upper(F.regexp_replace("label", "[^A-Za-z0-9]", ""))
-    spans = docs.select(key, text).join(model, key).select(key, "start", "end", named.alias("type"), F.substr(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("value"), "label", "score")
-    return merge_layers(rules, spans, key).withColumn("band", band(F.col("score"), F.col("label"), F.col("layer")))
+    as by :func:`merge_layers` and banded: ``(key, start, end, type, value, label, score, layer, band)``.
+
+    A model's spans of one document meet its text as one row, so a long text isn't read again for each of them.
+    """
+    named = F.upper(F.regexp_replace("label", "[^A-Za-z0-9]", "")).alias("type")
+    whole = "bigint" if "bigint" in (model.schema["start"].dataType.simpleString(), model.schema["end"].dataType.simpleString()) else "int"
+    place = lambda s: [s["start"].cast(whole).alias("start"), s["end"].cast(whole).alias("end")]
+    said = F.struct(*place({"start": F.col("start"), "end": F.col("end")}), named, "label", F.col("score").cast("double").alias("score"))
+    model = model.where("start IS NOT NULL AND end IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list(said)).alias("_said"))
+    both = docs.select(key, text, F.coalesce("spans", S.no_spans()).alias("_rules")).join(model, key, "left")
+    both = both.withColumn("_said", F.coalesce("_said", F.array().cast(model.schema["_said"].dataType))).withColumn("_kept", scan.beside(F.col(text), F.col("_rules"), F.col("_said")))
+    item = lambda s, type_, value, label, score, layer: F.struct(*place(s), type_.alias("type"), value.alias("value"), label.alias("label"), score.alias("score"), F.lit(layer).alias("layer"))
+    rules = F.transform("_rules", lambda s: item(s, F.upper(s["kind"]), s["value"], s["kind"], F.lit(1.0), "regex"))
+    kept = F.transform("_kept", lambda k: S.let(F.get("_said", k["i"]), lambda s: item(s, s["type"], k["value"], s["label"], s["score"], "model")))
+    return S.spread(both, key, items=F.concat(rules, kept)).withColumn("band", band(F.col("score"), F.col("label"), F.col("layer")))
 
 
 def propagate_certain(spans: DataFrame, scope: str = "scope") -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions import spans as S
 from ..operators import detection as D
 from ..operators import tokens as K
 from ..sources import tables as A
 from ..sources.shared import written
-from .inputs import BOXES, PROBED, boxes, probed, table
+from .inputs import BOXES, PROBED, boxes, probed, table, texts
 from .registry import query
 
 
@@ -22,8 +23,8 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _model_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's spans as a table: capitalised words of texts, their score from place and id."""
-    hit = S.hits(F.col("text"), r"[A-Z][a-z]{4,7}(?![A-Za-z])")
-    rows = S.spread(table(spark, sf_dir, "documents"), F.col("source").alias("scope"), F.col("doc_id").alias("source_ord"), items=hit)
+    hit = scan.hits(F.col("text"), r"[A-Z][a-z]{4,7}(?![A-Za-z])")
+    rows = S.spread(texts(spark, sf_dir), F.col("source").alias("scope"), F.col("doc_id").alias("source_ord"), items=hit)
     label = F.when(F.col("start") % 2 == 0, "person name").otherwise("city")
     return rows.select("scope", "source_ord", "start", "end", F.when(label == "city", "CITY").otherwise("PERSONNAME").alias("type"), "value", label.alias("label"), ((F.col("start") * 7 + F.col("source_ord")) % 100 / 100.0).alias("score"), F.lit("model").alias("layer"))
 
