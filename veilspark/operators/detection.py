@@ -53,8 +53,8 @@ def forbidden_lines(docs: DataFrame, needles: Sequence[str], id_col: str = "doc_
 def egress_guard(bodies: DataFrame, keys: Sequence[str], leaves: str) -> DataFrame:
     """The first field of each body, in order, in which a pass finds anything: its pattern and field, never the value."""
     rows = bodies.select(*keys, F.posexplode(F.map_entries(leaves)).alias("ord", "leaf"))
-    spans = S.claimed(S.candidates(S.blanked(F.coalesce(F.col("leaf.value"), F.lit("")), P.VAULT_TOKEN), alone=True))
-    hit = rows.select(*keys, "ord", F.col("leaf.key").alias("field"), F.get(spans, 0).alias("first")).where("first IS NOT NULL")
+    open_ = rows.select(*keys, "ord", F.col("leaf.key").alias("field"), S.blanked(F.coalesce(F.col("leaf.value"), F.lit("")), P.VAULT_TOKEN).alias("_open"))
+    hit = document_spans(open_, "_open").select(*keys, "ord", "field", F.get("spans", 0).alias("first")).where("first IS NOT NULL")
     return hit.groupBy(*keys).agg(F.min_by(F.struct(F.col("first.kind").alias("pattern"), "field"), "ord").alias("hit")).select(*keys, "hit.*")
 
 
