@@ -190,12 +190,12 @@ def replaced_rows(decided: DataFrame, answers: DataFrame, vault: DataFrame, scop
 def leak_check(bodies: DataFrame, values: DataFrame, key: str, text: str = "text", value: str = "value") -> DataFrame:
     """Occurrences, in either case, of each known value in the bodies of its scope; values without any have zero.
 
-    Each different body is searched once for all values of its scope.
+    A body is dealt out once, in its lower case; only counts leave the tasks that search it.
     """
     known = values.select(key, value).distinct().withColumn("_needle", F.lower(value))
-    held = bodies.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("_hay")).groupBy(key, "_hay").agg(F.count("*").alias("_times"))
-    found = M.occurrences(held, known, key, "_hay", "_needle").select(key, F.col("text").alias("_hay"), F.col("value").alias("_needle"), M.apart(F.col("starts"), F.length("value")).alias("_n"))
-    counts = found.join(held, [key, "_hay"]).groupBy(key, "_needle").agg(F.sum(F.col("_n") * F.col("_times")).alias("n"))
+    held = bodies.withColumn("_hay", F.lower(text)).drop(text)
+    found = M.occurrences(held, known, key, "_hay", "_needle", keep=()).select(key, F.col("value").alias("_needle"), M.apart(F.col("starts"), F.length("value")).alias("_n"))
+    counts = found.groupBy(key, "_needle").agg(F.sum("_n").alias("n"))
     return known.join(counts, [key, "_needle"], "left").select(key, value, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

@@ -21,15 +21,17 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return df.repartition(max(cores, size // BLOCK_BYTES))
 
 
-def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, each followed by a line with personal data of the kinds that their texts lack, made from the id."""
+def probed(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """Documents, each followed by a line with personal data of the kinds that their texts lack, made from the id; not
+    ``dealt`` out anew for what deals them out itself."""
     n = lambda width, mod, off=0: F.lpad(((F.col("doc_id") + off) % mod).cast("string"), width, "0")
     line = F.concat(
         F.lit("\nPAN ABCDE"), n(4, 10000), F.lit("F passport K"), n(7, 10000000), F.lit(" aadhaar "), n(4, 10000), F.lit(" "), n(4, 10000, 7), F.lit(" "), n(4, 10000, 13),
         F.lit(" uid "), n(12, 1000000000000), F.lit(" call +91 9"), n(9, 1000000000), F.lit(" or 98765 4"), n(4, 10000), F.lit(" or +44 20 79"), n(2, 100), F.lit(" "), n(4, 10000),
         F.lit(" mail user"), F.col("doc_id").cast("string"), F.lit("@example.test otp is "), n(6, 1000000), F.lit(" password: s3cret"), F.col("doc_id").cast("string"), F.lit(" cvv 1"), n(2, 100), F.lit(" end"),
     )
-    return texts(spark, sf_dir).withColumn("text", F.concat("text", line))
+    docs = texts(spark, sf_dir) if dealt else table(spark, sf_dir, "documents")
+    return docs.withColumn("text", F.concat("text", line))
 
 
 def _n(width: int, mod: int, off: int = 0) -> str:

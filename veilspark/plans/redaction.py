@@ -173,7 +173,7 @@ SELECT scope, md5(value) AS value, CAST(sum((length(t) - length(replace(t, lower
 def c15_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of a source against the texts of that source as they were: all leak."""
     values = K.mint_tokens(_spans(spark, sf_dir).where("type = 'EMAIL'")).select("scope", "value")
-    bodies = probed(spark, sf_dir).select(F.col("source").alias("scope"), "text")
+    bodies = probed(spark, sf_dir, dealt=False).select(F.col("source").alias("scope"), "doc_id", "text")
     return K.leak_check(bodies, values, "scope").select("scope", F.md5("value").alias("value"), "n")
 
 

@@ -269,9 +269,9 @@ def leak_alerts(bodies: DataFrame, vault: DataFrame, key: str, text: str = "text
     """Bodies that hold a known value of their scope, in either case; the alert names the token only. Values are found as
     the leak check finds them."""
     known = vault.select(key, "token", F.lower("value").alias("_needle"))
-    held = bodies.withColumn("_hay", F.lower(text))
-    found = M.occurrences(held, known, key, "_hay", "_needle").select(key, F.col("text").alias("_hay"), F.col("value").alias("_needle"))
-    return held.join(found, [key, "_hay"]).join(known, [key, "_needle"]).select(*(c for c in bodies.columns if c != text), "token")
+    held = bodies.withColumn("_hay", F.lower(text)).drop(text)
+    found = M.occurrences(held, known, key, "_hay", "_needle", keep=[c for c in bodies.columns if c not in (key, text)])
+    return found.withColumnRenamed("value", "_needle").join(known, [key, "_needle"]).select(*(c for c in bodies.columns if c != text), "token")
 
 
 def stream_leak_alert(bodies: DataFrame, vault: DataFrame, key: str, text: str = "text") -> DataFrame:
