@@ -318,8 +318,8 @@ def rendered(text: Column, spans: Column, put: Callable[[Column], Column], keep:
 def rebuilt(text: Column, regex: str, put: Callable[[Column], Column], keep: Callable[[Column], Column] = lambda g: g) -> Column:
     """The text with every hit of ``regex`` replaced by ``put`` of its value, and what lies between by ``keep`` of it."""
     gaps, found = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    new = F.transform(gaps, lambda g, i: F.concat(keep(g), F.coalesce(put(F.get(found, i)), F.lit(""))))
-    return F.array_join(new, "")
+    pairs = F.arrays_zip(found.alias("hit"), gaps.alias("gap"))  # the last gap has no hit after it
+    return F.array_join(F.transform(pairs, lambda x: F.concat(keep(x["gap"]), F.coalesce(put(x["hit"]), F.lit("")))), "")
 
 
 def blanked(text: Column, regex: str) -> Column:

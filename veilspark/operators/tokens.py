@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,26 +124,36 @@ def _parted(gap: Column, before: Column, after: Column) -> Column:
     return S.let(marked, lambda m: F.concat(mark(before & first(m).rlike("[0-9]")), m, mark(after & last(m).rlike("[A-Z0-9]"))))
 
 
-def render(sources: DataFrame, spans: DataFrame, scope: str = "scope", source: str = "source_ord", text: str = "text") -> DataFrame:
+def render(sources: DataFrame, spans: DataFrame, scope: str = "scope", source: str = "source_ord", text: str = "text", keep: bool = False) -> DataFrame:
     """Each source's text with its replaced spans as tokens; sources without any stay as they are. Where a token would
-    run into the text around it, or that text reads as one, a word joiner (``PARTER``) stands between."""
+    run into the text around it, or that text reads as one, a word joiner (``PARTER``) stands between. With ``keep`` the
+    text stays beside it."""
     planned = spans.where("decision = 'replace'").groupBy(scope, source).agg(F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("planned"))
     out = sources.join(planned, [scope, source], "left")
     put = S.rendered(F.col(text), F.col("planned"), lambda s: s["token"], _parted)
-    return out.withColumn("rendered", F.coalesce(put, _parted(F.col(text), F.lit(False), F.lit(False)))).drop("planned", text)
+    return out.withColumn("rendered", F.coalesce(put, _parted(F.col(text), F.lit(False), F.lit(False)))).drop("planned", *([] if keep else [text]))
 
 
-def rehydrate(texts: DataFrame, vault: DataFrame, scope: str = "scope", text: str = "rendered") -> DataFrame:
+def rehydrate(texts: DataFrame, vault: DataFrame, scope: str = "scope", text: str = "rendered", by: Sequence[str] = ()) -> DataFrame:
     """Tokens back to values; a text with a token that its scope doesn't know is rejected (``rejected``, null text).
 
-    Each different text of a scope looks up its own tokens, so that no row holds more of the vault than a text names.
+    Each different text of a scope looks up its own tokens, so that no row holds more of the vault than a text names. ``by``
+    are columns that tell a scope's texts apart, its digest if there are none: texts that are dealt out by scope and these,
+    as rendered ones are by their source, meet their values where they are.
     """
-    digest = F.sha2(F.col(text), 256)
-    named = texts.select(scope, digest.alias("_digest"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(P.VAULT_TOKEN), F.lit(0)))).alias("token")).distinct()
-    own = named.join(vault.select(scope, "token", "value"), [scope, "token"]).groupBy(scope, "_digest").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("vault"))
-    out = texts.withColumn("_digest", digest).join(own, [scope, "_digest"], "left").drop("_digest")
-    known = F.coalesce(F.col("vault"), F.create_map().cast("map<string,string>"))
     found = F.regexp_extract_all(text, F.lit(P.VAULT_TOKEN), F.lit(0))
+    own_by = [scope, *(by or ["_digest"])]
+    placed = texts.withColumn("_digest", F.sha2(F.col(text), 256))
+    if by:  # what the join would ask of one side is asked of both, so that both read the texts as dealt out once
+        has_place = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in own_by))
+        placed = texts.where(has_place)
+    named = placed.select(*own_by, F.explode(F.array_distinct(found)).alias("token"))
+    named = named if by else named.distinct()
+    own = named.join(vault.select(scope, "token", "value"), [scope, "token"]).groupBy(*own_by).agg(F.map_from_entries(F.collect_set(F.struct("token", "value"))).alias("vault"))
+    out = placed.join(own, own_by, "left").drop("_digest")
+    if by:
+        out = out.unionByName(texts.where(~has_place), allowMissingColumns=True)
+    known = F.coalesce(F.col("vault"), F.create_map().cast("map<string,string>"))
     bad = F.exists(found, lambda t: F.try_element_at(known, t).isNull())
     back = S.rebuilt(F.col(text), P.VAULT_TOKEN, lambda t: F.try_element_at(known, t), lambda g: F.regexp_replace(g, f"{PARTER}({PARTER}?)", "$1"))
     return out.withColumn("rejected", bad).withColumn("restored", F.when(~bad, back)).drop("vault")

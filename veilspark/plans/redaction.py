@@ -116,13 +116,13 @@ def c8_uncertain_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.uncertain_questions(spans)
 
 
-def _rendered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Texts with their spans as tokens, and the vault; the spans are found once, for both."""
+def _rendered(spark: SparkSession, sf_dir: str, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Texts with their spans as tokens, and the vault; the spans are found once, for both. Texts are dealt out by source."""
     spans = written(_spans(spark, sf_dir), "spans").withColumn("certain", F.lit(True))
     vault = K.mint_tokens(spans)
     decided = spans.join(vault.select("scope", "type", "value", "token"), ["scope", "type", "value"]).withColumn("decision", F.lit("replace"))
-    sources = probed(spark, sf_dir).select(F.col("source").alias("scope"), F.col("doc_id").alias("source_ord"), "text")
-    return K.render(sources, decided), vault
+    sources = probed(spark, sf_dir, dealt=False).select(F.col("source").alias("scope"), F.col("doc_id").alias("source_ord"), "text")
+    return K.render(sources.repartition("scope", "source_ord"), decided, keep=keep), vault
 
 
 @query()
@@ -159,7 +159,7 @@ def c12_replace_substring_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c13_rehydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts rendered as tokens and restored."""
     rendered, vault = _rendered(spark, sf_dir)
-    return K.rehydrate(rendered, vault).select("source_ord", "rejected", F.md5("restored").alias("digest"))
+    return K.rehydrate(rendered, vault, by=["source_ord"]).select("source_ord", "rejected", F.md5("restored").alias("digest"))
 
 
 @query()
@@ -180,12 +180,13 @@ def c15_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(NULL AS BIGINT) AS source_ord, CAST(NULL AS VARCHAR) AS why WHERE false")
 def c16_redaction_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text doesn't come back from its tokens, or still holds a span after rendering: none."""
-    rendered, vault = _rendered(spark, sf_dir)
-    back = K.rehydrate(rendered, vault).join(probed(spark, sf_dir).select(F.col("doc_id").alias("source_ord"), "text"), "source_ord")
-    lost = back.where(~F.col("restored").eqNullSafe(F.col("text"))).select("source_ord", F.lit("not restored").alias("why"))
-    blank = rendered.withColumn("rendered", S.blanked(F.col("rendered"), r"[A-Z][A-Z0-9]*#[0-9]+"))
-    left = D.document_spans(blank, "rendered").where(F.size("spans") > 0).select("source_ord", F.lit("span left").alias("why"))
-    return lost.unionByName(left)
+    rendered, vault = _rendered(spark, sf_dir, keep=True)
+    lost = ~F.col("restored").eqNullSafe(F.col("text"))
+    blank = S.blanked(F.col("rendered"), r"[A-Z][A-Z0-9]*#[0-9]+")
+    back = S.spread(K.rehydrate(rendered, vault, by=["source_ord"]), "source_ord", items=F.array(F.struct(lost.alias("lost"), blank.alias("blank"))), test="lost")  # texts go before the scan
+    back = D.document_spans(back, "blank")
+    why = F.array(F.when(F.col("lost"), "not restored"), F.when(F.size("spans") > 0, "span left"))
+    return S.spread(back, "source_ord", items=F.transform(why, lambda w: F.struct(w.alias("why"))), test="why")
 
 
 @query(f"""WITH {BOXES} SELECT image, CAST(floor(box_id / 10) AS BIGINT) AS control, kind, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h,
